@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessitura.llm import packing
+from tessitura.llm import packing, sharding
 
 QUERIES = {
     "op1_pack_binary": packing.op1_pack_binary,
+    "op2_kd_shards": sharding.op2_kd_shards,
 }
 ORACLES: dict[str, str] = {}
