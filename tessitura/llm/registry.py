@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessitura.llm import packing, sharding
+from tessitura.llm import compression, packing, sharding
 
 QUERIES = {
     "op1_pack_binary": packing.op1_pack_binary,
     "op2_kd_shards": sharding.op2_kd_shards,
+    "op3_zstd_language": compression.op3_zstd_language,
+    "op5_zstd_quality": compression.op5_zstd_quality,
 }
 ORACLES: dict[str, str] = {}
