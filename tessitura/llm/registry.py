@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessitura.llm import compression, packing, rules, sharding
+from tessitura.llm import compression, neardup, packing, rules, sharding
 
 QUERIES = {
     "op1_pack_binary": packing.op1_pack_binary,
@@ -10,5 +10,8 @@ QUERIES = {
     "op3_zstd_language": compression.op3_zstd_language,
     "op5_zstd_quality": compression.op5_zstd_quality,
     "op6_rule_ledger": rules.op6_rule_ledger,
+    "op7_hyperminhash": neardup.op7_hyperminhash,
+}
+ORACLES: dict[str, str] = {
+    "op7_hyperminhash": neardup.ORACLE,
 }
-ORACLES: dict[str, str] = {}
