@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessitura.llm import compression, neardup, packing, rules, sharding
+from tessitura.llm import compression, decontam, neardup, packing, rules, sharding
 
 QUERIES = {
     "op1_pack_binary": packing.op1_pack_binary,
@@ -11,7 +11,9 @@ QUERIES = {
     "op5_zstd_quality": compression.op5_zstd_quality,
     "op6_rule_ledger": rules.op6_rule_ledger,
     "op7_hyperminhash": neardup.op7_hyperminhash,
+    "op9_minhash_containment": decontam.op9_minhash_containment,
 }
 ORACLES: dict[str, str] = {
     "op7_hyperminhash": neardup.ORACLE,
+    "op9_minhash_containment": decontam.ORACLE,
 }
