@@ -64,7 +64,7 @@ def unpacked(doc_ids, offsets, data) -> tuple[list, np.ndarray, np.ndarray]:
     return doc_ids.as_py(), unsqueeze(data.as_py(), np.uint8), np.array(offsets.values, np.int64)
 
 
-def slices(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20):
+def slices(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 17):
     """(first document, bytes, offsets) for runs of documents of about `size` bytes."""
     first, n = 0, len(offsets) - 1
     while first < n:

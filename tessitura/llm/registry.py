@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessitura.llm import compression, decontam, lm, neardup, packing, rules, sharding
+from tessitura.llm import compression, decontam, lm, neardup, packing, rules, sharding, substrings
 
 QUERIES = {
     "op1_pack_binary": packing.op1_pack_binary,
     "op2_kd_shards": sharding.op2_kd_shards,
     "op3_zstd_language": compression.op3_zstd_language,
+    "op4_bwt_merge": substrings.op4_bwt_merge,
     "op5_zstd_quality": compression.op5_zstd_quality,
     "op6_rule_ledger": rules.op6_rule_ledger,
     "op7_hyperminhash": neardup.op7_hyperminhash,
