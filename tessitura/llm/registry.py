@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessitura.llm import compression, decontam, lm, neardup, packing, rules, sharding, substrings
+from tessitura.llm import compression, decontam, lm, neardup, packing, privacy, rules, sharding, substrings
 
 QUERIES = {
     "op1_pack_binary": packing.op1_pack_binary,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_zstd_quality": compression.op5_zstd_quality,
     "op6_rule_ledger": rules.op6_rule_ledger,
     "op7_hyperminhash": neardup.op7_hyperminhash,
+    "op8_bilstm_crf": privacy.op8_bilstm_crf,
     "op9_minhash_containment": decontam.op9_minhash_containment,
     "op10_log_bilinear": lm.op10_log_bilinear,
 }
