@@ -212,6 +212,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5) -> Dat
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def representatives(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
+    """The rows of docs whose document is the smallest of its group, with all their columns; of rows with equal doc_id one.
+    Rows with a null doc_id stay where nothing with an id is in their group."""
+    near = written(near_duplicates(docs, percent, shingle), "near")
+    kept = near.filter("kept").select(F.col("doc_id").alias("_kept"))
+    out = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    if not kept.filter("_kept IS NOT NULL").groupBy("_kept").count().filter("count > 1").isEmpty():
+        out = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id IS NULL"))
+    return out
+
+
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
