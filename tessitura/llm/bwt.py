@@ -47,11 +47,11 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
     """
     parts = [shard_transform(s) for s in shards]
     starts = np.cumsum([0, *(len(s) for s in shards)])
-    text_of = np.concatenate([rows + a for (rows, _, _), a in zip(parts, starts)] or [np.zeros(0, np.int64)])
+    text_of = np.concatenate([rows + a for (rows, _, _), a in zip(parts, starts)] or [np.zeros(0, np.int64)]).astype(np.int32)
     before = np.concatenate([b for _, b, _ in parts] or [np.zeros(0, np.uint16)])
-    earlier = np.concatenate([e + a for (_, _, e), a in zip(parts, starts)] or [np.zeros(0, np.int64)])
-    rows = np.arange(len(text_of))
-    interval = np.zeros(len(rows), np.int64)
+    earlier = np.concatenate([e + a for (_, _, e), a in zip(parts, starts)] or [np.zeros(0, np.int64)]).astype(np.int32)
+    rows = np.arange(len(text_of), dtype=np.int32)
+    interval = np.zeros(len(rows), np.int32)
     for _ in range(depth):
         kept = before[rows] != 0
         rows, interval = rows[kept], interval[kept]
@@ -64,7 +64,7 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
         new = np.ones(len(rows), bool)
         new[1:] = (char[1:] != char[:-1]) | (interval[1:] != interval[:-1])
         alone = new & np.append(new[1:], True)
-        interval = np.cumsum(new)[~alone]
+        interval = np.cumsum(new, dtype=np.int32)[~alone]
         rows = rows[~alone]
     return text_of[rows], interval
 

@@ -22,12 +22,12 @@ from tessitura.llm.common import table, written
 
 WINDOW, PART = 50, 24
 #: Bytes of text in a block, and for each bucket.
-BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 10 << 20
 #: Documents that have a part before its windows travel one by one: then equal ones are combined within each block, and no
 #: bucket gets a snippet for every document around a common passage.
 COMMON = 2000
 #: Bytes of the collections whose transforms are merged at a time; parts with the same hash stay together.
-COLLECTION = 2 << 20
+COLLECTION = 1 << 20
 
 
 def _least(h: np.ndarray, n: int) -> np.ndarray:
@@ -38,6 +38,15 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (n - size)], h[n - size :]) if size < n else h
 
 
+def _part_hash(sums: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Hash of the PART bytes from each place on."""
+    h = sums[PART:] - sums[:-PART]
+    h *= inverse[: len(h)]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
+
+
 class Runs:
     """A block's snippets: `key`, first window `start` and `end` byte within the block, document, and hash of the content."""
 
@@ -48,11 +57,7 @@ class Runs:
                 continue
             sums = W.prefix_hashes(W._BYTE[part])
             inverse = W.powers(len(part) + 1)[1]
-            h = sums[PART:] - sums[:-PART]
-            h *= inverse[: len(h)]
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            least = _least(h, WINDOW - PART + 1)
+            least = _least(_part_hash(sums, inverse), WINDOW - PART + 1)
             change = np.append(True, least[1:] != least[:-1])
             change[own[own < len(change)]] = True
             start = np.flatnonzero(change)
@@ -170,46 +175,92 @@ def _sent(marked: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def _resolved(part: pa.Table) -> pa.Table:
+def _content(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of text[starts:ends], with their lengths."""
+    sums = W.prefix_hashes(W._BYTE[text])
+    return W.mix((sums[ends] - sums[starts]) * W.powers(len(text) + 1)[1][starts] + (ends - starts).astype(np.uint64))
+
+
+def _alike(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Which distinct snippets of one key can share a window with another one.
+
+    A window holds its least part and 26 bytes more, so 13 at least on one side: without an equal neighbour in either the part
+    with 13 bytes before it or with 13 behind it, a snippet has no equal window. A snippet that holds its least part more
+    than once is kept.
+    """
+    sums = W.prefix_hashes(W._BYTE[text])
+    inverse = W.powers(len(text) + 1)[1]
+    places = len(text) - PART + 1
+    short = _place(W.mix(_part_hash(sums, inverse)), buckets)[1] if places > 0 else np.zeros(0, np.uint32)
+    of = np.repeat(np.arange(len(starts)), ends - starts)[: max(0, places)]
+    hit = np.flatnonzero((short == keys[of]) & (np.arange(max(0, places)) + PART <= ends[of]))
+    found = np.bincount(of[hit], minlength=len(starts))
+    at = np.zeros(len(starts), np.int64)
+    at[of[hit]] = hit
+    keep, side = found != 1, (WINDOW - PART) // 2
+    for low, high in ((at - side, at + PART), (at, at + PART + side)):
+        fits = np.flatnonzero((found == 1) & (low >= starts) & (high <= ends))
+        own = (sums[high[fits]] - sums[low[fits]]) * inverse[low[fits]]
+        _, group, count = np.unique(W.mix(own + keys[fits].astype(np.uint64)), return_inverse=True, return_counts=True)
+        keep[fits] |= count[group] > 1
+    return keep
+
+
+def _resolved(part: pa.Table, buckets: int) -> pa.Table:
     """One bucket: for each block's snippets, the least document of every window, after merging the collection's shards."""
-    strings, numbers, owners, keys, counts = {}, [], [], [], []
-    for row in part.select(["keys", "lengths", "least", "text"]).to_pylist():
-        key, length, least, text = (unsqueeze(row[c], t) for c, t in (("keys", np.uint32), ("lengths", np.uint32), ("least", np.int64), ("text", np.uint8)))
-        text, at = text.tobytes(), np.cumsum(np.append(0, length.astype(np.int64))).tolist()
-        mine = []
-        for k, (i, j, d) in zip(key.tolist(), zip(at[:-1], at[1:], least.tolist())):
-            own = (k, text[i:j])
-            n = strings.setdefault(own, len(strings))
-            if n == len(owners):
-                owners.append(d), keys.append(k)
-            elif d < owners[n]:
-                owners[n] = d
-            mine.append(n)
-        numbers.append(mine)
-        counts.append(len(mine))
-    owners, keys, texts = np.array(owners, np.int64), np.array(keys, np.int64), [t for _, t in strings]
-    windows = np.array([len(t) - WINDOW + 1 for t in texts], np.int64)
-    least = [None] * len(texts)
-    order = np.argsort(keys, kind="stable")
-    edge = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(order) else []
+    texts, starts, lengths, keys, least, content, sizes = [], [], [], [], [], [], []
+    base = 0
+    for row in range(part.num_rows):
+        key, length, own, text = (unsqueeze(part[c][row].as_py(), t) for c, t in (("keys", np.uint32), ("lengths", np.uint32), ("least", np.int64), ("text", np.uint8)))
+        ends = np.cumsum(length, dtype=np.int64)
+        content.append(_content(text, ends - length, ends))
+        texts.append(text), starts.append(ends - length + base), lengths.append(length.astype(np.int64)), keys.append(key), least.append(own)
+        sizes.append(len(key))
+        base += len(text)
+    text = np.concatenate(texts)
+    starts, lengths, keys, least, content = (np.concatenate(x) for x in (starts, lengths, keys, least, content))
+    del texts
+    _, first, of = np.unique(W.mix(content + keys.astype(np.uint64) * W._PLACES[0]), return_index=True, return_inverse=True)
+    owners = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(owners, of, least)
+    order = np.argsort(keys[first], kind="stable")  # distinct snippets by key
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    first, owners, of = first[order], owners[order], rank[of]
+    windows = lengths[first] - WINDOW + 1
+    ahead = np.cumsum(windows) - windows
+    answer = np.repeat(owners, windows)
+    key = keys[first]
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+
     held, size = [], 0
 
     def close():
-        for k, found in zip(held, least_by_window([np.frombuffer(texts[k], np.uint8) for k in held], owners[held], WINDOW)):
-            least[k] = found
-
-    for i, j in zip(edge, np.append(edge[1:], len(order))):
-        if j - i == 1:
-            least[order[i]] = np.full(windows[order[i]], owners[order[i]])
-            continue
-        held += order[i:j].tolist()
-        size += sum(len(texts[k]) for k in order[i:j])
-        if size >= COLLECTION:
-            close()
-            held, size = [], 0
+        own = np.array(held)
+        ends = np.cumsum(lengths[first[own]])
+        joined = np.concatenate([text[starts[first[k]] : starts[first[k]] + lengths[first[k]]] for k in held])
+        begins = ends - lengths[first[own]]
+        keep = np.flatnonzero(_alike(joined, begins, ends, key[own], buckets))
+        found = least_by_window([joined[begins[k] : ends[k]] for k in keep], owners[own[keep]], WINDOW)
+        for k, values in zip(own[keep], found):
+            answer[ahead[k] : ahead[k] + windows[k]] = values
+
+    for i, j in zip(edge, np.append(edge[1:], len(key))):
+        if j - i > 1:
+            held += range(i, j)
+            size += int(lengths[first[i:j]].sum())
+            if size >= COLLECTION:
+                close()
+                held, size = [], 0
     if held:
         close()
-    reply = [squeeze(np.concatenate([least[k] for k in mine])) for mine in numbers]
+    reply, at = [], 0
+    for n in sizes:
+        mine = of[at : at + n]
+        many = windows[mine]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        reply.append(squeeze(answer[np.repeat(ahead[mine], many) + step]))
+        at += n
     return pa.table({"block": part["block"], "bucket": part["bucket"], "reply": pa.array(reply, pa.binary())})
 
 
@@ -276,7 +327,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     buckets = bucket_count(docs, BUCKET_BYTES)
     state = written(_heads(blocks, buckets).groupBy("bucket").applyInArrow(_known, "block long, bucket int, reply binary"), "key-states")
     sent = _sent(answered(blocks, state), buckets)
-    least = written(sent.groupBy("bucket").applyInArrow(_resolved, "block long, bucket int, reply binary"), "least")
+    least = written(sent.groupBy("bucket").applyInArrow(lambda part: _resolved(part, buckets), "block long, bucket int, reply binary"), "least")
     answers = answered(least.select("block").distinct(), least).withColumnRenamed("replies", "answers")
     cut = _cut(answered(blocks, state).join(answers, "block", "left"), buckets, digest)
 
