@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tessitura.plans import queries_basic, queries_recursive, queries_time
+
+QUERIES: dict = queries_basic.QUERIES | queries_time.QUERIES | queries_recursive.QUERIES
+ORACLES: dict[str, str] = queries_basic.ORACLES | queries_time.ORACLES | queries_recursive.ORACLES
