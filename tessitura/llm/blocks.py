@@ -85,6 +85,7 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def answered(blocks: DataFrame, replies: DataFrame) -> DataFrame:
-    """blocks with `replies`: their (bucket, reply) structs as arrays; blocks without any have null."""
+    """blocks with `replies`: their (bucket, reply) structs as arrays; blocks without any have null. A merge join at every size,
+    as replies grow with the blocks."""
     own = replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias("replies"))
-    return blocks.join(own, "block", "left")
+    return blocks.hint("merge").join(own, "block", "left")

@@ -321,7 +321,8 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     long = written(known.filter(f"n_bytes >= {WINDOW}").select("doc_id", "n_bytes", print_.alias("sha")), "texts")
     first = long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
     copies = written(long.join(first, "sha").filter("doc_id > first").select("doc_id", "n_bytes", "sha"), "copies")
-    rest = known.withColumn("sha", print_).join(copies.select("doc_id", "sha").distinct(), ["doc_id", "sha"], "left_anti")
+    # a merge join at every size: copies grow with the documents
+    rest = known.withColumn("sha", print_).hint("merge").join(copies.select("doc_id", "sha").distinct(), ["doc_id", "sha"], "left_anti")
 
     blocks = packed(rest.select("doc_id", "text"), BLOCK_BYTES)
     buckets = bucket_count(docs, BUCKET_BYTES)
@@ -329,7 +330,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     sent = _sent(answered(blocks, state), buckets)
     least = written(sent.groupBy("bucket").applyInArrow(lambda part: _resolved(part, buckets), "block long, bucket int, reply binary"), "least")
     answers = answered(least.select("block").distinct(), least).withColumnRenamed("replies", "answers")
-    cut = _cut(answered(blocks, state).join(answers, "block", "left"), buckets, digest)
+    cut = _cut(answered(blocks, state).hint("merge").join(answers, "block", "left"), buckets, digest)
 
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
     whole = lambda b: F.unhex(F.sha2(b, 256)) if digest else b
@@ -346,3 +347,17 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 def op4_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), digest=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * WINDOW}) AS w FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {WINDOW - 1})) AS i FROM d)),
+m AS (SELECT w, min(doc_id) AS least FROM g GROUP BY w HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT g.doc_id, g.i, lag(g.i) OVER (PARTITION BY g.doc_id ORDER BY g.i) AS p FROM g JOIN m ON m.w = g.w AND m.least < g.doc_id),
+n AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + {WINDOW} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f),
+s AS (SELECT doc_id, k, min(i) AS a, max(i) + {WINDOW} AS z FROM n GROUP BY doc_id, k),
+t AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+c AS (SELECT t.doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(substr(d.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM t JOIN d ON d.doc_id = t.doc_id GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(c.kept, '') || substr(h, 2 * coalesce(c.last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
