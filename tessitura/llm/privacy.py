@@ -129,11 +129,21 @@ def _spans(path: np.ndarray):
             start, kind = t, tag // 2 - 1
 
 
+def _pieces(text: str, found):
+    """Tagger spans; of kinds without white space, each run between it."""
+    for kind, i, j in found:
+        if kind in ("card", "phone"):
+            yield kind, i, j
+        else:
+            for m in re.finditer(r"\S+", text[i:j]):
+                yield kind, i + m.start(), i + m.end()
+
+
 def _added(text: str, base, found):
     """Tagger spans that fit their kind and don't overlap a base span, trimmed of white space and marks around."""
     taken = sorted((i, j) for _, i, j in base)
     at = 0
-    for kind, i, j in found:
+    for kind, i, j in _pieces(text, found):
         while i < j and not (text[i].isalnum() or text[i] in "+(_"):
             i += 1
         while j > i and not text[j - 1].isalnum():

@@ -17,6 +17,8 @@ QUERIES = {
     "op10_log_bilinear": lm.op10_log_bilinear,
 }
 ORACLES: dict[str, str] = {
+    "op4_bwt_merge": substrings.ORACLE,
+    "op6_rule_ledger": rules.ORACLE,
     "op7_hyperminhash": neardup.ORACLE,
     "op9_minhash_containment": decontam.ORACLE,
 }

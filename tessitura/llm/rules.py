@@ -164,3 +164,23 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_policy(ledger(docs), STANDARD)
     base = F.col("failed").bitwiseAND(F.lit(BASE.mask)) != 0
     return judged.select("doc_id", *MEASURES[:5], base.alias("base_failed"), "kept", "failed")
+
+
+_RULES_SQL = " + ".join(f"CASE WHEN {fails} THEN {1 << k} ELSE 0 END" for k, (_, fails) in enumerate(RULES))
+ORACLE = f"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, sum(n - 1) AS dups FROM (
+    SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w)
+    WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL) GROUP BY doc_id),
+v AS (SELECT doc_id, p, array_to_string(ws[p:p+4], ' ') AS five FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS p FROM w WHERE len(ws) >= 5)),
+c AS (SELECT doc_id, count(DISTINCT p + k.k) AS again FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, five) AS n FROM v), range(0, 5) k(k) WHERE n > 1 GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(l.dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.again, 0) AS BIGINT) AS n_repeat_words,
+    len(string_split(t, chr(10))) AS n_lines, len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z\\x{{C0}}-\\x{{10FFFF}}]'))) AS n_letter_words,
+    len(list_filter(ws, lambda x: len(regexp_extract_all(x, '[A-Z]')) > 1 AND 2 * len(regexp_extract_all(x, '[A-Z]')) > strlen(x))) AS n_upper_words
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  failed = 0 AS kept, failed FROM (SELECT *, CAST({_RULES_SQL} AS BIGINT) AS failed FROM m)
+"""
