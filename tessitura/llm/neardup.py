@@ -141,27 +141,62 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) with 100 * intersection >= percent * union of their full sets."""
+    """pairs(a, b) with `shared`, the size of the intersection of their full sets, and whether they are `linked`:
+    100 * intersection >= percent * union."""
 
     def run(batches):
         for batch in batches:
-            keep = []
+            shared, linked = [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                shared.append(both), linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "shared", "linked"])
 
     side = lambda c, k: sets.select(F.col("cls").alias(c), F.col("hashes").alias(f"h{k}"))
-    return pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "h1", "h2").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "h1", "h2").mapInArrow(run, "a long, b long, shared long, linked boolean")
+
+
+def _shingle_rows(sets: DataFrame) -> DataFrame:
+    """(cls, hash) for every shingle of sets(cls, hashes)."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = np.frombuffer(batch.column(1)[k].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))], ["cls", "own"])
+
+    return sets.select("cls", "hashes").mapInArrow(run, "cls long, own array<long>").select("cls", F.explode("own").alias("hash"))
+
+
+def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """buckets(key, cls, pivot) that span components, with `own`, the class's component."""
+    marked = buckets.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "pivot", F.coalesce("component", "cls").alias("own"))
+    mixed = marked.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x < y").select("key")
+    return marked.join(mixed, "key")
+
+
+def _across(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), once each, of a bucket's classes in different components that can be linked.
+
+    Two classes share at most the smaller number of their shingles that are `common`, that is not found in one class only. Of
+    shingles that the bucket's pivot has they share at most the smaller number `held`, and of the others the smaller rest.
+    """
+    other = apart.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "own", "n", "common", "held", "keys")])
+    by_pivot = "least(held, held_b) + least(common - held, common_b - held_b)"
+    most = f"least(common, common_b, coalesce({by_pivot}, common))"
+    first = "element_at(array_intersect(keys, keys_b), 1) = key"  # a pair comes from the first bucket that it shares
+    pairs = apart.join(other, "key").filter(f"own < own_b AND 100 * {most} >= {percent} * (n + n_b - {most}) AND {first}")
+    return pairs.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text).
 
     Equal shingle sets form classes. Classes are banded on compressed registers; every class of a bucket is held against the
-    bucket's least, then, where a bucket still spans components, against the classes of other components. Pairs that pass
-    the collision-corrected estimate are verified on full sets, and components follow from the links that remain. Thus
+    bucket's most central, then, where a bucket still spans components, against those classes of other components that bounds on
+    their common shingles leave within reach. Pairs that pass the collision-corrected estimate are
+    verified on full sets, and components follow from the links that remain. Thus
     copies, and groups of near copies, cost one row each and not their square. A pair at the threshold is missed by all
     bands with a probability of 5e-6.
 
@@ -174,33 +209,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5) -> Dat
     reps = base.join(classes.select(F.col("cls").alias("row")), "row", "left_semi").withColumnRenamed("row", "cls")
 
     banded = reps.select("cls", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("cls").alias("pivot"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    buckets = written(banded.join(shared, "key"), "buckets")
+    shared = written(banded.join(banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key"), "shared")
+    # the class that meets most others stands in the middle of its group, and is the pivot of all its buckets
+    met = shared.groupBy("cls").agg(F.sum("size").alias("met"))
+    pivots = shared.join(met, "cls").groupBy("key").agg(F.max(F.struct("met", -F.col("cls"))).alias("p")).select("key", (-F.col("p.col2")).alias("pivot"))
+    buckets = written(shared.join(pivots, "key").select("key", "cls", "pivot"), "buckets")
     members = buckets.select("cls").distinct()
-    reps = written(reps.drop("keys").join(members, "cls", "left_semi"), "candidates")
+    reps = written(reps.join(members, "cls", "left_semi"), "candidates")
 
-    stars = buckets.filter("pivot <> cls").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
+    stars = buckets.filter("pivot <> cls").select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
     stars = written(_likely(stars, reps, percent), "stars")
-    ends = stars.select(F.col("a").alias("cls")).union(stars.select("b")).distinct()
-    sets = written(_sets(docs, reps.join(ends, "cls", "left_semi").select("cls", "doc_id", "sign"), shingle).dropDuplicates(["cls"]), "sets")
-    links = written(_verified(stars, sets, percent), "verified")
+    sets = _sets(docs, reps.select("cls", "doc_id", "sign"), shingle)
+    if not base.groupBy("doc_id", "sign").count().filter("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["cls"])  # of rows that are there more than once
+    sets = written(sets, "sets")
+    seen = written(_verified(stars, sets, percent), "verified")
+    links = seen.filter("linked").select("a", "b")
     found = components(links)
 
     # what the pivots left apart
-    marked = buckets.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("own"))
-    mixed = marked.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x < y").select("key")
-    apart = written(marked.join(mixed, "key"), "apart")
-    other = apart.select("key", F.col("cls").alias("b"), F.col("own").alias("own_b"))
-    pairs = apart.withColumnRenamed("cls", "a").join(other, "key").filter("own < own_b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    pairs = written(_likely(pairs, reps, percent), "pairs")
-    if not pairs.isEmpty():
-        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(sets, "cls", "left_anti")
-        more = _sets(docs, reps.join(ends, "cls", "left_semi").select("cls", "doc_id", "sign"), shingle).dropDuplicates(["cls"])
-        sets = sets.unionByName(written(more, "sets"))
-        links = links.unionByName(written(_verified(pairs, sets, percent), "verified"))
-        found = components(links)
+    mixed = written(_mixed(buckets, found), "mixed")
+    alone = _shingle_rows(sets.join(mixed.select("cls").distinct(), "cls", "left_semi"))
+    alone = alone.groupBy("hash").agg(F.min("cls").alias("cls"), F.count("*").alias("rows")).filter("rows = 1").groupBy("cls").agg(F.count("*").alias("alone"))
+    sized = reps.select("cls", "n", "keys").join(alone, "cls", "left").select("cls", "n", "keys", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    ends = [F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")]
+    apart = mixed.join(sized.filter(f"100 * common >= {percent} * n"), "cls").select("*", *ends).join(seen.select("a", "b", "shared"), ["a", "b"], "left")
+    held = F.when(F.col("cls") == F.col("pivot"), F.col("n")).otherwise(F.col("shared"))
+    apart = written(apart.select("key", "cls", "own", "n", "common", held.alias("held"), "keys"), "apart")
+    close = _across(apart, percent).join(stars, ["a", "b"], "left_anti")
+    more = written(_verified(_likely(close, reps, percent), sets, percent).filter("linked").select("a", "b"), "more")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
 
     placed = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     heads = found.select(F.col("node").alias("cls"), "component").join(classes.select("cls", "least"), "cls")
