@@ -21,6 +21,8 @@ _EMPTY = np.uint16(0xFFFF)
 _BUCKET_BITS = REGISTERS.bit_length() - 1
 #: A pair is verified unless its estimate is this many standard deviations under the threshold.
 DEVIATIONS = 6.0
+#: Ids of dropped documents that are broadcast at most, about 100 MB.
+BROADCAST_IDS = 1 << 21
 
 
 def registers(hashes: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
@@ -253,11 +255,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5) -> Dat
 
 def representatives(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
     """The rows of docs whose document is the smallest of its group, with all their columns; of rows with equal doc_id one.
-    Rows with a null doc_id stay where nothing with an id is in their group."""
+    Rows with a null doc_id stay where nothing with an id is in their group.
+
+    The ids that go are fewer than those that stay: up to BROADCAST_IDS of them are broadcast, so that no text is shuffled;
+    beyond that the same join shuffles.
+    """
     near = written(near_duplicates(docs, percent, shingle), "near")
-    kept = near.filter("kept").select(F.col("doc_id").alias("_kept"))
-    out = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    if not kept.filter("_kept IS NOT NULL").groupBy("_kept").count().filter("count > 1").isEmpty():
+    ids = near.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count_if("kept").alias("rows"))
+    ids = written(ids.filter("NOT stays OR rows > 1"), "ids")
+    gone = ids.filter("NOT stays").select(F.col("doc_id").alias("_gone"))
+    size, nulls = gone.agg(F.count("*"), F.count_if(F.col("_gone").isNull())).first()
+    own = docs["doc_id"].cast("long")
+    out = docs.join(F.broadcast(gone) if size <= BROADCAST_IDS else gone, own == gone["_gone"], "left_anti")
+    if nulls:
+        out = out.filter(F.col("doc_id").cast("long").isNotNull())
+    if not ids.filter("stays AND doc_id IS NOT NULL").isEmpty():
         out = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id IS NULL"))
     return out
 
