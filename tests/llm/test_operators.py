@@ -335,3 +335,27 @@ def test_lm(spark, docs, odd, empty):
 def test_lm_probabilities_sum_to_one():
     table = lm.train(np.random.default_rng(1).poisson(3, (40, 40)))
     assert np.allclose((10.0**table).sum(1), 1, atol=1e-4)
+
+
+def test_lm_pairs_of_rare_words(spark):
+    """Two texts of the same words, none of them among the most frequent: the one whose pairs were seen scores higher."""
+    common = " ".join(f"common{k}" for k in range(lm.VOCABULARY + 40))
+    rows = [(k, f"{common} {common} alpha{k % 7} beta{k % 7} gamma{k % 7}") for k in range(140)]
+    seen = [(1000 + k, f"alpha{k} beta{k} gamma{k}") for k in range(7)]
+    mixed = [(2000 + k, f"alpha{k} beta{(k + 1) % 7} gamma{(k + 2) % 7}") for k in range(7)]
+    training = {d for d, _ in rows if lm.trains(d)}
+    out = lm.lm_scores(spark.createDataFrame([*rows, *[(None, t) for _, t in seen + mixed]], "doc_id long, text string")).toPandas()
+    held = out[out.doc_id.isna()]
+    assert len(training) > 100 and len(held) == 14 and (held.n_tokens == 4).all()
+    assert held.score.nlargest(7).min() > held.score.nsmallest(7).max() + 2
+
+
+def test_lm_probabilities_sum_to_one_and_contexts_have_vectors():
+    counts = np.zeros((lm.SIDE, lm.SIDE), int)
+    counts[:, :] = np.random.default_rng(2).poisson(2, counts.shape)
+    p, noise = lm.fit(counts)
+    rows = np.zeros((2, lm.SIDE))
+    rows[0, 3], rows[1, 9] = 200, 200
+    got = lm.own_contexts(rows, p["r"][[lm.OTHER, lm.OTHER]], p, noise)
+    assert np.allclose((10.0**got).sum(1), 1, atol=1e-4)
+    assert got[0, 3] > got[1, 3] and got[1, 9] > got[0, 9]
