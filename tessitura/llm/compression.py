@@ -73,7 +73,7 @@ def sample(docs: DataFrame, classes: DataFrame, name: str, per_class: int) -> li
 #: ASCII that is no letter says nothing of the language.
 _BLANK = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
-#: Training documents of a language, bytes of its dictionary, level, block and the most languages that are learned.
+#: Training documents of a language, bytes of its dictionary, level, block and the languages worked on at a time.
 LANG_DOCS, LANG_BYTES, LANG_LEVEL, LANG_BLOCK, LANGS = 300, 65_536, 6, 4096, 64
 #: Nats that a byte of difference counts in the score.
 SHARPNESS = 0.2
@@ -86,12 +86,19 @@ def _folded(text: str) -> bytes:
 
 
 def learn_languages(docs: DataFrame, per_lang: int = LANG_DOCS, size: int = LANG_BYTES) -> dict[str, bytes]:
-    """lang -> dictionary, from docs(doc_id, text, lang); of more than LANGS values the most frequent are learned."""
+    """lang -> dictionary, from docs(doc_id, text, lang), for every lang, the most frequent first. Texts of LANGS
+    languages at a time come to the driver."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    common = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]
-    rows = sample(known, known.filter(F.col("lang").isin(common)), "lang", per_lang) if common else []
-    texts = {c: [_folded(t) for lang, _, t in rows if lang == c] for c in common}
-    return {c: dictionary_of(t, size, 700) for c, t in texts.items()}
+    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    learned = {}
+    for k in range(0, len(langs), LANGS):
+        some = langs[k : k + LANGS]
+        rows = sample(known, known.filter(F.col("lang").isin(some)), "lang", per_lang)
+        texts = {c: [] for c in some}
+        for lang, _, t in rows:
+            texts[lang].append(_folded(t))
+        learned |= {c: dictionary_of(t, size, 700) for c, t in texts.items()}
+    return learned
 
 
 LANG_COLUMNS = "lang_pred string, score double, rejected boolean"
@@ -103,25 +110,41 @@ def identify_languages(docs: DataFrame, learned: dict[str, bytes], margin: float
     The whole text is encoded under every language's dictionary, and the smallest size decides; equal sizes go to the more
     frequent language. score is the softmax of the sizes at SHARPNESS nats a byte. rejected marks a lead over the second of
     less than `margin` of the best size. Null text, and text without a letter, is `und` with score 0, as is every text
-    if nothing was learned. A map over batches: no shuffle, memory of one batch.
+    if nothing was learned. A map over batches: no shuffle, memory of one batch and the coders of LANGS languages.
     """
     names = list(learned)
 
     def score(batches):
-        coders = [coder(d, LANG_LEVEL, LANG_BLOCK) for d in learned.values()]
+        parts = [range(k, min(k + LANGS, len(names))) for k in range(0, len(names), LANGS)]
+        make = coder if len(parts) == 1 else Coder
+        coders_of = lambda part: [make(learned[names[c]], LANG_LEVEL, LANG_BLOCK) for c in part]
+        coders = coders_of(parts[0]) if parts else []
         for batch in batches:
-            pred, scores, reject = [], [], []
-            for text in batch.column(0):
-                text = text.as_py()
-                if not names or text is None or not _LETTER.search(text):
-                    lang, p, narrow = "und", 0.0, True
-                else:
+            n = batch.num_rows
+            best, second, total, which = np.full(n, np.inf), np.full(n, np.inf), np.zeros(n), np.full(n, -1)
+            for part in parts:
+                if len(parts) > 1:
+                    coders = coders_of(part)
+                for at, text in enumerate(batch.column(0)):
+                    text = text.as_py()
+                    if text is None or not _LETTER.search(text):
+                        continue
                     folded = _folded(text)
                     s = np.array([c.size(folded) for c in coders], float)
                     k = int(s.argmin())
-                    lang, p = names[k], float(1 / np.exp(-SHARPNESS * np.minimum(s - s[k], 500)).sum())
-                    narrow = len(s) > 1 and bool(np.partition(s, 1)[1] - s[k] < margin * max(s[k], 1))
-                pred.append(lang), scores.append(p), reject.append(narrow)
+                    own = np.exp(-SHARPNESS * np.minimum(s - s[k], 500)).sum()
+                    other = np.partition(s, 1)[1] if len(s) > 1 else np.inf
+                    if s[k] < best[at]:
+                        total[at] = own + (total[at] * np.exp(-SHARPNESS * min(best[at] - s[k], 500)) if which[at] >= 0 else 0.0)
+                        best[at], second[at], which[at] = s[k], min(other, best[at]), part[k]
+                    else:
+                        total[at] += own * np.exp(-SHARPNESS * min(s[k] - best[at], 500))
+                        second[at] = min(second[at], s[k])
+            found = which >= 0
+            pred = [names[k] if k >= 0 else "und" for k in which]
+            scores = np.divide(1.0, total, out=np.zeros(n), where=found)
+            lead = np.subtract(second, best, out=np.zeros(n), where=found)
+            reject = ~found | (lead < margin * np.maximum(best, 1))
             own = [pa.array(pred, pa.string()), pa.array(scores, pa.float64()), pa.array(reject, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *own], [*batch.schema.names[1:], "lang_pred", "score", "rejected"])
 

@@ -359,3 +359,17 @@ def test_lm_probabilities_sum_to_one_and_contexts_have_vectors():
     got = lm.own_contexts(rows, p["r"][[lm.OTHER, lm.OTHER]], p, noise)
     assert np.allclose((10.0**got).sum(1), 1, atol=1e-4)
     assert got[0, 3] > got[1, 3] and got[1, 9] > got[0, 9]
+
+
+def test_languages_beyond_one_block(spark, monkeypatch):
+    """70 languages of words of their own: the rarest one is learned and found, and blocks of languages change no result."""
+    words = {k: " ".join(hashlib.md5(f"{k} {j}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for j in range(12)) for k in range(70)}
+    rows = [(k * 3 + j, words[k], f"l{k:02d}") for k in range(70) for j in range(1 if k == 69 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = compression.learn_languages(docs)
+    assert set(learned) == {f"l{k:02d}" for k in range(70)}
+    found = compression.identify_languages(docs, learned).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert found.lang_pred.tolist() == [r[2] for r in rows] and not found.rejected.any()
+    monkeypatch.setattr(compression, "LANGS", 100)
+    whole = compression.identify_languages(docs, learned).toPandas().sort_values("doc_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(found, whole)
