@@ -89,7 +89,59 @@ def test_shards_are_even_and_keep_copies(spark):
     out = sharding.kd_shards(spark.createDataFrame(frame), 7).toPandas()
     sums = out.groupby("shard")["size"].sum()
     assert len(sums) == 7 and sums.max() / sums.min() < 1.1
-    assert out[out.doc_id < 400].groupby("text_crc32")["shard"].nunique().max() <= 2
+    assert out[out.doc_id < 400].groupby("text_crc32")["shard"].nunique().max() == 1
+
+
+def test_a_group_over_a_shard_is_dealt_out_and_others_are_not(spark):
+    r = np.random.default_rng(4)
+    frame = pd.DataFrame({"doc_id": np.arange(5000), "text": ["u" * int(n) for n in r.integers(1, 4000, 5000)], "lang": "en", "source": r.choice(["a", "b"], 5000)})
+    frame.loc[:1999, "text"] = "hot " * 500  # two fifths of all bytes
+    for k in range(2000, 2900):
+        frame.loc[k, "text"] = f"group {k % 9} " * 180  # nine groups of most of a shard
+    out = sharding.kd_shards(spark.createDataFrame(frame), 20).toPandas()
+    sums = out.groupby("shard")["size"].sum()
+    assert len(out) == 5000 and len(sums) == 20 and sums.max() / sums.mean() < 1.04 and sums.min() / sums.mean() > 0.96
+    places = out.groupby(["text_crc32", "size"])["shard"].nunique()
+    hot = zlib.crc32(("hot " * 500).encode())
+    assert places.drop((hot, 2016)).max() == 1 and places[(hot, 2016)] >= 8
+
+
+def plain_kd_tree(points: pd.DataFrame, leaves: int) -> np.ndarray:
+    """The leaf of each point (at, tie, weight): cut at the weighted median of the widest dimension, in proportion to the leaves."""
+    at, tie, weight = np.array(points["at"].tolist(), object), points["tie"].to_numpy(object), points["weight"].to_numpy()
+
+    def split(mine, n):
+        if n == 1 or not len(mine):
+            return [mine] + [mine[:0]] * (n - 1)
+        own = [[at[k][d] for k in mine] for d in range(4)]
+        d = max(range(4), key=lambda d: max(own[d]) - min(own[d]))
+        order = mine[np.argsort(np.array([at[k][d] * 2**31 + tie[k] for k in mine], np.int64), kind="stable")]
+        sums, goal = np.cumsum(weight[order]), weight[order].sum() * (n // 2) / n
+        k = int(np.searchsorted(sums, goal))
+        below = sums[k] - weight[order[k]]
+        k += not goal - below < sums[k] - goal
+        return split(order[:k], n // 2) + split(order[k:], n - n // 2)
+
+    out = np.empty(len(points), int)
+    for leaf, mine in enumerate(split(np.arange(len(points)), leaves)):
+        out[mine] = leaf
+    return out
+
+
+@pytest.mark.parametrize("leaves", [1, 5, 8])
+def test_op2_agrees_with_a_plain_tree(spark, leaves):
+    r = np.random.default_rng(7)
+    frame = pd.DataFrame({"doc_id": r.permutation(3000), "text": [f"{k % 1700} " * (k % 1700 % 60 + 1) for k in range(3000)], "lang": r.choice(["en", "de", "fr"], 3000), "source": r.choice(["a", "b"], 3000)})
+    frame.loc[:999, "doc_id"] //= 100  # ties
+    docs = spark.createDataFrame(frame)
+    out = sharding.kd_shards(docs, leaves, tolerance=1 << 40).toPandas()
+    points = sharding._points(sharding._rows(docs)).toPandas()
+    light = points["weight"].max() <= points["weight"].sum() // leaves / sharding.PIECE
+    assert light  # no group is placed on its own
+    points["leaf"] = plain_kd_tree(points, leaves)
+    rows = sharding._rows(docs).select("doc_id", "text_crc32", "size", "text_hash").toPandas().merge(points, on=["text_hash", "size"])
+    take = lambda f, c: sorted(zip(f["doc_id"], f["text_crc32"], f["size"], f[c]))
+    assert take(out, "shard") == take(rows, "leaf")
 
 
 def test_sharding_odd(odd, empty):
