@@ -73,9 +73,13 @@ def slices(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 17):
         first = last
 
 
-def bucket_count(docs: DataFrame, bucket_bytes: int) -> int:
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def bucket_count(size: int, bucket_bytes: int) -> int:
     """As many buckets as the text has times `bucket_bytes`, so that a bucket's share stays the same for any input."""
-    return max(4, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / bucket_bytes))
+    return max(4, math.ceil(size / bucket_bytes))
 
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import words as W
-from tessitura.llm.blocks import answered, bucket_count, packed, slices, squeeze, unpacked, unsqueeze
+from tessitura.llm.blocks import answered, bucket_count, packed, slices, squeeze, text_bytes, unpacked, unsqueeze
 from tessitura.llm.bwt import least_by_window
 from tessitura.llm.common import table, written
 
@@ -325,7 +325,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     rest = known.withColumn("sha", print_).hint("merge").join(copies.select("doc_id", "sha").distinct(), ["doc_id", "sha"], "left_anti")
 
     blocks = packed(rest.select("doc_id", "text"), BLOCK_BYTES)
-    buckets = bucket_count(docs, BUCKET_BYTES)
+    buckets = bucket_count(text_bytes(docs), BUCKET_BYTES)
     state = written(_heads(blocks, buckets).groupBy("bucket").applyInArrow(_known, "block long, bucket int, reply binary"), "key-states")
     sent = _sent(answered(blocks, state), buckets)
     least = written(sent.groupBy("bucket").applyInArrow(lambda part: _resolved(part, buckets), "block long, bucket int, reply binary"), "least")

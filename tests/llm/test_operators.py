@@ -378,41 +378,112 @@ def test_lm(spark, docs, odd, empty):
         ws = words[row.doc_id]
         assert row.n_tokens == len(ws) and row.n_known == sum(counts[w] > 0 for w in ws) and row.train_tokens == n
         assert row.base_score == pytest.approx(sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
-    assert out.score.sum() > out.base_score.sum() and np.isfinite(out.score).all()
+    held = out[out.held_out]
+    assert held.score.sum() > held.base_score.sum() and held.model_score.sum() > held.base_score.sum() and np.isfinite(out.score).all()
     small = lm.lm_scores(odd).toPandas()
     assert len(small) == len(ODD) and np.isfinite(small.score).all() and small[small.doc_id == 2].n_tokens.tolist() == [1]
     assert lm.lm_scores(empty).count() == 0
 
 
+def test_lm_agrees_with_a_plain_loop(spark, docs, monkeypatch):
+    """Scores of whole texts word by word: counts of pairs in a dictionary, each softmax over all its choices."""
+    kept = {}
+    trained = lm._trained
+    monkeypatch.setattr(lm, "_trained", lambda blocks, vocabulary: kept.setdefault("model", (trained(blocks, vocabulary), vocabulary))[0])
+    out = lm.op10_log_bilinear(spark, SF).toPandas().set_index("doc_id")
+    p, vocabulary = kept["model"]
+    freq, fold, end = vocabulary.frequencies, {c: c + 32 for c in range(65, 91)}, "\n"
+    texts = {d: [*WORD.findall((t or "").translate(fold)), end] for d, t in zip(docs.doc_id, docs.text)}
+    counts, pairs = Counter(), Counter()
+    for d, ws in texts.items():
+        if lm.trains(d):
+            counts.update(ws)
+            pairs.update(zip([end, *ws], ws))
+    followers = Counter(a for a, _ in pairs)
+    data = {w: np.frombuffer(w.encode(), np.uint8) for ws in texts.values() for w in ws}
+    hashed = {w: int(lm.W.word_hashes(b, np.array([0]), np.array([len(b)]), True)[0]) for w, b in data.items() if w != end}
+    symbol, group = {end: (vocabulary.end, -1)}, Counter()
+    for w, h in hashed.items():
+        s, own = vocabulary.numbers(np.array([h], np.uint64))
+        symbol[w] = int(s[0]), -1 if own[0] else int(lm._groups(np.array([h], np.uint64))[0])
+    mass, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        mass[symbol[w][1]] += n
+        kinds[symbol[w][1]] += 1
+
+    def softmax(h, rows, bias, k):
+        x = np.exp(rows.astype(float) @ h + bias)
+        return x[k] / x.sum()
+
+    for d in list(texts)[:: len(texts) // 25]:
+        before, score, model = [end] * lm.L.ORDER, 0.0, 0.0
+        for w in texts[d]:
+            h = sum(p["r"][symbol[c][0]].astype(float) * p["c"][k] for k, c in enumerate(reversed(before)))
+            s, g = symbol[w]
+            own = slice(s // freq.side * freq.side, (s // freq.side + 1) * freq.side)
+            one = softmax(h, p["q_class"], p["b_class"], s // freq.side) * softmax(h, p["q_word"][own], p["b_word"][own], s % freq.side)
+            if g >= 0:
+                one *= (counts[w] + 0.1) / (mass[g] + 0.1 * (kinds[g] + 1))
+            model += np.log10(one)
+            c = before[-1]
+            both = (max(pairs[c, w] - 0.75, 0) + 0.75 * followers[c] * one) / counts[c] if counts[c] else one
+            score += np.log10(both)
+            before = [*before[1:], w]
+        assert out.model_score[d] == pytest.approx(model, rel=1e-4) and out.score[d] == pytest.approx(score, rel=1e-4)
+
+
 def test_lm_probabilities_sum_to_one():
-    table = lm.train(np.random.default_rng(1).poisson(3, (40, 40)))
-    assert np.allclose((10.0**table).sum(1), 1, atol=1e-4)
+    r = np.random.default_rng(1)
+    freq = lm.L.Frequencies(np.sort(r.poisson(30, 70))[::-1])
+    p = lm.L.start(freq)
+    words, first = r.integers(0, 70, 5000).astype(np.int32), np.arange(0, 5001, 50)
+    context = lm.L.contexts(words, first, 3, np.arange(5000))
+    assert context[50].tolist() == [3] * lm.L.ORDER and context[52].tolist()[:3] == [words[51], words[50], 3]
+    lm.L.learn(p, freq, context, words, lm.L.Adagrad(p))
+    every = lm.L.log_probabilities(p, freq, np.repeat(context[:20], 70, 0), np.tile(np.arange(70, dtype=np.int32), 20))
+    assert np.allclose(np.exp(every).reshape(20, 70).sum(1), 1, atol=1e-4)
+
+
+def test_lm_learns_from_more_than_the_word_before():
+    """The word repeats that of three places before: a model of one word of context could not tell."""
+    r = np.random.default_rng(2)
+    words = np.tile(r.integers(0, 30, (1500, 3)), 8).ravel().astype(np.int32)
+    freq = lm.L.Frequencies(np.full(30, 1000))
+    first = np.arange(0, len(words) + 1, 24)
+    context = lm.L.contexts(words, first, 0, np.arange(len(words)))
+    p = lm.L.start(freq)
+    began = lm.L.log_probabilities(p, freq, context, words).mean()
+    for _ in range(12):
+        lm.L.learn(p, freq, context, words, lm.L.Adagrad(p))
+    later = np.arange(len(words)) % 24 > 2
+    assert lm.L.log_probabilities(p, freq, context[later], words[later]).mean() > 0.5 * began
+
+
+def test_mean_of_models_leaves_what_no_task_has_seen():
+    freq = lm.L.Frequencies(np.arange(9, 0, -1))
+    p = lm.L.start(freq)
+    a, b = ({k: v + d for k, v in p.items()} for d in (1, 3))
+    words = np.array([0, 1], np.int32)
+    once = lm.L.weights(freq, 9, np.array([[0], [1]]), words)
+    got = lm.L.mean(p, freq, lm.L.weighed(a, freq, once) + lm.L.weighed(b, freq, once))
+    assert np.allclose(got["r"][:2], p["r"][:2] + 2, atol=1e-5) and np.allclose(got["r"][2:], p["r"][2:])
+    assert np.allclose(got["q_word"][:3], p["q_word"][:3] + 2, atol=1e-5) and np.allclose(got["q_word"][3:], p["q_word"][3:]) and np.allclose(got["c"], p["c"] + 2, atol=1e-5)
 
 
 def test_lm_pairs_of_rare_words(spark):
-    """Two texts of the same words, none of them among the most frequent: the one whose pairs were seen scores higher."""
-    common = " ".join(f"common{k}" for k in range(lm.VOCABULARY + 40))
+    """Two texts of the same words, none of them a symbol of its own: the one whose pairs were seen scores higher."""
+    common = " ".join(f"common{k}" for k in range(1200))
     rows = [(k, f"{common} {common} alpha{k % 7} beta{k % 7} gamma{k % 7}") for k in range(140)]
     seen = [(1000 + k, f"alpha{k} beta{k} gamma{k}") for k in range(7)]
     mixed = [(2000 + k, f"alpha{k} beta{(k + 1) % 7} gamma{(k + 2) % 7}") for k in range(7)]
     training = {d for d, _ in rows if lm.trains(d)}
+    assert lm.vocabulary_size(140 * 2 * len(common)) < 1200
     out = lm.lm_scores(spark.createDataFrame([*rows, *[(None, t) for _, t in seen + mixed]], "doc_id long, text string")).toPandas()
     held = out[out.doc_id.isna()]
     assert len(training) > 100 and len(held) == 14 and (held.n_tokens == 4).all()
     assert held.score.nlargest(7).min() > held.score.nsmallest(7).max() + 2
 
 
-def test_lm_probabilities_sum_to_one_and_contexts_have_vectors():
-    counts = np.zeros((lm.SIDE, lm.SIDE), int)
-    counts[:, :] = np.random.default_rng(2).poisson(2, counts.shape)
-    p, noise = lm.fit(counts)
-    rows = np.zeros((2, lm.SIDE))
-    rows[0, 3], rows[1, 9] = 200, 200
-    got = lm.own_contexts(rows, p["r"][[lm.OTHER, lm.OTHER]], p, noise)
-    assert np.allclose((10.0**got).sum(1), 1, atol=1e-4)
-    assert got[0, 3] > got[1, 3] and got[1, 9] > got[0, 9]
-
-
 def test_languages_beyond_one_block(spark, monkeypatch):
     """70 languages of words of their own: the rarest one is learned and found, and blocks of languages change no result."""
     words = {k: " ".join(hashlib.md5(f"{k} {j}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for j in range(12)) for k in range(70)}
