@@ -17,12 +17,17 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Every kind of data that the tagger knows has a digit or an @; only windows with one are decoded.
-_TRIGGER = re.compile(r"[0-9@]")
+#: What announces a secret, and how some begin.
+_CUE = r"(?i:passw(?:or)?d|pwd|secret|token|key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
+_BEGINS = ("AKIA", "ghp_", "sk-")
+#: An added span has a digit or an @, or is a secret behind a cue or with one of the beginnings: only windows around those are
+#: decoded. A cue takes the run behind it along.
+_TRIGGER = re.compile(rf"[0-9@]|{_CUE}\S*|(?:{'|'.join(_BEGINS)})\S*")
+_CUED = re.compile(_CUE + r"$")
 #: Windows and regions that are decoded at a time.
 WINDOWS, REGION_CELLS = 1024, 1 << 18
 #: The least characters, and digits, of an added span.
-LEAST = {"email": (6, 0), "ip": (7, 4), "card": (13, 12), "phone": (8, 7), "secret": (10, 1)}
+LEAST = {"email": (6, 0), "ip": (7, 4), "card": (13, 13), "phone": (8, 7), "secret": (10, 0)}
 
 
 def _luhn(digits: str) -> bool:
@@ -30,6 +35,12 @@ def _luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
+def _octets(text: str) -> bool:
+    """Four numbers of at most 255; they may have any number of zeros ahead."""
+    parts = [x.lstrip("0") for x in text.split(".")]
+    return len(parts) == 4 and all(len(x) <= 3 and int(x or 0) <= 255 for x in parts)
+
+
 def _emails(text: str):
     done = 0
     at = text.find("@")
@@ -50,7 +61,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the exact patterns in code points, by kind as in KINDS, then start."""
     out = [("email", i, j) for i, j in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if _octets(m[0]):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -64,7 +75,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def _regions(text: str) -> list[tuple[int, int]]:
     """Stretches of window places on the text's grid that hold a trigger: (first, last + 1)."""
-    cells = sorted({m.start() // T.STRIDE for m in _TRIGGER.finditer(text)})
+    cells = sorted({c for m in _TRIGGER.finditer(text) for c in range(m.start() // T.STRIDE, (m.end() - 1) // T.STRIDE + 1)})
     out: list[list[int]] = []
     for c in cells:
         low, high = max(0, (c - 1) * T.STRIDE), min(len(text), (c + 2) * T.STRIDE)
@@ -139,6 +150,23 @@ def _pieces(text: str, found):
                 yield kind, i + m.start(), i + m.end()
 
 
+def _fits(text: str, kind: str, i: int, j: int) -> bool:
+    """Whether a tagger span can be of its kind; cards and addresses that the exact patterns would turn down are none."""
+    own = text[i:j]
+    digits = [c for c in own if "0" <= c <= "9"]
+    if j - i < LEAST[kind][0] or len(digits) < LEAST[kind][1]:
+        return False
+    if kind == "email":
+        return "@" in own
+    if kind == "ip":
+        return re.fullmatch(r"[0-9.]+", own) is not None and _octets(own)
+    if kind == "card":
+        return len(digits) <= 19 and _luhn("".join(digits))
+    if kind == "phone":
+        return len(digits) <= 15
+    return bool(digits) or own.startswith(_BEGINS) or _CUED.search(text, max(0, i - 24), i) is not None
+
+
 def _added(text: str, base, found):
     """Tagger spans that fit their kind and don't overlap a base span, trimmed of white space and marks around."""
     taken = sorted((i, j) for _, i, j in base)
@@ -148,9 +176,7 @@ def _added(text: str, base, found):
             i += 1
         while j > i and not text[j - 1].isalnum():
             j -= 1
-        chars, digits = LEAST[kind]
-        own = text[i:j]
-        if j - i < chars or sum("0" <= c <= "9" for c in own) < digits or kind == "email" and "@" not in own:
+        if not _fits(text, kind, i, j):
             continue
         while at < len(taken) and taken[at][1] <= i:
             at += 1
@@ -167,9 +193,10 @@ def find_private(docs: DataFrame, seed: int = 3) -> DataFrame:
 
     Exact patterns (email, ip, card, phone) always stay; the tagger, trained on the driver from generated labelled spans
     with `seed`, adds others that do not overlap them (among them `secret`: keys, passwords, tokens). Whole texts are
-    searched; null text is empty. A map over batches: no shuffle; the model is some kilobytes.
+    searched; null text is empty; a repeated doc_id is searched row by row; a column `spans` of docs gives way to the new
+    one; empty tables give none. A map over batches: no shuffle; the model is some kilobytes.
     """
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "spans")]
     params = T.trained(seed)
     rank = {k: n for n, k in enumerate(T.KINDS)}
 

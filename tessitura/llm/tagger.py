@@ -73,7 +73,9 @@ def _ip(r):
 
 
 def _card(r):
-    d = _digits(r, r.choice([13, 15, 16, 16, 16, 16, 19]))
+    d = _digits(r, r.choice([12, 14, 15, 15, 15, 15, 18]))
+    odd = sum(sum(divmod(2 * int(c), 10)) for c in d[::-2]) + sum(int(c) for c in d[-2::-2])
+    d += str(-odd % 10)  # the check digit
     mark = r.choice(["", "", "", " ", "-"])
     return mark.join(d[k : k + 4] for k in range(0, len(d), 4)) if mark else d
 
@@ -83,16 +85,20 @@ def _phone(r):
     return r.choice([f"+1 ({a}) {b}-{c}", f"+{_digits(r, 2)} {_digits(r, 2)} {c} {_digits(r, 4)}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{_digits(r, 11)}"])
 
 
+_MIXED = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def _secret(r) -> tuple[str, str, str]:
     hexa = "0123456789abcdef"
     kind = r.randrange(4)
     if kind == 0:
         return "", "AKIA" + _some(r, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), ""
     if kind == 1:
-        return r.choice(["password=", "passwd=", "pwd: ", "password: "]), _some(r, hexa, r.randint(12, 24)), ""
+        own = r.choice([_some(r, hexa, r.randint(12, 24)), _some(r, hexa, r.randint(12, 24)), _some(r, _MIXED, r.randint(10, 20)), "-".join(_some(r, "etaoinshrdlu", r.randint(3, 8)) for _ in range(r.randint(3, 4)))])
+        return r.choice(["password=", "passwd=", "pwd: ", "password: ", "Password: ", 'password="']), own, ""
     if kind == 2:
         return r.choice(['token = "', 'api_key = "', "secret='"]), _some(r, hexa, r.choice([32, 40])), '"'
-    return r.choice(["", "key="]), r.choice(["sk-", "ghp_"]) + _some(r, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 30), ""
+    return r.choice(["", "key="]), r.choice(["sk-", "ghp_"]) + _some(r, _MIXED + "0123456789", 30), ""
 
 
 def _plain(r):
@@ -100,7 +106,7 @@ def _plain(r):
         [
             f"{r.randint(0, 9)}.{r.randint(0, 9)}", f"version {r.randint(1, 9)}.{r.randint(0, 20)}", str(r.randint(1000, 2100)), str(r.randint(0, 999)),
             f"{r.randint(1, 999)}.{_digits(r, 2)}", f"{r.randint(0, 23)}:{_digits(r, 2)}", f"{r.randint(1900, 2100)}-{_digits(r, 2)}-{_digits(r, 2)}", f"{r.randint(1, 999)},{_digits(r, 3)}",
-            f"{r.randint(1, 100)}%", f"{_word(r)}{r.randint(0, 99)}", f"#{r.randint(1, 999)}", f"({r.randint(1, 99)})", f"{r.randint(1, 20)}.", f"{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}", "@" + _word(r), _digits(r, r.randint(4, 9)),
+            f"{r.randint(1, 100)}%", f"{_word(r)}{r.randint(0, 99)}", f"#{r.randint(1, 999)}", f"({r.randint(1, 99)})", f"{r.randint(1, 20)}.", f"{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}", "@" + _word(r), _digits(r, r.randint(4, 9)), f"{_word(r)}: {_word(r)}", f"{_word(r)}={_word(r)}", f"{r.choice(['key', 'token', 'secret', 'password'])} {_word(r)}",
         ]
     )
 
