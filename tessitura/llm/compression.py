@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import random
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import remainder, table
+from tessitura.llm.common import remainder, table, written
 
-#: Characters of a training document that may be used, from a place that its id decides.
-EXCERPT = 4096
+#: Bytes that a dictionary takes of a training document at most, from a place anywhere in its whole text: dictionaries have a fixed
+#: size and should hold many documents.
+PART = 700
 
 
 class Coder:
@@ -42,30 +44,54 @@ def coder(dictionary: bytes, level: int, block: int) -> Coder:
     return Coder(dictionary, level, block)
 
 
-def dictionary_of(texts: list[bytes], size: int, part: int) -> bytes:
-    """Parts of the texts in turn, each from a place drawn with a fixed seed, up to `size` bytes."""
-    draw, out, held = random.Random(11), [], 0
-    for t in texts:
-        if held >= size:
-            break
-        k = draw.randrange(len(t) - part) if len(t) > part else 0
-        out.append(t[k : k + part])
-        held += len(out[-1]) + 1
-    return b"\n".join(out)[:size]
+def dictionary_of(parts: list[bytes], size: int) -> bytes:
+    """The parts in turn, up to `size` bytes."""
+    return b"\n".join(parts)[:size]
+
+
+def _chosen(known: DataFrame, name: str, counts: dict, per_class: int) -> list[tuple]:
+    """(class, rank, doc_id) of at most `per_class` documents of each class of counts (class -> rows of `known`), those with the
+    least hashes of doc_id. About 2 x per_class ids a class come to the driver; nothing is shuffled or ranked in one task."""
+    place = F.xxhash64(F.lit(7), F.col("doc_id"))
+    found: dict = {c: None for c in counts}
+    share = {c: 2.0 * per_class / n for c, n in counts.items()}
+    while any(v is None for v in found.values()):
+        rows: dict = {c: set() for c, v in found.items() if v is None}
+        limit = [(F.col(name) == c) & (place < int(min(share[c], 1.0) * 2**64) - 2**63 if share[c] < 1 else F.lit(True)) for c in rows]
+        for c, h, d in known.filter(reduce(or_, limit)).select(name, place, "doc_id").collect():
+            rows[c].add((h, d))
+        for c, some in rows.items():
+            if len(some) >= per_class or share[c] >= 1:
+                found[c] = sorted(some)[:per_class]
+            share[c] *= 8
+    return [(c, rank, d) for c, some in found.items() for rank, (_, d) in enumerate(some)]
+
+
+def sample(docs: DataFrame, known: DataFrame, name: str, counts: dict, per_class: int) -> DataFrame:
+    """A written table (class, rank, text) of the whole texts of the chosen documents; of rows with equal doc_id, the least text."""
+    chosen = docs.sparkSession.createDataFrame(
+        [(str(c), rank, d) for c, rank, d in _chosen(known, name, counts, per_class)], "class string, rank int, id long"
+    )
+    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    return written(rows.groupBy("class", "rank").agg(F.min("text").alias("text")), "sample")
 
 
-def sample(docs: DataFrame, classes: DataFrame, name: str, per_class: int) -> list[tuple]:
-    """At most `per_class` excerpts for each value of classes[name], those with the least hashes of doc_id: (class, text).
+def parts_of(chosen: DataFrame, part: int, fold) -> dict[str, list[bytes]]:
+    """class -> a part of each text, by rank: `part` bytes from a place anywhere in the whole folded text."""
 
-    Ranks ids only, with Spark's per-task limit ahead of the shuffle; the chosen ids, per_class x classes at most, are sent
-    to the tasks that read the texts.
-    """
-    order = Window.partitionBy(name).orderBy(F.xxhash64(F.lit(7), F.col("doc_id")), "doc_id")
-    chosen = classes.select("doc_id", name).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_class)
-    long = F.greatest(F.lit(1), F.length("text") - EXCERPT)
-    part = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id"), long) + 1).cast("int"), F.lit(EXCERPT))
-    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    return sorted((r[0], r[1], r[2]) for r in rows.select(name, "rank", part.alias("part")).collect())
+    def run(batches):
+        for batch in batches:
+            out = []
+            for rank, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                whole = fold(text)
+                k = random.Random(rank).randrange(len(whole) - part) if len(whole) > part else 0
+                out.append(whole[k : k + part])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["class", "rank", "part"])
+
+    found: dict[str, list] = {}
+    for c, rank, p in chosen.select("class", "rank", "text").mapInArrow(run, "class string, rank int, part binary").collect():
+        found.setdefault(c, []).append((rank, bytes(p)))
+    return {c: [p for _, p in sorted(own)] for c, own in found.items()}
 
 
 # --- language -------------------------------------------------------------------------------------------------------
@@ -86,18 +112,16 @@ def _folded(text: str) -> bytes:
 
 
 def learn_languages(docs: DataFrame, per_lang: int = LANG_DOCS, size: int = LANG_BYTES) -> dict[str, bytes]:
-    """lang -> dictionary, from docs(doc_id, text, lang), for every lang, the most frequent first. Texts of LANGS
-    languages at a time come to the driver."""
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
-    learned = {}
+    """lang -> dictionary, from docs(doc_id, text, lang), for every lang, the most frequent first. At most `per_lang` documents
+    of a language are read, for LANGS languages at a time; parts of PART bytes of them come to the driver."""
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
+    langs, learned = list(counts), {}
     for k in range(0, len(langs), LANGS):
-        some = langs[k : k + LANGS]
-        rows = sample(known, known.filter(F.col("lang").isin(some)), "lang", per_lang)
-        texts = {c: [] for c in some}
-        for lang, _, t in rows:
-            texts[lang].append(_folded(t))
-        learned |= {c: dictionary_of(t, size, 700) for c, t in texts.items()}
+        some = {c: counts[c] for c in langs[k : k + LANGS]}
+        own = known.filter(F.col("lang").isin(*some))
+        parts = parts_of(sample(own, own, "lang", some, per_lang), PART, _folded)
+        learned |= {c: dictionary_of(parts.get(c, []), size) for c in some}
     return learned
 
 
@@ -110,9 +134,12 @@ def identify_languages(docs: DataFrame, learned: dict[str, bytes], margin: float
     The whole text is encoded under every language's dictionary, and the smallest size decides; equal sizes go to the more
     frequent language. score is the softmax of the sizes at SHARPNESS nats a byte. rejected marks a lead over the second of
     less than `margin` of the best size. Null text, and text without a letter, is `und` with score 0, as is every text
-    if nothing was learned. A map over batches: no shuffle, memory of one batch and the coders of LANGS languages.
+    if nothing was learned. Rows with equal doc_id are scored each for itself; columns of docs with the names of the new ones
+    give way to them; empty tables give none. A map over batches: no shuffle, memory of one batch and the coders of LANGS
+    languages.
     """
     names = list(learned)
+    docs = docs.drop("lang_pred", "score", "rejected")
 
     def score(batches):
         parts = [range(k, min(k + LANGS, len(names))) for k in range(0, len(names), LANGS)]
@@ -162,11 +189,15 @@ def op3_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- quality --------------------------------------------------------------------------------------------------------
 
-#: Labelled documents of a class (half for the dictionary, half to calibrate), bytes of a dictionary, level and block.
+#: Labelled documents of a class that are read at most (half for the dictionary, half to calibrate), bytes of a dictionary, level, block.
 QUALITY_DOCS, QUALITY_BYTES, QUALITY_LEVEL, QUALITY_BLOCK = 1600, 250_000, 5, 1024
 THRESHOLD = 0.3
 
 
+def _encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
+
+
 def _sizes(text: bytes, good: Coder, bad: Coder) -> tuple[int, int, int]:
     return good.size(text), bad.size(text), len(text)
 
@@ -194,16 +225,29 @@ class Quality:
 
 def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = QUALITY_DOCS, size: int = QUALITY_BYTES) -> Quality | None:
     """From docs(doc_id, text) and labels(doc_id, quality); at most `per_class` documents of each class are read. Dictionaries
-    come from every second one, the curve from the others, weighted to the classes' shares of labels. None without both."""
+    come from every second one, the curve from the whole texts of the others, weighted to the classes' shares of labels.
+    None without both classes. The driver gets PART bytes or three sizes of a document."""
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
-    rows = [(q, t.encode("utf-8", "replace")) for q, _, t in sample(docs, known, "quality", per_class)]
-    split = {q: [t for k, t in rows if k == q] for q in (0, 1)}
-    if min(len(v) for v in split.values()) < 2:
+    if len(counts) < 2:
+        return None
+    chosen = sample(docs, known, "quality", counts, per_class)
+    first = parts_of(chosen.filter("rank % 2 = 0"), PART, _encoded)
+    if len(first) < 2:
+        return None
+    model = Quality(*(dictionary_of(first[q], size) for q in "10"), 0.0, 1.0, None)
+
+    def measure(batches):
+        pair = model.coders()
+        for batch in batches:
+            sizes = [_sizes(_encoded(t.as_py()), *pair) for t in batch.column(1)]
+            columns = [pa.array([s[k] for s in sizes], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["class", "good", "bad", "n"])
+
+    rest = chosen.filter("rank % 2 = 1").select("class", "text")
+    used = sorted((int(r[0]), (r[1], r[2], r[3])) for r in rest.mapInArrow(measure, "class string, good long, bad long, n long").collect())
+    if len({q for q, _ in used}) < 2:
         return None
-    model = Quality(*(dictionary_of(split[q][::2], size, 700) for q in (1, 0)), 0.0, 1.0, None)
-    pair = model.coders()
-    used = [(q, _sizes(t, *pair)) for q in (0, 1) for t in split[q][1::2]]
     y = np.array([q for q, _ in used], float)
     x = _features(np.array([s for _, s in used], float))
     share = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
@@ -221,8 +265,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = QUALITY_D
 
 def score_quality(docs: DataFrame, model: Quality | None, keep_text: bool = False) -> DataFrame:
     """docs(text, others kept) with score double. Whole texts are encoded under both dictionaries; null counts as empty.
-    Without a model every score is 1. A map over batches: no shuffle."""
-    others = [c for c in docs.columns if c != "text"]
+    Without a model every score is 1. Rows with equal doc_id are scored each for itself; a column `score` of docs gives way to
+    the new one; empty tables give none. A map over batches: no shuffle."""
+    others = [c for c in docs.columns if c not in ("text", "score")]
     cols = ["text", *others] if keep_text else others
 
     def run(batches):
@@ -230,7 +275,7 @@ def score_quality(docs: DataFrame, model: Quality | None, keep_text: bool = Fals
         for batch in batches:
             texts = (t.as_py() or "" for t in batch.column(0))
             if model:
-                sizes = np.array([_sizes(t.encode("utf-8", "replace"), *pair) for t in texts], float).reshape(-1, 3)
+                sizes = np.array([_sizes(_encoded(t), *pair) for t in texts], float).reshape(-1, 3)
                 scores = model.scores(sizes)
             else:
                 scores = np.ones(batch.num_rows)
