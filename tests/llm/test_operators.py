@@ -437,11 +437,12 @@ def test_lm_probabilities_sum_to_one():
     freq = lm.L.Frequencies(np.sort(r.poisson(30, 70))[::-1])
     p = lm.L.start(freq)
     words, first = r.integers(0, 70, 5000).astype(np.int32), np.arange(0, 5001, 50)
-    context = lm.L.contexts(words, first, 3, np.arange(5000))
-    assert context[50].tolist() == [3] * lm.L.ORDER and context[52].tolist()[:3] == [words[51], words[50], 3]
-    lm.L.learn(p, freq, context, words, lm.L.Adagrad(p))
-    every = lm.L.log_probabilities(p, freq, np.repeat(context[:20], 70, 0), np.tile(np.arange(70, dtype=np.int32), 20))
-    assert np.allclose(np.exp(every).reshape(20, 70).sum(1), 1, atol=1e-4)
+    text, places = lm.L.stream(words, first, 3)
+    assert (text[places] == words).all() and text[places[51] - 4 : places[51]].tolist()[:3] == [3, 3, 3] and text[places[51] - 1] == words[50]
+    lm.L.learn(p, freq, text, np.ones(len(text), bool), lm.L.Adagrad(p), lm.L.Weights(freq))
+    for k in places[:9]:
+        every = [lm.L.log_probabilities(p, freq, np.append(text[:k], w).astype(np.int32), k, k + 1)[0] for w in range(70)]
+        assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_lm_learns_from_more_than_the_word_before():
@@ -449,22 +450,21 @@ def test_lm_learns_from_more_than_the_word_before():
     r = np.random.default_rng(2)
     words = np.tile(r.integers(0, 30, (1500, 3)), 8).ravel().astype(np.int32)
     freq = lm.L.Frequencies(np.full(30, 1000))
-    first = np.arange(0, len(words) + 1, 24)
-    context = lm.L.contexts(words, first, 0, np.arange(len(words)))
+    text, places = lm.L.stream(words, np.arange(0, len(words) + 1, 24), 0)
     p = lm.L.start(freq)
-    began = lm.L.log_probabilities(p, freq, context, words).mean()
+    began = lm.L.log_probabilities(p, freq, text, 4, len(text))[places - 4].mean()
     for _ in range(12):
-        lm.L.learn(p, freq, context, words, lm.L.Adagrad(p))
+        lm.L.learn(p, freq, text, np.isin(np.arange(len(text)), places), lm.L.Adagrad(p), lm.L.Weights(freq))
     later = np.arange(len(words)) % 24 > 2
-    assert lm.L.log_probabilities(p, freq, context[later], words[later]).mean() > 0.5 * began
+    assert lm.L.log_probabilities(p, freq, text, 4, len(text))[places - 4][later].mean() > 0.5 * began
 
 
 def test_mean_of_models_leaves_what_no_task_has_seen():
     freq = lm.L.Frequencies(np.arange(9, 0, -1))
     p = lm.L.start(freq)
     a, b = ({k: v + d for k, v in p.items()} for d in (1, 3))
-    words = np.array([0, 1], np.int32)
-    once = lm.L.weights(freq, 9, np.array([[0], [1]]), words)
+    once = lm.L.Weights(freq)
+    once.of_symbol[:2], once.of_class[0], once.total = 1, 2, 2
     got = lm.L.mean(p, freq, lm.L.weighed(a, freq, once) + lm.L.weighed(b, freq, once))
     assert np.allclose(got["r"][:2], p["r"][:2] + 2, atol=1e-5) and np.allclose(got["r"][2:], p["r"][2:])
     assert np.allclose(got["q_word"][:3], p["q_word"][:3] + 2, atol=1e-5) and np.allclose(got["q_word"][3:], p["q_word"][3:]) and np.allclose(got["c"], p["c"] + 2, atol=1e-5)
