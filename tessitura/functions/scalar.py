@@ -279,3 +279,13 @@ def to_bipolar(x: Column) -> Column:
 
 def to_unipolar(x: Column) -> Column:
     return (x + 1) / 2
+
+
+def keytracked(note: Column) -> Column:
+    """A note of 0..127 as a modulation source in 0..1."""
+    return note / 127.0
+
+
+def velocity(value: Column, loudest: float = 1.0) -> Column:
+    """How hard a note was struck as a modulation source in 0..1."""
+    return F.least(F.greatest(value / loudest, F.lit(0.0)), F.lit(1.0))

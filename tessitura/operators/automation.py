@@ -65,20 +65,30 @@ def spring(start: Column, target: Column, frames: Column, duration: float, rate:
 def smoothed_events(events: DataFrame, keys: list[str], inertia: float, start: float, rate: float = 44100.0) -> DataFrame:
     """events(keys, frame, target) with `from`: the value of an exponential smoother where each event takes over.
 
-    A retarget in mid-ramp starts from where the ramp stands, which is a recurrence over the (few) events of a key:
-    from' = target + (from - target) q^gap. It is affine, so it unrolls into a sum over earlier events, here by a fold over a
-    key's events in order.
+    A retarget in mid-ramp starts from where the ramp stands: from' = target + (from - target) q^gap with the target before.
+    With q^frame divided out, that is a running sum: from_k = q^f_k (start + sum over j < k of target_j (q^-f_(j+1) - q^-f_j)).
+    Powers of q relative to a stretch of the track keep the sum in range: stretches of `reach` frames are summed on
+    their own, and an earlier one is scaled down by q^reach for each stretch between. Windows only, linear in the events.
     """
     q = 1 - inertia * 44100.0 / rate
-    listed = events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("frame", "target"))).alias("log"))
-    zero = F.struct(F.lit(float(start)).alias("value"), F.lit(float(start)).alias("target"), F.lit(0).cast("long").alias("frame"), F.array().cast("array<struct<frame:bigint,target:double,from:double>>").alias("out"))
-
-    def step(s, e):
-        now = s["target"] - (s["target"] - s["value"]) * F.pow(F.lit(q), e["frame"] - s["frame"])
-        row = F.struct(e["frame"].cast("long").alias("frame"), e["target"].cast("double").alias("target"), now.alias("from"))
-        return F.struct(now.alias("value"), e["target"].cast("double").alias("target"), e["frame"].cast("long").alias("frame"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    return listed.select(*keys, F.inline(F.aggregate("log", zero, step, lambda s: s["out"])))
+    if q <= 0:
+        order = Window.partitionBy(*keys).orderBy("frame", "target")
+        return events.select(*keys, F.col("frame").cast("long").alias("frame"), F.col("target").cast("double").alias("target")).withColumn("from", F.coalesce(F.lag("target").over(order), F.lit(float(start))))
+    reach = max(1, int(200 / -math.log(q)))
+    order = Window.partitionBy(*keys).orderBy("frame", "target")
+    own = events.select(*keys, F.col("frame").cast("long").alias("frame"), F.col("target").cast("double").alias("target"))
+    before, since = F.coalesce(F.lag("target").over(order), F.lit(float(start))), F.coalesce(F.lag("frame").over(order), F.lit(0))
+    # what the ramp to the target before has covered when this event takes over, seen from the event
+    own = own.withColumns({"_old": before, "_gap": F.col("frame") - since, "_part": F.floor(F.col("frame") / reach)})
+    own = own.withColumn("_own", F.col("_old") * (1 - F.pow(F.lit(q), F.col("_gap"))))
+    inside = F.col("frame") - F.col("_part") * reach
+    grown = F.sum(F.col("_own") * F.pow(F.lit(q), -inside)).over(Window.partitionBy(*keys, "_part").orderBy("frame", "target").rowsBetween(Window.unboundedPreceding, 0))
+    own = own.withColumn("_sum", grown * F.pow(F.lit(q), inside))
+    # a stretch's sum at its end; what is two stretches back has lost 170 decimal powers and is nothing
+    last = own.groupBy(*keys, "_part").agg(F.max(F.struct("frame", "target", "_sum")).alias("_l")).select(*keys, (F.col("_part") + 1).alias("_part"), F.col("_l.frame").alias("_at"), F.col("_l._sum").alias("_carry"))
+    out = own.join(last, [*keys, "_part"], "left")
+    carried = F.coalesce(F.col("_carry") * F.pow(F.lit(q), F.col("frame") - F.col("_at")), F.lit(0.0))
+    return out.select(*keys, "frame", "target", (F.lit(float(start)) * F.pow(F.lit(q), F.col("frame")) + F.col("_sum") + carried).alias("from"))
 
 
 def automated(signal: DataFrame, events: DataFrame, keys: list[str], inertia: float, start: float, rate: float = 44100.0, name: str = "value") -> DataFrame:
@@ -120,18 +130,27 @@ def ahdsr(t: Column, off: Column, rate: float, attack: float, hold: float, decay
     return F.when(off.isNull() | (t < off), held(t)).otherwise(F.when(gone <= 0.001, F.lit(0.0)).otherwise(gone))
 
 
-def looped(signal: DataFrame, keys: list[str], first: int, last: int, repeats: int) -> DataFrame:
-    """A track played once and its frames first..last-1 `repeats` times more after reaching the loop's end, then the rest.
+def looped(signal: DataFrame, keys: list[str], first: int | None, last: int | None, repeats: int) -> DataFrame:
+    """A track up to the end of its loop, and the loop's frames first..last-1 `repeats` times more; what is behind the loop is
+    never reached. Without repeats the whole track plays once; without a loop (None) the whole track repeats.
 
-    Each frame states where it sounds, so that no frame looks for its source: an explode, without a join.
+    Each frame states where it sounds, so that no frame looks for its source: an explode, without a join. Only a loop of
+    the whole track asks for its length: a window.
     """
+    f = F.col("frame")
+    out = signal.withColumn("source_frame", f)
+    if not repeats:
+        return out
+    if first is None:
+        n = F.max("frame").over(Window.partitionBy(*keys)) + 1
+        at = F.transform(F.sequence(F.lit(0), F.lit(repeats)), lambda k: f + k * F.col("_n"))
+        return out.withColumn("_n", n).withColumn("frame", F.explode(at.cast("array<bigint>"))).drop("_n")
     n = last - first
     if n <= 0:
         raise ValueError("an empty loop")
-    f = F.col("frame")
     inside = F.transform(F.sequence(F.lit(0), F.lit(repeats)), lambda k: f + k * n)
-    at = F.when(f < first, F.array(f)).when(f < last, inside).otherwise(F.array(f + repeats * n))
-    return signal.withColumn("source_frame", f).withColumn("frame", F.explode(at.cast("array<bigint>")))
+    at = F.when(f < first, F.array(f)).otherwise(inside)
+    return out.filter(f < last).withColumn("frame", F.explode(at.cast("array<bigint>")))
 
 
 def sought(signal: DataFrame, keys: list[str], offset: Column) -> DataFrame:
@@ -139,13 +158,43 @@ def sought(signal: DataFrame, keys: list[str], offset: Column) -> DataFrame:
     return signal.withColumn("frame", F.col("frame") - offset).filter("frame >= 0")
 
 
+def glide_speeds(start: float, target: float, semitones: float, rate: float, block: int = 64) -> list[float]:
+    """The speeds of a glide's blocks, from its first on, until it is there. At every block the way that is left, in semitones,
+    says how long it still takes at `semitones` a second, and the speed goes a block's share of that way, linearly."""
+    out, now = [], float(start)
+    while not out or now != target:
+        left = target - now
+        if semitones <= 0 or abs(left) <= 0.0001:
+            now = target
+        else:
+            seconds = abs(12 * math.log2(target / now)) / semitones
+            step = left / (seconds * rate) * block
+            now = target if abs(left) < abs(step) else now + step
+        out.append(now)
+    return out
+
+
 def glide(frames: Column, start: float, target: float, semitones: float, rate: float, block: int = 64) -> Column:
-    """Speed while it glides at some semitones a second, stepped every `block` frames, linear in speed."""
-    seconds = abs(12 * math.log2(target / start)) / semitones
-    steps = F.floor(frames / block) + 1
-    size = (target - start) / (seconds * rate) * block
-    last = math.ceil(abs(target - start) / abs(size)) if size else 0
-    return F.when(steps >= last, F.lit(float(target))).otherwise(start + steps * size)
+    """Speed while it glides, `frames` after the change; the steps follow from the parameters alone and are a literal."""
+    speeds = F.array(*[F.lit(v) for v in glide_speeds(start, target, semitones, rate, block)])
+    return F.get(speeds, F.least(F.floor(frames / block), F.size(speeds) - 1).cast("int"))
+
+
+def gate_level(signal: DataFrame, keys: list[str], opened: Column, attack: float) -> DataFrame:
+    """signal with `level`: an envelope that rises over `attack` frames from where the gate opens, and is 0 while it is closed."""
+    order = Window.partitionBy(*keys).orderBy("frame")
+    marked = signal.withColumn("_open", opened)
+    rise = F.col("_open") & ~F.coalesce(F.lag("_open").over(order), F.lit(False))
+    marked = marked.withColumn("_rise", rise)
+    since = marked.withColumn("_t", frames_since(marked, keys, F.col("_rise")))
+    level = F.when(F.col("_open"), F.least((F.col("_t") + 1) / attack, F.lit(1.0))).otherwise(F.lit(0.0))
+    return since.withColumn("level", level).drop("_open", "_rise", "_t")
+
+
+def ordered(events: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """events(keys, frame, seq) with `rank`: the order in which they take effect; those of a block of frames in the order of `seq`."""
+    order = Window.partitionBy(*keys).orderBy(F.floor(F.col("frame") / block), "seq")
+    return events.withColumn("rank", F.row_number().over(order))
 
 
 def routed(values: DataFrame, routes: DataFrame) -> DataFrame:
@@ -158,7 +207,15 @@ def routed(values: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def without_cancelled(events: DataFrame, cancels: DataFrame, keys: list[str]) -> DataFrame:
-    """Events but for those that are still due when their key is cancelled: cancels(keys, at, seq)."""
-    c = cancels.select(*keys, F.col("at").alias("_at"), F.col("seq").alias("_seq"))
-    hit = [F.col(f"e.{k}") == F.col(f"c.{k}") for k in keys] + [F.col("e.sample_time") >= F.col("c._at"), F.col("e.seq") < F.col("c._seq")]
-    return events.alias("e").join(c.alias("c"), hit, "left_anti")
+    """Events but for those that are still due when their key is cancelled: cancels(keys, at, seq) reach events(sample_time, seq) of
+    a smaller seq that are due at `at` or later.
+
+    The earliest `at` of all later cancels decides: one sort by seq and a running minimum, no pairs within a key.
+    """
+    names = [c for c in events.columns if c not in ("sample_time", "seq", *keys)]
+    null = lambda c: F.lit(None).cast(events.schema[c].dataType).alias(c)
+    own = events.select(*keys, "seq", "sample_time", *names, F.lit(None).cast("long").alias("_at"), F.lit(1).alias("_event"))
+    c = cancels.select(*keys, "seq", null("sample_time"), *[null(n) for n in names], F.col("at").cast("long").alias("_at"), F.lit(0).alias("_event"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
+    both = own.unionByName(c).withColumn("_first", F.min("_at").over(later))
+    return both.filter("_event = 1 AND (_first IS NULL OR sample_time < _first)").select(*events.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import scalar as S
+from tessitura.operators.kernels import LINES, reverb_shape
 
 SHAPES = ("soft", "hard", "diode", "fuzz", "fold")
 #: Partials (frequency, amplitude) of the tone that distortion is levelled with: fixed values.
@@ -83,6 +84,20 @@ def levelled_distortion(signal: DataFrame, shape: str, drive: float, mix: float
     return distortion(signal.crossJoin(F.broadcast(factor)), shape, drive, mix, F.col("_factor")).drop("_factor")
 
 
+#: Milliseconds that a delay's LFO adds at most, and frames of a chorus's sweep: fixed values.
+DELAY_SWING, CHORUS_SWING = 50.0, 256.0
+SILENCE = 0.001
+
+
+def _ringing(frames: float, feedback: float, endless: float = 1.0) -> int | None:
+    """Frames until a loop of so many frames has decayed to SILENCE."""
+    if feedback >= endless:
+        return None
+    if feedback < 0.001:
+        return math.ceil(frames)
+    return max(1, math.ceil(frames + frames * math.log10(SILENCE) / math.log10(feedback)))
+
+
 def tail_frames(effect: str, rate: float, **p) -> int | None:
     """Frames that an effect rings on after its input ends; None if it may do so for ever."""
     if effect in ("pan", "distortion"):
@@ -97,10 +112,14 @@ def tail_frames(effect: str, rate: float, **p) -> int | None:
         return int((p["look"] + p["release"]) * rate)
     if effect == "gate":
         return int((p["hold"] + p["release"]) * rate)
-    if effect in ("delay", "chorus"):
-        feedback = abs(p.get("feedback", 0.0))
-        if feedback >= 1:
+    if effect == "delay":
+        return None if p.get("drive", 0.0) > 0 else _ringing((p["ms"] + DELAY_SWING) * rate / 1000, abs(p.get("feedback", 0.0)), 0.9999)
+    if effect == "chorus":
+        return _ringing(p["ms"] * rate / 1000 + CHORUS_SWING, abs(p.get("feedback", 0.0)))
+    if effect == "reverb":
+        size, kept = reverb_shape(p["room"])
+        longest = int(size * max(units for units, _, _ in LINES.values()))
+        if kept >= 1:
             return None
-        times = 1 if feedback < 1e-6 else math.ceil(math.log(0.001) / math.log(feedback)) + 1
-        return int(times * p["ms"] * rate / 1000)
+        return longest + (int(longest * math.log10(SILENCE) / math.log10(kept)) if kept > 0 else 0)
     raise ValueError(f"unknown effect {effect}")

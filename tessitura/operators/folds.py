@@ -1,119 +1,189 @@
-"""Recursive kernels over tables: a grouped fold for many tracks, and a parallel scan for long ones."""
+"""Recursive kernels over tables: a fold that carries state along sorted tracks, and a parallel scan for linear ones."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.operators.kernels import Kernel, run
+from tessitura.operators.kernels import Kernel, System, run
 
-#: Tracks of similar length that go through a kernel side by side.
-SIDE = 256
+#: Tracks of similar length that go through a kernel side by side, and the rows that a task holds at a time.
+SIDE, ROWS = 256, 1 << 19
 
 
 def _schema(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {'double' if df.schema[c].dataType.simpleString() in ('float', 'double') else df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def fold(signal: DataFrame, key: str, kernel: Kernel, channels: list[str], groups: int | None = None) -> DataFrame:
+def _codes(part: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """The number of the run of equal values that each row of sorted rows is in; null equals null."""
+    new = np.zeros(len(part), bool)
+    for c in columns:
+        v = pd.factorize(part[c], use_na_sentinel=False)[0]
+        new[1:] |= v[1:] != v[:-1]
+    return np.cumsum(new)
+
+
+def _whole_runs(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted batches, cut anew so that no run of equal values is split."""
+    held: list[pd.DataFrame] = []
+    for part in batches:
+        if len(part):
+            code = _codes(part, columns)
+            last = int(np.searchsorted(code, code[-1]))
+            if last:
+                yield pd.concat([*held, part.iloc[:last]], ignore_index=True) if held else part.iloc[:last].reset_index(drop=True)
+                held = []
+            elif held and _codes(pd.concat([held[-1].iloc[-1:], part.iloc[:1]]), columns)[-1]:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part.iloc[last:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _ended(batches):
+    yield from batches
+    yield None
+
+
+def _same(a, b) -> bool:
+    return bool(a == b or pd.isna(a) and pd.isna(b))
+
+
+def _side_by_side(values: np.ndarray, code: np.ndarray, kernel: Kernel) -> np.ndarray:
+    """Whole tracks through a kernel, SIDE at a time, the shortest first."""
+    sizes = np.bincount(code - code[0])
+    starts = np.cumsum(sizes) - sizes
+    out, order = np.empty_like(values), np.argsort(sizes, kind="stable")
+    for a in range(0, len(sizes), SIDE):
+        some = order[a : a + SIDE]
+        x = np.zeros((sizes[some].max(), len(some), values.shape[1]))
+        for n, k in enumerate(some):
+            x[: sizes[k], n] = values[starts[k] : starts[k] + sizes[k]]
+        y, _ = run(kernel, x)
+        for n, k in enumerate(some):
+            out[starts[k] : starts[k] + sizes[k]] = y[: sizes[k], n]
+    return out
+
+
+def fold(signal: DataFrame, key: str, kernel: Kernel, channels: list[str], partitions: int | None = None) -> DataFrame:
     """(key, frame, channels): each track through a kernel, in the order of its frames.
 
-    Tracks are dealt to groups by a hash and stepped side by side, so that numpy works on whole frames of tracks. A task
-    holds its group's tracks; state starts at silence. One shuffle, which a chain of kernels shares.
+    One shuffle by key and one sort, which a chain of kernels shares. A task reads its sorted tracks in stretches of ROWS rows:
+    tracks that end within one are stepped side by side, so that numpy works on whole frames of tracks; a longer one goes
+    on with the state it had, so that memory does not grow with a track. State starts at silence.
     """
-    groups = groups or 4 * int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def apply(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([key, "frame"], kind="stable").reset_index(drop=True)
-        track, sizes = np.unique(part[key].to_numpy(), return_counts=True)
-        starts = np.cumsum(sizes) - sizes
-        values = part[channels].to_numpy(float)
-        out = np.empty_like(values)
-        order = np.argsort(sizes, kind="stable")
-        for a in range(0, len(track), SIDE):
-            some = order[a : a + SIDE]
-            x = np.zeros((sizes[some].max(), len(some), len(channels)))
-            for n, k in enumerate(some):
-                x[: sizes[k], n] = values[starts[k] : starts[k] + sizes[k]]
-            y, _ = run(kernel, x)
-            for n, k in enumerate(some):
-                out[starts[k] : starts[k] + sizes[k]] = y[: sizes[k], n]
-        part[channels] = out
-        return part[[key, "frame", *channels]]
-
     cut = signal.select(key, "frame", *[F.col(c).cast("double").alias(c) for c in channels])
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(lambda p: apply(p), _schema(cut, [key, "frame", *channels]))
-
-
-def affine_scan(signal: DataFrame, key: str, matrix: np.ndarray, vector: np.ndarray, out: np.ndarray, through: float, x: str = "x", block: int = 4096) -> DataFrame:
-    """(key, frame, x): a linear recurrence s' = M s + B x, y = C s + D x over tracks of any length, a block to a task.
 
-    Every block is folded once from silence; its end state is its own part plus M^n times the state before it, so the states
-    at block starts come from a window over one row a block; then each block adds the response to its start, C M^i s. Tracks
-    of frames 0..n-1 are cut by `block`; no task holds a track. M must shrink (a stable filter).
+    def apply(batches):
+        held, rows, state, track = [], 0, None, None  # state: of the track that goes on
+        for part in _ended(batches):
+            if part is not None:
+                held.append(part)
+                rows += len(part)
+            if not rows or part is not None and rows < ROWS:
+                continue
+            own = pd.concat(held, ignore_index=True)
+            code, values = _codes(own, [key]), own[channels].to_numpy(float)
+            if state is not None and not _same(track, own[key].iloc[0]):
+                state = None
+            edge = 0
+            if state is not None:
+                edge = int(np.searchsorted(code, 1))
+                y, state = run(kernel, values[:edge, None, :], state)
+                values[:edge] = y[:, 0]
+                state = state if edge == len(own) else None
+            last = len(own) if part is None else int(np.searchsorted(code, code[-1]))
+            if last > edge:
+                values[edge:last] = _side_by_side(values[edge:last], code[edge:last], kernel)
+                edge = last
+            if len(own) - edge >= ROWS:
+                y, state = run(kernel, values[edge:, None, :])
+                values[edge:], edge = y[:, 0], len(own)
+            track = own[key].iloc[-1]
+            ready = own.iloc[:edge].copy()
+            ready[channels] = values[:edge]
+            yield ready
+            held, rows = ([own.iloc[edge:]], len(own) - edge) if edge < len(own) else ([], 0)
+
+    dealt = cut.repartition(partitions, key) if partitions else cut.repartition(key)
+    return dealt.sortWithinPartitions(key, "frame").mapInPandas(apply, _schema(cut, [key, "frame", *channels]))
+
+
+def affine_scan(signal: DataFrame, key: str, system: System, channels=("x",), block: int = 256) -> DataFrame:
+    """(key, frame, channels): a linear recurrence s' = M s + B x, y = C s + D x over tracks of any length, a block at a time.
+
+    A block's end state from silence is a matrix product, and the state at its start follows from those before it, by a fold
+    over one row a block; then a block's output is a product with the impulse response, plus the response to its start.
+    Exact for any length, as the fold carries the state itself. Tracks have frames 0 to n-1; a missing one counts as silence. The signal is shuffled by track and
+    block, so no task holds a track; the blocks' states alone are sorted by track.
     """
-    m, b, c = (np.asarray(v, float) for v in (matrix, vector, out))
-    n = len(m)
-    answers = [c]
-    for _ in range(block - 1):
-        answers.append(answers[-1] @ m)
-    answers = np.stack(answers)  # C M^i
-    jump = np.linalg.matrix_power(m, block)
-
-    def local(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame")
-        values = part["x"].to_numpy(float)
-        state, y = np.zeros(n), np.empty(len(values))
-        for i, v in enumerate(values):
-            y[i] = c @ state + through * v
-            state = m @ state + b * v
-        return pd.DataFrame({key: part[key].iloc[:1], "block": part["block"].iloc[:1], "y": [y.tolist()], "end": [state.tolist()]})
-
-    kind = signal.schema[key].dataType.simpleString()
-    blocks = signal.select(key, "frame", F.col(x).cast("double").alias("x")).withColumn("block", F.floor(F.col("frame") / block))
-    own = blocks.groupBy(key, "block").applyInPandas(local, f"`{key}` {kind}, block long, y array<double>, end array<double>")
-    # start of block k = sum over earlier blocks j of jump^(k-1-j) end_j; jump^d is nothing once it is below rounding
-    reach, power = 1, jump.copy()
+    channels = list(channels)
+    m, b, c = (np.asarray(v, float) for v in system[:3])
+    n, wide = len(m), len(channels)
     powers = [np.eye(n)]
-    while np.abs(power).max() > 1e-18 and reach < 64:
-        powers.append(power)
-        power, reach = power @ jump, reach + 1
-    order = Window.partitionBy(key).orderBy("block")
-    terms = [
-        sum((float(p[i, j]) * F.coalesce(F.lag(F.col("end")[j], d + 1).over(order), F.lit(0.0)) for d, p in enumerate(powers) for j in range(n)), F.lit(0.0))
-        for i in range(n)
-    ]
-    placed = own.withColumn("start", F.array(*terms))
+    for _ in range(block):
+        powers.append(powers[-1] @ m)
+    response = np.array([c @ p @ b for p in powers[: block - 1]])
+    toeplitz = np.zeros((block, block))  # [from, to]
+    for k in range(block):
+        toeplitz[k, k], toeplitz[k, k + 1 :] = system[3], response[: block - k - 1]
+    into = np.stack([p @ b for p in powers[block - 1 :: -1]])  # [frame, state] at the end of a block
+    answers, jump = np.stack([c @ p for p in powers[:block]]), powers[block]
+    kind = signal.schema[key].dataType.simpleString()
+    blocks = signal.select(key, "frame", *[F.col(x).cast("double").alias(x) for x in channels]).withColumn("_block", F.floor(F.col("frame") / block))
+    blocks = blocks.repartition(key, "_block")
+
+    def filled(part: pd.DataFrame):
+        code = _codes(part, [key, "_block"])
+        at = (part["frame"] - part["_block"] * block).to_numpy()
+        x = np.zeros((code[-1] + 1, wide, block))
+        for k, name in enumerate(channels):
+            x[code, k, at] = part[name].to_numpy()
+        return code, at, x
+
+    def ends(batches):
+        for part in _whole_runs(batches, [key, "_block"]):
+            code, _, x = filled(part)
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            yield pd.DataFrame({key: part[key].to_numpy()[first], "_block": part["_block"].to_numpy()[first], "_state": list((x @ into).reshape(len(x), -1))})
+
+    def starts(batches):
+        last, state, after = None, np.zeros((wide, n)), 0
+        for part in batches:
+            if not len(part):
+                continue
+            begin, out = np.append(True, np.diff(_codes(part, [key])) > 0), []
+            begin[0] = last is None or not _same(part[key].iloc[0], last[0])
+            for new, k, own in zip(begin, part["_block"], part["_state"]):
+                if new:
+                    state = np.zeros((wide, n))
+                elif k > after:  # blocks without a frame
+                    state = state @ np.linalg.matrix_power(jump, k - after).T
+                out.append(state.ravel())
+                state, after = state @ jump.T + np.reshape(own, (wide, n)), k + 1
+            last = (part[key].iloc[-1],)
+            yield part.assign(_state=out)
 
     def finish(batches):
-        for pdf in batches:
-            yield pd.DataFrame(
-                {
-                    key: pdf[key].repeat(pdf["y"].map(len)).to_numpy(),
-                    "frame": np.concatenate([k * block + np.arange(len(y)) for k, y in zip(pdf["block"], pdf["y"])]) if len(pdf) else [],
-                    "x": np.concatenate([y + answers[: len(y)] @ s for y, s in zip(pdf["y"], pdf["start"])]) if len(pdf) else [],
-                }
-            )
-
-    return placed.select(key, "block", "y", "start").mapInPandas(finish, f"`{key}` {kind}, frame long, x double")
-
-
-def biquad_system(coefficients: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(M, B, C, D) of a biquad's step, for affine_scan."""
-    a1, a2, a3, m0, m1, m2 = coefficients
-    # v1 = a1 s1 + a2 (x - s2); v2 = s2 + a2 s1 + a3 (x - s2)
-    v1, v2 = np.array([a1, -a2]), np.array([a2, 1 - a3])
-    m = np.stack([2 * v1 - [1, 0], 2 * v2 - [0, 1]])
-    return m, np.array([2 * a2, 2 * a3]), m1 * v1 + m2 * v2, m0 + m1 * a2 + m2 * a3
-
-
-def dc_system(hz: float, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(M, B, C, D) of the DC block: the state is r y - x."""
-    r = 1 - 2 * np.pi * hz / rate
-    return np.array([[r]]), np.array([r - 1]), np.array([1.0]), 1.0
+        for part in _whole_runs(batches, [key, "_block"]):
+            code, at, x = filled(part)
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            state = np.stack(part["_state"].to_numpy()[first]).reshape(len(x), wide, n)
+            y = x @ toeplitz + state @ answers.T
+            yield pd.DataFrame({key: part[key], "frame": part["frame"], **{name: y[code, k, at] for k, name in enumerate(channels)}})
+
+    states = f"`{key}` {kind}, _block long, _state array<double>"
+    ended = blocks.sortWithinPartitions(key, "_block", "frame").mapInPandas(ends, states)
+    began = ended.repartition(key).sortWithinPartitions(key, "_block").mapInPandas(starts, states)
+    both = blocks.join(began.withColumnsRenamed({key: "_key", "_block": "_of"}), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of")))
+    out = both.select(key, "_block", "frame", *channels, "_state").sortWithinPartitions(key, "_block", "frame")
+    return out.mapInPandas(finish, f"`{key}` {kind}, frame long, " + ", ".join(f"`{x}` double" for x in channels))
 
 
 def delayed(signal: DataFrame, key: str, frames: int, x: str = "x") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -15,9 +16,37 @@ import numpy as np
 TAU = 2 * math.pi
 
 
+#: (M, B, C, D) of a linear recurrence s' = M s + B x, y = C s + D x, the same for every channel.
+System = tuple[np.ndarray, np.ndarray, np.ndarray, float]
+
+
 class Kernel(NamedTuple):
+    """`system` is given where the kernel is linear and does not change over time: then a scan can take the fold's place."""
+
     init: Callable[[int, int], dict]
     step: Callable[[dict, np.ndarray], np.ndarray]
+    system: System | None = None
+
+
+def biquad_system(coefficients: tuple[float, ...]) -> System:
+    a1, a2, a3, m0, m1, m2 = coefficients
+    # v1 = a1 s1 + a2 (x - s2); v2 = s2 + a2 s1 + a3 (x - s2)
+    v1, v2 = np.array([a1, -a2]), np.array([a2, 1 - a3])
+    m = np.stack([2 * v1 - [1, 0], 2 * v2 - [0, 1]])
+    return m, np.array([2 * a2, 2 * a3]), m1 * v1 + m2 * v2, m0 + m1 * a2 + m2 * a3
+
+
+def dc_system(hz: float, rate: float) -> System:
+    """The state is r y - x."""
+    r = 1 - 2 * np.pi * hz / rate
+    return np.array([[r]]), np.array([r - 1]), np.array([1.0]), 1.0
+
+
+def in_series(first: System, then: System) -> System:
+    """The system of one behind the other."""
+    (m1, b1, c1, d1), (m2, b2, c2, d2) = first, then
+    m = np.block([[m1, np.zeros((len(m1), len(m2)))], [np.outer(b2, c1), m2]])
+    return m, np.concatenate([b1, b2 * d1]), np.concatenate([c1 * d2, c2]), d1 * d2
 
 
 BIQUADS = ("lowpass", "highpass", "bandpass", "notch", "peak", "allpass", "bell", "lowshelf", "highshelf")
@@ -56,7 +85,7 @@ def _sections(coefficients: list[tuple[float, ...]]) -> Kernel:
             x = m0 * x + m1 * v1 + m2 * v2
         return x
 
-    return Kernel(init, step)
+    return Kernel(init, step, reduce(in_series, map(biquad_system, coefficients)))
 
 
 def biquad(kind: str, cutoff: float, rate: float, q: float = 0.707, gain: float = 0.0) -> Kernel:
@@ -91,7 +120,7 @@ def dc_block(hz: float, rate: float) -> Kernel:
         state["x"], state["y"] = x, y
         return y
 
-    return Kernel(init, step)
+    return Kernel(init, step, dc_system(hz, rate))
 
 
 def _coefficient(seconds: float, rate: float) -> float:
@@ -231,7 +260,8 @@ def _sine(phase):
 
 
 def delay(rate: float, ms=375.0, feedback=0.5, drive=0.0, cutoff=20000.0, filter_kind="lowpass", mix=0.5, width=1.0, ping_pong=False, lfo_hz=0.0, to_time=0.0, to_feedback=0.0, to_cutoff=0.0) -> Kernel:
-    """Stereo or ping-pong delay; the loop goes through a filter, saturation, a DC block and a clamp."""
+    """Stereo or ping-pong delay; what comes out of the lines goes through a filter, saturation, a DC block and a clamp, and is both
+    the wet signal and what is fed back."""
     length = int(4 * rate) + 4
     block = dc_block(5.0, rate)
 
@@ -265,7 +295,7 @@ def delay(rate: float, ms=375.0, feedback=0.5, drive=0.0, cutoff=20000.0, filter
             v = v * (27 + v * v) / (27 + 9 * v * v) / math.sqrt(gain)
         state["back"] = np.clip(block.step(state, v), -4, 4)
         state["phase"] = (state["phase"] + lfo_hz / rate) % 1.0
-        out = min(2 * (1 - mix), 1) * x + min(2 * mix, 1) * y
+        out = min(2 * (1 - mix), 1) * x + min(2 * mix, 1) * state["back"]
         m, s = (out[:, :1] + out[:, 1:]) / 2, (out[:, :1] - out[:, 1:]) / 2 * width
         return np.concatenate([m + s, m - s], 1)
 
@@ -291,31 +321,42 @@ def chorus(rate: float, lfo_hz=1.0, depth=0.25, feedback=0.5, ms=12.0, wet=0.5,
     return Kernel(init, step)
 
 
-#: Lengths of the reverb's lines in units of its size, and the depths of their vibratos: fixed values.
-LINES = {"A": 79, "B": 73, "C": 71, "D": 67, "E": 61, "F": 59, "G": 53, "H": 47}
+#: The reverb's feedback lines: length in units of its size, the step of the vibrato's phase, and the allpass that feeds it; the
+#: allpasses' lengths, and that of the line ahead: fixed values.
+LINES = {
+    "A": (79, 0.003251, "L"), "B": (73, 0.002999, "K"), "C": (71, 0.002917, "J"), "D": (67, 0.002749, "I"),
+    "E": (61, 0.002503, "I"), "F": (59, 0.002423, "J"), "G": (53, 0.002146, "K"), "H": (47, 0.002088, "L"),
+}
 ALLPASSES = {"I": 43, "J": 41, "K": 37, "L": 31}
 PREDELAY = 29
-VIBRATO = {"A": 0.003251, "B": 0.002999, "C": 0.002917, "D": 0.002749, "E": 0.002503, "F": 0.002423, "G": 0.002146, "H": 0.002088}
+#: Frames that a vibrato shortens a line by at most, halved; and its speed.
+SWING, SPEED = 7.0, 0.1
+
+
+def reverb_shape(room: float) -> tuple[float, float]:
+    """(size, what the lines keep of their energy) of a room of 0..1."""
+    size = 75 * room * room + 25
+    return size, 1 - (1 - (0.82 - ((1 - room) * 0.7 + 0.002 * size))) ** 4
 
 
 def reverb(rate: float, room=0.6, wet=0.35, seed=0) -> Kernel:
-    """Eight feedback lines in two groups, each group mixed by what the other three return; phases of the vibratos follow
+    """Eight feedback lines in two groups; each returns what it gives less what the other three of its group give. A line is read up to
+    2 x SWING frames early as its vibrato goes; `blend` weighs the whole-frame tap against the interpolated one. Phases follow
     the seed."""
-    size = 75 * room * room + 25
+    size, kept = reverb_shape(room)
     cut = min(10000 - 3000 * room * wet, rate / 2 - 1)
-    depth = 1 - (1 - (0.82 - ((1 - room) * 0.7 + 0.002 * size))) ** 4
-    blend, regen = 0.955 - 0.007 * size, depth / 2
+    blend, regen = 0.955 - 0.007 * size, kept / 2
     filters = {n: biquad("lowpass", cut, rate, q) for n, q in (("fa", 1.618034), ("fb", 0.618034), ("fc", 0.5))}
-    names = list(LINES)
-    lengths = {n: max(1, int(size * v)) for n, v in LINES.items()}
+    lengths = [int(size * units) for units, _, _ in LINES.values()]
+    turns = np.array([turn for _, turn, _ in LINES.values()])[:, None] * SPEED
+    sources = [list(ALLPASSES).index(source) for _, _, source in LINES.values()]
     passes = {n: allpass(max(1, int(size * v))) for n, v in ALLPASSES.items()}
     ahead = max(1, int(size * PREDELAY))
-    into = dict(zip("AHBGCFDE", "LLKKJJII"))
-    phases = np.random.default_rng(seed).random((len(names), 2))
+    phases = np.random.default_rng(seed).random((len(LINES), 2)) * TAU
 
     def init(tracks, channels):
-        state = {"pre": _line(ahead + 2)(tracks, channels), "phase": np.tile(phases[:, :channels], (tracks, 1, 1)), "back": np.zeros((tracks, len(names), channels)), "blend": np.zeros((tracks, len(names), channels))}
-        state |= {n: _line(lengths[n] + 12)(tracks, channels) for n in names}
+        state = {"pre": _line(ahead + 2)(tracks, channels), "phase": np.tile(phases[:, :channels], (tracks, 1, 1)), "back": np.zeros((tracks, len(LINES), channels))}
+        state |= {n: _line(k + 2)(tracks, channels) for n, k in zip(LINES, lengths)}
         state |= {n: k.init(tracks, channels) for n, k in (filters | passes).items()}
         return state
 
@@ -324,23 +365,24 @@ def reverb(rate: float, room=0.6, wet=0.35, seed=0) -> Kernel:
         _write(state["pre"], x)
         state["pre"]["at"] = state["pre"]["at"] + 1
         v = np.sin(filters["fa"].step(state["fa"], v) * wet)
-        taps = {}
-        for n in "IJKL":
+        taps = []
+        for n in ALLPASSES:
             v = passes[n].step(state[n], v)
-            taps[n] = v
-        out = np.zeros((len(x), len(names), x.shape[1]))
-        for k, n in enumerate(names):
+            taps.append(v)
+        state["phase"] = state["phase"] + turns
+        early = (1 + np.sin(state["phase"])) * SWING
+        whole = np.floor(early)
+        out = np.empty_like(state["back"])
+        for k, n in enumerate(LINES):
             own = state[n]
-            swing = (1 + np.sin(TAU * state["phase"][:, k])) * VIBRATO[n] * 1000
-            y = _read(own, lengths[n] + swing)
-            state["blend"][:, k] = y * blend + state["blend"][:, k] * (1 - blend)
-            _write(own, taps[into[n]] + state["back"][:, k])
+            _write(own, taps[sources[k]] + state["back"][:, k])
             own["at"] = own["at"] + 1
-            out[:, k] = state["blend"][:, k]
-        state["phase"] = (state["phase"] + 0.1 / rate) % 1.0
+            first, second = (_read(own, lengths[k] + 1 - whole[:, k] - more) for more in (0, 1))
+            part = early[:, k] - whole[:, k]
+            out[:, k] = (1 - blend) * (first * (1 - part) + second * part) + blend * first
         for group in (slice(0, 4), slice(4, 8)):
             own = out[:, group]
-            state["back"][:, group] = (own - (own.sum(1, keepdims=True) - own)) * regen
+            state["back"][:, group] = (2 * own - own.sum(1, keepdims=True)) * regen
         v = np.clip(filters["fb"].step(state["fb"], out.mean(1)), -1, 1)
         return filters["fc"].step(state["fc"], np.arcsin(v)) + x * (1 - wet)
 
@@ -358,6 +400,37 @@ def chain(*kernels: Kernel) -> Kernel:
             x = kernel.step(state[str(k)], x)
         return x
 
+    systems = [k.system for k in kernels]
+    return Kernel(init, step, reduce(in_series, systems) if systems and all(systems) else None)
+
+
+def automated(make: Callable[..., Kernel], start: dict[str, float], changes: list[tuple[int, str, float]], inertia: float = 0.0, rate: float = 44100.0) -> Kernel:
+    """A kernel whose parameters move: make(**values) at the values of each frame. changes: (frame, parameter, target); a value goes
+    towards its target by inertia x 44100 / rate of the way a frame, or at once. The kernels share one state, whose shape must
+    not depend on a parameter that moves. Frames count from the kernel's first."""
+    first, share = make(**start), min(1.0, inertia * 44100.0 / rate) if inertia else 1.0
+    log = sorted(changes, key=lambda c: c[0])
+
+    def init(tracks, channels):
+        return {"inner": first.init(tracks, channels), "frame": 0, "value": dict(start), "target": dict(start), "kernel": None}
+
+    def step(state, x):
+        now = state["frame"]
+        for frame, name, target in log:
+            if frame == now:
+                state["target"][name] = target
+        moved = False
+        for name, target in state["target"].items():
+            value = state["value"][name]
+            if value != target:
+                value += (target - value) * share
+                state["value"][name] = target if abs(target - value) < 1e-6 * max(1.0, abs(target)) else value
+                moved = True
+        if moved or state["kernel"] is None:
+            state["kernel"] = make(**state["value"])
+        state["frame"] = now + 1
+        return state["kernel"].step(state["inner"], x)
+
     return Kernel(init, step)
 
 

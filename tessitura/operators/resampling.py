@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessitura.operators.automation import glide_speeds
+
 
 def hermite(ym1: Column, y0: Column, y1: Column, y2: Column, f: Column) -> Column:
     """Four-point, third-order Hermite interpolation between y0 and y1."""
@@ -44,6 +46,60 @@ def cubic(signal: DataFrame, key: str, ratio: float, channels: list[str]) -> Dat
     return out.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in channels))
 
 
+def speed_segments(speed: float, changes: list[tuple], rate: int, glide_block: int = 64) -> list[tuple[int, int | None, float, float]]:
+    """(first frame, frame behind, position, speed) of the stretches of constant speed of a track.
+
+    changes: (frame, "speed", speed, semitones a second or 0) and (frame, "seek", position), in any order; those of a frame
+    apply as they stand. A glide's blocks are stretches of their own; the last stretch has no end.
+    """
+    marks: list[tuple[int, float | None, float | None]] = [(0, 0.0, speed)]
+    now, gliding = speed, []
+
+    def until(frame):
+        nonlocal gliding, now
+        while gliding and gliding[0][0] < frame:
+            at, now = gliding.pop(0)
+            marks.append((at, None, now))
+        gliding = [g for g in gliding if g[0] >= frame]
+
+    for frame, kind, *values in sorted(changes, key=lambda c: c[0]):
+        until(frame)
+        if kind == "seek":
+            marks.append((frame, float(values[0]), None))
+            continue
+        target, semitones = (*values, 0.0)[:2]
+        gliding = [(frame + k * glide_block, v) for k, v in enumerate(glide_speeds(now, target, semitones, rate, glide_block))]
+    until(math.inf)
+    out: list[list] = []
+    for frame, place, s in marks:
+        if out:
+            out[-1][1] = frame
+        here = out[-1][2] + (frame - out[-1][0]) * out[-1][3] if out else 0.0
+        out.append([frame, None, here if place is None else place, out[-1][3] if s is None else s])
+    return [tuple(x) for x in out if x[1] is None or x[1] > x[0]]
+
+
+def varispeed(signal: DataFrame, key: str, segments: list[tuple[int, int | None, float, float]], channels: list[str]) -> DataFrame:
+    """(key, frame, channels) of a track that is read along stretches of constant speed (see speed_segments), cubically. A track ends
+    where its last stretch runs out of frames; a seek beyond the end leaves silence until the next stretch. Every input frame
+    makes the outputs that each stretch has of it: no join."""
+    order = Window.partitionBy(key).orderBy("frame")
+    taps = signal.select(
+        key, "frame", *[t.alias(f"{c}_{k}") for c in channels for k, t in (("a", F.coalesce(F.lag(c, 1).over(order), F.lit(0.0))), ("b", F.col(c)), ("c", F.lead(c, 1).over(order)), ("d", F.coalesce(F.lead(c, 2).over(order), F.lit(0.0))))]
+    )
+
+    def outputs(first, behind, place, speed):
+        low = F.greatest(F.ceil((F.col("frame") - place) / speed), F.lit(0)) + first
+        high = F.ceil((F.col("frame") + 1 - place) / speed) - 1 + first
+        high = high if behind is None else F.least(high, F.lit(behind - 1))
+        each = F.transform(F.sequence(low.cast("long"), F.greatest(low, high).cast("long")), lambda n: F.struct(n.alias("n"), ((n - first) * speed + place).alias("at")))
+        return F.when(high >= low, each).otherwise(F.array().cast("array<struct<n:bigint,at:double>>"))
+
+    spread = taps.filter(F.col(f"{channels[0]}_c").isNotNull()).select("*", F.inline(F.flatten(F.array(*[outputs(*s) for s in segments]))))
+    f = F.col("at") - F.col("frame")
+    return spread.select(key, F.col("n").alias("frame"), *[hermite(F.col(f"{c}_a"), F.col(f"{c}_b"), F.col(f"{c}_c"), F.col(f"{c}_d"), f).alias(c) for c in channels])
+
+
 def sinc(signal: DataFrame, key: str, ratio: float, channels: list[str], taps: int = 32, cutoff: float = 0.95) -> DataFrame:
     """The same grid through a windowed sinc (Blackman-Harris, 2 x taps wide), as a sum of each input frame's parts.
 

@@ -13,43 +13,60 @@ from tessitura.operators.automation import ahdsr
 def notes_of(events: DataFrame, key: str, on: str, off: list[str]) -> DataFrame:
     """(key, note_id, on_frame, off_frame) from events(key, frame, seq, type): a note sounds from each `on` event to the next
     event of a type in `off` or the next note; off_frame is null for a note that is never ended."""
-    order = Window.partitionBy(key).orderBy("frame", "seq").rowsBetween(1, Window.unboundedFollowing)
-    ends = F.first(F.when(F.col("type").isin([on, *off]), F.col("frame")), True).over(order)
+    order = Window.partitionBy(key).orderBy(F.desc("frame"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.last(F.when(F.col("type").isin([on, *off]), F.col("frame")), True).over(order)
     return events.withColumn("off_frame", ends).filter(F.col("type") == on).select(key, F.col("seq").alias("note_id"), F.col("frame").alias("on_frame"), "off_frame")
 
 
 def with_voices(notes: DataFrame, key: str, voices: int, release: int) -> DataFrame:
     """notes with `voice` and `until`: a free voice if there is one; else that released first; else that of the smallest note.
 
-    A note holds its voice until `release` frames after its end, or until the voice is taken (`until`). State is a row per
-    voice; notes are folded in order within a key.
+    A note holds its voice until `release` frames after its end, or until the voice is taken (`until`). A task reads its sorted
+    notes in batches and remembers one note a voice, however long a track is.
     """
-
-    def assign(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["on_frame", "note_id"]).reset_index(drop=True)
-        held: list[int | None] = [None] * voices
-        off = part["off_frame"].to_numpy(float)
-        on, ids = part["on_frame"].to_numpy(), part["note_id"].to_numpy()
-        voice, until = [], [None] * len(part)
-        for n, now in enumerate(on):
-            for v, k in enumerate(held):
-                if k is not None and off[k] + release <= now:
-                    until[k], held[v] = int(off[k] + release), None
-            if None in held:
-                v = held.index(None)
-            else:
-                released = [(off[k], v) for v, k in enumerate(held) if off[k] <= now]
-                v = min(released)[1] if released else min((ids[k], v) for v, k in enumerate(held))[1]
-                until[held[v]] = int(now)
-            held[v] = n
-            voice.append(v)
-        for k in held:
-            if k is not None and off[k] == off[k]:
-                until[k] = int(off[k] + release)
-        return part.assign(voice=voice, until=pd.array(until, "Int64"), off_frame=part["off_frame"].astype("Int64"))
+    names = [*notes.columns, "voice", "until"]
+
+    def framed(rows):
+        whole = {"off_frame": "Int64", "until": "Int64", "voice": "int32"}
+        return pd.DataFrame(rows, columns=names).astype(whole)
+
+    def assign(batches):
+        track, held, rows = None, [], []  # held: the notes that have a voice, as [row, on, off, id]
+
+        def give_back(v, until):
+            rows.append((*held[v][0], v, until))
+            held[v] = None
+
+        def close():
+            for v, note in enumerate(held):
+                if note is not None:
+                    give_back(v, None if pd.isna(note[2]) else int(note[2]) + release)
+
+        for part in batches:
+            off_at, on_at, id_at, key_at = (part.columns.get_loc(c) for c in ("off_frame", "on_frame", "note_id", key))
+            for row in part.astype({"off_frame": object}).itertuples(index=False, name=None):
+                if track is None or row[key_at] != track[0]:
+                    close()
+                    track, held = (row[key_at],), [None] * voices
+                now, off = int(row[on_at]), row[off_at]
+                for v, note in enumerate(held):
+                    if note is not None and not pd.isna(note[2]) and note[2] + release <= now:
+                        give_back(v, int(note[2]) + release)
+                if None in held:
+                    v = held.index(None)
+                else:
+                    released = [(note[2], v) for v, note in enumerate(held) if not pd.isna(note[2]) and note[2] <= now]
+                    v = min(released)[1] if released else min((note[3], v) for v, note in enumerate(held))[1]
+                    give_back(v, now)
+                held[v] = [row, now, off, row[id_at]]
+            yield framed(rows)
+            rows = []
+        close()
+        yield framed(rows)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in notes.schema)
-    return notes.groupBy(key).applyInPandas(lambda p: assign(p), f"{schema}, voice int, until long")
+    sorted_notes = notes.repartition(key).sortWithinPartitions(key, "on_frame", "note_id")
+    return sorted_notes.mapInPandas(assign, f"{schema}, voice int, until long")
 
 
 def sampled(notes: DataFrame, buffers: DataFrame, envelope: dict | None, rate: float, key: str) -> DataFrame:
@@ -90,10 +107,13 @@ def cloud_grains(notes: DataFrame, density: float, size: float, rate: float, spr
     )
 
 
+#: How much of a grain has sounded when the next one starts in sequential playback, by window: fixed values.
+CROSSFADE = {"hann": 0.5, "blackman": 0.5, "triangle": 0.5, "tukey": 0.5, "trapezoid": 0.9, "exponential": 0.8, "ramp_up": 0.8, "ramp_down": 0.8}
+
+
 def sequential_starts(length: int, window: str, count: int) -> list[int]:
     """Starts of grains that follow at the crossfade point of their window."""
-    share = {"triangle": 0.5, "hann": 0.5, "blackman": 0.5, "tukey": 0.8, "trapezoid": 0.9}.get(window, 0.9)
-    return [int(k * length * share) for k in range(count)]
+    return [int(k * length * CROSSFADE[window]) for k in range(count)]
 
 
 def granular(grains: DataFrame, buffers: DataFrame, window: str, key: str, place: Column | None = None) -> DataFrame:

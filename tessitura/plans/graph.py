@@ -11,12 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import scalar as S
 from tessitura.operators import automation as A
 from tessitura.operators import folds as FO
+from tessitura.operators import kernels as K
 from tessitura.operators import mixing as M
 from tessitura.operators import resampling as R
 from tessitura.operators.kernels import Kernel, chain
@@ -38,12 +39,13 @@ class OptionError(GraphError):
 
 @dataclass(frozen=True)
 class TrackOptions:
-    """volume is linear, pan -1..1, speed at least 0; `repeat` plays the loop (or all) again; times are frames and seconds."""
+    """volume is linear, pan -1..1, speed over 0; `repeat` plays the loop (or, without one, all) again so often; without a number a
+    loop goes on until the track is stopped, and a track without one plays once. Times are frames and seconds."""
 
     volume: float = 1.0
     pan: float = 0.0
     speed: float = 1.0
-    repeat: int = 0
+    repeat: int | None = None
     loop: tuple[int, int] | None = None
     start_frame: int = 0
     stop_frame: int | None = None
@@ -57,7 +59,7 @@ class TrackOptions:
             raise OptionError("pan must be in -1..1")
         if not (self.speed > 0 and math.isfinite(self.speed)):
             raise OptionError("speed must be positive")
-        if self.repeat < 0 or self.loop and not 0 <= self.loop[0] < self.loop[1]:
+        if (self.repeat or 0) < 0 or self.loop and not 0 <= self.loop[0] < self.loop[1]:
             raise OptionError("a loop needs frames, and a repeat must not be negative")
 
 
@@ -69,6 +71,17 @@ class Effect:
     name: str
     apply: Callable[[DataFrame], DataFrame] | None = None
     kernel: Kernel | None = None
+    make: Callable[..., Kernel] | None = None
+    values: dict[str, float] = field(default_factory=dict)
+    changes: list[tuple[int, str, float]] = field(default_factory=list)
+    inertia: float = 0.0
+    bypassed: bool = False
+
+    def current(self, rate: float) -> Kernel | None:
+        """The kernel at its parameters, or one that follows their changes."""
+        if self.make is None:
+            return self.kernel
+        return K.automated(self.make, self.values, self.changes, self.inertia, rate) if self.changes else self.make(**self.values)
 
 
 @dataclass
@@ -91,6 +104,8 @@ class Graph:
     effects: dict[int, list[Effect]] = field(default_factory=lambda: {ROOT: []})
     tracks: dict[int, Track] = field(default_factory=dict)
     volumes: list[tuple[int, int, float]] = field(default_factory=list)
+    pans: list[tuple[int, int, float]] = field(default_factory=list)
+    motions: list[tuple] = field(default_factory=list)
     _next: int = 0
 
     def _id(self) -> int:
@@ -139,6 +154,35 @@ class Graph:
         own.insert(len(own) if at is None else max(0, min(len(own), at)), Effect(k, name, apply, kernel))
         return k
 
+    def add_parametric(self, bus: int, name: str, make: Callable[..., Kernel], values: dict[str, float], inertia: float = 0.0, at: int | None = None) -> int:
+        """An effect whose parameters can be set while it plays: make(**values) gives its kernel; a value moves to a new target with
+        `inertia`."""
+        k = self.add_effect(bus, name, kernel=make(**values), at=at)
+        own, n = self._effect(k)
+        own[n].make, own[n].values, own[n].inertia = make, dict(values), inertia
+        return k
+
+    def set_parameter(self, effect: int, frame: int, name: str, value: float) -> None:
+        """Schedules a parameter of an effect."""
+        own, n = self._effect(effect)
+        if name not in own[n].values:
+            raise UnknownNode(f"effect {effect} has no parameter {name!r}")
+        own[n].changes.append((frame, name, float(value)))
+
+    def set_parameters(self, effect: int, frame: int, **values: float) -> None:
+        """Schedules several parameters of an effect for one frame; a name that it doesn't have changes nothing at all."""
+        own, n = self._effect(effect)
+        for name in values:
+            if name not in own[n].values:
+                raise UnknownNode(f"effect {effect} has no parameter {name!r}")
+        for name, value in values.items():
+            self.set_parameter(effect, frame, name, value)
+
+    def bypass(self, effect: int, on: bool = True) -> None:
+        """Takes an effect out of its chain, or puts it back, without removing it."""
+        own, n = self._effect(effect)
+        own[n].bypassed = on
+
     def _effect(self, effect: int) -> tuple[list[Effect], int]:
         for own in self.effects.values():
             for n, e in enumerate(own):
@@ -168,6 +212,30 @@ class Graph:
             raise OptionError("volume must not be negative")
         self.volumes.append((track, frame, float(volume)))
 
+    def set_pan(self, track: int, frame: int, pan: float) -> None:
+        """Schedules a place, smoothed from where it stands."""
+        if track not in self.tracks:
+            raise UnknownNode(f"no track {track}")
+        if not abs(pan) <= 1:
+            raise OptionError("pan must be in -1..1")
+        self.pans.append((track, frame, float(pan)))
+
+    def set_speed(self, track: int, frame: int, speed: float, semitones: float = 0.0) -> None:
+        """Schedules a speed; with `semitones` a second it glides there."""
+        if track not in self.tracks:
+            raise UnknownNode(f"no track {track}")
+        if not (speed > 0 and math.isfinite(speed)) or semitones < 0:
+            raise OptionError("speed must be positive, and a glide must not be negative")
+        self.motions.append((track, frame, "speed", float(speed), float(semitones)))
+
+    def seek(self, track: int, frame: int, seconds: float) -> None:
+        """Schedules a jump to a place of the track's source."""
+        if track not in self.tracks:
+            raise UnknownNode(f"no track {track}")
+        if not seconds >= 0:
+            raise OptionError("a place must not be negative")
+        self.motions.append((track, frame, "seek", seconds * self.tracks[track].rate))
+
     def stop_all(self, frame: int) -> None:
         """Stops every track at a frame, unless it stops before; tracks that have not begun by then are cancelled."""
         kept = {}
@@ -203,12 +271,21 @@ class Graph:
         if "x" in s.columns:
             s = M.to_stereo(s)
         s = s.select(F.lit(t.track_id).cast("long").alias("track_id"), F.col("frame").cast("long").alias("frame"), F.col("l").cast("double").alias("l"), F.col("r").cast("double").alias("r"))
-        if o.repeat and not o.loop:
-            raise OptionError("a repeat needs a loop")
-        if o.loop and o.repeat:
-            s = A.looped(s, ["track_id"], *o.loop, o.repeat).drop("source_frame")
         ratio = R.rate_ratio(t.rate, self.rate, o.speed)
-        if ratio != 1:
+        motions = [(frame - o.start_frame, *rest) for k, frame, *rest in self.motions if k == t.track_id]
+        repeats = o.repeat or 0
+        if o.loop and o.repeat is None:
+            if o.stop_frame is None:
+                raise OptionError("an endless loop needs a stop_frame or a number of repeats")
+            longest = max([ratio, *(R.rate_ratio(t.rate, self.rate, m[2]) for m in motions if m[1] == "speed")])
+            frames = (o.stop_frame - o.start_frame) + self.rate * (o.fade_out + 1)
+            repeats = math.ceil(frames * longest / (o.loop[1] - o.loop[0]))
+        if repeats:
+            s = A.looped(s, ["track_id"], *(o.loop or (None, None)), repeats).drop("source_frame")
+        if motions:
+            scaled = [(f, k, v[0] * t.rate / self.rate, *v[1:]) if k == "speed" else (f, k, *v) for f, k, *v in motions]
+            s = R.varispeed(s, "track_id", R.speed_segments(o.speed * t.rate / self.rate, scaled, self.rate), ["l", "r"])
+        elif ratio != 1:
             s = R.cubic(s, "track_id", ratio, ["l", "r"])
         f = F.col("frame")
         gain: Column | None = None
@@ -223,7 +300,11 @@ class Graph:
             gain = F.lit(o.volume) if gain is None else gain * o.volume
         if gain is not None:
             s = M.amplify(s, gain).select("track_id", "frame", "l", "r")
-        if o.pan:
+        places = [(t.track_id, frame - o.start_frame, v) for k, frame, v in self.pans if k == t.track_id]
+        if places:
+            events = s.sparkSession.createDataFrame(places, "track_id long, frame long, target double")
+            s = M.pan(A.automated(s, events, ["track_id"], 1 / 256, o.pan, self.rate, "_pan"), F.col("_pan")).select("track_id", "frame", "l", "r")
+        elif o.pan:
             s = M.pan(s, F.lit(o.pan))
         if o.start_frame:
             s = s.withColumn("frame", f + o.start_frame)
@@ -239,7 +320,7 @@ class Graph:
         """The bus that each bus's tracks are summed on: itself if it has effects, else its parent's."""
 
         def home(k):
-            return k if k == ROOT or self.effects[k] else home(self.buses[k])
+            return k if k == ROOT or any(not e.bypassed for e in self.effects[k]) else home(self.buses[k])
 
         return {k: home(k) for k in self.buses}
 
@@ -249,19 +330,23 @@ class Graph:
         def folded(s):
             if not run:
                 return s
-            out = FO.fold(s.withColumn("_bus", F.lit(0).cast("long")), "_bus", chain(*run), ["l", "r"]).select("frame", "l", "r")
+            one, own = _gapless(s).withColumn("_bus", F.lit(0).cast("long")), chain(*run)
             run.clear()
-            return out
+            # a bus is one track: a linear chain goes block by block on all machines, any other along its frames in one task
+            out = FO.affine_scan(one, "_bus", own.system, ["l", "r"]) if own.system else FO.fold(one, "_bus", own, ["l", "r"])
+            return out.select("frame", "l", "r")
 
         for e in chain_:
+            if e.bypassed:
+                continue
             if e.kernel:
-                run.append(e.kernel)
+                run.append(e.current(self.rate))
             else:
                 s = e.apply(folded(s)).select("frame", "l", "r")
         return folded(s)
 
     def compile(self) -> DataFrame:
-        """(frame, l, r) of the root."""
+        """(frame, l, r) of the root; a graph without tracks has no frames."""
         home = self._merged()
 
         def bus(k: int) -> DataFrame | None:
@@ -274,7 +359,7 @@ class Graph:
 
         out = bus(ROOT)
         if out is None:
-            raise GraphError("a graph without tracks has nothing to render")
+            return SparkSession.active().createDataFrame([], "frame long, l double, r double")
         return out if self.volume == 1 else M.amplify(out, F.lit(self.volume))
 
     def levels(self, interval: float = 0.25) -> DataFrame:
@@ -283,6 +368,19 @@ class Graph:
         return M.meter(self.compile().withColumn("bus", F.lit(ROOT)), ["bus"], size, ["l", "r"])
 
 
+#: Frames that one row makes when silence is filled in.
+GRID = 1 << 16
+
+
+def _gapless(s: DataFrame) -> DataFrame:
+    """Frames 0 to the last of a bus, silent where nothing plays: what a kernel hears, and what its ringing needs."""
+    blocks = s.agg(F.max("frame").alias("_last")).filter("_last IS NOT NULL")
+    blocks = blocks.select("_last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / GRID))).alias("_block")).repartition("_block")
+    first = F.col("_block") * GRID
+    grid = blocks.select(F.explode(F.sequence(first, F.least(F.col("_last"), first + GRID - 1))).alias("frame"))
+    return grid.join(s, "frame", "left").select("frame", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("l", "r")])
+
+
 #: Parameters of the built-in effects: (effect, id, name, low, high, default, curve, style). Ids have four characters: fixed values.
 PARAMETERS = (
     ("gain", "gain", "Gain", 0.000001, 15.85, 1.0, "decibel", "gain"),

@@ -52,10 +52,10 @@ def buffer(name, column, sql):
 buffer("buf_clear", lambda s: B.clear(s), "SELECT track_id, i, 0.0 AS v FROM flat")
 buffer("buf_copy", lambda s: s, "SELECT track_id, i, v FROM flat")
 buffer("buf_scale", lambda s: B.scaled(s, 0.5), "SELECT track_id, i, v * 0.5 AS v FROM flat")
-buffer("buf_mix", lambda s: B.added(s, F.reverse(s)), "SELECT a.track_id, a.i, a.v + b.v AS v FROM flat a JOIN flat b ON a.track_id = b.track_id AND b.i = 63 - a.i")
+buffer("buf_mix", lambda s: B.added(s, F.reverse(s)), "SELECT vec_id AS track_id, CAST(t.i AS INT) AS i, CAST(embedding[CAST(t.i + 1 AS INT)] AS DOUBLE) + CAST(embedding[CAST(64 - t.i AS INT)] AS DOUBLE) AS v FROM embeddings, range(0, 64) t(i)")
 buffer("buf_interleave", lambda s: B.interleaved(F.array(F.slice(s, 1, 32), F.slice(s, 33, 32))), "SELECT track_id, CAST(CASE WHEN i < 32 THEN 2 * i ELSE 2 * (i - 32) + 1 END AS INT) AS i, v FROM flat")
 buffer("buf_planar", lambda s: F.flatten(B.planar(s, 2)), "SELECT track_id, CAST(i // 2 + 32 * (i % 2) AS INT) AS i, v FROM flat")
-buffer("buf_frames", lambda s: F.transform(B.frames(s, 4), lambda f: f[0] - f[3]), "SELECT a.track_id, CAST(a.i // 4 AS INT) AS i, a.v - b.v AS v FROM flat a JOIN flat b ON a.track_id = b.track_id AND b.i = a.i + 3 WHERE a.i % 4 = 0")
+buffer("buf_frames", lambda s: F.transform(B.frames(s, 4), lambda f: f[0] - f[3]), "SELECT vec_id AS track_id, CAST(t.i AS INT) AS i, CAST(embedding[CAST(4 * t.i + 1 AS INT)] AS DOUBLE) - CAST(embedding[CAST(4 * t.i + 4 AS INT)] AS DOUBLE) AS v FROM embeddings, range(0, 16) t(i)")
 buffer("remap_1to2", lambda s: B.remapped(s, 1, 2), "SELECT track_id, CAST(2 * i + k.k AS INT) AS i, v FROM flat, (VALUES (0), (1)) k(k)")
 buffer("remap_2to1", lambda s: B.remapped(s, 2, 1), "SELECT track_id, CAST(i // 2 AS INT) AS i, sum(v) / 2 AS v FROM flat GROUP BY track_id, i // 2")
 buffer("remap_1to4", lambda s: B.remapped(s, 1, 4), "SELECT track_id, CAST(4 * i + k.k AS INT) AS i, CASE WHEN k.k < 2 THEN v ELSE 0 END AS v FROM flat, (VALUES (0), (1), (2), (3)) k(k)")

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from tessitura.operators import automation as A
 from tessitura.operators import folds as FO
 from tessitura.operators import kernels as K
 from tessitura.plans.helpers import EMBED, EVENTS, r, sr
@@ -45,15 +46,17 @@ def _tangent(cutoff):
     return math.tan(math.pi * cutoff / RATE)
 
 
-# coefficients from the table of types, stated here for the oracle on their own
 def oracle_biquad(kind, cutoff, q, gain):
-    g, k, a = _tangent(cutoff), 1 / q, 10 ** (gain / 40)
-    if kind == "bell":
-        k /= a
-    g = g / a**0.5 if kind == "lowshelf" else g * a**0.5 if kind == "highshelf" else g
-    m = dict(lowpass=(0, 0, 1), highpass=(1, -k, -1), bandpass=(0, 1, 0), notch=(1, -k, 0), peak=(1, -k, -2), allpass=(1, -2 * k, 0), bell=(1, k * (a * a - 1), 0), lowshelf=(1, k * (a - 1), a * a - 1), highshelf=(a * a, k * (1 - a) * a, 1 - a * a))[kind]
-    d = 1 + g * (g + k)
-    return 1 / d, g / d, g * g / d, *(float(v) for v in m)
+    """The coefficients of a type, straight from its definition: low and high pass, band, notch, peak and allpass have k = 1 / q; a bell
+    divides k by the gain's root, and shelves move g by its fourth root."""
+    a = math.sqrt(10 ** (gain / 20))
+    g = _tangent(cutoff) * {"lowshelf": a**-0.5, "highshelf": a**0.5}.get(kind, 1.0)
+    k = 1 / (q * (a if kind == "bell" else 1))
+    d = 1 / (1 + g * (g + k))
+    dry = {"highpass": 1, "notch": 1, "peak": 1, "allpass": 1, "bell": 1, "lowshelf": 1, "highshelf": a * a}.get(kind, 0)
+    band = {"highpass": -k, "bandpass": 1, "notch": -k, "peak": -k, "allpass": -2 * k, "bell": k * (a * a - 1), "lowshelf": k * (a - 1), "highshelf": k * (1 - a) * a}.get(kind, 0)
+    low = {"lowpass": 1, "highpass": -1, "peak": -2, "lowshelf": a * a - 1, "highshelf": 1 - a * a}.get(kind, 0)
+    return d, g * d, g * g * d, float(dry), float(band), float(low)
 
 
 for _kind in K.BIQUADS:
@@ -86,12 +89,11 @@ mono("fx_filter_dc_chain", K.chain(K.biquad("bandpass", 10.0, RATE), K.dc_block(
 
 
 def scan_dc(spark, sf):
-    return FO.affine_scan(T.event_signal(spark, sf), "track_id", *FO.dc_system(1.0, RATE), block=16).select("track_id", "frame", r("x"))
+    return FO.affine_scan(T.event_signal(spark, sf), "track_id", K.dc_system(1.0, RATE), block=16).select("track_id", "frame", r("x"))
 
 
 def scan_biquad(spark, sf):
-    system = FO.biquad_system(K.biquad_coefficients("lowpass", 12.0, RATE, 0.9, 6.0))
-    return FO.affine_scan(T.event_signal(spark, sf), "track_id", *system, block=16).select("track_id", "frame", r("x"))
+    return FO.affine_scan(T.event_signal(spark, sf), "track_id", K.biquad("lowpass", 12.0, RATE, 0.9, 6.0).system, block=16).select("track_id", "frame", r("x"))
 
 
 QUERIES |= {"scan_dc": scan_dc, "scan_biquad": scan_biquad}
@@ -112,7 +114,7 @@ def stereo(name, kernel, state, steps, l, rr):
         inner = f"SELECT *, {e} AS {k} FROM ({inner})"
     ORACLES[name] = (
         f"WITH RECURSIVE {EMBED}, sig AS (SELECT track_id, frame, l, r, greatest(abs(l), abs(r)) AS pk, max(greatest(abs(l), abs(r))) OVER w AS pk3, coalesce(lag(l, 3) OVER (PARTITION BY track_id ORDER BY frame), 0) AS l3, coalesce(lag(r, 3) OVER (PARTITION BY track_id ORDER BY frame), 0) AS r3 FROM emb WINDOW w AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),"
-        f" rec AS (SELECT track_id, CAST(-1 AS BIGINT) AS frame, {', '.join(f'CAST({v!r} AS DOUBLE) AS {k}' for k, v in state.items())}, CAST(0 AS DOUBLE) AS yl, CAST(0 AS DOUBLE) AS yr FROM sig WHERE frame = 0"
+        f" rec AS (SELECT track_id, CAST(-1 AS BIGINT) AS frame, {', '.join(f'CAST({v!r} AS {"DOUBLE[]" if isinstance(v, list) else "DOUBLE"}) AS {k}' for k, v in state.items())}, CAST(0 AS DOUBLE) AS yl, CAST(0 AS DOUBLE) AS yr FROM sig WHERE frame = 0"
         f" UNION ALL SELECT track_id, frame, {', '.join(f'n_{k}' for k in state)}, {l}, {rr} FROM ({inner})) SELECT track_id, frame, {sr('yl', 'l')}, {sr('yr', 'r')} FROM rec WHERE frame >= 0"
     )
 
@@ -134,7 +136,72 @@ stereo("fx_gate", K.gate(RATE, -14.0, 0.02, 0.03, 0.1, -60.0), {"env": -120.0, "
        [("d", _db("pk")), ("n_env", _follow("d")), ("is_open", "n_env >= -14"), ("n_hold", "CASE WHEN is_open THEN 3 WHEN o_hold > 0 THEN o_hold - 1 ELSE 0 END"), ("target", "CASE WHEN is_open OR o_hold > 0 THEN 0.0 ELSE -60.0 END"),
         ("n_gain", f"CASE WHEN target > o_gain THEN {_a!r} ELSE {_b!r} END * o_gain + (1 - CASE WHEN target > o_gain THEN {_a!r} ELSE {_b!r} END) * target")],
        f"l * {_g}", f"r * {_g}")
-stereo("fx_delay", K.delay(1000.0, 6.0, 0.5, 0.3, 300.0), None, None, "", "")
-stereo("fx_delay_ping_pong", K.delay(1000.0, 6.0, 0.5, 0.0, 300.0, ping_pong=True, lfo_hz=5.0, to_time=0.1), None, None, "", "")
-stereo("fx_chorus", K.chorus(1000.0), None, None, "", "")
-stereo("fx_reverb", K.reverb(8000.0), None, None, "", "")
+
+# --- delays: the lines are lists, the newest frame first --------------------------------------------------------------
+
+
+def line(name, longest):
+    return {name: [0.0] * longest}
+
+
+def into(name, longest, value):
+    """A line after a frame was written."""
+    return (f"n_{name}", f"list_prepend({value}, o_{name}[1:{longest - 1}])")
+
+
+def tap(name, frames):
+    """What was written `frames` (an expression) before, between two frames linearly."""
+    low = f"CAST(floor({frames}) AS INT)"
+    return f"(o_{name}[{low}] + ({frames} - floor({frames})) * (o_{name}[{low} + 1] - o_{name}[{low}]))"
+
+
+def parabola(phase):
+    """The LFO's sine of a phase in 0..1: a parabola, and one step towards the sine."""
+    a = f"(CASE WHEN {phase} < 0.5 THEN {phase} ELSE {phase} - 1 END * 2 * pi())"
+    y = f"({a} * 4 / pi() - {a} * abs({a}) * 4 / (pi() * pi()))"
+    return f"(0.225 * ({y} * abs({y}) - {y}) + {y})"
+
+
+_DELAY_RATE, _DC = 1000.0, 1 - 2 * math.pi * 5 / 1000.0
+
+
+def delay_steps(longest, frames, drive, inputs):
+    """Line, filter (low pass at 300 Hz, resonance 0.302), saturation, DC block and clamp of both channels; out is what is fed back."""
+    g, k = math.tan(math.pi * 300.0 / _DELAY_RATE), 2 * (1 - 0.97 * 0.302)
+    d = 1 / (1 + g * (g + k))
+    steps = []
+    for c, x in inputs.items():
+        steps += [(f"{c}in", x), into(f"{c}line", longest, f"{c}in"), (f"{c}tap", tap(f"{c}line", frames))]
+        steps += section((d, g * d, g * g * d, 0.0, 0.0, 1.0), f"{c}tap", c)
+        driven = f"({c}out * {1 + 4 * drive!r})"
+        shaped = f"{driven} * (27 + {driven} * {driven}) / (27 + 9 * {driven} * {driven}) / {math.sqrt(1 + 4 * drive)!r}" if drive else f"{c}out"
+        steps += [(f"n_{c}x", shaped), (f"n_{c}y", f"n_{c}x - o_{c}x + {_DC!r} * o_{c}y"), (f"n_{c}back", f"greatest(least(n_{c}y, 4), -4)")]
+    return steps
+
+
+def delay_state(longest):
+    return {k: v for c in "ab" for k, v in (line(f"{c}line", longest) | {f"{c}{n}": 0.0 for n in ("s1", "s2", "x", "y", "back")}).items()}
+
+
+stereo("fx_delay", K.delay(_DELAY_RATE, 6.0, 0.5, 0.3, 300.0), delay_state(8),
+       delay_steps(8, "6.0", 0.3, {"a": "l + 0.5 * o_aback", "b": "r + 0.5 * o_bback"}), "l + n_aback", "r + n_bback")
+stereo("fx_delay_ping_pong", K.delay(_DELAY_RATE, 6.0, 0.5, 0.0, 300.0, ping_pong=True, lfo_hz=5.0, to_time=0.1), {"phase": 0.0} | delay_state(14),
+       [("frames", f"greatest(1.0, 6 + 5 * {parabola('o_phase')})"), ("n_phase", "fmod(o_phase + 0.005, 1.0)"),
+        *delay_steps(14, "frames", 0.0, {"a": "(l + r) / 2 + 0.5 * o_bback", "b": "0.5 * o_aback"})], "l + n_aback", "r + n_bback")
+_g, _k, _span = math.tan(math.pi * 499.0 / 1000.0), 2.0, 256000.0 / 44100
+_d = 1 / (1 + _g * (_g + _k))
+_chorus = []
+for _c, _x in (("a", "l"), ("b", "r")):
+    _chorus += [*section((_d, _g * _d, _g * _g * _d, 0.0, 0.0, 1.0), _x, _c), (f"{_c}far", f"14 + (1 + {parabola(f'o_{_c}phase')}) * {_span * 0.25!r}"), (f"{_c}tap", tap(f"{_c}line", f"{_c}far"))]
+    _chorus += [into(f"{_c}line", 20, f"{_c}out + 0.5 * {_c}tap"), (f"n_{_c}phase", f"fmod(o_{_c}phase + 0.001, 1.0)")]
+stereo("fx_chorus", K.chorus(1000.0), {"aphase": 0.0, "bphase": 0.25} | {k: v for c in "ab" for k, v in (line(f"{c}line", 20) | {f"{c}s1": 0.0, f"{c}s2": 0.0}).items()},
+       _chorus, "0.5 * l + 0.5 * atap", "0.5 * r + 0.5 * btap")
+
+
+def fx_reverb(spark, sf):
+    """Each vector 65 times over, so that what comes back from the lines is heard; a test has the same as a plain loop."""
+    long = A.looped(T.embedding_signal(spark, sf), ["track_id"], 0, 32, 64)
+    return FO.fold(long, "track_id", K.reverb(8000.0, 0.0), ["l", "r"]).select("track_id", "frame", r("l"), r("r"))
+
+
+QUERIES["fx_reverb"] = fx_reverb

@@ -68,8 +68,8 @@ def cancelled(spark, sf):
 
 
 add("cancel_pending", cancelled, f"""WITH {LOG} SELECT c.track_id, c.frame + 5 AS sample_time, c.seq FROM log c WHERE c.type = 'click' AND NOT EXISTS (SELECT 1 FROM log e WHERE e.type = 'error' AND e.track_id = c.track_id AND c.frame + 5 >= e.frame AND c.seq < e.seq)""")
-add("event_order", lambda spark, sf: _log(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("track_id").orderBy(F.floor(F.col("frame") / 4), "seq"))).filter("rank <= 5").select("track_id", "rank", "seq"),
-    f"WITH {LOG} SELECT track_id, rank, seq FROM (SELECT track_id, seq, CAST(row_number() OVER (PARTITION BY track_id ORDER BY frame // 4, seq) AS INT) AS rank FROM log) WHERE rank <= 5")
+add("event_order", lambda spark, sf: A.ordered(_log(spark, sf), ["track_id"], 4).select("track_id", "rank", "seq"),
+    f"WITH {LOG} SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY frame // 4, seq) AS INT) AS rank, seq FROM log")
 
 # --- smoothers, faders, envelopes over the frames of tracks -----------------------------------------------------------
 
@@ -92,11 +92,14 @@ def smooth_spring(spark, sf):
 
 
 add("smooth_spring", smooth_spring, f"""WITH RECURSIVE {EVENTS}, s AS (SELECT 0 AS frame, {_w * _w!r}::DOUBLE AS v, {_w * _w!r}::DOUBLE AS c UNION ALL
-SELECT frame + 1, v + (1 - c) * {_w * _w!r} - {2 * _w!r} * v, c + v + (1 - c) * {_w * _w!r} - {2 * _w!r} * v FROM s WHERE frame < 3000) SELECT sig.track_id, sig.frame, {sr('s.c', 'y')} FROM sig JOIN s ON s.frame = sig.frame""")
+SELECT frame + 1, v + (1 - c) * {_w * _w!r} - {2 * _w!r} * v, c + v + (1 - c) * {_w * _w!r} - {2 * _w!r} * v FROM s WHERE frame < (SELECT max(frame) FROM sig)) SELECT sig.track_id, sig.frame, {sr('s.c', 'y')} FROM sig JOIN s ON s.frame = sig.frame""")
 by_frame("fade_out", lambda f, x: {"y": x * A.fader(f, 1.0, 0.0, 0.5, 100.0)}, {"y": "x * exp(-4.605 * (frame + 1) / 50.0)"})
 by_frame("fade_in", lambda f, x: {"y": x * A.fader(f, 0.0, 1.0, 0.2, 100.0)}, {"y": "x * (1 - exp(-4.605 * (frame + 1) / 20.0))"})
-_SEMI = abs(12 * math.log2(1.5)) / 24.0
-by_frame("speed_glide", lambda f, x: {"y": A.glide(f, 1.0, 1.5, 24.0, 100.0, 4)}, {"y": f"CASE WHEN frame // 4 + 1 >= ceil(0.5 / {0.5 / (_SEMI * 100) * 4!r}) THEN 1.5 ELSE 1 + (frame // 4 + 1) * {0.5 / (_SEMI * 100) * 4!r} END"})
+_LEFT, _STEP = "1.5 - v", "(1.5 - v) / (abs(12 * log2(1.5 / v)) / 24 * 100) * 4"
+add("speed_glide", lambda spark, sf: T.event_signal(spark, sf).select("track_id", "frame", r(A.glide(F.col("frame"), 1.0, 1.5, 24.0, 100.0, 4), "y")),
+    f"""WITH RECURSIVE {EVENTS}, g AS (SELECT CAST(-1 AS BIGINT) AS k, CAST(1.0 AS DOUBLE) AS v UNION ALL
+SELECT k + 1, CASE WHEN abs({_LEFT}) <= 0.0001 THEN 1.5 WHEN abs({_LEFT}) < abs({_STEP}) THEN 1.5 ELSE v + {_STEP} END FROM g WHERE k < (SELECT max(frame) // 4 FROM sig))
+SELECT sig.track_id, sig.frame, {sr('g.v', 'y')} FROM sig JOIN g ON g.k = sig.frame // 4""")
 _H = "CASE WHEN {n} + 1 <= 10 THEN least(({n} + 1) / 5.0, 1) ELSE 1 - 0.4 * least(greatest(({n} + 1 - 10) / 8.0, 0), 1) END"
 _G = f"({_H.format(n=39)}) * (1 - (frame - 40 + 1) / 12.0)"
 by_frame("ahdsr_level", lambda f, x: {"y": A.ahdsr(f, F.lit(40), 100.0, 0.05, 0.05, 0.08, 0.6, 0.12)}, {"y": f"CASE WHEN frame < 40 THEN {_H.format(n='frame')} WHEN {_G} <= 0.001 THEN 0 ELSE {_G} END"})
@@ -111,18 +114,15 @@ def gated(spark, sf):
 _RING = math.ceil(math.log(1e-4) / (-4.605 / 5)) - 1
 add("start_stop_gate", gated, f"WITH {EVENTS} SELECT track_id, frame, {sr('CASE WHEN frame >= track_id % 7 + 20 THEN x * exp(-4.605 * (frame - track_id % 7 - 20 + 1) / 5.0) ELSE x END', 'x')} FROM sig WHERE frame >= track_id % 7 AND frame < track_id % 7 + 20 + {_RING}")
 add("loop_repeat", lambda spark, sf: A.looped(T.event_signal(spark, sf), ["track_id"], 8, 20, 3).select("track_id", "frame", r("x")),
-    f"WITH {EVENTS}, k AS (SELECT i FROM range(0, 4) t(i)) SELECT track_id, frame, {sr('x', 'x')} FROM sig WHERE frame < 8 UNION ALL SELECT track_id, frame + 12 * i, {rounded('x')} FROM sig, k WHERE frame >= 8 AND frame < 20 UNION ALL SELECT track_id, frame + 36, {rounded('x')} FROM sig WHERE frame >= 20")
+    f"WITH {EVENTS}, k AS (SELECT i FROM range(0, 4) t(i)) SELECT track_id, frame, {sr('x', 'x')} FROM sig WHERE frame < 8 UNION ALL SELECT track_id, frame + 12 * i, {rounded('x')} FROM sig, k WHERE frame >= 8 AND frame < 20")
+add("repeat_whole", lambda spark, sf: A.looped(T.event_signal(spark, sf), ["track_id"], None, None, 2).select("track_id", "frame", r("x")),
+    f"WITH {EVENTS}, n AS (SELECT track_id, max(frame) + 1 AS n FROM sig GROUP BY track_id) SELECT sig.track_id, frame + n * i AS frame, {sr('x', 'x')} FROM sig JOIN n ON n.track_id = sig.track_id, range(0, 3) k(i)")
 add("seek", lambda spark, sf: A.sought(T.event_signal(spark, sf), ["track_id"], F.lit(30)).select("track_id", "frame", r("x")), f"WITH {EVENTS} SELECT track_id, frame - 30 AS frame, {sr('x', 'x')} FROM sig WHERE frame >= 30")
 
 
 def gate_edges(spark, sf):
     """A shared gate that events open and close, and an envelope from its edges."""
-    log = _log(spark, sf).withColumn("gate", F.when(F.col("type").isin("click", "view"), 1).otherwise(0))
-    order = Window.partitionBy("track_id").orderBy("frame")
-    edge = log.withColumn("rise", (F.col("gate") == 1) & (F.coalesce(F.lag("gate").over(order), F.lit(0)) == 0))
-    since = edge.withColumn("t", A.frames_since(edge, ["track_id"], F.col("rise")))
-    level = F.when(F.col("gate") == 1, F.least((F.col("t") + 1) / 3.0, F.lit(1.0))).otherwise(F.lit(0.0))
-    return since.select("track_id", "frame", r(level, "level"))
+    return A.gate_level(_log(spark, sf), ["track_id"], F.col("type").isin("click", "view"), 3.0).select("track_id", "frame", r("level"))
 
 
 add("gate_edges", gate_edges, f"""WITH {LOG}, g AS (SELECT track_id, frame, CASE WHEN type IN ('click', 'view') THEN 1 ELSE 0 END AS gate FROM log), e AS (SELECT *, CASE WHEN gate = 1 AND coalesce(lag(gate) OVER (PARTITION BY track_id ORDER BY frame), 0) = 0 THEN frame END AS up FROM g),
@@ -169,7 +169,8 @@ def resample(name, ratio):
 
     shift = 0.0 if ratio < 1 else 1 + ratio
     add(name, query, f"""WITH {EVENTS}, n AS (SELECT track_id, max(frame) + 1 AS n FROM sig GROUP BY track_id),
-g AS (SELECT track_id, k.i AS frame, k.i * {ratio!r} + {shift!r} AS p, n FROM n, range(0, 5000) k(i) WHERE ceil(k.i * {ratio!r} + {shift!r}) <= n - 2),
+i AS (SELECT track_id, n, unnest(range(0, CAST(ceil(n / {ratio!r}) AS BIGINT) + 2)) AS i FROM n),
+g AS (SELECT track_id, i AS frame, i * {ratio!r} + {shift!r} AS p, n FROM i WHERE ceil(i * {ratio!r} + {shift!r}) <= n - 2),
 t AS (SELECT g.track_id, g.frame, g.p - floor(g.p) AS f, coalesce(a.x, 0) AS a, b.x AS b, c.x AS c, coalesce(d.x, 0) AS d FROM g LEFT JOIN sig a ON a.track_id = g.track_id AND a.frame = floor(g.p) - 1 JOIN sig b ON b.track_id = g.track_id AND b.frame = floor(g.p)
 JOIN sig c ON c.track_id = g.track_id AND c.frame = floor(g.p) + 1 LEFT JOIN sig d ON d.track_id = g.track_id AND d.frame = floor(g.p) + 2)
 SELECT track_id, frame, {sr('b + f * ((c - a) / 2 + f * (a - 2.5 * b + 2 * c - 0.5 * d + f * ((d - a) / 2 + 1.5 * (b - c))))', 'x')} FROM t""")
@@ -188,7 +189,7 @@ _X = "(k.i * 0.5 - s.frame)"
 _SP = f"(pi() * ({_X} / 8 + 1))"
 add("resample_sinc", resample_sinc, f"""WITH {EVENTS}, m AS (SELECT track_id, max(frame) AS last FROM sig GROUP BY track_id)
 SELECT s.track_id, k.i AS frame, {sr(f"sum(s.x * (CASE WHEN {_X} = 0 THEN 0.95 ELSE sin(pi() * 0.95 * {_X}) / (pi() * {_X}) END) * (0.35875 - 0.48829 * cos({_SP}) + 0.14128 * cos(2 * {_SP}) - 0.01168 * cos(3 * {_SP})))", 'x')}
-FROM sig s JOIN m ON m.track_id = s.track_id JOIN range(0, 5000) k(i) ON k.i * 0.5 BETWEEN s.frame - 8 AND s.frame + 8 AND k.i * 0.5 <= m.last GROUP BY s.track_id, k.i""")
+FROM sig s JOIN m ON m.track_id = s.track_id JOIN (SELECT unnest(range(0, 2 * max(frame) + 1)) FROM sig) k(i) ON k.i * 0.5 BETWEEN s.frame - 8 AND s.frame + 8 AND k.i * 0.5 <= m.last GROUP BY s.track_id, k.i""")
 
 # --- notes ------------------------------------------------------------------------------------------------------------
 
@@ -206,17 +207,24 @@ def voices(spark, sf):
     return Y.with_voices(_notes(spark, sf), "track_id", 2, 6).select("track_id", "note_id", "voice", "until")
 
 
-add("note_voices", voices)
+# two voices, a release of 6 frames: who gets which voice in order, then until when each has it
+add("note_voices", voices, f"""WITH RECURSIVE {_NOTES}, n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY on_frame, note_id) AS rn FROM notes),
+v AS (SELECT track_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS note_id, -1 AS voice, CAST(NULL AS BIGINT) AS id0, CAST(NULL AS BIGINT) AS off0, CAST(NULL AS BIGINT) AS id1, CAST(NULL AS BIGINT) AS off1 FROM n WHERE rn = 1
+UNION ALL SELECT track_id, rn, note_id, w, CASE WHEN w = 0 THEN note_id ELSE id0 END, CASE WHEN w = 0 THEN off_frame ELSE off0 END, CASE WHEN w = 1 THEN note_id ELSE id1 END, CASE WHEN w = 1 THEN off_frame ELSE off1 END FROM (
+SELECT n.*, v.id0, v.off0, v.id1, v.off1, CASE WHEN id0 IS NULL OR coalesce(off0 + 6 <= on_frame, false) THEN 0 WHEN id1 IS NULL OR coalesce(off1 + 6 <= on_frame, false) THEN 1
+ WHEN coalesce(off0 <= on_frame, false) AND (NOT coalesce(off1 <= on_frame, false) OR off0 <= off1) THEN 0 WHEN coalesce(off1 <= on_frame, false) THEN 1 WHEN id0 < id1 THEN 0 ELSE 1 END AS w
+FROM v JOIN n ON n.track_id = v.track_id AND n.rn = v.rn + 1))
+SELECT v.track_id, v.note_id, CAST(v.voice AS INT) AS voice, least(n.off_frame + 6, lead(n.on_frame) OVER (PARTITION BY v.track_id, v.voice ORDER BY v.rn)) AS until FROM v JOIN n ON n.track_id = v.track_id AND n.rn = v.rn""")
 _ENV = {"attack": 0.02, "hold": 0.0, "decay": 0.04, "sustain": 0.5, "release": 0.05}
 
 
 def _buffers(spark, sf):
-    return T.embedding_blocks(spark, sf).filter("track_id < 5").select(F.col("track_id").alias("buffer_id"), "samples")
+    return T.embedding_blocks(spark, sf).select(F.col("track_id").alias("buffer_id"), "samples")
 
 
 def _played(spark, sf):
-    n = _notes(spark, sf)
-    return n.select("track_id", "note_id", (F.col("note_id") % 5).alias("buffer_id"), "on_frame", "off_frame", S.speed_from_note(F.lit(60) + F.col("note_id") % 12).alias("speed"), F.lit(0.5).alias("volume"))
+    n, buffers = _notes(spark, sf), T.read(spark, sf, "embeddings").count()
+    return n.select("track_id", "note_id", (F.col("note_id") % buffers).alias("buffer_id"), "on_frame", "off_frame", S.speed_from_note(F.lit(60) + F.col("note_id") % 12).alias("speed"), F.lit(0.5).alias("volume"))
 
 
 def sampler(spark, sf):
@@ -225,7 +233,7 @@ def sampler(spark, sf):
 
 
 _E = "CASE WHEN {n} + 1 <= 2 THEN least(({n} + 1) / 2.0, 1) ELSE 1 - 0.5 * least(greatest(({n} + 1 - 2) / 4.0, 0), 1) END"
-add("sampler_mix", sampler, f"""WITH {_NOTES}, {FLAT}, p AS (SELECT n.*, n.note_id % 5 AS b, pow(2.0, (n.note_id % 12) / 12.0) AS speed, off_frame - on_frame AS off FROM notes n),
+add("sampler_mix", sampler, f"""WITH {_NOTES}, {FLAT}, p AS (SELECT n.*, n.note_id % (SELECT count(*) FROM embeddings) AS b, pow(2.0, (n.note_id % 12) / 12.0) AS speed, off_frame - on_frame AS off FROM notes n),
 s AS (SELECT p.*, t.i AS t, floor(t.i * speed) AS low, t.i * speed - floor(t.i * speed) AS part FROM p, range(0, 64) t(i) WHERE t.i <= floor(62 / speed)),
 l AS (SELECT s.track_id, s.on_frame + s.t AS frame, s.off, s.t, (a.v * (1 - part) + c.v * part) * 0.5 AS x, CASE WHEN off IS NULL OR t < off THEN {_E.format(n='t')} ELSE ({_E.format(n='(off - 1)')}) * (1 - (t - off + 1) / 5.0) END AS g
 FROM s JOIN flat a ON a.track_id = s.b AND a.i = s.low JOIN flat c ON c.track_id = s.b AND c.i = s.low + 1)
@@ -248,8 +256,8 @@ def _lcg(k, seed):
     return f"((({a} * 25173 + 13849) % 65536) / 32768.0 - 1)"
 
 
-_GR = f"""grains AS (SELECT n.track_id, n.note_id, k.i AS grain, n.on_frame + CAST(ceil(k.i * 2.5) AS BIGINT) AS start, CAST(8 AS BIGINT) AS length, CAST(round({_lcg('n.note_id * 131 + k.i', 3)} * 10) AS BIGINT) AS jitter, {_lcg('n.note_id + k.i', 5)} AS pan
-FROM notes n, range(0, 2000) k(i) WHERE n.off_frame IS NOT NULL AND k.i < ceil((n.off_frame - n.on_frame) / 2.5))"""
+_GR = f"""grains AS (SELECT n.track_id, n.note_id, i AS grain, n.on_frame + CAST(ceil(i * 2.5) AS BIGINT) AS start, CAST(8 AS BIGINT) AS length, CAST(round({_lcg('n.note_id * 131 + i', 3)} * 10) AS BIGINT) AS jitter, {_lcg('n.note_id + i', 5)} AS pan
+FROM (SELECT *, unnest(range(0, CAST(ceil((off_frame - on_frame) / 2.5) AS BIGINT))) AS i FROM notes WHERE off_frame IS NOT NULL) n)"""
 add("grain_triggers", grain_starts, f"WITH {_NOTES}, {_GR} SELECT track_id, note_id, grain, start, length, jitter, {sr('pan', 'pan')} FROM grains")
 
 
@@ -258,7 +266,7 @@ def granular(spark, sf):
     return Y.granular(g, _buffers(spark, sf), "hann", "track_id").select("track_id", "frame", r("l"), r("r"))
 
 
-add("granular_mix", granular, f"""WITH {_NOTES}, {_GR}, {FLAT}, s AS (SELECT g.track_id, g.start + t.i AS frame, b.v * pow(sin(pi() * t.i / 8.0), 2) AS x, pan FROM grains g, range(0, 8) t(i), flat b WHERE b.track_id = g.note_id % 5 AND b.i = ((g.jitter + t.i) % 64 + 64) % 64)
+add("granular_mix", granular, f"""WITH {_NOTES}, {_GR}, {FLAT}, s AS (SELECT g.track_id, g.start + t.i AS frame, b.v * pow(sin(pi() * t.i / 8.0), 2) AS x, pan FROM grains g, range(0, 8) t(i), flat b WHERE b.track_id = g.note_id % (SELECT count(*) FROM embeddings) AND b.i = ((g.jitter + t.i) % 64 + 64) % 64)
 SELECT track_id, frame, {sr('sum(x * (1 - pan) / 2)', 'l')}, {sr('sum(x * (1 + pan) / 2)', 'r')} FROM s GROUP BY track_id, frame""")
 add("tones", lambda spark, sf: Y.tone(spark.range(1, 9).select(F.col("id").alias("track_id"), (F.col("id") * 3.7).alias("hz")), 64, 100.0, "saw").select("track_id", "frame", r("x")),
     f"SELECT t.t AS track_id, k.i AS frame, {sr('2 * fmod(k.i * (t.t * 3.7) / 100.0, 1.0) - 1', 'x')} FROM range(1, 9) t(t), range(0, 64) k(i)")
@@ -268,7 +276,7 @@ add("tones", lambda spark, sf: Y.tone(spark.range(1, 9).select(F.col("id").alias
 
 def mod_routes(spark, sf):
     log = _log(spark, sf)
-    values = log.filter("frame < 20").select(F.col("track_id").alias("key"), F.col("type").alias("source"), "frame", F.col("x").alias("value"), (F.col("type") == "view").alias("bipolar"))
+    values = log.select(F.col("track_id").alias("key"), F.col("type").alias("source"), "frame", F.col("x").alias("value"), (F.col("type") == "view").alias("bipolar"))
     routes = spark.createDataFrame(
         [("click", "pitch", 0.5, True, 1), ("view", "pitch", -0.4, False, 2), ("click", "pan", 0.3, False, 3), ("error", "pan", 0.0, False, 4), ("click", "pan", 0.7, False, 5), ("view", "pan", 0.2, True, 6)],
         "source string, target string, amount double, bipolar boolean, seq long",
@@ -277,8 +285,8 @@ def mod_routes(spark, sf):
     return out.select("key", "target", F.col("frame").cast("long").alias("frame"), r("value"))
 
 
-add("mod_routes", mod_routes, f"""WITH {LOG}, v AS (SELECT track_id AS key, type, frame // 5 AS frame, x FROM log WHERE frame < 20),
+add("mod_routes", mod_routes, f"""WITH {LOG}, v AS (SELECT track_id AS key, type, frame // 5 AS frame, x FROM log),
 m AS (SELECT key, 'pitch' AS target, frame, (x - 0.5) * 2 * 0.5 AS v FROM v WHERE type = 'click' UNION ALL SELECT key, 'pitch', frame, (x + 1) / 2 * -0.4 FROM v WHERE type = 'view' UNION ALL SELECT key, 'pan', frame, x * 0.7 FROM v WHERE type = 'click' UNION ALL SELECT key, 'pan', frame, x * 0.2 FROM v WHERE type = 'view')
 SELECT key, target, frame, {sr('sum(v)', 'value')} FROM m GROUP BY key, target, frame""")
-add("mod_sources", lambda spark, sf: _notes(spark, sf).select("track_id", "note_id", r((F.col("note_id") % 128) / 127.0, "keytrack"), r((F.col("note_id") % 100) / 99.0, "velocity")),
+add("mod_sources", lambda spark, sf: _notes(spark, sf).select("track_id", "note_id", r(S.keytracked(F.col("note_id") % 128), "keytrack"), r(S.velocity(F.col("note_id") % 100, 99.0), "velocity")),
     f"WITH {_NOTES} SELECT track_id, note_id, {sr('(note_id % 128) / 127.0', 'keytrack')}, {sr('(note_id % 100) / 99.0', 'velocity')} FROM notes")

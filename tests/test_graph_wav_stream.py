@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessitura.functions import buffers as B
+from tessitura.operators import automation as A
 from tessitura.operators import effects as FX
 from tessitura.operators import kernels as K
 from tessitura.plans import graph as G
@@ -47,14 +48,17 @@ def test_graph_with_kernels_equals_the_kernel(spark):
     x = np.repeat(np.arange(50)[:, None, None] * 0.01, 2, 2)
     y, _ = K.run(K.chain(K.biquad("lowpass", 100, 1000), K.dc_block(5, 1000)), x)
     assert np.allclose(out[["l", "r"]], y[:, 0])
-    # a run of kernels is one grouped fold
-    assert g.compile()._jdf.queryExecution().toString().count("FlatMapGroupsInPandas") <= 4
+    # a linear run of kernels is a scan in blocks, any other one fold
+    plan = g.compile()._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInPandas finish") == 1 and "MapInPandas apply" not in plan
+    g.add_effect(G.ROOT, "gate", kernel=K.gate(1000))
+    plan = g.compile()._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInPandas apply") == 1 and "MapInPandas finish" not in plan
 
 
 def test_graph_errors_and_stops(spark):
     g = G.Graph(rate=100)
-    with pytest.raises(G.GraphError):
-        g.compile()
+    assert g.compile().count() == 0 and g.compile().columns == ["frame", "l", "r"]
     with pytest.raises(G.UnknownNode):
         g.add_bus(9)
     with pytest.raises(G.GraphError):
@@ -72,6 +76,74 @@ def test_graph_errors_and_stops(spark):
     assert G.parameters(spark).count() == len(G.PARAMETERS)
 
 
+def one_track(spark, n, options=None, rate=100, **graph):
+    g = G.Graph(rate=rate, **graph)
+    k = g.add_track(ramp(spark, n), options=options or G.TrackOptions())
+    return g, k
+
+
+def test_repeats_and_loops(spark):
+    g, _ = one_track(spark, 5, G.TrackOptions(repeat=2))
+    assert g.compile().orderBy("frame").toPandas()["l"].tolist() == [0, 1, 2, 3, 4] * 3
+    g, _ = one_track(spark, 6, G.TrackOptions(loop=(1, 4), repeat=2))
+    assert g.compile().orderBy("frame").toPandas()["l"].tolist() == [0, 1, 2, 3, 1, 2, 3, 1, 2, 3]
+    g, _ = one_track(spark, 6, G.TrackOptions(loop=(1, 4), repeat=0))
+    assert g.compile().count() == 6
+    g, _ = one_track(spark, 6, G.TrackOptions(loop=(1, 4), stop_frame=50, fade_out=0.0))
+    assert g.compile().orderBy("frame").toPandas()["l"].tolist() == [0, *([1, 2, 3] * 17)][:50]
+    g, _ = one_track(spark, 6, G.TrackOptions(loop=(1, 4)))
+    with pytest.raises(G.OptionError):
+        g.compile()
+
+
+def test_seek_and_speed_changes(spark):
+    g, k = one_track(spark, 200)
+    g.seek(k, 10, 1.0)  # to frame 100
+    g.set_speed(k, 20, 2.0)
+    got = g.compile().orderBy("frame").toPandas()
+    want = np.concatenate([np.arange(10), np.arange(100, 110), np.arange(110, 198.5, 2)])
+    assert got["frame"].tolist() == list(range(len(got))) and np.allclose(got["l"][: len(want) - 1], want[: len(got)][: len(want) - 1])
+    g, k = one_track(spark, 2000)
+    g.set_speed(k, 5, 2.0, semitones=24.0)  # 12 semitones: about half a second
+    got = g.compile().orderBy("frame").toPandas()["l"].to_numpy()
+    step = np.diff(got)
+    speeds = A.glide_speeds(1.0, 2.0, 24.0, 100.0)
+    assert np.allclose(step[:5], 1) and np.allclose(step[6:60], speeds[0], atol=0.02) and np.allclose(step[300:500], 2, atol=1e-6)
+    with pytest.raises(G.OptionError):
+        g.set_speed(k, 0, -1.0)
+    with pytest.raises(G.UnknownNode):
+        g.seek(99, 0, 0.0)
+
+
+def test_pan_parameters_and_bypass(spark):
+    g = G.Graph(rate=1000)
+    k = g.add_track(spark.range(4000).select(F.col("id").alias("frame"), F.lit(1.0).alias("x")))
+    g.set_pan(k, 2000, 1.0)
+    got = g.compile().orderBy("frame").toPandas()
+    assert np.allclose(got["l"][:2000], got["r"][:2000]) and got["l"].iloc[-1] < 1e-3 and got["r"].iloc[-1] > 0.9
+    g = G.Graph(rate=1000)
+    g.add_track(ramp(spark, 300, 0.01))
+    e = g.add_parametric(G.ROOT, "filter", lambda cutoff: K.biquad("lowpass", cutoff, 1000.0), {"cutoff": 50.0})
+    still = g.compile().orderBy("frame").toPandas()["l"]
+    g.set_parameters(e, 100, cutoff=400.0)
+    moved = g.compile().orderBy("frame").toPandas()["l"]
+    assert np.allclose(still[:100], moved[:100]) and not np.allclose(still[100:], moved[100:])
+    with pytest.raises(G.UnknownNode):
+        g.set_parameter(e, 0, "size", 1.0)
+    g.bypass(e)
+    assert np.allclose(g.compile().orderBy("frame").toPandas()["l"], np.arange(300) * 0.01)
+
+
+def test_kernels_ring_through_silence(spark):
+    g = G.Graph(rate=1000)
+    g.add_track(ramp(spark, 3, 1.0))
+    g.add_track(ramp(spark, 3, 1.0), options=G.TrackOptions(start_frame=40))
+    g.add_effect(G.ROOT, "filter", kernel=K.biquad("lowpass", 100, 1000))
+    x = np.zeros((43, 1, 2))
+    x[:3, 0], x[40:, 0] = np.arange(3.0)[:, None], np.arange(3.0)[:, None]
+    assert np.allclose(g.compile().orderBy("frame").toPandas()[["l", "r"]], K.run(K.biquad("lowpass", 100, 1000), x)[0][:, 0])
+
+
 def test_wav_round_trip(spark, tmp_path):
     x = np.random.default_rng(5).uniform(-1, 1, (300, 2)).astype("f4")
     (tmp_path / "a.wav").write_bytes(wav.wav_bytes(x, 22050, (10, 200)))
@@ -110,9 +182,16 @@ def test_streaming_meter_and_late_events(spark, tmp_path):
     stream = spark.readStream.schema("track_id long, ts timestamp, x double").parquet(str(tmp_path))
     for name, df in (("levels", live.meter(stream, "track_id", "10 seconds", "1 second")), ("active", live.activity(stream, "track_id", "5 seconds", "1 second"))):
         q = df.writeStream.format("memory").queryName(name).outputMode("complete" if name == "levels" else "append").start()
-        q.processAllAvailable(), q.stop()
+        q.processAllAvailable()
+        if name == "active":
+            assert spark.table("active").count() == 0  # the session is open until the watermark passes
+            later = pd.date_range("2024-01-01 00:05", periods=1, freq="1s", tz="UTC")
+            pd.DataFrame({"track_id": 2, "ts": later.astype("datetime64[us, UTC]"), "x": [0.0]}).to_parquet(tmp_path / "b.parquet")
+            q.processAllAvailable()
+        q.stop()
     assert sorted(r["peak"] for r in spark.table("levels").collect()) == [9.0, 19.0, 29.0, 39.0]
-    assert spark.table("active").count() == 0  # the session is open until the watermark passes
+    closed = spark.table("active").collect()
+    assert [(r["track_id"], r["n"], (r["end"] - r["start"]).total_seconds()) for r in closed] == [(1, 40, 44.0)]
     late = spark.createDataFrame([(5, 64), (100, 64)], "sample_time long, block_start long")
     assert [r["effective_time"] for r in live.effective(late).collect()] == [64, 100]
 
