@@ -43,6 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, taken) -> str:
+    """A column name like `name` that is not among `taken`; names are compared without regard to case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def remainder(doc_id, modulus: int):
     """crc32(doc_id as text) mod modulus; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

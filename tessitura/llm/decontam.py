@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import words as W
-from tessitura.llm.common import table, written
+from tessitura.llm.common import fresh, table, written
 
 #: Hash functions. One equal minimum makes a candidate, so that an item of containment c in a window is missed with a
 #: probability of about (1 - c / 3) ** HASHES.
@@ -183,10 +183,13 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 75, sh
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
-    """The rows of docs that contain no item; columns as they were. A null doc_id is held apart row by row through its text."""
-    hit = contained_items(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, percent, shingle)
-    marked = docs.withColumn("_row_hash", F.xxhash64("doc_id", "text"))
-    return marked.join(written(hit.select(F.col("doc_id").alias("_row_hash")).distinct(), "hits"), "_row_hash", "left_anti").drop("_row_hash")
+    """The rows of docs that contain no item; columns as they were, whatever their names. Rows are told apart by a hash of doc_id and
+    text, so that a null or repeated doc_id is judged by its own text. Empty tables: nothing is dropped from no rows or by no items."""
+    row = F.xxhash64("doc_id", "text")
+    hit = contained_items(docs.select(row.alias("doc_id"), "text"), benchmark, percent, shingle)
+    name = fresh("row", docs.columns)
+    hits = written(hit.select(F.col("doc_id").alias(name)).distinct(), "hits")
+    return docs.withColumn(name, row).join(hits, name, "left_anti").select(docs.columns)
 
 
 def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
