@@ -7,16 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import compression, decontam, neardup, packing, privacy
-from tessitura.llm.common import table, written
+from tessitura.llm.common import fresh, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the compression classifier scores under its threshold. Null text counts as empty."""
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = compression.learn_quality(learn, compression.training_labels(table(spark, sf_dir, "labels")))
-    scored = compression.score_quality(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model, keep_text=True)
+    spare = fresh("score", docs.columns)  # where a column of that name waits meanwhile
+    scored = compression.score_quality(docs.withColumnRenamed("score", spare), model, keep_text=True)
     kept = scored.filter(F.col("score") >= compression.THRESHOLD).drop("score")
-    return kept.withColumnRenamed("_score", "score").select(docs.columns)
+    return kept.withColumnRenamed(spare, "score").select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
