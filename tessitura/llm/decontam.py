@@ -140,9 +140,12 @@ def _run(items: Items, n: int, percent: int, out_names: list[str]):
                     of = np.repeat(np.arange(count), np.diff(words))[: len(got)]
                     got, of = got[whole], of[whole]
                     bounds = np.searchsorted(of, np.arange(count + 1))
+                    held, own = None, got[:0]
                     for d, k in sorted(items.candidates(got, bounds, span)):
+                        if d != held:  # sorted once for all its candidates
+                            held, own = d, np.unique(got[bounds[d] : bounds[d + 1]])
                         mine = items.hashes[items.bounds[k] : items.bounds[k + 1]]
-                        both = int(np.isin(mine, got[bounds[d] : bounds[d + 1]]).sum())
+                        both = int((own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine).sum())
                         if 100 * both >= percent * len(mine):
                             doc.append(ids[first + d]), item.append(int(items.ids[k])), shared.append(both), size.append(len(mine))
             i64 = pa.int64()

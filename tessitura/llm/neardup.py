@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import words as W
-from tessitura.llm.common import table, written
+from tessitura.llm.common import fresh, table, written
 from tessitura.llm.components import components
 
 #: Registers (buckets of the hash), mantissa bits of a register, and registers of a band.
@@ -21,8 +22,10 @@ _EMPTY = np.uint16(0xFFFF)
 _BUCKET_BITS = REGISTERS.bit_length() - 1
 #: A pair is verified unless its estimate is this many standard deviations under the threshold.
 DEVIATIONS = 6.0
-#: Ids of dropped documents that are broadcast at most, about 100 MB.
-BROADCAST_IDS = 1 << 21
+#: Rows that go are told by a hash; so many are broadcast at most, about 64 MB.
+BROADCAST_ROWS = 1 << 21
+#: Sets of up to so many shingles have too few registers to band: they are found by their shingles themselves.
+SMALL = 32
 
 
 def registers(hashes: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
@@ -74,6 +77,27 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return W.mix(keys + W.mix(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
 
 
+def prefix_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """The least shingles of a set, so many that sets as similar as `percent` must share one: |A n B| >= percent |A|."""
+    n = len(hashes)
+    return W.mix(np.sort(hashes)[: n - -(-percent * n // 100) + 1] ^ np.uint64(0x5EED)).view(np.int64)
+
+
+def search_keys(hashes: np.ndarray, bounds: np.ndarray, regs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all sets, offsets): bands of registers; for sets of up to SMALL shingles, and larger ones that may be similar to
+    those, a prefix of the shingles, which is exact; none for sets that can be similar to no other."""
+    sizes, bands, parts = np.diff(bounds), band_keys(regs), []
+    few = -(-percent // (100 - percent)) if percent < 100 else len(hashes) + 1
+    for k, n in enumerate(sizes):
+        own = [np.zeros(0, np.int64)]
+        if few <= n <= SMALL * 100 // percent:
+            own.append(prefix_keys(hashes[bounds[k] : bounds[k + 1]], percent))
+        if n > SMALL:
+            own.append(bands[k])
+        parts.append(np.concatenate(own))
+    return np.concatenate(parts or [np.zeros(0, np.int64)]), np.cumsum([0, *map(len, parts)])
+
+
 def _chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Buckets in which disjoint sets of n and m elements are expected to have equal registers."""
     level = 0.5 ** np.arange(54)[:, None]
@@ -88,28 +112,35 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.clip((same - _chance(n, m)) / np.maximum(used, 1), 0, 1), used
 
 
-def _sketch(docs: DataFrame, shingle: int) -> DataFrame:
+def _row() -> Column:
+    """A row of the input: doc_id and text as one number."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _sketch(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for first, data, offsets in W.string_slices(batch.column(1)):
+            for first, data, offsets in W.string_slices(batch.column(2)):
                 hashes, owner = W.text_shingles(data, offsets, shingle)
                 n = len(offsets) - 1
                 bounds = np.searchsorted(owner, np.arange(n + 1))
                 regs = registers(hashes, owner, n)
                 raw = hashes.tobytes()
                 signs = [hashlib.blake2b(raw[8 * i : 8 * j], digest_size=16).digest() if j > i else None for i, j in zip(bounds[:-1], bounds[1:])]
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band_keys(regs).reshape(-1)))
+                keys, ends = search_keys(hashes, bounds, regs, percent)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(np.diff(bounds), pa.int64()), pa.array(signs, pa.binary()),
-                     pa.array([r.tobytes() for r in regs], pa.binary()), keys],
-                    ["doc_id", "n", "sign", "regs", "keys"],
+                    [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(np.diff(bounds), pa.int64()), pa.array(signs, pa.binary()),
+                     pa.array([r.tobytes() for r in regs], pa.binary()), lists],
+                    ["row_hash", "doc_id", "n", "sign", "regs", "keys"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sign binary, regs binary, keys array<long>")
+    rows = docs.select(_row().alias("row_hash"), "doc_id", "text")
+    return rows.mapInArrow(run, "row_hash long, doc_id long, n long, sign binary, regs binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(cls, hashes) for wanted(cls, doc_id, sign): the classes' whole shingle sets, computed again from the texts."""
+    """(cls, hashes) for wanted(cls, row_hash, sign): the classes' whole shingle sets, computed again from the texts."""
 
     def run(batches):
         for batch in batches:
@@ -121,7 +152,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 right = [hashlib.blake2b(x, digest_size=16).digest() == s for x, s in zip(own, batch.column(1).slice(first, n).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(own, pa.binary())], ["cls", "hashes"]).filter(pa.array(right, pa.bool_()))
 
-    rows = docs.select("doc_id", "text").join(wanted.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")))
+    rows = docs.select(_row().alias("row_hash"), "text").join(wanted, "row_hash")
     return rows.select("cls", "sign", "text").mapInArrow(run, "cls long, hashes binary")
 
 
@@ -184,29 +215,34 @@ def _across(apart: DataFrame, percent: int) -> DataFrame:
     Two classes share at most the smaller number of their shingles that are `common`, that is not found in one class only. Of
     shingles that the bucket's pivot has they share at most the smaller number `held`, and of the others the smaller rest.
     """
-    other = apart.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "own", "n", "common", "held", "keys")])
+    # sizes in steps of 100 / percent: similar sets are in the same step or the next one, which splits a bucket
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    apart = apart.withColumn("step", step)
+    other = apart.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "own", "n", "common", "held", "keys")], F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"))
     by_pivot = "least(held, held_b) + least(common - held, common_b - held_b)"
     most = f"least(common, common_b, coalesce({by_pivot}, common))"
     first = "element_at(array_intersect(keys, keys_b), 1) = key"  # a pair comes from the first bucket that it shares
-    pairs = apart.join(other, "key").filter(f"own < own_b AND 100 * {most} >= {percent} * (n + n_b - {most}) AND {first}")
+    sizes = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
+    pairs = apart.join(other, ["key", "step"]).filter(f"own < own_b AND {sizes} AND 100 * {most} >= {percent} * (n + n_b - {most}) AND {first}")
     return pairs.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text).
+    """doc_id, n_shingles, component_id, kept, row_hash for every row of docs(doc_id, text).
 
     Equal shingle sets form classes. Classes are banded on compressed registers; every class of a bucket is held against the
     bucket's most central, then, where a bucket still spans components, against those classes of other components that bounds on
-    their common shingles leave within reach. Pairs that pass the collision-corrected estimate are
-    verified on full sets, and components follow from the links that remain. Thus
-    copies, and groups of near copies, cost one row each and not their square. A pair at the threshold is missed by all
-    bands with a probability of 5e-6.
+    their sizes and common shingles leave within reach. Pairs that pass the collision-corrected estimate are verified on full
+    sets, and components follow from the links that remain. Thus copies, and groups of near copies, cost one row each and not
+    their square. A pair at the threshold is missed by all bands with a probability of 5e-6. Sets of up to SMALL shingles
+    would fill all registers from a few, and share bands by chance; they are found by a prefix of their shingles, exactly.
 
     Null text, and text without words, is empty and alone. A null doc_id takes part but is no component's id; component_id is
-    null where only such rows are. Equal rows share a class. An empty table gives none; extra columns are not read.
+    null where only such rows are. Equal rows share a class; row_hash tells the rows of a repeated doc_id apart by their text. An
+    empty table gives none; extra columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = written(_sketch(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    base = written(_sketch(docs, shingle, percent).withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = written(base.filter("sign IS NOT NULL").groupBy("sign").agg(F.min("row").alias("cls"), F.min("doc_id").alias("least")), "classes")
     reps = base.join(classes.select(F.col("cls").alias("row")), "row", "left_semi").withColumnRenamed("row", "cls")
 
@@ -221,8 +257,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5) -> Dat
 
     stars = buckets.filter("pivot <> cls").select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
     stars = written(_likely(stars, reps, percent), "stars")
-    sets = _sets(docs, reps.select("cls", "doc_id", "sign"), shingle)
-    if not base.groupBy("doc_id", "sign").count().filter("count > 1").isEmpty():
+    sets = _sets(docs, reps.select("cls", "row_hash", "sign"), shingle)
+    if not base.groupBy("row_hash").count().filter("count > 1").isEmpty():
         sets = sets.dropDuplicates(["cls"])  # of rows that are there more than once
     sets = written(sets, "sets")
     seen = written(_verified(stars, sets, percent), "verified")
@@ -247,35 +283,41 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5) -> Dat
     heads = found.select(F.col("node").alias("cls"), "component").join(classes.select("cls", "least"), "cls")
     heads = heads.groupBy("component").agg(F.min("least").alias("head"))
     placed = placed.join(heads, "component", "left").select("sign", F.coalesce("head", "least").alias("component_id"))
-    out = base.select("doc_id", "n", "sign").join(placed, "sign", "left")
+    out = base.select("doc_id", "n", "sign", "row_hash").join(placed, "sign", "left")
     own = F.when(F.col("sign").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "row_hash")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def representatives(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
-    """The rows of docs whose document is the smallest of its group, with all their columns; of rows with equal doc_id one.
-    Rows with a null doc_id stay where nothing with an id is in their group.
+    """One row of docs for each group, with all its columns: that of the smallest doc_id. Rows are judged one by one: of a doc_id
+    that is there with different texts, each text stays or goes as its own group says; of rows of one group with the same id, or
+    equal rows, one stays. Rows with a null doc_id stay where nothing with an id is in their group; texts without words are
+    groups of their own.
 
-    The ids that go are fewer than those that stay: up to BROADCAST_IDS of them are broadcast, so that no text is shuffled;
-    beyond that the same join shuffles.
+    The rows that go are told by a hash: up to BROADCAST_ROWS of them are broadcast, so that no text is shuffled; beyond that
+    the same join shuffles.
     """
-    near = written(near_duplicates(docs, percent, shingle), "near")
-    ids = near.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count_if("kept").alias("rows"))
-    ids = written(ids.filter("NOT stays OR rows > 1"), "ids")
-    gone = ids.filter("NOT stays").select(F.col("doc_id").alias("_gone"))
-    size, nulls = gone.agg(F.count("*"), F.count_if(F.col("_gone").isNull())).first()
-    own = docs["doc_id"].cast("long")
-    out = docs.join(F.broadcast(gone) if size <= BROADCAST_IDS else gone, own == gone["_gone"], "left_anti")
-    if nulls:
-        out = out.filter(F.col("doc_id").cast("long").isNotNull())
-    if not ids.filter("stays AND doc_id IS NOT NULL").isEmpty():
-        out = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id IS NULL"))
-    return out
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    near = written(near_duplicates(plain, percent, shingle), "near")
+    stay = near.filter("kept AND doc_id IS NOT NULL")
+    first = stay.groupBy("component_id").agg(F.min("row_hash").alias("first"), F.max("row_hash").alias("last"), F.count("*").alias("rows")).filter("rows > 1")
+    first = written(first, "repeated")
+    more = stay.join(first.filter("first < last"), "component_id").filter("row_hash > first").select("row_hash")
+    gone = written(near.filter("NOT kept").select("row_hash").unionAll(more).distinct(), "gone")
+    name = fresh("row", docs.columns)
+    gone, size = gone.withColumnRenamed("row_hash", name), gone.count()
+    marked = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    out = marked.join(F.broadcast(gone) if size <= BROADCAST_ROWS else gone, name, "left_anti")
+    if not first.isEmpty():  # equal rows
+        twice = near.join(first.select(F.col("first").alias("row_hash")), "row_hash", "left_semi").filter("doc_id IS NOT NULL").groupBy("row_hash").count().filter("count > 1")
+        twice = written(twice.select(F.col("row_hash").alias(name)), "twice")
+        out = out.join(twice, name, "left_anti").unionByName(out.join(twice, name, "left_semi").dropDuplicates([name]))
+    return out.select(docs.columns)
 
 
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
 ORACLE = """

@@ -295,6 +295,50 @@ def test_a_family_of_near_copies(spark):
     assert sorted(tuple(x) for x in got.select("doc_id", "n_shingles", "component_id").collect()) == sorted(groups_of(rows))
 
 
+def test_many_short_texts_and_nulls(spark):
+    """10^5 texts of few shingles: no band or id is common, and links are those of brute force over shared shingles."""
+    r = np.random.default_rng(12)
+    rows = [(None if k % 3 == 0 else k, " ".join(f"{w}" for w in r.integers(0, 10**12, n))) for k, n in enumerate(r.integers(1, 9, 100_000))]
+    for k in range(300):  # one word more than another text
+        rows.append((200_000 + k, rows[1 + 3 * k][1] + f" more{k}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(t[0], t[1]) for t in neardup.near_duplicates(frame).filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id", "component_id").collect()}
+    sets = sets_of([x for x in rows if x[0] is not None and (x[0] >= 200_000 or x[0] in {1 + 3 * k for k in range(300)})])
+    by_id = dict(sets)
+    want = set()
+    for k in range(300):
+        a, b = by_id[1 + 3 * k], by_id[200_000 + k]
+        if 100 * len(a & b) >= 75 * len(a | b):
+            want.add((200_000 + k, 1 + 3 * k))
+    assert want and got == want
+    keys = neardup._sketch(frame, 5, 75).select(F.explode("keys").alias("k")).groupBy("k").count()
+    assert keys.agg(F.max("count")).first()[0] <= 4
+
+
+def test_prefixes_and_bands_meet_across_the_sizes(spark):
+    """Sets around SMALL and 4/3 of it: every pair that is similar shares a key."""
+    r = np.random.default_rng(13)
+    rows = []
+    for base in range(120):
+        words = [f"b{base}w{k}" for k in range(int(r.integers(7, 60)))]
+        cut = int(len(words) - 4 - np.floor((len(words) - 4) * 0.75)) if len(words) > 8 else 0
+        rows.append((2 * base, " ".join(words)))
+        rows.append((2 * base + 1, " ".join(words[: len(words) - int(r.integers(0, cut + 2))])))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(x) for x in got.select("doc_id", "n_shingles", "component_id").collect()) == sorted(groups_of(rows))
+
+
+def test_representatives_of_repeated_ids(spark):
+    long = [f"w{k}" for k in range(60)]
+    near = [*long[:-1], "x"]
+    rows = [(1, " ".join(long)), (5, " ".join(near)), (5, "a clean text of its own with some more words"), (7, "twice the same"), (7, "twice the same"), (8, None), (8, None), (None, "no id"), (9, " ".join(near + ["y"])), (9, " ".join(near + ["z"]))]
+    frame = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, row int")
+    kept = sorted(((d, t) for d, t, _ in neardup.representatives(frame).collect()), key=str)
+    assert kept == sorted([(1, " ".join(long)), (5, "a clean text of its own with some more words"), (7, "twice the same"), (8, None), (None, "no id")], key=str)
+    alone = spark.createDataFrame([(9, " ".join(near + ["y"])), (9, " ".join(near + ["z"]))], "doc_id long, text string")
+    assert neardup.representatives(alone).count() == 1
+
+
 def test_registers_estimate():
     r = np.random.default_rng(9)
     pool = r.integers(0, 2**64, 30000, dtype=np.uint64)
