@@ -26,6 +26,8 @@ BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 10 << 20
 #: Documents that have a part before its windows travel one by one: then equal ones are combined within each block, and no
 #: bucket gets a snippet for every document around a common passage.
 COMMON = 2000
+#: Groups of copies that are broadcast at most: those with more than this part of all copies.
+HOT = 1000
 #: Bytes of the collections whose transforms are merged at a time; parts with the same hash stay together.
 COLLECTION = 1 << 20
 
@@ -124,6 +126,27 @@ def _known(part: pa.Table) -> pa.Table:
     return pa.table({"block": part["block"], "bucket": part["bucket"], "reply": pa.array(reply, pa.binary())})
 
 
+#: Bytes that are compared at a time.
+COMPARED = 1 << 20
+
+
+def _differ(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Items whose bytes are not those of the item `like` names: hashes only propose what is equal."""
+    other = np.flatnonzero(like != np.arange(len(like)))
+    wrong = [other[lengths[other] != lengths[like[other]]]]
+    other = other[lengths[other] == lengths[like[other]]]
+    ends = np.cumsum(lengths[other])
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(COMPARED, ends[-1] if len(ends) else 0, COMPARED)), [len(other)]]))
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        mine = other[i:j]
+        n = lengths[mine]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        unlike = text[np.repeat(starts[mine], n) + step] != text[np.repeat(starts[like[mine]], n) + step]
+        if unlike.any():
+            wrong.append(mine[np.add.reduceat(unlike, np.cumsum(n) - n) > 0])
+    return np.concatenate(wrong)
+
+
 class Snippets:
     """What a block sends: distinct snippets by bucket, key and content with their least document. `of` gives for each sent
     run (`start`, `end`, `doc`) its snippet. Built alike when the answers come back."""
@@ -148,6 +171,9 @@ class Snippets:
         bucket, short, content, self.start, self.end, self.doc = (x[order] for x in (bucket, short, content, start, end, doc))
         new = np.ones(len(order), bool)
         new[1:] = (content[1:] != content[:-1]) | (short[1:] != short[:-1]) | (bucket[1:] != bucket[:-1])
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        wrong = _differ(data, self.start, self.end - self.start, first[group] if len(first) else first)
+        new[np.isin(group, group[wrong])] = True  # a hash that lied: its items stand each for itself
         self.of = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         self.bucket, self.short, self.first = bucket[first], short[first], first
@@ -221,6 +247,9 @@ def _resolved(part: pa.Table, buckets: int) -> pa.Table:
     starts, lengths, keys, least, content = (np.concatenate(x) for x in (starts, lengths, keys, least, content))
     del texts
     _, first, of = np.unique(W.mix(content + keys.astype(np.uint64) * W._PLACES[0]), return_index=True, return_inverse=True)
+    alone = _differ(text, starts, lengths, first[of] if len(of) else of)
+    of[alone] = len(first) + np.arange(len(alone))
+    first = np.concatenate([first, alone])
     owners = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(owners, of, least)
     order = np.argsort(keys[first], kind="stable")  # distinct snippets by key
@@ -305,6 +334,11 @@ def _cut(marked: DataFrame, buckets: int, digest: bool) -> DataFrame:
 def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (byte ranges) and kept (the other bytes) for every row of docs(doc_id, text).
 
+    What decides: a document that is a whole copy is found by its SHA-256; equal snippets of a block, and of a bucket, are proposed
+    by a 64-bit hash and compared byte by byte, and stand for one string; between different strings, the merged transforms' intervals
+    of 50 characters tell which windows are equal. Keys in one document only, and strings without a neighbour that a window needs,
+    are left out ahead of the merge.
+
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id, judged on whole texts as
     given. With digest, kept is the SHA-256 of those bytes and spans is empty. A copy of a smaller document is taken out
     whole at once. Null text is empty. Rows with equal doc_id are one document as far as they are compared: neither removes from
@@ -319,8 +353,13 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     known, other = docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
     print_ = F.sha2(F.col("text").cast("binary"), 256)
     long = written(known.filter(f"n_bytes >= {WINDOW}").select("doc_id", "n_bytes", print_.alias("sha")), "texts")
-    first = long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    copies = written(long.join(first, "sha").filter("doc_id > first").select("doc_id", "n_bytes", "sha"), "copies")
+    first = written(long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1"), "groups")
+    # a group of many copies is found by a broadcast, of at most HOT rows, so that no task gets all its copies
+    rows = first.agg(F.sum("rows")).first()[0] or 0
+    hot, cold = first.filter(F.col("rows") > rows / HOT), first.filter(F.col("rows") <= rows / HOT)
+    marked = long.join(F.broadcast(hot.select("sha", F.col("first").alias("hot"))), "sha", "left")
+    found = marked.filter("hot IS NULL").drop("hot").join(cold, "sha").drop("rows").unionByName(marked.filter("hot IS NOT NULL").withColumnRenamed("hot", "first"))
+    copies = written(found.filter("doc_id > first").select("doc_id", "n_bytes", "sha"), "copies")
     # a merge join at every size: copies grow with the documents
     rest = known.withColumn("sha", print_).hint("merge").join(copies.select("doc_id", "sha").distinct(), ["doc_id", "sha"], "left_anti")
 

@@ -214,6 +214,30 @@ def test_substrings_odd(spark, odd, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_equal_hashes_of_different_snippets_are_told_apart(monkeypatch):
+    text = np.frombuffer(b"abcdeabcdxabcdeab", np.uint8)
+    starts, lengths = np.array([0, 5, 10, 15]), np.array([5, 5, 5, 2])
+    assert sorted(substrings._differ(text, starts, lengths, np.zeros(4, int)).tolist()) == [1, 3]
+    monkeypatch.setattr(substrings, "COMPARED", 3)
+    assert sorted(substrings._differ(text, starts, lengths, np.array([0, 1, 0, 0])).tolist()) == [3]
+
+    class Alike(substrings.Runs):  # every content hash and key is the same
+        def __init__(self, data, offsets):
+            super().__init__(data, offsets)
+            self.content, self.key = np.zeros_like(self.content), np.zeros_like(self.key)
+
+    monkeypatch.setattr(substrings, "Runs", Alike)
+    r = np.random.default_rng(6)
+    docs = [bytes(r.choice([97, 98], 300).astype(np.uint8)) for _ in range(3)]
+    docs.append(docs[0])
+    data, offsets = np.frombuffer(b"".join(docs), np.uint8), np.arange(0, 1500, 300)
+    reply = [{"reply": substrings.squeeze(np.ones(1, np.uint8))}]
+    found = substrings.Snippets(np.arange(4), data, offsets, reply, 4)
+    for k in range(len(found.of)):
+        first = found.first[found.of[k]]
+        assert data[found.start[k] : found.end[k]].tobytes() == data[found.start[first] : found.end[first]].tobytes()
+
+
 def test_merged_transforms_find_all_repeats():
     r = np.random.default_rng(3)
     strings = [r.choice([97, 98], r.integers(3, 60)).astype(np.uint8) for _ in range(40)]
