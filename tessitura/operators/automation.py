@@ -180,6 +180,13 @@ def glide(frames: Column, start: float, target: float, semitones: float, rate: f
     return F.get(speeds, F.least(F.floor(frames / block), F.size(speeds) - 1).cast("int"))
 
 
+def frequency_glide(frames: Column, start: float, target: float, semitones: float, rate: float) -> Column:
+    """Frequency `frames` after it was set: linear for as long as its distance takes at `semitones` a second, or at once."""
+    distance = abs(12 * math.log2(target / start))
+    duration = int(distance / semitones * rate) if semitones > 0 else 0
+    return linear_over(F.lit(float(start)), F.lit(float(target)), frames, duration) if duration else F.when(frames.isNotNull(), F.lit(float(target)))
+
+
 def gate_level(signal: DataFrame, keys: list[str], opened: Column, attack: float) -> DataFrame:
     """signal with `level`: an envelope that rises over `attack` frames from where the gate opens, and is 0 while it is closed."""
     order = Window.partitionBy(*keys).orderBy("frame")

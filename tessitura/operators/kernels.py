@@ -109,6 +109,22 @@ def eq5(gains, frequencies=(100.0, 1000.0, 4000.0, 8000.0, 12000.0), bandwidths=
     return _sections([biquad_coefficients(k, f, rate, b, g) for k, f, b, g in zip(kinds, frequencies, bandwidths, gains)])
 
 
+#: Cutoffs of the DC block's modes in Hz, and the filter effect's types as biquads: fixed values.
+DC_MODES = {"slow": 1.0, "default": 5.0, "fast": 20.0}
+FILTERS = {"lowpass": "lowpass", "bandpass": "bandpass", "bandstop": "notch", "highpass": "highpass"}
+
+
+def gained(rate: float, gain: float = 1.0, dc: str = "off") -> Kernel:
+    """A linear gain behind a DC block of a mode, or none."""
+    scale = Kernel(lambda tracks, channels: {}, lambda state, x: x * gain, (np.zeros((1, 1)), np.zeros(1), np.zeros(1), gain))
+    return scale if dc == "off" else chain(dc_block(DC_MODES[dc], rate), scale)
+
+
+def filtered(rate: float, kind: str = "lowpass", cutoff: float = 20000.0, q: float = 0.707) -> Kernel:
+    """The filter effect; a cutoff over half the rate is held under it."""
+    return biquad(FILTERS[kind], min(cutoff, rate / 2 - 1), rate, q)
+
+
 def dc_block(hz: float, rate: float) -> Kernel:
     r = 1 - TAU * hz / rate
 
@@ -404,10 +420,13 @@ def chain(*kernels: Kernel) -> Kernel:
     return Kernel(init, step, reduce(in_series, systems) if systems and all(systems) else None)
 
 
+RESET = "reset"
+
+
 def automated(make: Callable[..., Kernel], start: dict[str, float], changes: list[tuple[int, str, float]], inertia: float = 0.0, rate: float = 44100.0) -> Kernel:
     """A kernel whose parameters move: make(**values) at the values of each frame. changes: (frame, parameter, target); a value goes
     towards its target by inertia x 44100 / rate of the way a frame, or at once. The kernels share one state, whose shape must
-    not depend on a parameter that moves. Frames count from the kernel's first."""
+    not depend on a parameter that moves; the parameter RESET silences it. Frames count from the kernel's first."""
     first, share = make(**start), min(1.0, inertia * 44100.0 / rate) if inertia else 1.0
     log = sorted(changes, key=lambda c: c[0])
 
@@ -417,7 +436,9 @@ def automated(make: Callable[..., Kernel], start: dict[str, float], changes: lis
     def step(state, x):
         now = state["frame"]
         for frame, name, target in log:
-            if frame == now:
+            if frame == now and name == RESET:
+                state["inner"] = first.init(len(x), x.shape[1])
+            elif frame == now:
                 state["target"][name] = target
         moved = False
         for name, target in state["target"].items():

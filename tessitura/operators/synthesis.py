@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,7 +74,8 @@ def with_voices(notes: DataFrame, key: str, voices: int, release: int) -> DataFr
 
 def sampled(notes: DataFrame, buffers: DataFrame, envelope: dict | None, rate: float, key: str) -> DataFrame:
     """(key, note_id, frame, x): every note plays its buffer (buffers(buffer_id, samples)) at `speed` with linear
-    interpolation, times its envelope and volume, until the buffer ends or the envelope is silent.
+    interpolation, times its envelope and volume, until the buffer ends or the envelope is silent. With a column `pan` of notes
+    the result has l and r by the pan law in place of x.
 
     notes(key, note_id, buffer_id, on_frame, off_frame, speed, volume). A note makes its own frames from the block it is joined
     with; the join is on buffer_id, and the mix-down that follows is a sum with partial sums.
@@ -86,34 +90,132 @@ def sampled(notes: DataFrame, buffers: DataFrame, envelope: dict | None, rate: f
     gain = F.col("volume")
     if envelope:
         gain = gain * ahdsr(F.col("t"), F.col("off_frame") - F.col("on_frame"), rate, **envelope)
-    out = spread.select(key, "note_id", (F.col("on_frame") + F.col("t")).alias("frame"), (x * gain).alias("x"), "off_frame")
+    out = spread.withColumn("x", x * gain).withColumn("frame", F.col("on_frame") + F.col("t"))
     if envelope:
-        return out.filter(F.col("off_frame").isNull() | (F.col("frame") < F.col("off_frame")) | (F.col("x") != 0)).drop("off_frame")
-    return out.drop("off_frame")
+        out = out.filter(F.col("off_frame").isNull() | (F.col("frame") < F.col("off_frame")) | (F.col("x") != 0))
+    if "pan" in notes.columns:
+        return out.select(key, "note_id", "frame", (F.col("x") * S.pan_left(F.col("pan"))).alias("l"), (F.col("x") * S.pan_right(F.col("pan"))).alias("r"))
+    return out.select(key, "note_id", "frame", "x")
+
+
+def cloud_triggers(notes: DataFrame, density: float, rate: float) -> DataFrame:
+    """(note columns, grain, start): a phase that runs `density` times a second triggers grains while a note sounds; it starts full, so
+    that the first grain sounds at once."""
+    step = rate / min(max(density, 1.0), 100.0)
+    count = F.floor((F.col("off_frame") - F.col("on_frame")) / step).cast("long")
+    grains = notes.filter("off_frame > on_frame").withColumn("grain", F.explode(F.sequence(F.lit(0).cast("long"), count)))
+    start = F.col("on_frame") + F.greatest(F.ceil(F.col("grain") * step).cast("long") - 1, F.lit(0).cast("long"))
+    return grains.withColumn("start", start).filter("start < off_frame")
 
 
 def cloud_grains(notes: DataFrame, density: float, size: float, rate: float, spray: float, seed: int) -> DataFrame:
-    """(note columns, grain, start, length, jitter): grains that a running phase of `density` a second triggers while a note
-    sounds; size in seconds; jitter is a repeatable offset in -spray..spray frames."""
-    step = rate / density
-    count = F.ceil((F.col("off_frame") - F.col("on_frame")) / step).cast("long")
-    grains = notes.filter("off_frame > on_frame").withColumn("grain", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-    return grains.withColumns(
+    """(note columns, grain, start, length, jitter): triggered grains of a fixed size in seconds; jitter is a repeatable offset in
+    -spray..spray frames."""
+    return cloud_triggers(notes, density, rate).withColumns(
         {
-            "start": F.col("on_frame") + F.ceil(F.col("grain") * step).cast("long"),
             "length": F.lit(int(size * rate)).cast("long"),
             "jitter": F.round(S.noise(F.col("note_id") * 131 + F.col("grain"), seed) * spray).cast("long"),
         }
     )
 
 
+def _draw(k: int, seed: int) -> Column:
+    """A grain's k-th number in -1..1."""
+    return S.noise(F.col("note_id") * 131 + F.col("grain"), seed + k)
+
+
+def grain_length(rate: float, size: float, variation: float, seed: int) -> Column:
+    """Frames of a grain."""
+    scale = (1 - 0.75 * variation) + 2.75 * variation * (_draw(1, seed) + 1) / 2
+    return F.greatest((size * scale * rate / 1000).cast("long"), F.lit(2).cast("long"))
+
+
+def varied_grains(grains: DataFrame, buffers: DataFrame, rate: float, size: float = 100.0, variation: float = 0.0, spray: float = 0.0, spread: float = 0.0, direction: str = "forward", position: float = 0.5, step: float = 0.0, seed: int = 0) -> DataFrame:
+    """Triggered grains with what each of them draws, joined with its buffer (samples).
+
+    grains(note_id, grain, on_frame, start, buffer_id, speed, volume, pan). size in milliseconds; at a variation of 1 a grain's size
+    varies from a quarter to three times, its volume from nothing to all, and its pitch by a semitone; spray moves its place by up to a second, spread
+    its pan. A grain stands at `position` (0..1), or, with a step, at a playhead that starts there and moves `step` frames a frame.
+    Draws are repeatable functions of note, grain and seed. direction is forward, backward or random.
+    """
+    if not (1 <= size <= 1000 and all(0 <= v <= 1 for v in (variation, spray, spread, position)) and -4 <= step <= 4):
+        raise ValueError("a grain parameter is outside its range")
+    if direction not in ("forward", "backward", "random"):
+        raise ValueError(f"unknown direction {direction}")
+    draw = lambda k: _draw(k, seed)
+    frames = F.size("samples")
+    playhead = F.lit(position) + (F.col("start") - F.col("on_frame")) * step / frames if step else F.lit(position)
+    back = F.lit(direction == "backward") if direction != "random" else draw(6) < 0
+    return grains.join(buffers, "buffer_id").filter("size(samples) > 0").withColumns(
+        {
+            "length": grain_length(rate, size, variation, seed),
+            "volume": F.col("volume") * (1 - variation * (draw(2) + 1) / 2),
+            "turn": F.col("speed") * F.pow(F.lit(2.0), variation * (draw(3) / 2 + draw(4) / 2) / 12) * F.when(back, -1).otherwise(1),
+            "place": F.pmod(playhead + spray * draw(5) * rate / frames, F.lit(1.0)),
+            "pan": S.clamp(F.col("pan") + spread * draw(7), -1.0, 1.0),
+        }
+    )
+
+
+def played_grains(grains: DataFrame, window: str, key: str) -> DataFrame:
+    """(key, frame, l, r): grains of varied_grains under a window, panned linearly and summed. Samples are read at places between
+    frames by a cubic through four, around the end to the beginning."""
+    spread = grains.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)))
+    last = F.size("samples") - 1
+    at = F.pmod(F.col("place") + F.col("t") * F.col("turn") / F.size("samples"), F.lit(1.0)) * last
+    low = F.floor(at).cast("int")
+    tap = lambda d: F.get("samples", F.pmod(low + d, last + 1).cast("int"))
+    f, (y0, y1, y2, y3) = at - low, (tap(d) for d in (-1, 0, 1, 2))
+    x = ((1.5 * (y1 - y2) + 0.5 * (y3 - y0)) * f + (y0 - 2.5 * y1 + 2.0 * y2 - 0.5 * y3)) * f * f + 0.5 * (y2 - y0) * f + y1
+    # the window is a table of 2048 entries, which a phase of 1 does not quite reach
+    weight = S.grain_window(F.col("t") / F.col("length") * (2047 / 2048), window) * F.col("volume")
+    loud = spread.withColumn("_w", weight).filter("_w > 0.001").withColumn("_x", x * F.col("_w"))
+    parts = loud.select(key, (F.col("start") + F.col("t")).alias("frame"), (F.col("_x") * (1 - F.col("pan")) / 2).alias("l"), (F.col("_x") * (1 + F.col("pan")) / 2).alias("r"))
+    return parts.groupBy(key, "frame").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+
+
+def pooled(grains: DataFrame, key: str, pool: int = 100) -> DataFrame:
+    """Grains of varied_grains that find a free place in a pool: one that starts while `pool` earlier ones sound is not played.
+
+    That is a recurrence over a note's grains in their order; a task reads its sorted grains and remembers the ends of those that
+    sound. Where a note's longest grain and its density rule out more than `pool`, nothing needs to be decided.
+    """
+
+    def free(batches):
+        note, ends = None, []
+        for part in batches:
+            keep = np.zeros(len(part), bool)
+            for n, (own, start, length) in enumerate(zip(zip(part[key], part["note_id"]), part["start"], part["length"])):
+                if own != note:
+                    note, ends = own, []
+                ends = [e for e in ends if e > start]
+                if len(ends) < pool:
+                    ends.append(start + length)
+                    keep[n] = True
+            yield part[keep]
+
+    return grains.repartition(key, "note_id").sortWithinPartitions(key, "note_id", "start", "grain").mapInPandas(free, grains.schema)
+
+
 #: How much of a grain has sounded when the next one starts in sequential playback, by window: fixed values.
 CROSSFADE = {"hann": 0.5, "blackman": 0.5, "triangle": 0.5, "tukey": 0.5, "trapezoid": 0.9, "exponential": 0.8, "ramp_up": 0.8, "ramp_down": 0.8}
 
 
+def sequential_triggers(notes: DataFrame, rate: float, window: str, size: float = 100.0, variation: float = 0.0, seed: int = 0) -> DataFrame:
+    """(note columns, grain, start): each grain of a note starts when the one before has reached the crossfade point of its window.
+    Grains may differ in length: a running sum over a note's grains, of which there are at most as many as its shortest ones."""
+    share = CROSSFADE[window]
+    shortest = max(1, math.ceil(share * max(2, int(size * (1 - 0.75 * variation) * rate / 1000))))
+    count = F.floor((F.col("off_frame") - F.col("on_frame") - 1) / shortest).cast("long")
+    grains = notes.filter("off_frame > on_frame").withColumn("grain", F.explode(F.sequence(F.lit(0).cast("long"), count)))
+    step = F.ceil(grain_length(rate, size, variation, seed) * share)
+    before = Window.partitionBy(*[c for c in notes.columns if c in ("track_id", "_key")], "note_id").orderBy("grain").rowsBetween(Window.unboundedPreceding, -1)
+    return grains.withColumn("start", F.col("on_frame") + F.coalesce(F.sum(step).over(before), F.lit(0))).filter("start < off_frame")
+
+
 def sequential_starts(length: int, window: str, count: int) -> list[int]:
     """Starts of grains that follow at the crossfade point of their window."""
-    return [int(k * length * CROSSFADE[window]) for k in range(count)]
+    return [k * math.ceil(length * CROSSFADE[window]) for k in range(count)]
 
 
 def granular(grains: DataFrame, buffers: DataFrame, window: str, key: str, place: Column | None = None) -> DataFrame:

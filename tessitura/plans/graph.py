@@ -20,6 +20,7 @@ from tessitura.operators import folds as FO
 from tessitura.operators import kernels as K
 from tessitura.operators import mixing as M
 from tessitura.operators import resampling as R
+from tessitura.operators import synthesis as Y
 from tessitura.operators.kernels import Kernel, chain
 
 ROOT = 0
@@ -106,6 +107,7 @@ class Graph:
     volumes: list[tuple[int, int, float]] = field(default_factory=list)
     pans: list[tuple[int, int, float]] = field(default_factory=list)
     motions: list[tuple] = field(default_factory=list)
+    masters: list[tuple[int, int, float]] = field(default_factory=list)
     _next: int = 0
 
     def _id(self) -> int:
@@ -141,6 +143,26 @@ class Graph:
         self.tracks[k] = Track(k, signal, rate or self.rate, bus, options or TrackOptions(), name or f"track {k}")
         return k
 
+    def add_synth(self, spark: SparkSession, shape: str, hz: float, seconds: float, bus: int = ROOT, options: TrackOptions | None = None, width: float = 0.5) -> int:
+        """An oscillator as a track."""
+        tracks = spark.range(1).select(F.col("id").alias("track_id"), F.lit(float(hz)).alias("hz"))
+        return self.add_track(Y.tone(tracks, int(seconds * self.rate), self.rate, shape, width).select("frame", "x"), bus, options=options, name=f"synth {shape}")
+
+    def add_sampler(self, notes: DataFrame, buffers: DataFrame, envelope: dict | None = None, voices: int = 16, bus: int = ROOT, options: TrackOptions | None = None) -> int:
+        """A sampler as a track: notes(note_id, buffer_id, on_frame, off_frame, speed, volume, pan) play buffers(buffer_id, samples)
+        on at most `voices` at a time; a note that loses its voice ends there."""
+        own = notes.withColumn("_key", F.lit(0))
+        release = int(envelope["release"] * self.rate) if envelope else 0
+        held = Y.with_voices(own, "_key", voices, release).filter("until IS NULL OR until > on_frame")
+        played = Y.sampled(held, buffers, envelope, self.rate, "_key").join(held.select("note_id", "until"), "note_id").filter("until IS NULL OR frame < until")
+        return self.add_track(M.mixdown(played, ["frame"], ["l", "r"]), bus, options=options, name="sampler")
+
+    def add_granular(self, notes: DataFrame, buffers: DataFrame, density: float = 10.0, window: str = "triangle", bus: int = ROOT, options: TrackOptions | None = None, **grain) -> int:
+        """A granular sampler as a track: notes as for add_sampler, grain parameters as for varied_grains."""
+        triggers = Y.cloud_triggers(notes.withColumn("_key", F.lit(0)), density, self.rate)
+        grains = Y.pooled(Y.varied_grains(triggers, buffers, self.rate, **grain), "_key")
+        return self.add_track(Y.played_grains(grains, window, "_key").select("frame", "l", "r"), bus, options=options, name="granular")
+
     def remove_track(self, track: int) -> None:
         if self.tracks.pop(track, None) is None:
             raise UnknownNode(f"no track {track}")
@@ -162,6 +184,18 @@ class Graph:
         own[n].make, own[n].values, own[n].inertia = make, dict(values), inertia
         return k
 
+    def add_builtin(self, bus: int, effect: str, inertia: float = 0.0, at: int | None = None, **values) -> int:
+        """One of the built-in effects that are kernels, with values of its parameters by id; those given can be set later."""
+        rate = self.rate
+        return self.add_parametric(bus, effect, lambda **v: effect_kernel(effect, rate, **v), values, inertia, at)
+
+    def reset_effect(self, effect: int, frame: int) -> None:
+        """Silences what an effect remembers at a frame."""
+        own, n = self._effect(effect)
+        if own[n].make is None:
+            raise OptionError("only an effect with parameters can be reset")
+        own[n].changes.append((frame, K.RESET, 0.0))
+
     def set_parameter(self, effect: int, frame: int, name: str, value: float) -> None:
         """Schedules a parameter of an effect."""
         own, n = self._effect(effect)
@@ -345,27 +379,60 @@ class Graph:
                 s = e.apply(folded(s)).select("frame", "l", "r")
         return folded(s)
 
-    def compile(self) -> DataFrame:
-        """(frame, l, r) of the root; a graph without tracks has no frames."""
-        home = self._merged()
+    def set_master(self, frame: int, volume: float) -> None:
+        """Schedules the volume of all that is heard, smoothed from where it stands."""
+        if not volume >= 0:
+            raise OptionError("volume must not be negative")
+        self.masters.append((0, frame, float(volume)))
+
+    def compile(self, of: int = ROOT) -> DataFrame:
+        """(frame, l, r) of a bus, the root by default, to which the graph's volume applies; without tracks there are no frames. A bus
+        that is merged into its parent has what its own tracks and buses give."""
+        self._bus(of)
+        home = self._merged() | {of: of}
+        inside = [k for k in self.buses if self._below(k, of)]
+        for k in inside:  # what was merged into a bus above stays within this one
+            if home[k] not in inside:
+                home[k] = of
 
         def bus(k: int) -> DataFrame | None:
-            parts = [self._track(t) for t in self.tracks.values() if home[t.bus] == k]
-            parts += [b for c in self.buses if c != ROOT and home[c] == c and home[self.buses[c]] == k and (b := bus(c)) is not None]
+            parts = [self._track(t) for t in self.tracks.values() if t.bus in inside and home[t.bus] == k]
+            parts += [b for c in inside if c != of and home[c] == c and home[self.buses[c]] == k and (b := bus(c)) is not None]
             if not parts:
                 return None
             own = M.mixdown(reduce(DataFrame.unionByName, parts), ["frame"], ["l", "r"])
             return self._through(own, self.effects[k])
 
-        out = bus(ROOT)
+        out = bus(of)
         if out is None:
             return SparkSession.active().createDataFrame([], "frame long, l double, r double")
-        return out if self.volume == 1 else M.amplify(out, F.lit(self.volume))
-
-    def levels(self, interval: float = 0.25) -> DataFrame:
-        """Peak and RMS of the root per interval of seconds and channel."""
+        if of == ROOT and self.masters:
+            return self._mastered(out)
+        return out if of != ROOT or self.volume == 1 else M.amplify(out, F.lit(self.volume))
+
+    def _mastered(self, out: DataFrame) -> DataFrame:
+        """The volume as a literal of its few ramps, so that no frame is sorted for it."""
+        now, target, since, cases = self.volume, self.volume, 0, []
+        for _, frame, volume in sorted(self.masters, key=lambda m: m[1]):
+            share = 44100.0 / self.rate / 256
+            now = target - (target - now) * (1 - share) ** (frame - since)
+            since, target = frame, volume
+            cases.append((frame, now, volume))
+        f, gain = F.col("frame"), F.lit(self.volume)
+        for frame, begin, volume in cases:
+            gain = F.when(f >= frame, A.exponential(F.lit(begin), F.lit(volume), f - frame, 1 / 256, self.rate)).otherwise(gain)
+        return M.amplify(out, gain)
+
+    def _below(self, bus: int, top: int) -> bool:
+        while bus is not None and bus != top:
+            bus = self.buses[bus]
+        return bus == top
+
+    def levels(self, interval: float = 0.25, buses: list[int] | None = None) -> DataFrame:
+        """Peak and RMS per interval of seconds and channel, of the root or of several buses."""
         size = max(1, int(interval * self.rate))
-        return M.meter(self.compile().withColumn("bus", F.lit(ROOT)), ["bus"], size, ["l", "r"])
+        every = [self.compile(k).withColumn("bus", F.lit(k)) for k in buses or [ROOT]]
+        return M.meter(reduce(DataFrame.unionByName, every), ["bus"], size, ["l", "r"])
 
 
 #: Frames that one row makes when silence is filled in.
@@ -381,20 +448,71 @@ def _gapless(s: DataFrame) -> DataFrame:
     return grid.join(s, "frame", "left").select("frame", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("l", "r")])
 
 
-#: Parameters of the built-in effects: (effect, id, name, low, high, default, curve, style). Ids have four characters: fixed values.
+#: Parameters of the built-in effects: (effect, id, name, low, high, default, curve, style). Ids have four characters; an exponential
+#: curve has its power; a choice lists its names, of which the default is one: fixed values.
+CHOICES = {
+    ("gain", "dcfm"): ("Off", "Slow", "Default", "Fast"),
+    ("distortion", "type"): ("Soft Clip", "Hard Clip", "Diode", "Fuzz", "Fold"),
+    ("filter", "type"): ("Lowpass", "Bandpass", "Bandstop", "Highpass"),
+    ("delay", "mode"): ("Stereo", "Ping Pong"),
+    ("delay", "ftyp"): ("Lowpass", "Bandpass", "Highpass"),
+    ("delay", "lfos"): ("Sine", "Triangle", "Ramp Up", "Ramp Down", "Square", "Random", "Smooth Random"),
+    ("chorus", "fltt"): ("Lowpass", "Bandpass", "Highpass"),
+    ("pan", "invl"): ("Off", "On"),
+    ("pan", "invr"): ("Off", "On"),
+}
 PARAMETERS = (
-    ("gain", "gain", "Gain", 0.000001, 15.85, 1.0, "decibel", "gain"),
-    ("pan", "pan ", "Panning", -1.0, 1.0, 0.0, "linear", "pan"),
+    ("gain", "gain", "Gain", 0.000001, 15.848932, 1.0, "decibel", "gain"),
+    ("gain", "dcfm", "DC Filter", 0.0, 3.0, 0.0, "choice", "choice"),
+    ("pan", "pan ", "Pan", -1.0, 1.0, 0.0, "linear", "pan"),
     ("pan", "wdth", "Width", 0.0, 2.0, 1.0, "linear", "percent"),
-    ("distortion", "driv", "Drive", 0.0, 4.0, 0.0, "linear", "percent"),
+    ("pan", "invl", "Invert L", 0.0, 1.0, 0.0, "choice", "choice"),
+    ("pan", "invr", "Invert R", 0.0, 1.0, 0.0, "choice", "choice"),
+    ("distortion", "type", "Type", 0.0, 4.0, 2.0, "choice", "choice"),
+    ("distortion", "driv", "Drive", 0.0, 4.0, 0.0, "linear", "plain"),
     ("distortion", "mix ", "Mix", 0.0, 1.0, 1.0, "linear", "percent"),
-    ("filter", "cuto", "Cutoff", 20.0, 20000.0, 20000.0, "exponential", "plain"),
-    ("filter", "fltq", "Q", 0.001, 4.0, 0.707, "linear", "plain"),
-    ("reverb", "room", "Room size", 0.0, 1.0, 0.6, "linear", "percent"),
-    ("reverb", "wet ", "Wet", 0.0, 1.0, 0.35, "linear", "percent"),
-    ("compressor", "thrs", "Threshold", -60.0, 0.0, -12.0, "linear", "decibels"),
+    ("filter", "type", "Type", 0.0, 3.0, 0.0, "choice", "choice"),
+    ("filter", "cuto", "Cutoff", 20.0, 20000.0, 20000.0, "exponential 2.5", "plain"),
+    ("filter", "fltq", "Resonance", 0.001, 4.0, 0.707, "linear", "plain"),
+    *((("eq", f"gan{n}", f"Gain {n}", -20.0, 20.0, 0.0, "linear", "plain")) for n in range(1, 6)),
+    *((("eq", f"frq{n}", f"Frequency {n}", 20.0, 20000.0, hz, "exponential 2.5", "plain")) for n, hz in enumerate((100.0, 1000.0, 4000.0, 8000.0, 12000.0), 1)),
+    *((("eq", f"bw_{n}", f"Bandwidth {n}", 0.0001, top, top, "linear", "plain")) for n, top in enumerate((1.0, 4.0, 4.0, 4.0, 1.0), 1)),
+    ("compressor", "thrs", "Threshold", -60.0, 0.0, -12.0, "linear", "plain"),
     ("compressor", "rato", "Ratio", 1.0, 20.0, 8.0, "linear", "ratio"),
-    ("gate", "thrs", "Threshold", -60.0, 0.0, -30.0, "linear", "decibels"),
+    ("compressor", "knee", "Knee", 0.0, 12.0, 3.0, "linear", "plain"),
+    ("compressor", "attk", "Attack", 0.001, 0.5, 0.02, "linear", "plain"),
+    ("compressor", "rels", "Release", 0.1, 2.0, 2.0, "linear", "plain"),
+    ("compressor", "gain", "Makeup Gain", -24.0, 24.0, 6.0, "linear", "plain"),
+    ("compressor", "look", "Lookahead", 0.001, 0.2, 0.04, "linear", "plain"),
+    ("gate", "thrs", "Threshold", -60.0, 0.0, -30.0, "linear", "plain"),
+    ("gate", "attk", "Attack", 0.001, 0.5, 0.005, "linear", "plain"),
+    ("gate", "hold", "Hold", 0.0, 2.0, 0.1, "linear", "plain"),
+    ("gate", "rels", "Release", 0.01, 2.0, 0.2, "linear", "plain"),
+    ("gate", "rnge", "Range", -60.0, 0.0, -60.0, "linear", "decibels"),
+    ("delay", "mode", "Mode", 0.0, 1.0, 0.0, "choice", "choice"),
+    ("delay", "dlay", "Delay", 1.0, 4000.0, 375.0, "linear", "plain"),
+    ("delay", "fdbk", "Feedback", 0.0, 1.0, 0.5, "linear", "percent"),
+    ("delay", "ftyp", "Filter Type", 0.0, 2.0, 0.0, "choice", "choice"),
+    ("delay", "cuto", "Filter Cutoff", 20.0, 20000.0, 6000.0, "exponential 2.5", "plain"),
+    ("delay", "driv", "Drive", 0.0, 1.0, 0.0, "linear", "percent"),
+    ("delay", "wet_", "Wet", 0.0, 1.0, 0.5, "linear", "percent"),
+    ("delay", "wdth", "Width", 0.0, 1.0, 0.5, "linear", "percent"),
+    ("delay", "lfor", "LFO Rate", 0.01, 10.0, 1.0, "exponential 2", "plain"),
+    ("delay", "lfos", "LFO Shape", 0.0, 6.0, 0.0, "choice", "choice"),
+    ("delay", "lfdt", "LFO -> Time", -1.0, 1.0, 0.0, "linear", "percent"),
+    ("delay", "ldfb", "LFO -> Feedback", -1.0, 1.0, 0.0, "linear", "percent"),
+    ("delay", "lfdf", "LFO -> Filter", -1.0, 1.0, 0.0, "linear", "percent"),
+    ("chorus", "rate", "Rate", 0.01, 10.0, 1.0, "exponential 2", "plain"),
+    ("chorus", "phas", "Phase", 0.0, math.pi, math.pi / 2, "linear", "degrees"),
+    ("chorus", "dpth", "Depth", 0.0, 1.0, 0.25, "linear", "percent"),
+    ("chorus", "fdbk", "Feedback", -1.0, 1.0, 0.5, "linear", "percent"),
+    ("chorus", "dlay", "Delay", 0.0, 100.0, 12.0, "linear", "plain"),
+    ("chorus", "wet_", "Wet", 0.0, 1.0, 0.5, "linear", "percent"),
+    ("chorus", "fltt", "Filter Type", 0.0, 2.0, 0.0, "choice", "choice"),
+    ("chorus", "fltf", "Filter Freq", 20.0, 20000.0, 20000.0, "exponential 2.5", "plain"),
+    ("chorus", "fltq", "Filter Resonance", 0.0, 1.0, 0.0, "linear", "plain"),
+    ("reverb", "room", "Room Size", 0.0, 1.0, 0.6, "linear", "percent"),
+    ("reverb", "wet ", "Wet", 0.0, 1.0, 0.35, "linear", "percent"),
 )
 
 
@@ -403,11 +521,64 @@ def parameters(spark) -> DataFrame:
     return spark.createDataFrame(list(PARAMETERS), "owner string, fourcc string, name string, low double, high double, standard double, curve string, style string")
 
 
+def _parameter(effect: str, fourcc: str) -> tuple:
+    for p in PARAMETERS:
+        if p[:2] == (effect, fourcc):
+            return p
+    raise UnknownNode(f"{effect} has no parameter {fourcc!r}")
+
+
 def parameter_value(effect: str, fourcc: str, normalised: float) -> Column:
-    """A normalised parameter in its own range; out of 0..1 is an error."""
+    """A normalised parameter in its own range, a choice by its name; out of 0..1 is an error."""
     if not 0 <= normalised <= 1:
         raise OptionError("a normalised value must be in 0..1")
-    for owner, code, _, low, high, _, curve, _ in PARAMETERS:
-        if (owner, code) == (effect, fourcc):
-            return S.denormalise(F.lit(float(normalised)), low, high, curve, *((2.5,) if curve == "exponential" else (-60.0, 24.0) if curve == "decibel" else ()))
-    raise UnknownNode(f"{effect} has no parameter {fourcc!r}")
+    *_, low, high, _, curve, _ = _parameter(effect, fourcc)
+    if curve == "choice":
+        return S.denormalise_enum(F.lit(float(normalised)), list(CHOICES[effect, fourcc]))
+    kind, *power = curve.split()
+    extra = (float(power[0]),) if power else (-60.0, 24.0) if kind == "decibel" else ()
+    return S.denormalise(F.lit(float(normalised)), low, high, kind, *extra)
+
+
+def _shape(name: str) -> str:
+    return name.lower().replace(" ", "_")
+
+
+def effect_kernel(effect: str, rate: float, **values) -> Kernel:
+    """The kernel of a built-in effect at values of its parameters, by id (blanks left out); what is not given is at its default, a
+    choice is a name or its number. Values outside their range are errors."""
+    v = {p[1].strip(): p[5] for p in PARAMETERS if p[0] == effect}
+    if not v:
+        raise UnknownNode(f"no effect {effect!r}")
+    for name, value in values.items():
+        if name not in v:
+            raise UnknownNode(f"{effect} has no parameter {name!r}")
+        names = next((c for (owner, code), c in CHOICES.items() if (owner, code.strip()) == (effect, name)), None)
+        if names and isinstance(value, str):
+            value = float([_shape(n) for n in names].index(_shape(value)))
+        low, high = next(p[3:5] for p in PARAMETERS if (p[0], p[1].strip()) == (effect, name))
+        if not low <= value <= high:
+            raise OptionError(f"{effect} {name} must be in {low}..{high}")
+        v[name] = value
+    chosen = lambda code: _shape(CHOICES[effect, code][int(v[code])])
+    match effect:
+        case "gain":
+            return K.gained(rate, v["gain"], chosen("dcfm"))
+        case "filter":
+            return K.filtered(rate, chosen("type"), v["cuto"], v["fltq"])
+        case "eq":
+            five = lambda code: [v[f"{code}{n}"] for n in range(1, 6)]
+            return K.eq5(five("gan"), [min(f, rate / 2 - 1) for f in five("frq")], five("bw_"), rate)
+        case "compressor":
+            return K.compressor(rate, v["thrs"], v["rato"], v["knee"], v["attk"], v["rels"], v["gain"], v["look"])
+        case "gate":
+            return K.gate(rate, v["thrs"], v["attk"], v["hold"], v["rels"], v["rnge"])
+        case "delay":
+            if chosen("lfos") != "sine":
+                raise OptionError("the delay's LFO is a sine here")
+            return K.delay(rate, v["dlay"], v["fdbk"], v["driv"], v["cuto"], chosen("ftyp"), v["wet_"], v["wdth"], chosen("mode") == "ping_pong", v["lfor"], v["lfdt"], v["ldfb"], v["lfdf"])
+        case "chorus":
+            return K.chorus(rate, v["rate"], v["dpth"], v["fdbk"], v["dlay"], v["wet_"], v["phas"], v["fltf"], v["fltq"], chosen("fltt"))
+        case "reverb":
+            return K.reverb(rate, v["room"], v["wet"])
+    raise OptionError(f"{effect} is an expression, not a kernel")

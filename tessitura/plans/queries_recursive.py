@@ -85,6 +85,14 @@ mono("fx_eq5", K.eq5(_eq[0], _eq[1], _eq[2], RATE), {f"b{n}{s}": 0.0 for n in ra
 mono("fx_filter_dc_chain", K.chain(K.biquad("bandpass", 10.0, RATE), K.dc_block(1.0, RATE)), {"as1": 0.0, "as2": 0.0, "x1": 0.0, "y1": 0.0},
      [*section(oracle_biquad("bandpass", 10.0, 0.707, 0.0), "x", "a"), ("n_y1", f"aout - o_x1 + {_r!r} * o_y1"), ("n_x1", "aout")], "n_y1")
 
+mono("fx_filter_bandstop", K.filtered(RATE, "bandstop", 14.0, 0.8), {"s1": 0.0, "s2": 0.0}, section(oracle_biquad("notch", 14.0, 0.8, 0.0)), "out")
+mono("fx_gain_dc", K.gained(RATE, 1.5, "slow"), _dc[0], _dc[1], "1.5 * n_y1")
+# a cutoff that jumps from 8 to 30 Hz at frame 20: the state stays, the coefficients change
+_before, _after = section(oracle_biquad("lowpass", 8.0, 0.707, 0.0), p="a"), section(oracle_biquad("lowpass", 30.0, 0.707, 0.0), p="b")
+mono("fx_filter_automated", K.automated(lambda cutoff: K.filtered(RATE, "lowpass", cutoff), {"cutoff": 8.0}, [(20, "cutoff", 30.0)]), {"s1": 0.0, "s2": 0.0},
+     [*[(k.replace("n_as", "m_as"), e.replace("o_as", "o_s")) for k, e in _before], *[(k.replace("n_bs", "m_bs"), e.replace("o_bs", "o_s")) for k, e in _after],
+      *[(f"n_{k}", f"CASE WHEN frame < 20 THEN m_a{k} ELSE m_b{k} END") for k in ("s1", "s2")], ("out", "CASE WHEN frame < 20 THEN aout ELSE bout END")], "out")
+
 # --- the parallel scan ------------------------------------------------------------------------------------------------
 
 

@@ -256,8 +256,8 @@ def _lcg(k, seed):
     return f"((({a} * 25173 + 13849) % 65536) / 32768.0 - 1)"
 
 
-_GR = f"""grains AS (SELECT n.track_id, n.note_id, i AS grain, n.on_frame + CAST(ceil(i * 2.5) AS BIGINT) AS start, CAST(8 AS BIGINT) AS length, CAST(round({_lcg('n.note_id * 131 + i', 3)} * 10) AS BIGINT) AS jitter, {_lcg('n.note_id + i', 5)} AS pan
-FROM (SELECT *, unnest(range(0, CAST(ceil((off_frame - on_frame) / 2.5) AS BIGINT))) AS i FROM notes WHERE off_frame IS NOT NULL) n)"""
+_GR = f"""grains AS (SELECT n.track_id, n.note_id, i AS grain, n.on_frame + greatest(CAST(ceil(i * 2.5) AS BIGINT) - 1, 0) AS start, CAST(8 AS BIGINT) AS length, CAST(round({_lcg('n.note_id * 131 + i', 3)} * 10) AS BIGINT) AS jitter, {_lcg('n.note_id + i', 5)} AS pan
+FROM (SELECT *, unnest(range(0, CAST(floor((off_frame - on_frame) / 2.5) AS BIGINT) + 1)) AS i FROM notes WHERE off_frame > on_frame) n WHERE n.on_frame + greatest(CAST(ceil(i * 2.5) AS BIGINT) - 1, 0) < n.off_frame)"""
 add("grain_triggers", grain_starts, f"WITH {_NOTES}, {_GR} SELECT track_id, note_id, grain, start, length, jitter, {sr('pan', 'pan')} FROM grains")
 
 
@@ -268,6 +268,56 @@ def granular(spark, sf):
 
 add("granular_mix", granular, f"""WITH {_NOTES}, {_GR}, {FLAT}, s AS (SELECT g.track_id, g.start + t.i AS frame, b.v * pow(sin(pi() * t.i / 8.0), 2) AS x, pan FROM grains g, range(0, 8) t(i), flat b WHERE b.track_id = g.note_id % (SELECT count(*) FROM embeddings) AND b.i = ((g.jitter + t.i) % 64 + 64) % 64)
 SELECT track_id, frame, {sr('sum(x * (1 - pan) / 2)', 'l')}, {sr('sum(x * (1 + pan) / 2)', 'r')} FROM s GROUP BY track_id, frame""")
+_VARIED = {"size": 90.0, "variation": 0.6, "spray": 0.2, "spread": 0.5, "direction": "random", "position": 0.3, "step": 1.5, "seed": 11}
+
+
+def granular_varied(spark, sf):
+    """Grains that vary in size, volume, pitch, place, pan and direction around a moving playhead."""
+    notes = _played(spark, sf).withColumn("pan", F.lit(0.1)).filter("off_frame IS NOT NULL")
+    g = Y.varied_grains(Y.cloud_triggers(notes, 40.0, 100.0), _buffers(spark, sf), 100.0, **_VARIED)
+    return Y.played_grains(Y.pooled(g, "track_id"), "tukey", "track_id").select("track_id", "frame", r("l"), r("r"))
+
+
+def granular_sequential(spark, sf):
+    notes = _played(spark, sf).withColumn("pan", F.lit(0.0)).filter("off_frame IS NOT NULL")
+    t = Y.sequential_triggers(notes, 100.0, "exponential", 50.0, 0.5, 4)
+    g = Y.varied_grains(t, _buffers(spark, sf), 100.0, size=50.0, variation=0.5, position=0.5, seed=4)
+    return g.select("track_id", "note_id", "grain", "start", "length", r("turn"), r("volume"), r("place"))
+
+
+def _d(k, seed=11):
+    return _lcg("n.note_id * 131 + i", seed + k)
+
+
+def _length(size, variation, seed):
+    return f"greatest(CAST(trunc({size} * ({1 - 0.75 * variation!r} + {2.75 * variation!r} * ({_d(1, seed)} + 1) / 2) * 100.0 / 1000) AS BIGINT), 2)"
+
+
+_SPEED = "pow(2.0, (n.note_id % 12) / 12.0)"
+_AT = "(SELECT count(*) FROM embeddings)"
+add("granular_varied", granular_varied, f"""WITH {_NOTES}, {FLAT}, g AS (SELECT n.track_id, n.note_id, n.note_id % {_AT} AS b, n.on_frame + greatest(CAST(ceil(i * 2.5) AS BIGINT) - 1, 0) AS start, {_length(90.0, 0.6, 11)} AS len, 0.5 * (1 - 0.6 * ({_d(2)} + 1) / 2) AS vol,
+ {_SPEED} * pow(2.0, 0.6 * ({_d(3)} / 2 + {_d(4)} / 2) / 12) * CASE WHEN {_d(6)} < 0 THEN -1 ELSE 1 END AS turn, 0.3 + greatest(CAST(ceil(i * 2.5) AS BIGINT) - 1, 0) * 1.5 / 64 + 0.2 * {_d(5)} * 100.0 / 64 AS place, greatest(least(0.1 + 0.5 * {_d(7)}, 1), -1) AS pan, n.off_frame
+ FROM (SELECT *, unnest(range(0, CAST(floor((off_frame - on_frame) / 2.5) AS BIGINT) + 1)) AS i FROM notes WHERE off_frame > on_frame) n),
+t AS (SELECT *, start + k AS frame, least(k * 1.0 / len * {2047 / 2048!r}, 1 - k * 1.0 / len * {2047 / 2048!r}) AS edge, (place - floor(place)) + k * turn / 64 AS p FROM (SELECT *, unnest(range(0, len)) AS k FROM g WHERE start < off_frame)),
+w AS (SELECT *, vol * CASE WHEN edge < 0.25 THEN 0.5 * (1 - cos(4 * pi() * edge)) ELSE 1 END AS w, (p - floor(p)) * 63 AS z FROM t),
+q AS (SELECT w.*, z - floor(z) AS f, a.v AS y0, b1.v AS y1, c.v AS y2, d.v AS y3 FROM w JOIN flat a ON a.track_id = w.b AND a.i = (CAST(floor(z) AS INT) + 63) % 64 JOIN flat b1 ON b1.track_id = w.b AND b1.i = CAST(floor(z) AS INT) JOIN flat c ON c.track_id = w.b AND c.i = (CAST(floor(z) AS INT) + 1) % 64 JOIN flat d ON d.track_id = w.b AND d.i = (CAST(floor(z) AS INT) + 2) % 64 WHERE w > 0.001),
+x AS (SELECT *, w * ((-0.5 * y0 + 1.5 * y1 - 1.5 * y2 + 0.5 * y3) * f * f * f + (y0 - 2.5 * y1 + 2.0 * y2 - 0.5 * y3) * f * f + (0.5 * y2 - 0.5 * y0) * f + y1) AS x FROM q)
+SELECT track_id, frame, {sr('sum(x * (1 - pan) / 2)', 'l')}, {sr('sum(x * (1 + pan) / 2)', 'r')} FROM x GROUP BY track_id, frame""")
+add("granular_sequential", granular_sequential, f"""WITH {_NOTES}, g AS (SELECT n.*, {_length(50.0, 0.5, 4)} AS length, {_SPEED} * pow(2.0, 0.5 * ({_d(3, 4)} / 2 + {_d(4, 4)} / 2) / 12) AS turn, 0.5 * (1 - 0.5 * ({_d(2, 4)} + 1) / 2) AS vol FROM (SELECT *, unnest(range(0, off_frame - on_frame)) AS i FROM notes WHERE off_frame > on_frame) n),
+s AS (SELECT *, on_frame + coalesce(sum(CAST(ceil(length * 0.8) AS BIGINT)) OVER (PARTITION BY track_id, note_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM g)
+SELECT track_id, note_id, i AS grain, CAST(start AS BIGINT) AS start, length, {sr('turn', 'turn')}, {sr('vol', 'volume')}, {sr('0.5', 'place')} FROM s WHERE start < off_frame""")
+
+
+def sampler_pan(spark, sf):
+    notes = _played(spark, sf).withColumn("pan", (F.col("note_id") % 5 - 2) / 2.0)
+    out = Y.sampled(notes, _buffers(spark, sf), None, 100.0, "track_id")
+    return M.mixdown(out, ["track_id", "frame"], ["l", "r"]).select("track_id", "frame", r("l"), r("r"))
+
+
+add("sampler_pan", sampler_pan, f"""WITH {_NOTES}, {FLAT}, p AS (SELECT n.*, n.note_id % {_AT} AS b, {_SPEED} AS speed, (n.note_id % 5 - 2) / 2.0 AS pan FROM notes n),
+s AS (SELECT p.*, t.i AS t, floor(t.i * speed) AS low, t.i * speed - floor(t.i * speed) AS part FROM p, range(0, 64) t(i) WHERE t.i <= floor(62 / speed)),
+l AS (SELECT s.track_id, s.on_frame + s.t AS frame, (a.v * (1 - part) + c.v * part) * 0.5 AS x, pan FROM s JOIN flat a ON a.track_id = s.b AND a.i = s.low JOIN flat c ON c.track_id = s.b AND c.i = s.low + 1)
+SELECT track_id, frame, {sr('sum(x * sqrt(1 - pan))', 'l')}, {sr('sum(x * sqrt(1 + pan))', 'r')} FROM l GROUP BY track_id, frame""")
 add("tones", lambda spark, sf: Y.tone(spark.range(1, 9).select(F.col("id").alias("track_id"), (F.col("id") * 3.7).alias("hz")), 64, 100.0, "saw").select("track_id", "frame", r("x")),
     f"SELECT t.t AS track_id, k.i AS frame, {sr('2 * fmod(k.i * (t.t * 3.7) / 100.0, 1.0) - 1', 'x')} FROM range(1, 9) t(t), range(0, 64) k(i)")
 
@@ -290,3 +340,17 @@ m AS (SELECT key, 'pitch' AS target, frame, (x - 0.5) * 2 * 0.5 AS v FROM v WHER
 SELECT key, target, frame, {sr('sum(v)', 'value')} FROM m GROUP BY key, target, frame""")
 add("mod_sources", lambda spark, sf: _notes(spark, sf).select("track_id", "note_id", r(S.keytracked(F.col("note_id") % 128), "keytrack"), r(S.velocity(F.col("note_id") % 100, 99.0), "velocity")),
     f"WITH {_NOTES} SELECT track_id, note_id, {sr('(note_id % 128) / 127.0', 'keytrack')}, {sr('(note_id % 100) / 99.0', 'velocity')} FROM notes")
+by_frame("frequency_glide", lambda f, x: {"y": A.frequency_glide(f, 220.0, 330.0, 24.0, 100.0)}, {"y": f"CASE WHEN frame >= {int(abs(12 * math.log2(1.5)) / 24.0 * 100)} THEN 330.0 ELSE 220.0 + 110.0 * frame / {int(abs(12 * math.log2(1.5)) / 24.0 * 100)} END"})
+_MOTIONS = [(10, "speed", 0.5), (30, "seek", 5.0), (30, "speed", 2.0)]
+
+
+def seek_and_speed(spark, sf):
+    """Tracks that slow down at frame 10, and jump to 5 and double their speed at frame 30."""
+    segments = R.speed_segments(1.0, _MOTIONS, 100)
+    return R.varispeed(T.event_signal(spark, sf), "track_id", segments, ["x"]).select("track_id", "frame", r("x"))
+
+
+add("seek_and_speed", seek_and_speed, f"""WITH {EVENTS}, n AS (SELECT track_id, max(frame) AS last FROM sig GROUP BY track_id),
+g AS (SELECT track_id, unnest(range(0, 60 + last)) AS frame, last FROM n), p AS (SELECT *, CASE WHEN frame < 10 THEN frame WHEN frame < 30 THEN 10 + (frame - 10) * 0.5 ELSE 5 + (frame - 30) * 2 END AS p FROM g),
+t AS (SELECT p.*, p - floor(p) AS f, coalesce(a.x, 0) AS a, b.x AS b, c.x AS c, coalesce(d.x, 0) AS d FROM p LEFT JOIN sig a ON a.track_id = p.track_id AND a.frame = floor(p) - 1 JOIN sig b ON b.track_id = p.track_id AND b.frame = floor(p) JOIN sig c ON c.track_id = p.track_id AND c.frame = floor(p) + 1 LEFT JOIN sig d ON d.track_id = p.track_id AND d.frame = floor(p) + 2)
+SELECT track_id, frame, {sr('b + f * ((c - a) / 2 + f * (a - 2.5 * b + 2 * c - 0.5 * d + f * ((d - a) / 2 + 1.5 * (b - c))))', 'x')} FROM t""")

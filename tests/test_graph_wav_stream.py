@@ -144,6 +144,62 @@ def test_kernels_ring_through_silence(spark):
     assert np.allclose(g.compile().orderBy("frame").toPandas()[["l", "r"]], K.run(K.biquad("lowpass", 100, 1000), x)[0][:, 0])
 
 
+def test_generators_and_builtin_effects(spark):
+    g = G.Graph(rate=100)
+    notes = spark.createDataFrame([(1, 0, 0, 20, 1.0, 0.5, 0.0), (2, 0, 5, None, 2.0, 0.5, 1.0)], "note_id long, buffer_id long, on_frame long, off_frame long, speed double, volume double, pan double")
+    buffers = spark.createDataFrame([(0, [float(k) for k in range(50)])], "buffer_id long, samples array<double>")
+    g.add_sampler(notes, buffers)
+    out = g.compile().orderBy("frame").toPandas().set_index("frame")
+    assert out["l"][4] == pytest.approx(2.0) and out["r"][10] == pytest.approx(5.0 + 0.5 * 10 * np.sqrt(2)) and out["l"][10] == pytest.approx(5.0)
+    one = G.Graph(rate=100)
+    one.add_sampler(notes, buffers, voices=1)  # the second note takes the voice of the first
+    assert one.compile().orderBy("frame").toPandas().set_index("frame")["l"][10] == pytest.approx(0.0)
+    g = G.Graph(rate=100)
+    g.add_synth(spark, "saw", 10.0, 0.5)
+    g.add_granular(notes.filter("off_frame IS NOT NULL"), buffers, density=20.0, size=50.0)
+    assert g.compile().count() == 50
+    g = G.Graph(rate=1000)
+    g.add_track(spark.range(300).select(F.col("id").alias("frame"), F.sin(F.col("id") / 5.0).alias("x")))
+    for effect in ("gain", "filter", "eq", "compressor", "gate", "delay", "chorus", "reverb"):
+        g.add_builtin(G.ROOT, effect)
+    e = g.add_builtin(G.ROOT, "filter", type="bandstop", cuto=100.0)
+    g.set_parameter(e, 50, "cuto", 200.0)
+    d = g.add_builtin(G.ROOT, "delay", mode="Ping Pong", dlay=20.0)
+    g.reset_effect(d, 100)
+    assert np.isfinite(g.compile().toPandas()[["l", "r"]].to_numpy()).all()
+    for bad in ({"cuto": 1.0}, {"type": 9.0}):
+        with pytest.raises(G.OptionError):
+            G.effect_kernel("filter", 1000, **bad)
+    with pytest.raises(G.UnknownNode):
+        G.effect_kernel("filter", 1000, size=1.0)
+    assert spark.range(1).select(G.parameter_value("delay", "mode", 1.0)).first()[0] == "Ping Pong"
+    assert spark.range(1).select(G.parameter_value("delay", "lfor", 0.5)).first()[0] == pytest.approx(0.01 + 0.25 * 9.99)
+
+
+def test_buses_alone_and_master_volume(spark):
+    g = G.Graph(rate=1000)
+    a = g.add_bus()
+    b = g.add_bus(a)
+    g.add_track(ramp(spark, 20), a)
+    g.add_track(ramp(spark, 20, 10.0), b)
+    g.add_track(ramp(spark, 20, 100.0))
+    at = lambda k: g.compile(k).orderBy("frame").toPandas()["l"][2]
+    assert (at(b), at(a), at(G.ROOT)) == (20.0, 22.0, 222.0)
+    g.add_effect(a, "half", apply=lambda s: FX.gain(s, 20 * np.log10(0.5)))
+    assert at(b) == 20.0 and np.allclose([at(a), at(G.ROOT)], [11.0, 211.0])
+    assert sorted((r["bus"], r["channel"]) for r in g.levels(1.0, [a, b]).collect()) == [(a, "l"), (a, "r"), (b, "l"), (b, "r")]
+    g = G.Graph(rate=44100)
+    g.add_track(spark.range(3000).select(F.col("id").alias("frame"), F.lit(1.0).alias("x")))
+    g.set_master(1000, 0.0), g.set_master(2000, 0.5)
+    got = g.compile().orderBy("frame").toPandas()["l"].to_numpy()
+    want, now, target = [], 1.0, 1.0
+    for k in range(3000):
+        target = {1000: 0.0, 2000: 0.5}.get(k, target)
+        want.append(now)
+        now += (target - now) / 256
+    assert np.allclose(got, want)
+
+
 def test_wav_round_trip(spark, tmp_path):
     x = np.random.default_rng(5).uniform(-1, 1, (300, 2)).astype("f4")
     (tmp_path / "a.wav").write_bytes(wav.wav_bytes(x, 22050, (10, 200)))

@@ -223,7 +223,7 @@ def test_tails():
 
 
 def test_sequential_grains_follow_their_window():
-    assert Y.sequential_starts(100, "tukey", 3) == [0, 50, 100] and Y.sequential_starts(100, "exponential", 3) == [0, 80, 160] and Y.sequential_starts(100, "trapezoid", 2) == [0, 90]
+    assert Y.sequential_starts(100, "tukey", 3) == [0, 50, 100] and Y.sequential_starts(101, "hann", 3) == [0, 51, 102] and Y.sequential_starts(100, "exponential", 3) == [0, 80, 160] and Y.sequential_starts(100, "trapezoid", 2) == [0, 90]
 
 
 def test_automated_parameters():
@@ -237,3 +237,19 @@ def test_automated_parameters():
     assert np.allclose(got, np.concatenate(parts))
     slow = K.run(K.automated(make, {"cutoff": 300.0}, [(100, "cutoff", 2000.0)], 0.01, RATE), x)[0]
     assert np.allclose(slow[:100], got[:100]) and not np.allclose(slow[100:110], got[100:110])
+
+
+def test_a_reset_silences_an_effect():
+    make = lambda feedback: K.delay(1000.0, 5.0, feedback, cutoff=400.0)
+    x = np.zeros((60, 1, 2))
+    x[0] = 1.0
+    kept = K.run(K.automated(make, {"feedback": 0.9}, []), x)[0]
+    got = K.run(K.automated(make, {"feedback": 0.9}, [(20, K.RESET, 0.0)]), x)[0]
+    assert np.allclose(kept[:20], got[:20]) and np.abs(kept[20:]).max() > 1e-3 and np.abs(got[20:]).max() == 0
+
+
+def test_a_full_pool_plays_no_more_grains(spark):
+    rows = [(1, 1, k, k, 10) for k in range(30)] + [(1, 2, k, 5 * k, 10) for k in range(4)]
+    grains = spark.createDataFrame(rows, "track_id int, note_id int, grain int, start long, length long")
+    kept = sorted((r["note_id"], r["grain"]) for r in Y.pooled(grains, "track_id", 3).collect())
+    assert kept == [(1, k) for k in range(30) if k % 10 < 3] + [(2, k) for k in range(4)]
