@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,32 +17,38 @@ class WavError(ValueError):
     """A file that is no WAV file, or of an encoding that isn't supported."""
 
 
-def chunks(data: bytes):
-    """(id, start, size) of the chunks of a RIFF file."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
-        raise WavError("no RIFF/WAVE header")
-    at = 12
-    while at + 8 <= len(data):
-        size = struct.unpack_from("<I", data, at + 4)[0]
-        yield data[at : at + 4], at + 8, min(size, len(data) - at - 8)
-        at += 8 + size + size % 2
+#: Bytes of a chunk besides samples that are read at most.
+CHUNK = 4096
 
 
 def info(data: bytes) -> dict:
     """Format, frames and the first forward loop of a file; a loop's end is exclusive."""
+    return header(lambda at, n: data[at : at + n], len(data))
+
+
+def header(read: Callable[[int, int], bytes], length: int) -> dict:
+    """The same of a file that read(place, bytes) gives a part of: only the chunks' heads and the small chunks are read."""
+    first = read(0, 12)
+    if first[:4] != b"RIFF" or first[8:12] != b"WAVE":
+        raise WavError("no RIFF/WAVE header")
     out = {"rate": None, "channels": None, "bits": None, "frames": 0, "loop_start": None, "loop_end": None, "loops": 0, "kind": None, "start": 0, "size": 0}
-    for name, at, size in chunks(data):
+    at = 12
+    while at + 8 <= length:
+        name, size = struct.unpack("<4sI", read(at, 8))
+        start, size = at + 8, min(size, length - at - 8)
+        body = b"" if name == b"data" else read(start, min(size, CHUNK))
         if name == b"fmt ":
-            out["kind"], out["channels"], out["rate"], _, _, out["bits"] = struct.unpack_from("<HHIIHH", data, at)
+            out["kind"], out["channels"], out["rate"], _, _, out["bits"] = struct.unpack_from("<HHIIHH", body)
             if out["kind"] == 0xFFFE and size >= 40:
-                out["kind"] = struct.unpack_from("<H", data, at + 24)[0]
+                out["kind"] = struct.unpack_from("<H", body, 24)[0]
         elif name == b"data":
-            out["start"], out["size"] = at, size
+            out["start"], out["size"] = start, size
         elif name == b"smpl" and size >= 36:
-            out["loops"] = struct.unpack_from("<I", data, at + 28)[0]
+            out["loops"] = struct.unpack_from("<I", body, 28)[0]
             if out["loops"] and size >= 60:
-                first, last = struct.unpack_from("<II", data, at + 36 + 8)
-                out["loop_start"], out["loop_end"] = first, last + 1
+                begin, last = struct.unpack_from("<II", body, 36 + 8)
+                out["loop_start"], out["loop_end"] = begin, last + 1
+        at = start + size + size % 2
     if not out["channels"] or not out["bits"]:
         raise WavError("no format chunk")
     out["frames"] = out["size"] // (out["channels"] * out["bits"] // 8)
@@ -51,7 +58,11 @@ def info(data: bytes) -> dict:
 def samples(data: bytes) -> tuple[np.ndarray, dict]:
     """(frames, channels) in -1..1 and the file's info."""
     about = info(data)
-    raw = data[about["start"] : about["start"] + about["frames"] * about["channels"] * about["bits"] // 8]
+    return decoded(data[about["start"] : about["start"] + about["frames"] * about["channels"] * about["bits"] // 8], about), about
+
+
+def decoded(raw: bytes, about: dict) -> np.ndarray:
+    """(frames, channels) of a stretch of whole frames of a file."""
     kind, bits = about["kind"], about["bits"]
     if kind == 3 and bits in (32, 64):
         x = np.frombuffer(raw, "<f4" if bits == 32 else "<f8").astype(float)
@@ -64,7 +75,7 @@ def samples(data: bytes) -> tuple[np.ndarray, dict]:
         x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / float(1 << 23)
     else:
         raise WavError(f"encoding {kind} with {bits} bits isn't supported")
-    return x.reshape(-1, about["channels"]), about
+    return x.reshape(-1, about["channels"])
 
 
 def wav_bytes(x: np.ndarray, rate: int, loop: tuple[int, int] | None = None) -> bytes:
@@ -80,38 +91,25 @@ def wav_bytes(x: np.ndarray, rate: int, loop: tuple[int, int] | None = None) ->
     return b"RIFF" + struct.pack("<I", len(whole)) + whole
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
-
-
 def read_info(spark: SparkSession, path: str) -> DataFrame:
-    """(path, rate, channels, bits, frames, loop_start, loop_end, loops) of each file below path."""
-
-    def run(batches):
-        names = [c.split()[0] for c in INFO.split(", ")]
-        for batch in batches:
-            found = [info(c.as_py()) for c in batch.column(1)]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[n] for f in found], k) for n, k in zip(names, kinds)]], ["path", *names])
+    """(path, rate, channels, bits, frames, loop_start, loop_end, loops) of each file below path; of a file only its heads are read."""
+    register(spark)
+    return spark.read.format("wav").option("info", "true").load(path)
 
-    return _files(spark, path).select("path", "content").mapInArrow(run, f"path string, {INFO}")
 
+def read_frames(spark: SparkSession, path: str, block: int = 65536, first: int = 0, count: int | None = None) -> DataFrame:
+    """(path, rate, first_frame, channels, samples): interleaved blocks of each file, in the order of frames; `first` and `count`
+    limit the frames, and no others are read."""
+    register(spark)
+    reader = spark.read.format("wav").option("block", str(block)).option("first", str(first))
+    return (reader if count is None else reader.option("count", str(count))).load(path)
 
-def read_frames(spark: SparkSession, path: str, block: int = 65536) -> DataFrame:
-    """(path, rate, first_frame, channels, samples): interleaved blocks of each file, in the order of frames."""
 
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(*batch.columns):
-                x, about = samples(content.as_py())
-                for a in range(0, len(x), block):
-                    own = x[a : a + block].reshape(-1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.as_py()]), pa.array([about["rate"]], pa.int32()), pa.array([a], pa.int64()), pa.array([x.shape[1]], pa.int32()), pa.array([own], pa.list_(pa.float64()))],
-                        ["path", "rate", "first_frame", "channels", "samples"],
-                    )
+def register(spark: SparkSession) -> None:
+    """Makes the format `wav` known to a session, for spark.read and df.write."""
+    from tessitura.sources.wavsource import WavSource
 
-    return _files(spark, path).select("path", "content").mapInArrow(run, "path string, rate int, first_frame long, channels int, samples array<double>")
+    spark.dataSource.register(WavSource)
 
 
 def as_signal(blocks: DataFrame) -> DataFrame:

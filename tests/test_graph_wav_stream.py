@@ -218,6 +218,18 @@ def test_wav_round_trip(spark, tmp_path):
     assert np.array_equal(wav.samples(bytes(back))[0].astype("f4"), x)
     with pytest.raises(wav.WavError):
         wav.info(b"no wav")
+    part = wav.read_frames(spark, f"{tmp_path}/a.wav", 64, 100, 150).orderBy("first_frame").collect()
+    assert [r["first_frame"] for r in part] == [100, 164, 228] and sum(len(r["samples"]) for r in part) == 300
+    assert np.array_equal(np.concatenate([r["samples"] for r in part]).astype("f4"), x[100:250].ravel())
+    seen = []
+    data = (tmp_path / "a.wav").read_bytes()
+    wav.header(lambda at, n: seen.append(n) or data[at : at + n], len(data))
+    assert sum(seen) < 200  # heads and small chunks alone
+    two = signal.filter("path LIKE '%a.wav'").select(F.lit("left").alias("key"), "frame", "l", "r").unionByName(signal.filter("path LIKE '%b.wav'").select(F.lit("right").alias("key"), "frame", "l", "r"))
+    two.repartition(2, "key").sortWithinPartitions("key", "frame").write.format("wav").option("rate", 22050).mode("append").save(f"{tmp_path}/out")
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["left.wav", "right.wav"]
+    assert np.array_equal(wav.samples((tmp_path / "out" / "left.wav").read_bytes())[0].astype("f4"), x)
+    assert {r["frames"] for r in wav.read_info(spark, f"{tmp_path}/out").collect()} == {300, 3}
 
 
 def test_streaming_fold_equals_batch(spark, tmp_path):
