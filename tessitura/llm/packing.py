@@ -19,6 +19,13 @@ MEMO_WORDS = 400_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
+#: Texts that a vocabulary must encode as its words one by one, for WordIds to be right: marks, digits, other letters and white space.
+PROBES = (
+    "The quick brown fox, it isn't here.", " two  spaces\nand\n\nlines ", "Größe ÄÖÜ façade Ünïcode, naïve.", "x=1; y[2] != 3.14 -- (a_b)", "\ttab\rreturn\x0bvertical", "日本語 テスト 🙂 emoji",
+    "UPPER lower MiXeD WORDs.", "it's we're I'll don't 'quoted'", "e-mail: a.b@c.de http://x.y/z?q=1", "1234567 12,345.67 50% $9.99 #tag", "no\u00a0break \u2014 dash\u2026", "",
+)
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies show for each byte: printable bytes are themselves, others follow from 256 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -40,6 +47,10 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.latin = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.marks = {m: self._whole(m) for m in ("", ".", ",")}
+        for text in PROBES:
+            own = b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+            if own != self._whole(text):
+                raise ValueError("this vocabulary does not encode word by word")
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()

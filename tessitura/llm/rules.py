@@ -48,8 +48,9 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
+# letters by the first byte of their code points: ASCII, and U+00C0 to U+1FFF and U+3000 to U+D7FF, which leaves out dashes, symbols and emoji
 _LETTER = np.zeros(256, bool)
-_LETTER[[b for b in range(256) if b >= 0xC3 or chr(b).isalpha() and b < 128]] = True
+_LETTER[[b for b in range(256) if 0xC3 <= b <= 0xE1 or 0xE3 <= b <= 0xED or chr(b).isalpha() and b < 128]] = True
 
 
 def _covered(flags: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -119,9 +120,10 @@ def ledger(docs: DataFrame) -> DataFrame:
     """docs without text, with one long column per measure and `failed`, the bits of the rules that fail.
 
     Whole texts are measured in one map over batches; null text counts as empty and fails few_words. Rows with equal or null
-    doc_id are measured each for itself; clashing extra columns are the caller's to drop.
+    doc_id are measured each for itself; columns of docs with the names of measures or `failed` give way to the new ones; empty
+    tables give none.
     """
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "failed", *MEASURES)]
 
     def run(batches):
         for batch in batches:
@@ -178,7 +180,7 @@ c AS (SELECT doc_id, count(DISTINCT p + k.k) AS again FROM (SELECT *, count(*) O
 m AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(l.dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.again, 0) AS BIGINT) AS n_repeat_words,
-    len(string_split(t, chr(10))) AS n_lines, len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z\\x{{C0}}-\\x{{10FFFF}}]'))) AS n_letter_words,
+    len(string_split(t, chr(10))) AS n_lines, len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z\\x{{C0}}-\\x{{1FFF}}\\x{{3000}}-\\x{{D7FF}}]'))) AS n_letter_words,
     len(list_filter(ws, lambda x: len(regexp_extract_all(x, '[A-Z]')) > 1 AND 2 * len(regexp_extract_all(x, '[A-Z]')) > strlen(x))) AS n_upper_words
   FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,

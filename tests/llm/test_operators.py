@@ -71,6 +71,17 @@ def test_packing_odd(odd, empty, ids):
     assert packing.binary_lengths(4096 * 2 + 5, 4096) == [4096, 4096, 4, 1]
 
 
+def test_a_vocabulary_that_is_not_word_by_word_is_turned_down(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = {c: k for k, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
+    other = Tokenizer(models.BPE(letters, []))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)  # keeps the white space
+    other.save(f"{tmp_path}/other.json")
+    with pytest.raises(ValueError, match="word by word"):
+        packing.WordIds(f"{tmp_path}/other.json")
+
+
 def test_op2(spark, docs):
     out = sharding.op2_kd_shards(spark, SF).toPandas()
     size = docs.text.fillna("").str.encode("utf-8").str.len() + 16
@@ -355,6 +366,16 @@ def test_rules(spark, odd, empty, duck):
     kept = rules.apply_policy(found, rules.BASE)
     assert kept.count() == len(ODD) and "text" not in kept.columns
     assert kept.filter("doc_id IN (2, 3, 4, 5) AND kept").count() == 0
+    whole = rules.ledger(spark.read.parquet(f"{SF}/documents.parquet"))
+    bits = [r["failed"] for r in whole.select("failed").collect()]
+    for policy in (rules.BASE, rules.STANDARD):
+        for row in rules.ablations(whole, policy).collect():
+            k = [name for name, _ in rules.RULES].index(row["rule"])
+            assert row["n_failed"] == sum(b >> k & 1 for b in bits) and row["n_only"] == sum(b & policy.mask == 1 << k for b in bits)
+    clash = rules.ledger(odd.withColumn("n_words", F.lit("x")))
+    assert clash.columns.count("n_words") == clash.columns.count("failed") == 1 and clash.filter("doc_id = 6").first()["n_words"] == 400
+    symbols = rules.ledger(spark.createDataFrame([(1, "🙂🙂 — … ✓ a é 日 ж")], "doc_id long, text string")).first()
+    assert symbols["n_letter_words"] == 4
     table = {r["rule"]: r for r in rules.ablations(found, rules.BASE).collect()}
     assert table["few_words"]["n_failed"] == found.filter("n_words < 10").count() >= table["few_words"]["n_only"]
     assert rules.ledger(empty.drop("failed")).count() == 0 and rules.ablations(rules.ledger(empty.drop("failed")), rules.BASE).first()["n_failed"] == 0
