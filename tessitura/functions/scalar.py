@@ -242,6 +242,24 @@ def oscillator(phase: Column, shape: str, width: float = 0.5) -> Column:
     raise ValueError(f"unknown shape {shape}")
 
 
+def bandlimited(phase: Column, hz: Column, rate: float, shape: str, width: float = 0.5) -> Column:
+    """The same waves from their harmonics under half the rate, so that none folds back."""
+    count = F.greatest(F.floor(rate / 2 / hz), F.lit(1)).cast("int")
+
+    def series(p: Column, term) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), count), F.lit(0.0), lambda s, k: s + term(k, F.sin(2 * math.pi * k * p)))
+
+    saw = lambda p: series(p, lambda k, s: s / k) * (-2 / math.pi)
+    if shape == "saw":
+        return saw(phase)
+    if shape == "pulse":
+        return saw(phase) - saw(phase + width)
+    if shape == "triangle":
+        odd = lambda k, s: F.when(k % 4 == 1, s / (k * k)).when(k % 4 == 3, -s / (k * k)).otherwise(F.lit(0.0))
+        return series(phase, odd) * (8 / math.pi**2)
+    return oscillator(phase, shape, width)
+
+
 def grain_window(p: Column, shape: str) -> Column:
     """Window of a grain at a place in 0..1."""
     tau = 2 * math.pi

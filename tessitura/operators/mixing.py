@@ -110,6 +110,12 @@ def meter(signal: DataFrame, keys: list[str], size: int, channels: list[str]) ->
     return level.withColumns({"peak_db": db("peak"), "rms_db": db("rms")})
 
 
+def meter_in_time(samples: DataFrame, keys: list[str], window: str, x: str = "x") -> DataFrame:
+    """Peak and RMS of samples(keys, ts, x) over tumbling windows of time: keys, start, peak, rms."""
+    levels = samples.groupBy(*keys, F.window("ts", window).alias("w")).agg(F.max(F.abs(x)).alias("peak"), F.sqrt(F.avg(F.col(x) * F.col(x))).alias("rms"))
+    return levels.select(*keys, F.col("w.start").alias("start"), "peak", "rms")
+
+
 def waveform(signal: DataFrame, keys: list[str], points: int, x: str, rate: float) -> DataFrame:
     """(keys, bucket, time, low, high) of at most `points` buckets of a track; a shorter track has a point per frame.
 

@@ -231,8 +231,9 @@ def granular(grains: DataFrame, buffers: DataFrame, window: str, key: str, place
     return parts.groupBy(key, "frame").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
 
 
-def tone(tracks: DataFrame, frames: int, rate: float, shape: str, width: float = 0.5) -> DataFrame:
-    """(track_id, frame, x): an oscillator for each of tracks(track_id, hz)."""
+def tone(tracks: DataFrame, frames: int, rate: float, shape: str, width: float = 0.5, bandlimited: bool = False) -> DataFrame:
+    """(track_id, frame, x): an oscillator for each of tracks(track_id, hz), naive or band-limited."""
     spread = tracks.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(frames - 1).cast("long"))))
     phase = F.pmod(F.col("frame") * F.col("hz") / rate, F.lit(1.0))
-    return spread.select("track_id", "frame", S.oscillator(phase, shape, width).alias("x"))
+    x = S.bandlimited(phase, F.col("hz"), rate, shape, width) if bandlimited else S.oscillator(phase, shape, width)
+    return spread.select("track_id", "frame", x.alias("x"))

@@ -235,7 +235,7 @@ add("tree_paths", tree_paths, "SELECT CAST(0 AS BIGINT) AS mixer_id, 0 AS depth,
 add("meter_tumbling", lambda spark, sf: M.meter(T.embedding_signal(spark, sf), ["track_id"], 8, ["l", "r"]).select("track_id", "window_start", "channel", *[r(c) for c in ("peak", "rms", "peak_db", "rms_db")]),
     f"""WITH {EMBED}, c AS (SELECT track_id, frame, 'l' AS channel, l AS x FROM emb UNION ALL SELECT track_id, frame, 'r', r FROM emb)
 SELECT track_id, frame // 8 * 8 AS window_start, channel, {sr('max(abs(x))', 'peak')}, {sr('sqrt(avg(x*x))', 'rms')}, {sr('20 * log10(max(abs(x)))', 'peak_db')}, {sr('20 * log10(sqrt(avg(x*x)))', 'rms_db')} FROM c GROUP BY track_id, frame // 8, channel""")
-add("meter_by_day", lambda spark, sf: T.timed_events(spark, sf).groupBy(F.window("ts", "1 day").alias("w"), "type").agg(F.max(F.abs("x")).alias("peak"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "type", r("peak"), r("rms")),
+add("meter_by_day", lambda spark, sf: M.meter_in_time(T.timed_events(spark, sf), ["type"], "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "type", r("peak"), r("rms")),
     f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS type, {sr('max(abs(value / 500.0))', 'peak')}, {sr('sqrt(avg(value / 500.0 * value / 500.0))', 'rms')} FROM events GROUP BY 1, 2")
 _WAVE = "b AS (SELECT *, max(frame) OVER (PARTITION BY track_id) + 1 AS n FROM sig), g AS (SELECT b.*, (SELECT max(i) FROM range(0, n) k(i) WHERE floor(i * greatest(1.0, n / 10.0)) <= frame) AS bucket FROM b)"
 add("waveform_mono", lambda spark, sf: M.waveform(T.event_signal(spark, sf), ["track_id"], 10, "x", 100.0).select("track_id", "bucket", r("time"), r("low"), r("high")),

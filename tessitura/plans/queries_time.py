@@ -321,6 +321,15 @@ SELECT track_id, frame, {sr('sum(x * sqrt(1 - pan))', 'l')}, {sr('sum(x * sqrt(1
 add("tones", lambda spark, sf: Y.tone(spark.range(1, 9).select(F.col("id").alias("track_id"), (F.col("id") * 3.7).alias("hz")), 64, 100.0, "saw").select("track_id", "frame", r("x")),
     f"SELECT t.t AS track_id, k.i AS frame, {sr('2 * fmod(k.i * (t.t * 3.7) / 100.0, 1.0) - 1', 'x')} FROM range(1, 9) t(t), range(0, 64) k(i)")
 
+_TR = "SELECT t.t AS track_id, k.i AS frame, t.t * 3.7 AS hz, fmod(k.i * (t.t * 3.7) / 100.0, 1.0) AS p FROM range(1, 9) t(t), range(0, 64) k(i)"
+for _shape, _sum in {
+    "saw": "-2 / pi() * list_sum(list_transform(range(1, n + 1), lambda k: sin(2 * pi() * k * p) / k))",
+    "triangle": "8 / (pi() * pi()) * list_sum(list_transform(range(1, n + 1), lambda k: CASE k % 4 WHEN 1 THEN sin(2 * pi() * k * p) / (k * k) WHEN 3 THEN -sin(2 * pi() * k * p) / (k * k) ELSE 0 END))",
+    "pulse": "-2 / pi() * list_sum(list_transform(range(1, n + 1), lambda k: (sin(2 * pi() * k * p) - sin(2 * pi() * k * (p + 0.3))) / k))",
+}.items():
+    add(f"tones_bandlimited_{_shape}", lambda spark, sf, _s=_shape: Y.tone(spark.range(1, 9).select(F.col("id").alias("track_id"), (F.col("id") * 3.7).alias("hz")), 64, 100.0, _s, 0.3, True).select("track_id", "frame", r("x")),
+        f"SELECT track_id, frame, {sr(_sum, 'x')} FROM (SELECT *, greatest(CAST(floor(50.0 / hz) AS BIGINT), 1) AS n FROM ({_TR}))")
+
 # --- modulation -------------------------------------------------------------------------------------------------------
 
 

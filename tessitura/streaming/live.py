@@ -5,7 +5,6 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,23 +26,26 @@ def activity(samples: DataFrame, key: str, gap: str, late: str) -> DataFrame:
 
 
 def fold(samples: DataFrame, key: str, kernel: Kernel, channels: list[str], kind: str = "long") -> DataFrame:
-    """(key, frame, channels): a kernel over a stream, with its state carried from batch to batch.
+    """(key, frame, channels, late): a kernel over a stream, with its state carried from batch to batch.
 
-    Frames of a key are put in order within a batch; a frame at or before the last one folded can't be folded any more and is
-    dropped, as its successor has already sounded. The output is the batch fold's for input in order, however it is cut.
+    Frames of a key are put in order within a batch. A frame at or before the last one folded can't be folded any more, as its
+    successor has already sounded: it is passed on as it came, marked `late`. The output is the batch fold's for input in
+    order, however it is cut.
     """
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, inner = (-1, None) if not state.exists else (state.get[0], pickle.loads(state.get[1]))
         own = pd.concat(list(parts)).sort_values("frame", kind="stable")
-        own = own[own["frame"] > last]
+        late, own = own[own["frame"] <= last], own[own["frame"] > last]
+        if len(late):
+            yield pd.DataFrame({key: k[0], "frame": late["frame"].to_numpy(), **{c: late[c].to_numpy(float) for c in channels}, "late": True})
         if len(own):
             x = own[channels].to_numpy(float)[:, None, :]
             y, inner = run(kernel, x, inner if inner is not None else kernel.init(1, len(channels)))
             state.update((int(own["frame"].iloc[-1]), pickle.dumps(inner)))
-            yield pd.DataFrame({key: k[0], "frame": own["frame"].to_numpy(), **{c: y[:, 0, n] for n, c in enumerate(channels)}})
+            yield pd.DataFrame({key: k[0], "frame": own["frame"].to_numpy(), **{c: y[:, 0, n] for n, c in enumerate(channels)}, "late": False})
 
-    schema = f"`{key}` {kind}, frame long, " + ", ".join(f"`{c}` double" for c in channels)
+    schema = f"`{key}` {kind}, frame long, " + ", ".join(f"`{c}` double" for c in channels) + ", late boolean"
     cut = samples.select(key, "frame", *channels)
     return cut.groupBy(key).applyInPandasWithState(step, schema, "last long, inner binary", "append", GroupStateTimeout.NoTimeout)
 
@@ -52,6 +54,3 @@ def effective(events: DataFrame, block_start: str = "block_start") -> DataFrame:
     """Control events are never dropped: one that is due before the block it arrives in takes effect at the block's start."""
     return events.withColumn("effective_time", F.greatest("sample_time", block_start))
 
-
-def blocks_of(x: np.ndarray, size: int) -> list[np.ndarray]:
-    return [x[k : k + size] for k in range(0, len(x), size)]

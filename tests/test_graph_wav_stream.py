@@ -241,7 +241,20 @@ def test_streaming_fold_equals_batch(spark, tmp_path):
     q = live.fold(stream, "track_id", kernel, ["x"]).writeStream.format("memory").queryName("folded").outputMode("append").start()
     q.processAllAvailable(), q.stop()
     got = spark.table("folded").orderBy("frame").toPandas()
-    assert np.allclose(got["x"], K.run(kernel, x[:, None, None])[0][:, 0, 0])
+    assert not got["late"].any() and np.allclose(got["x"], K.run(kernel, x[:, None, None])[0][:, 0, 0])
+
+
+def test_late_frames_are_passed_on(spark, tmp_path):
+    kernel = K.biquad("lowpass", 20, 100)
+    for k, frames in enumerate(([0, 1, 4], [2, 5])):
+        pd.DataFrame({"track_id": 7, "frame": np.array(frames), "x": [10.0 * f for f in frames]}).to_parquet(tmp_path / f"{k}.parquet")
+    stream = spark.readStream.schema("track_id long, frame long, x double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    q = live.fold(stream, "track_id", kernel, ["x"]).writeStream.format("memory").queryName("late").outputMode("append").start()
+    q.processAllAvailable(), q.stop()
+    got = {r["frame"]: r for r in spark.table("late").collect()}
+    assert sorted(got) == [0, 1, 2, 4, 5] and [f for f, r in got.items() if r["late"]] == [2] and got[2]["x"] == 20.0
+    want = K.run(kernel, np.array([0.0, 10, 40, 50])[:, None, None])[0][:, 0, 0]
+    assert np.allclose([got[f]["x"] for f in (0, 1, 4, 5)], want)
 
 
 def test_streaming_meter_and_late_events(spark, tmp_path):
