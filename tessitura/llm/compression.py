@@ -58,7 +58,7 @@ def _chosen(known: DataFrame, name: str, counts: dict, per_class: int) -> list[t
     while any(v is None for v in found.values()):
         rows: dict = {c: set() for c, v in found.items() if v is None}
         limit = [(F.col(name) == c) & (place < int(min(share[c], 1.0) * 2**64) - 2**63 if share[c] < 1 else F.lit(True)) for c in rows]
-        for c, h, d in known.filter(reduce(or_, limit)).select(name, place, "doc_id").collect():
+        for c, h, d in known.filter(reduce(or_, limit)).select(name, place, "doc_id").distinct().collect():
             rows[c].add((h, d))
         for c, some in rows.items():
             if len(some) >= per_class or share[c] >= 1:
@@ -73,7 +73,10 @@ def sample(docs: DataFrame, known: DataFrame, name: str, counts: dict, per_class
         [(str(c), rank, d) for c, rank, d in _chosen(known, name, counts, per_class)], "class string, rank int, id long"
     )
     rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-    return written(rows.groupBy("class", "rank").agg(F.min("text").alias("text")), "sample")
+    rows = written(rows.select("class", "rank", "text"), "sample")
+    if not rows.groupBy("class", "rank").count().filter("count > 1").isEmpty():
+        rows = written(rows.groupBy("class", "rank").agg(F.min("text").alias("text")), "sample")
+    return rows
 
 
 def parts_of(chosen: DataFrame, part: int, fold) -> dict[str, list[bytes]]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessitura.llm.common import table
 
 #: Distinct words whose ids a Python worker keeps; beyond that it starts again with an empty memo.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: Words of these letters are their own lower-cased pre-token, with at most one mark from `_MARKS` behind.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
@@ -115,6 +115,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_tokens: int = 4096, end_
                     memo.clear()
             if out[0]:
                 yield _record(out)
+            pa.default_memory_pool().release_unused()
 
     pieces = docs.select("doc_id", "text").mapInArrow(cut, PIECES)
     return pieces.select(
