@@ -1,4 +1,4 @@
-"""WAV files: a Python data source that reads frames (with `smpl` loops as metadata) and writes 32-bit float files."""
+"""WAV and AIFF files: heads (with `smpl` loops), frames as numbers, and 32-bit float WAV files."""
 
 from __future__ import annotations
 
@@ -29,6 +29,8 @@ def info(data: bytes) -> dict:
 def header(read: Callable[[int, int], bytes], length: int) -> dict:
     """The same of a file that read(place, bytes) gives a part of: only the chunks' heads and the small chunks are read."""
     first = read(0, 12)
+    if first[:4] == b"FORM" and first[8:12] in (b"AIFF", b"AIFC"):
+        return _aiff_header(read, length)
     if first[:4] != b"RIFF" or first[8:12] != b"WAVE":
         raise WavError("no RIFF/WAVE header")
     out = {"rate": None, "channels": None, "bits": None, "frames": 0, "loop_start": None, "loop_end": None, "loops": 0, "kind": None, "start": 0, "size": 0}
@@ -61,9 +63,49 @@ def samples(data: bytes) -> tuple[np.ndarray, dict]:
     return decoded(data[about["start"] : about["start"] + about["frames"] * about["channels"] * about["bits"] // 8], about), about
 
 
+#: Sample encodings of AIFF files by their four characters: WAV's number of the kind, and the order of bytes: fixed values.
+AIFF_KINDS = {b"NONE": (1, ">"), b"twos": (1, ">"), b"sowt": (1, "<"), b"fl32": (3, ">"), b"FL32": (3, ">"), b"fl64": (3, ">"), b"FL64": (3, ">")}
+
+
+def _extended(b: bytes) -> float:
+    """An 80-bit number: sign and exponent in two bytes, then 64 bits with the leading one."""
+    power, value = struct.unpack(">HQ", b)
+    return value * 2.0 ** ((power & 0x7FFF) - 16383 - 63) * (-1 if power & 0x8000 else 1)
+
+
+def _aiff_header(read: Callable[[int, int], bytes], length: int) -> dict:
+    """What header gives, of an AIFF or AIFC file; `order` is that of its bytes."""
+    out = {"rate": None, "channels": None, "bits": None, "frames": 0, "loop_start": None, "loop_end": None, "loops": 0, "kind": None, "start": 0, "size": 0, "order": ">"}
+    at = 12
+    while at + 8 <= length:
+        name, size = struct.unpack(">4sI", read(at, 8))
+        start, size = at + 8, min(size, length - at - 8)
+        if name == b"COMM":
+            body = read(start, min(size, CHUNK))
+            out["channels"], out["frames"], out["bits"] = struct.unpack_from(">HIH", body)
+            out["rate"] = round(_extended(body[8:18]))
+            code = body[18:22] if size >= 22 else b"NONE"
+            if code not in AIFF_KINDS:
+                raise WavError(f"encoding {code!r} isn't supported")
+            out["kind"], out["order"] = AIFF_KINDS[code]
+        elif name == b"SSND":
+            out["start"] = start + 8 + struct.unpack(">I", read(start, 4))[0]
+            out["size"] = start + size - out["start"]
+        at = start + size + size % 2
+    if not out["channels"] or not out["bits"]:
+        raise WavError("no format chunk")
+    out["bits"] = -(-out["bits"] // 8) * 8
+    out["frames"] = min(out["frames"], out["size"] // (out["channels"] * out["bits"] // 8))
+    return out
+
+
 def decoded(raw: bytes, about: dict) -> np.ndarray:
     """(frames, channels) of a stretch of whole frames of a file."""
     kind, bits = about["kind"], about["bits"]
+    if about.get("order") == ">":  # turned around; single bytes are signed here
+        raw = np.frombuffer(raw, np.uint8).reshape(-1, bits // 8)[:, ::-1].tobytes()
+    if "order" in about and bits == 8:
+        return (np.frombuffer(raw, np.int8) / 128.0).reshape(-1, about["channels"])
     if kind == 3 and bits in (32, 64):
         x = np.frombuffer(raw, "<f4" if bits == 32 else "<f8").astype(float)
     elif kind == 1 and bits == 8:

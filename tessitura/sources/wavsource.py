@@ -1,4 +1,4 @@
-"""WAV files as a data source of Spark, to read (blocks of frames, or heads alone) and to write (one file for each track)."""
+"""WAV (and, to read, AIFF) files as a data source of Spark: blocks of frames, or heads alone; one WAV file for each track is written."""
 
 from __future__ import annotations
 
@@ -51,7 +51,7 @@ class WavReader(DataSourceReader):
         store, path = _store(self.path)
         root = store.get_file_info(path)
         found = [root] if root.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
-        files = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".wav"))
+        files = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith((".wav", ".aif", ".aiff", ".aifc")))
         if self.info:
             return [Stretch(f) for f in files]
         out: list[InputPartition] = []

@@ -232,6 +232,34 @@ def test_wav_round_trip(spark, tmp_path):
     assert {r["frames"] for r in wav.read_info(spark, f"{tmp_path}/out").collect()} == {300, 3}
 
 
+def aiff(x: np.ndarray, bits: int, rate: int, code: bytes | None = None) -> bytes:
+    """A file as its description says, byte by byte."""
+    import struct
+
+    power = rate.bit_length() - 1
+    exact = struct.pack(">HQ", 16383 + power, rate << (63 - power))
+    if code in (b"fl32",):
+        body = x.astype(">f4").tobytes()
+    else:
+        whole = np.round(x * (1 << (bits - 1))).astype(np.int64)
+        body = b"".join(int(v).to_bytes(bits // 8, "little" if code == b"sowt" else "big", signed=True) for v in whole.ravel())
+    common = struct.pack(">HIH", x.shape[1], len(x), bits) + exact + (code + b"\0\0" if code else b"")
+    parts = [b"COMM" + struct.pack(">I", len(common)) + common, b"SSND" + struct.pack(">III", len(body) + 8, 0, 0) + body]
+    inner = (b"AIFC" if code else b"AIFF") + b"".join(parts)
+    return b"FORM" + struct.pack(">I", len(inner)) + inner
+
+
+@pytest.mark.parametrize(("bits", "code"), [(8, None), (16, None), (24, None), (32, None), (16, b"sowt"), (32, b"fl32")])
+def test_aiff(spark, tmp_path, bits, code):
+    x = np.array([[0.0, 0.5], [-1.0, 0.25], [-0.5, 0.125]])
+    (tmp_path / "a.aiff").write_bytes(aiff(x, bits, 44100, code))
+    got, about = wav.samples((tmp_path / "a.aiff").read_bytes())
+    assert np.array_equal(got, x) and (about["rate"], about["frames"], about["channels"]) == (44100, 3, 2)
+    if bits == 24:
+        assert [r["r"] for r in wav.as_signal(wav.read_frames(spark, str(tmp_path))).orderBy("frame").collect()] == [0.5, 0.25, 0.125]
+        assert wav.read_info(spark, str(tmp_path)).first()["rate"] == 44100
+
+
 def test_streaming_fold_equals_batch(spark, tmp_path):
     x = np.random.default_rng(6).normal(0, 1, 60)
     kernel = K.biquad("lowpass", 20, 100)
