@@ -153,6 +153,13 @@ def looped(signal: DataFrame, keys: list[str], first: int | None, last: int | No
     return out.filter(f < last).withColumn("frame", F.explode(at.cast("array<bigint>")))
 
 
+def due(tracks: DataFrame, first: int, behind: int) -> DataFrame:
+    """tracks(track_id, start_frame, stop_frame or null) that sound in the frames first..behind-1, in the order of their start. The
+    filter on the start reaches the scan: of a table sorted by it, later tracks are not read."""
+    own = tracks.filter((F.col("start_frame") < behind) & (F.col("stop_frame").isNull() | (F.col("stop_frame") > first)))
+    return own.orderBy("start_frame", "track_id")
+
+
 def sought(signal: DataFrame, keys: list[str], offset: Column) -> DataFrame:
     """A track from `offset` on; an offset beyond its end leaves nothing."""
     return signal.withColumn("frame", F.col("frame") - offset).filter("frame >= 0")

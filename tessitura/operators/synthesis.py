@@ -231,6 +231,18 @@ def granular(grains: DataFrame, buffers: DataFrame, window: str, key: str, place
     return parts.groupBy(key, "frame").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
 
 
+def polyphonic(notes: DataFrame, key: str, shape: str, rate: float, envelope: dict, longest: int, width: float = 0.5, bandlimited: bool = False) -> DataFrame:
+    """(key, note_id, frame, l, r): a voice for each of notes(key, note_id, on_frame, off_frame, hz, volume, pan): an oscillator under an
+    envelope, until that is silent. A note that is never ended sounds for `longest` frames. Every note makes its own frames."""
+    ring = math.ceil(envelope["release"] * rate)
+    held = F.coalesce(F.col("off_frame") - F.col("on_frame") + ring, F.lit(longest))
+    spread = notes.filter(held > 0).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), (held - 1).cast("long"))))
+    phase = F.pmod(F.col("t") * F.col("hz") / rate, F.lit(1.0))
+    wave = S.bandlimited(phase, F.col("hz"), rate, shape, width) if bandlimited else S.oscillator(phase, shape, width)
+    x = wave * ahdsr(F.col("t"), F.col("off_frame") - F.col("on_frame"), rate, **envelope) * F.col("volume")
+    return spread.select(key, "note_id", (F.col("on_frame") + F.col("t")).alias("frame"), (x * S.pan_left(F.col("pan"))).alias("l"), (x * S.pan_right(F.col("pan"))).alias("r"))
+
+
 def tone(tracks: DataFrame, frames: int, rate: float, shape: str, width: float = 0.5, bandlimited: bool = False) -> DataFrame:
     """(track_id, frame, x): an oscillator for each of tracks(track_id, hz), naive or band-limited."""
     spread = tracks.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(frames - 1).cast("long"))))

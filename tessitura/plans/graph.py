@@ -157,6 +157,11 @@ class Graph:
         played = Y.sampled(held, buffers, envelope, self.rate, "_key").join(held.select("note_id", "until"), "note_id").filter("until IS NULL OR frame < until")
         return self.add_track(M.mixdown(played, ["frame"], ["l", "r"]), bus, options=options, name="sampler")
 
+    def add_polyphonic(self, notes: DataFrame, shape: str, envelope: dict, seconds: float, bus: int = ROOT, options: TrackOptions | None = None, **more) -> int:
+        """Oscillator voices as a track: notes as for synthesis.polyphonic; a note that is never ended sounds for `seconds`."""
+        played = Y.polyphonic(notes.withColumn("_key", F.lit(0)), "_key", shape, self.rate, envelope, int(seconds * self.rate), **more)
+        return self.add_track(M.mixdown(played, ["frame"], ["l", "r"]), bus, options=options, name=f"voices {shape}")
+
     def add_granular(self, notes: DataFrame, buffers: DataFrame, density: float = 10.0, window: str = "triangle", bus: int = ROOT, options: TrackOptions | None = None, **grain) -> int:
         """A granular sampler as a track: notes as for add_sampler, grain parameters as for varied_grains."""
         triggers = Y.cloud_triggers(notes.withColumn("_key", F.lit(0)), density, self.rate)
@@ -460,6 +465,11 @@ CHOICES = {
     ("chorus", "fltt"): ("Lowpass", "Bandpass", "Highpass"),
     ("pan", "invl"): ("Off", "On"),
     ("pan", "invr"): ("Off", "On"),
+    ("sampler", "GOVM"): ("Cloud", "Sequential"),
+    ("sampler", "GWND"): ("Hann", "Blackman", "Triangle", "Tukey", "Trapezoid", "Exponential", "Ramp Up", "Ramp Down"),
+    ("sampler", "GDIR"): ("Forward", "Backward", "Random"),
+    ("sampler", "ML1W"): ("Sine", "Triangle", "Ramp Up", "Ramp Down", "Square", "Random", "Smooth Random"),
+    ("sampler", "ML2W"): ("Sine", "Triangle", "Ramp Up", "Ramp Down", "Square", "Random", "Smooth Random"),
 }
 PARAMETERS = (
     ("gain", "gain", "Gain", 0.000001, 15.848932, 1.0, "decibel", "gain"),
@@ -511,6 +521,29 @@ PARAMETERS = (
     ("chorus", "fltt", "Filter Type", 0.0, 2.0, 0.0, "choice", "choice"),
     ("chorus", "fltf", "Filter Freq", 20.0, 20000.0, 20000.0, "exponential 2.5", "plain"),
     ("chorus", "fltq", "Filter Resonance", 0.0, 1.0, 0.0, "linear", "plain"),
+    ("sampler", "STRN", "Transpose", -48.0, 48.0, 0.0, "linear", "plain"),
+    ("sampler", "SFTN", "Finetune", -100.0, 100.0, 0.0, "linear", "plain"),
+    ("sampler", "SVOL", "Volume", 0.000001, 15.848932, 1.0, "decibel", "gain"),
+    ("sampler", "SPAN", "Panning", -1.0, 1.0, 0.0, "linear", "pan"),
+    ("sampler", "AATK", "Attack", 0.0, 10.0, 0.001, "exponential 2", "plain"),
+    ("sampler", "AHLD", "Hold", 0.0, 10.0, 0.75, "exponential 2", "plain"),
+    ("sampler", "ADCY", "Decay", 0.0, 10.0, 0.5, "exponential 2", "plain"),
+    ("sampler", "ASTN", "Sustain", 0.0, 1.0, 0.75, "linear", "plain"),
+    ("sampler", "AREL", "Release", 0.0, 10.0, 1.0, "exponential 2", "plain"),
+    ("sampler", "GOVM", "Overlap Mode", 0.0, 1.0, 0.0, "choice", "choice"),
+    ("sampler", "GWND", "Window", 0.0, 7.0, 0.0, "choice", "choice"),
+    ("sampler", "GSIZ", "Grain Size", 1.0, 1000.0, 100.0, "exponential 2", "plain"),
+    ("sampler", "GDEN", "Density", 1.0, 100.0, 10.0, "exponential 2", "plain"),
+    ("sampler", "GVAR", "Variation", 0.0, 1.0, 0.0, "linear", "percent"),
+    ("sampler", "GSPY", "Spray", 0.0, 1.0, 0.0, "linear", "percent"),
+    ("sampler", "GPAN", "Pan Spread", 0.0, 1.0, 0.0, "linear", "percent"),
+    ("sampler", "GDIR", "Direction", 0.0, 2.0, 0.0, "choice", "choice"),
+    ("sampler", "GPOS", "Position", 0.0, 1.0, 0.5, "linear", "percent"),
+    ("sampler", "GSTP", "Step", -4.0, 4.0, 0.0, "linear", "plain"),
+    ("sampler", "ML1R", "LFO 1 Rate", 0.01, 20.0, 1.0, "exponential 2", "plain"),
+    ("sampler", "ML1W", "LFO 1 Waveform", 0.0, 6.0, 0.0, "choice", "choice"),
+    ("sampler", "ML2R", "LFO 2 Rate", 0.01, 20.0, 2.0, "exponential 2", "plain"),
+    ("sampler", "ML2W", "LFO 2 Waveform", 0.0, 6.0, 1.0, "choice", "choice"),
     ("reverb", "room", "Room Size", 0.0, 1.0, 0.6, "linear", "percent"),
     ("reverb", "wet ", "Wet", 0.0, 1.0, 0.35, "linear", "percent"),
 )

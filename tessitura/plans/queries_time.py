@@ -321,6 +321,25 @@ SELECT track_id, frame, {sr('sum(x * sqrt(1 - pan))', 'l')}, {sr('sum(x * sqrt(1
 add("tones", lambda spark, sf: Y.tone(spark.range(1, 9).select(F.col("id").alias("track_id"), (F.col("id") * 3.7).alias("hz")), 64, 100.0, "saw").select("track_id", "frame", r("x")),
     f"SELECT t.t AS track_id, k.i AS frame, {sr('2 * fmod(k.i * (t.t * 3.7) / 100.0, 1.0) - 1', 'x')} FROM range(1, 9) t(t), range(0, 64) k(i)")
 
+def polyphonic(spark, sf):
+    notes = _notes(spark, sf).filter("off_frame > on_frame").select("*", (3.0 + F.col("note_id") % 12).alias("hz"), F.lit(0.5).alias("volume"), ((F.col("note_id") % 5 - 2) / 2.0).alias("pan"))
+    out = Y.polyphonic(notes, "track_id", "saw", 100.0, _ENV, 100)
+    return M.mixdown(out, ["track_id", "frame"], ["l", "r"]).select("track_id", "frame", r("l"), r("r"))
+
+
+add("polyphonic", polyphonic, f"""WITH {_NOTES}, t AS (SELECT *, 3.0 + note_id % 12 AS hz, (note_id % 5 - 2) / 2.0 AS pan, off_frame - on_frame AS off, unnest(range(0, off_frame - on_frame + 5)) AS t FROM notes WHERE off_frame > on_frame),
+g AS (SELECT *, CASE WHEN t < off THEN {_E.format(n='t')} ELSE ({_E.format(n='(off - 1)')}) * (1 - (t - off + 1) / 5.0) END AS g FROM t),
+x AS (SELECT *, (2 * fmod(t * hz / 100.0, 1.0) - 1) * CASE WHEN t >= off AND g <= 0.001 THEN 0 ELSE g END * 0.5 AS x FROM g)
+SELECT track_id, on_frame + t AS frame, {sr('sum(x * sqrt(1 - pan))', 'l')}, {sr('sum(x * sqrt(1 + pan))', 'r')} FROM x GROUP BY track_id, on_frame + t""")
+
+
+def tracks_due(spark, sf):
+    """Notes as tracks: which sound in the frames 20 to 29 of a render."""
+    tracks = _notes(spark, sf).select(F.col("note_id").alias("track_id"), F.col("on_frame").alias("start_frame"), F.col("off_frame").alias("stop_frame"))
+    return A.due(tracks, 20, 30)
+
+
+add("tracks_due", tracks_due, f"WITH {_NOTES} SELECT note_id AS track_id, on_frame AS start_frame, off_frame AS stop_frame FROM notes WHERE on_frame < 30 AND (off_frame IS NULL OR off_frame > 20)")
 _TR = "SELECT t.t AS track_id, k.i AS frame, t.t * 3.7 AS hz, fmod(k.i * (t.t * 3.7) / 100.0, 1.0) AS p FROM range(1, 9) t(t), range(0, 64) k(i)"
 for _shape, _sum in {
     "saw": "-2 / pi() * list_sum(list_transform(range(1, n + 1), lambda k: sin(2 * pi() * k * p) / k))",
