@@ -111,7 +111,8 @@ def fold(signal: DataFrame, key: str, kernel: Kernel, channels: list[str], parti
             yield ready
             held, rows = ([own.iloc[edge:]], len(own) - edge) if edge < len(own) else ([], 0)
 
-    dealt = cut.repartition(partitions, key) if partitions else cut.repartition(key)
+    # a stated number: steps cost more than their bytes tell, so partitions are not to be put together
+    dealt = cut.repartition(partitions or int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     return dealt.sortWithinPartitions(key, "frame").mapInPandas(apply, _schema(cut, [key, "frame", *channels]))
 
 
