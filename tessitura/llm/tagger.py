@@ -188,30 +188,23 @@ def emissions(p: dict, x: np.ndarray) -> np.ndarray:
     return (np.concatenate([forth, back[::-1]], 2) @ p["out"] + p["bias"]).transpose(1, 0, 2)
 
 
-def _lse(x, axis):
-    m = x.max(axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
-
-
 def _crf(e: np.ndarray, tags: np.ndarray, trans: np.ndarray):
-    """Gradients of the negative log-likelihood for emissions (T, B, K) and transitions, and the likelihood."""
-    steps, batch, k = e.shape
-    full = trans + BARRED
-    alpha, beta = np.empty_like(e), np.zeros_like(e)
-    alpha[0] = e[0]
-    for t in range(1, steps):
-        alpha[t] = e[t] + _lse(alpha[t - 1][:, :, None] + full, 1)
-    for t in range(steps - 2, -1, -1):
-        beta[t] = _lse(full + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-    z = _lse(alpha[-1], 1)
-    de = np.exp(alpha + beta - z[:, None])
-    dt = np.zeros_like(trans)
-    for t in range(1, steps):
-        dt += np.exp(alpha[t - 1][:, :, None] + full + (e[t] + beta[t])[:, None, :] - z[:, None, None]).sum(0)
-        np.add.at(dt, (tags[t - 1], tags[t]), -1)
-    rows = np.arange(batch)
+    """Gradients of the negative log-likelihood for emissions (T, B, K) and transitions, from forward and backward sums that are
+    scaled to one at every step."""
+    steps, batch, _ = e.shape
+    move, own = np.exp(trans + BARRED), np.exp(e - e.max(2, keepdims=True))
+    alpha, beta, norm = np.empty_like(own), np.ones_like(own), np.empty((steps, batch, 1))
     for t in range(steps):
-        de[t, rows, tags[t]] -= 1
+        alpha[t] = (alpha[t - 1] @ move) * own[t] if t else own[t]
+        norm[t] = alpha[t].sum(1, keepdims=True)
+        alpha[t] /= norm[t]
+    for t in range(steps - 2, -1, -1):
+        beta[t] = (own[t + 1] * beta[t + 1] / norm[t + 1]) @ move.T
+    de = alpha * beta
+    ahead = own[1:] * beta[1:] / norm[1:]
+    dt = move * (alpha[:-1].reshape(-1, TAGS).T @ ahead.reshape(-1, TAGS))
+    np.subtract.at(dt, (tags[:-1].ravel(), tags[1:].ravel()), 1)
+    np.subtract.at(de, (np.arange(steps)[:, None], np.arange(batch), tags), 1)
     return de / batch, dt / batch
 
 
