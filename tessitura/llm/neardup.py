@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessitura.llm import words as W
@@ -24,6 +24,9 @@ _BUCKET_BITS = REGISTERS.bit_length() - 1
 DEVIATIONS = 6.0
 #: Rows that go are told by a hash; so many are broadcast at most, about 64 MB.
 BROADCAST_ROWS = 1 << 21
+#: Classes of a bucket that pivots have left apart and that are held against each other pair by pair; in a larger bucket only those are
+#: that share a rare shingle.
+LARGE = 200
 #: Sets of up to so many shingles have too few registers to band: they are found by their shingles themselves.
 SMALL = 32
 
@@ -209,15 +212,18 @@ def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return marked.join(mixed, "key")
 
 
+def _step(percent: int) -> Column:
+    """Sizes in steps of 100 / percent: similar sets are in the same step or the next one, which splits a bucket."""
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+
+
 def _across(apart: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), once each, of a bucket's classes in different components that can be linked.
 
     Two classes share at most the smaller number of their shingles that are `common`, that is not found in one class only. Of
     shingles that the bucket's pivot has they share at most the smaller number `held`, and of the others the smaller rest.
     """
-    # sizes in steps of 100 / percent: similar sets are in the same step or the next one, which splits a bucket
-    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    apart = apart.withColumn("step", step)
+    apart = apart.withColumn("step", _step(percent))
     other = apart.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "own", "n", "common", "held", "keys")], F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"))
     by_pivot = "least(held, held_b) + least(common - held, common_b - held_b)"
     most = f"least(common, common_b, coalesce({by_pivot}, common))"
@@ -227,12 +233,34 @@ def _across(apart: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b"))
 
 
+def _across_by_shingles(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), once each, of classes of large buckets in different components that can be linked.
+
+    Ordered by how many of these classes have them, two similar sets must share one of their rarest shingles, so many that a set
+    without them is too small to be similar (a prefix of the order). Shingles that one class alone has are left out: a set of
+    look-alikes that differ in what they have of their own meets nobody.
+    """
+    classes = apart.select("cls", "own", "n").distinct()
+    rows = _shingle_rows(sets.join(classes, "cls", "left_semi"))
+    common = written(rows.join(rows.groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1"), "hash"), "common")
+    held = common.groupBy("cls").agg(F.count("*").alias("common"))
+    wanted = F.col("common") - F.ceil(F.col("n") * percent / 100) + 1
+    classes = classes.join(held, "cls").withColumn("wanted", wanted).filter("wanted >= 1").withColumn("step", _step(percent))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "hash"))
+    prefix = common.withColumn("rank", rank).join(classes, "cls").filter("rank <= wanted").drop("df", "rank", "wanted")
+    other = prefix.select("hash", *[F.col(c).alias(f"{c}_b") for c in ("cls", "own", "n", "common")], F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"))
+    most = "least(common, common_b)"
+    sizes = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND 100 * {most} >= {percent} * (n + n_b - {most})"
+    pairs = prefix.join(other, ["hash", "step"]).filter(f"own < own_b AND {sizes}")
+    return pairs.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, row_hash for every row of docs(doc_id, text).
 
     Equal shingle sets form classes. Classes are banded on compressed registers; every class of a bucket is held against the
     bucket's most central, then, where a bucket still spans components, against those classes of other components that bounds on
-    their sizes and common shingles leave within reach. Pairs that pass the collision-corrected estimate are verified on full
+    their sizes and common shingles leave within reach (in buckets with many such, their rarest shingles). Pairs that pass the collision-corrected estimate are verified on full
     sets, and components follow from the links that remain. Thus copies, and groups of near copies, cost one row each and not
     their square. A pair at the threshold is missed by all bands with a probability of 5e-6. Sets of up to SMALL shingles
     would fill all registers from a few, and share bands by chance; they are found by a prefix of their shingles, exactly.
@@ -274,7 +302,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5) -> Dat
     apart = mixed.join(sized.filter(f"100 * common >= {percent} * n"), "cls").select("*", *ends).join(seen.select("a", "b", "shared"), ["a", "b"], "left")
     held = F.when(F.col("cls") == F.col("pivot"), F.col("n")).otherwise(F.col("shared"))
     apart = written(apart.select("key", "cls", "own", "n", "common", held.alias("held"), "keys"), "apart")
-    close = _across(apart, percent).join(stars, ["a", "b"], "left_anti")
+    large = written(apart.groupBy("key").count().filter(F.col("count") > LARGE).select("key"), "large")
+    if large.isEmpty():
+        close = _across(apart, percent)
+    else:
+        small, rest = apart.join(large, "key", "left_anti"), apart.join(large, "key", "left_semi")
+        close = _across(small, percent).unionAll(_across_by_shingles(rest, sets, percent)).distinct()
+    close = close.join(stars, ["a", "b"], "left_anti")
     more = written(_verified(_likely(close, reps, percent), sets, percent).filter("linked").select("a", "b"), "more")
     if not more.isEmpty():
         found = components(links.unionByName(more))

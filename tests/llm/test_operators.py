@@ -418,7 +418,9 @@ def test_near_duplicates(spark, docs, odd, empty):
     assert neardup.representatives(odd).filter("doc_id = 5").count() == 1
 
 
-def test_a_family_of_near_copies(spark):
+@pytest.mark.parametrize("large", [neardup.LARGE, 2])
+def test_a_family_of_near_copies(spark, large, monkeypatch):
+    monkeypatch.setattr(neardup, "LARGE", large)
     r = np.random.default_rng(8)
     base = [f"w{k}" for k in range(120)]
     rows = []
@@ -475,6 +477,19 @@ def test_representatives_of_repeated_ids(spark):
     assert neardup.representatives(alone).count() == 1
 
 
+def test_look_alikes_make_no_pairs(spark, monkeypatch):
+    """500 texts share seven tenths of their words in one order: they share buckets but are not similar, and are not paired up."""
+    base = [f"t{k}" for k in range(140)]
+    rows = [(d, " ".join([*base, *[f"own{d}x{k}" for k in range(60)]])) for d in range(500)]
+    rows += [(1000 + d, rows[d][1] + " more") for d in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    likely = neardup._likely
+    monkeypatch.setattr(neardup, "_likely", lambda pairs, reps, percent: made.append(pairs.count()) or likely(pairs, reps, percent))
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(frame).filter("NOT kept").collect()}
+    assert got == {(1000 + d, d) for d in range(5)} and sum(made) < 505 * 20
+
+
 def test_registers_estimate():
     r = np.random.default_rng(9)
     pool = r.integers(0, 2**64, 30000, dtype=np.uint64)
