@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import tagger as T
+from tessitura.llm import words as W
 from tessitura.llm.common import table
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -24,8 +25,8 @@ _BEGINS = ("AKIA", "ghp_", "sk-")
 #: decoded. A cue takes the run behind it along.
 _TRIGGER = re.compile(rf"[0-9@]|{_CUE}\S*|(?:{'|'.join(_BEGINS)})\S*")
 _CUED = re.compile(_CUE + r"$")
-#: Windows and regions that are decoded at a time.
-WINDOWS, REGION_CELLS = 1024, 1 << 18
+#: Bytes of text that are worked on at a time, and windows and regions that are decoded at a time.
+TEXTS, WINDOWS, REGION_CELLS = 1 << 20, 512, 1 << 17
 #: The least characters, and digits, of an added span.
 LEAST = {"email": (6, 0), "ip": (7, 4), "card": (13, 13), "phone": (8, 7), "secret": (10, 0)}
 
@@ -185,6 +186,14 @@ def _added(text: str, base, found):
         yield kind, i, j
 
 
+def _parts(batches, column: int):
+    """Batches in slices of about TEXTS bytes of text, so that what is held besides the batch is bounded."""
+    for batch in batches:
+        for first, _, offsets in W.string_slices(batch.column(column), TEXTS):
+            yield batch.slice(first, len(offsets) - 1)
+        pa.default_memory_pool().release_unused()
+
+
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
 
@@ -201,7 +210,7 @@ def find_private(docs: DataFrame, seed: int = 3) -> DataFrame:
     rank = {k: n for n, k in enumerate(T.KINDS)}
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches, 0):
             texts = [t.as_py() or "" for t in batch.column(0)]
             base = [base_spans(t) for t in texts]
             more = tag_texts(texts, params)
@@ -223,8 +232,8 @@ def redact(docs: DataFrame, seed: int = 3) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
+        for batch in _parts(batches, names.index("text")):
+            at = names.index("text")
             texts = [t.as_py() for t in batch.column(at)]
             found = tag_texts([t or "" for t in texts], params)
             out = []

@@ -49,8 +49,8 @@ def prefix_hashes(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def string_slices(column: pa.Array):
-    """(first row, bytes as uint8, offsets of rows) for slices of a string or binary column; nulls are empty."""
+def string_slices(column: pa.Array, size: int = SLICE):
+    """(first row, bytes as uint8, offsets of rows) for slices of about `size` bytes of a string or binary column; nulls are empty."""
     column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     n = len(column)
@@ -61,7 +61,7 @@ def string_slices(column: pa.Array):
     data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         last = min(last, n)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
