@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessitura.llm import compression, decontam, lm, neardup, packing, privacy, rules, sharding, substrings
+from tessitura.llm import compression, conversations, decontam, lm, mixing, neardup, packing, phrases, privacy, rules, sharding, substrings
 
 QUERIES = {
     "op1_pack_binary": packing.op1_pack_binary,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_bilstm_crf": privacy.op8_bilstm_crf,
     "op9_minhash_containment": decontam.op9_minhash_containment,
     "op10_log_bilinear": lm.op10_log_bilinear,
+    "op11_systematic_mix": mixing.op11_systematic_mix,
+    "op12_fold_repair": conversations.op12_fold_repair,
+    "op13_trie_phrases": phrases.op13_trie_phrases,
 }
 ORACLES: dict[str, str] = {
     "op4_bwt_merge": substrings.ORACLE,
     "op6_rule_ledger": rules.ORACLE,
     "op7_hyperminhash": neardup.ORACLE,
     "op9_minhash_containment": decontam.ORACLE,
+    "op11_systematic_mix": mixing.ORACLE,
+    "op12_fold_repair": conversations.ORACLE,
+    "op13_trie_phrases": phrases.ORACLE,
 }
