@@ -16,7 +16,7 @@ LEAST, COVER = 30, 80
 #: Phrases of each language.
 TOP = 2000
 #: Bytes of text that a task holds, places of a shard's trie, and leaves that a merging task reads.
-SHARD_BYTES, SHARD_PLACES, RANGE_LEAVES = 24 << 20, 1 << 22, 1 << 22
+SHARD_BYTES, SHARD_PLACES, RANGE_LEAVES = 16 << 20, 1 << 22, 1 << 21
 #: Leaves that the driver sees for each range, to choose its bounds.
 SEEN = 16
 #: One leaf of so many goes into a shard's sample.
@@ -99,9 +99,7 @@ def phrase_counts(shards: DataFrame, least: int = LEAST, range_leaves: int = RAN
         rows = []
         langs = group.column("lang").to_pylist()
         for lang in sorted(set(langs)):
-            own = [tries.loaded(x.as_py()) for x, of in zip(group.column("trie"), langs) if of == lang]
-            trie = tries.merged(own)
-            del own
+            trie = tries.merged([tries.loaded(x.as_py()) for x, of in zip(group.column("trie"), langs) if of == lang])
             rows += [(lang, phrase, len(walk) + 1, f, walk, rim) for phrase, f, walk, rim in tries.walked(trie, least)]
         kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
         columns = list(zip(*rows)) or [()] * len(kinds)

@@ -60,18 +60,19 @@ def _sorted(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _merged(paths: list[np.ndarray], counts: np.ndarray | None, words: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Paths in order, equal ones as one. The sort is stable and finds runs that are sorted already."""
+    """Paths in order, equal ones as one; `paths` is emptied. The sort is stable and finds runs that are sorted already."""
     bits = np.uint64(max(1, int(words).bit_length()))
-    high = paths[0].astype(np.uint64) << bits | paths[1]
-    low = paths[2].astype(np.uint64) << bits | paths[3]
+    mask = np.uint64((1 << int(bits)) - 1)
+    low, high = ((b.astype(np.uint64) << bits) | a for a, b in ((paths.pop(), paths.pop()), (paths.pop(), paths.pop())))
     order = np.lexsort((low, high))
     high, low = high[order], low[order]
     new = np.ones(len(order), bool)
     new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
     first = np.flatnonzero(new)
     total = np.diff(np.append(first, len(order))) if counts is None else np.add.reduceat(counts[order], first)
-    keep = order[first]
-    return [p[keep] for p in paths], total.astype(np.int64)
+    del order, new
+    high, low = high[first], low[first]
+    return [x.astype(np.uint32) for x in (high >> bits, high & mask, low >> bits, low & mask)], total.astype(np.int64)
 
 
 def built(text: bytes, most: int):
@@ -185,17 +186,20 @@ def cut(trie: Trie, start: int, end: int) -> Trie:
 
 
 def merged(tries: list[Trie]) -> Trie:
-    """One trie of several: their words are numbered together, in order, so that each is a sorted run of one merging sort."""
+    """One trie of several, whose list is emptied: their words are numbered together, in order, so that each is a sorted run of one
+    merging sort."""
     coded = pa.chunked_array([t.words for t in tries]).combine_chunks().dictionary_encode()
     words, place = _sorted(coded.dictionary)
-    numbers = place[coded.indices.to_numpy()]
-    paths, at = [[] for _ in range(DEPTH)], 0
-    for t in tries:
+    numbers, at, total = place[coded.indices.to_numpy()], 0, sum(len(t.counts) for t in tries)
+    paths, counts, done = [np.empty(total, np.uint32) for _ in range(DEPTH)], np.empty(total, np.int64), 0
+    tries.reverse()
+    while tries:
+        t = tries.pop()
         own = np.concatenate([np.zeros(1, np.uint32), numbers[at : at + len(t.words)]])
-        at += len(t.words)
-        for k in range(DEPTH):
-            paths[k].append(own[t.paths[k]])
-    return Trie(words, *_merged([np.concatenate(p) for p in paths], np.concatenate([t.counts for t in tries]), len(words)))
+        for to, path in zip((*paths, counts), (*t.paths, None)):
+            to[done : done + len(t.counts)] = t.counts if path is None else own[path]
+        at, done = at + len(t.words), done + len(t.counts)
+    return Trie(words, *_merged(paths, counts, len(words)))
 
 
 def walked(trie: Trie, least: int):
