@@ -1,4 +1,4 @@
-"""WAV and AIFF files: heads (with `smpl` loops), frames as numbers, and 32-bit float WAV files."""
+"""WAV, AIFF and FLAC files: heads (with `smpl` loops), frames as numbers, and 32-bit float WAV files."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessitura.sources import adpcm, flac
+
 INFO = "rate int, channels int, bits int, frames long, loop_start long, loop_end long, loops int"
 
 
@@ -29,6 +31,8 @@ def info(data: bytes) -> dict:
 def header(read: Callable[[int, int], bytes], length: int) -> dict:
     """The same of a file that read(place, bytes) gives a part of: only the chunks' heads and the small chunks are read."""
     first = read(0, 12)
+    if first[:4] == b"fLaC":
+        return flac.header(read, length)
     if first[:4] == b"FORM" and first[8:12] in (b"AIFF", b"AIFC"):
         return _aiff_header(read, length)
     if first[:4] != b"RIFF" or first[8:12] != b"WAVE":
@@ -43,24 +47,58 @@ def header(read: Callable[[int, int], bytes], length: int) -> dict:
             out["kind"], out["channels"], out["rate"], _, _, out["bits"] = struct.unpack_from("<HHIIHH", body)
             if out["kind"] == 0xFFFE and size >= 40:
                 out["kind"] = struct.unpack_from("<H", body, 24)[0]
+            elif out["kind"] in (adpcm.MICROSOFT, adpcm.IMA):
+                out |= _blocked(body, out["kind"], out["channels"])
+        elif name == b"fact" and size >= 4:
+            out["stated"] = struct.unpack_from("<I", body)[0]
         elif name == b"data":
             out["start"], out["size"] = start, size
-        elif name == b"smpl" and size >= 36:
-            out["loops"] = struct.unpack_from("<I", body, 28)[0]
-            if out["loops"] and size >= 60:
-                begin, last = struct.unpack_from("<II", body, 36 + 8)
-                out["loop_start"], out["loop_end"] = begin, last + 1
+        elif name == b"smpl":
+            out["loops"], loop = flac.smpl_loop(body)
+            if loop:
+                out["loop_start"], out["loop_end"] = loop
         at = start + size + size % 2
     if not out["channels"] or not out["bits"]:
         raise WavError("no format chunk")
-    out["frames"] = out["size"] // (out["channels"] * out["bits"] // 8)
+    if "per_block" in out:
+        whole, rest = divmod(out["size"], out["align"])
+        out["frames"] = whole * out["per_block"] + max(0, min(out["per_block"], adpcm.frames_of(out["kind"], rest, out["channels"])) if rest else 0)
+        out["frames"] = min(out["frames"], out.get("stated", out["frames"]))
+    else:
+        out["frames"] = out["size"] // (out["channels"] * out["bits"] // 8)
+    return out
+
+
+def _blocked(body: bytes, kind: int, channels: int) -> dict:
+    """What a format of ADPCM blocks states besides: their bytes and frames, and Microsoft's pairs of coefficients."""
+    align = struct.unpack_from("<H", body, 12)[0]
+    out = {"align": align, "per_block": struct.unpack_from("<H", body, 18)[0] if len(body) >= 20 else 0, "pairs": adpcm.PAIRS}
+    most = adpcm.frames_of(kind, align, channels) if align else 0
+    if most < 1:
+        raise WavError("blocks without frames")
+    out["per_block"] = min(out["per_block"] or most, most)
+    if kind == adpcm.MICROSOFT and len(body) >= 22:
+        n = struct.unpack_from("<H", body, 20)[0]
+        if len(body) >= 22 + 4 * n:
+            out["pairs"] = tuple(struct.iter_unpack("<hh", body[22 : 22 + 4 * n]))
     return out
 
 
+def stretch(read: Callable[[int, int], bytes], about: dict, first: int, count: int) -> np.ndarray:
+    """(frames, channels) in -1..1 of `count` frames from `first` on; only the bytes that hold them are read."""
+    count = max(0, min(count, about["frames"] - first))
+    if about["kind"] == "flac":
+        return flac.decoded(read, about, first, count)
+    if "per_block" in about:
+        return adpcm.decoded(read, about, first, count)
+    width = about["channels"] * about["bits"] // 8
+    return decoded(read(about["start"] + first * width, count * width), about)
+
+
 def samples(data: bytes) -> tuple[np.ndarray, dict]:
     """(frames, channels) in -1..1 and the file's info."""
     about = info(data)
-    return decoded(data[about["start"] : about["start"] + about["frames"] * about["channels"] * about["bits"] // 8], about), about
+    return stretch(lambda at, n: data[at : at + n], about, 0, about["frames"]), about
 
 
 #: Sample encodings of AIFF files by their four characters: WAV's number of the kind, and the order of bytes: fixed values.
@@ -154,26 +192,47 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WavSource)
 
 
-def as_signal(blocks: DataFrame) -> DataFrame:
-    """(path, frame, l, r) of blocks: one channel goes to both sides, of several the first two count."""
+def decoded_contents(files: DataFrame, key: str, block: int = 65536) -> DataFrame:
+    """(key, rate, first_frame, channels, samples) of files(key, content) held as bytes in a table, of any format that can be read."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for own, data in zip(batch.column(0), batch.column(1)):
+                data = data.as_py()
+                about = info(data)
+                for a in range(0, about["frames"], block):
+                    x = stretch(lambda at, n: data[at : at + n], about, a, block)
+                    row = [pa.array([own.as_py()], batch.schema.field(0).type), pa.array([about["rate"]], pa.int32()), pa.array([a], pa.int64()), pa.array([x.shape[1]], pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*row, pa.array([x.reshape(-1)], pa.list_(pa.float64()))], [key, "rate", "first_frame", "channels", "samples"])
+
+    return files.select(key, "content").mapInArrow(run, f"`{key}` {kind}, rate int, first_frame long, channels int, samples array<double>")
+
+
+def as_signal(blocks: DataFrame, key: str = "path") -> DataFrame:
+    """(key, frame, l, r) of blocks: one channel goes to both sides, of several the first two count."""
     at = lambda i, k: F.get("samples", (i * F.col("channels") + F.least(F.lit(k), F.col("channels") - 1)).cast("int"))
     n = (F.size("samples") / F.col("channels")).cast("int")
     rows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((F.col("first_frame") + i).alias("frame"), at(i, 0).alias("l"), at(i, 1).alias("r")))
-    return blocks.filter("size(samples) > 0").select("path", F.inline(rows))
+    return blocks.filter("size(samples) > 0").select(key, F.inline(rows))
 
 
-def rendered(signal: DataFrame, key: str, rate: int, seconds: int | None = None) -> DataFrame:
-    """(key, frames, content): one WAV file's bytes for each key; with `seconds` cut to whole seconds. A file is as large as one
-    task must hold."""
+def rendered(signal: DataFrame, key: str, rate: int, seconds: int | None = None, form: str = "float", align: int = 1024) -> DataFrame:
+    """(key, frames, content): one file's bytes for each key; with `seconds` cut to whole seconds. `form` is float (32-bit WAV), flac or
+    adpcm (16 bits each; `align` bytes a block). A file is as large as one task must hold; format("wav") writes longer ones."""
     if seconds is not None:
         signal = signal.filter(F.col("frame") < seconds * rate)
+    if form not in ("float", "flac", "adpcm"):
+        raise WavError(f"no form {form!r} to write")
     kind = signal.schema[key].dataType.simpleString()
 
     def write(part: pa.Table) -> pa.Table:
         frame = part["frame"].to_numpy()
         x = np.zeros((int(frame.max()) + 1, 2))
         x[frame, 0], x[frame, 1] = part["l"].to_numpy(), part["r"].to_numpy()
-        return pa.table({key: part[key].slice(0, 1), "frames": pa.array([len(x)], pa.int64()), "content": pa.array([wav_bytes(x, rate)], pa.binary())})
+        whole = np.clip(np.round(x * 32768), -32768, 32767).astype(np.int64)
+        content = wav_bytes(x, rate) if form == "float" else flac.encoded(whole, rate) if form == "flac" else adpcm.ima_encoded(whole, rate, align)
+        return pa.table({key: part[key].slice(0, 1), "frames": pa.array([len(x)], pa.int64()), "content": pa.array([content], pa.binary())})
 
     cut = signal.select(key, "frame", "l", "r")
     return cut.groupBy(key).applyInArrow(write, f"`{key}` {kind}, frames long, content binary")

@@ -1,4 +1,5 @@
-"""WAV (and, to read, AIFF) files as a data source of Spark: blocks of frames, or heads alone; one WAV file for each track is written."""
+"""WAV (and, to read, AIFF and FLAC) files as a data source of Spark: blocks of frames, or heads alone; one WAV file for each track is
+written."""
 
 from __future__ import annotations
 
@@ -51,7 +52,7 @@ class WavReader(DataSourceReader):
         store, path = _store(self.path)
         root = store.get_file_info(path)
         found = [root] if root.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
-        files = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith((".wav", ".aif", ".aiff", ".aifc")))
+        files = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith((".wav", ".aif", ".aiff", ".aifc", ".flac")))
         if self.info:
             return [Stretch(f) for f in files]
         out: list[InputPartition] = []
@@ -71,11 +72,10 @@ class WavReader(DataSourceReader):
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([partition.path]), *[pa.array([about[n]], k) for n, k in zip(names, kinds)]], ["path", *names])
             return
-        width = about["channels"] * about["bits"] // 8
+        last = min(partition.first + partition.count, about["frames"])
         with store.open_input_file(partition.path) as f:
-            for a in range(partition.first, partition.first + partition.count, self.block):
-                n = min(self.block, partition.first + partition.count - a)
-                x = wav.decoded(f.read_at(n * width, about["start"] + a * width), about)
+            for a in range(partition.first, last, self.block):
+                x = wav.stretch(lambda at, n: f.read_at(n, at), about, a, min(self.block, last - a))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([partition.path]), pa.array([about["rate"]], pa.int32()), pa.array([a], pa.int64()), pa.array([x.shape[1]], pa.int32()), pa.array([x.reshape(-1)], pa.list_(pa.float64()))],
                     ["path", "rate", "first_frame", "channels", "samples"],
