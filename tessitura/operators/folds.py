@@ -9,7 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.operators.kernels import Kernel, System, run
+from tessitura.operators.kernels import CLOSED, Kernel, System, coefficient, followed, run
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint, where a folder for them is set (spark.checkpoint.dir): a step that reads its input twice then doubles nothing
+    of what is below it, and a lost executor costs a re-read. Else df itself."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
 
 #: Tracks of similar length that go through a kernel side by side, and the rows that a task holds at a time.
 SIDE, ROWS = 256, 1 << 19
@@ -116,6 +123,50 @@ def fold(signal: DataFrame, key: str, kernel: Kernel, channels: list[str], parti
     return dealt.sortWithinPartitions(key, "frame").mapInPandas(apply, _schema(cut, [key, "frame", *channels]))
 
 
+#: A sample under this is silent, and a track that has been silent for so many seconds has ended.
+QUIET, HUSH = 1e-6, 2.0
+
+
+def fold_until_silent(signal: DataFrame, key: str, kernel: Kernel, channels: list[str], rate: float, quiet: float = QUIET, hush: float = HUSH) -> DataFrame:
+    """What fold gives, and after a track's last frame the frames in which its kernel goes on ringing, until none of them has passed
+    `quiet` for `hush` seconds; those silent seconds are left out. There is no bound but that, so that a kernel which never ends
+    needs a stop."""
+    cut = signal.select(key, "frame", *[F.col(c).cast("double").alias(c) for c in channels])
+    patience = max(1, int(hush * rate))
+
+    def rung(track, frame, state):
+        held, silent = [], 0
+        while silent < patience:
+            y, state = run(kernel, np.zeros((min(patience, ROWS), 1, len(channels))), state)
+            loud = np.flatnonzero(np.abs(y).max((1, 2)) > quiet)
+            held.append(y[:, 0])
+            silent = silent + len(y) if not len(loud) else len(y) - 1 - int(loud[-1])
+            if len(loud):
+                some = np.concatenate(held)
+                some = some[: len(some) - silent]
+                yield pd.DataFrame({key: track, "frame": np.arange(frame + 1, frame + 1 + len(some)), **{c: some[:, n] for n, c in enumerate(channels)}})
+                frame, held = frame + len(some), [y[len(y) - silent :, 0]] if silent else []
+
+    def apply(batches):
+        track, frame, state = None, None, None
+        for part in batches:
+            if not len(part):
+                continue
+            code, values = _codes(part, [key]), part[channels].to_numpy(float)
+            for a, b in zip((edges := np.append(np.flatnonzero(np.append(True, np.diff(code) > 0)), len(part))), edges[1:]):
+                if state is not None and not _same(track, part[key].iloc[a]):
+                    yield from rung(track, frame, state)
+                    state = None
+                y, state = run(kernel, values[a:b, None, :], state)
+                values[a:b], track, frame = y[:, 0], part[key].iloc[a], int(part["frame"].iloc[b - 1])
+                yield part.iloc[a:b].assign(**{c: values[a:b, n] for n, c in enumerate(channels)})
+        if state is not None:
+            yield from rung(track, frame, state)
+
+    dealt = cut.repartition(int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return dealt.sortWithinPartitions(key, "frame").mapInPandas(apply, _schema(cut, [key, "frame", *channels]))
+
+
 def affine_scan(signal: DataFrame, key: str, system: System, channels=("x",), block: int = 256) -> DataFrame:
     """(key, frame, channels): a linear recurrence s' = M s + B x, y = C s + D x over tracks of any length, a block at a time.
 
@@ -187,6 +238,137 @@ def affine_scan(signal: DataFrame, key: str, system: System, channels=("x",), bl
     return out.mapInPandas(finish, f"`{key}` {kind}, frame long, " + ", ".join(f"`{x}` double" for x in channels))
 
 
+def follower_scan(signal: DataFrame, key: str, up: float, down: float, start: float, low: float, high: float, x: str = "x", keep=(), block: int = 256) -> DataFrame:
+    """(key, frame, x, keep): y' = x + c (y - x) with c = `up` where x > y and `down` otherwise, over tracks of any length, a block at a time.
+
+    A frame takes y to the greater (or, if it rises more slowly than it falls, the lesser) of two lines, so a block takes it to the greatest of one
+    line for each number of rises in it: a convex function, of which a block finds the intercepts, for all its starts between
+    `low` and `high`, where x and `start` must lie. A fold over one row a block finds the starts; then all blocks are
+    stepped side by side. Tracks have frames 0 to n-1. The signal is shuffled by track and block; the lines alone, at most a number a frame, are sorted by track.
+    """
+    keep = list(keep)
+    rises, falls, sign = (up, down, 1.0) if up <= down else (down, up, -1.0)
+    kind = signal.schema[key].dataType.simpleString()
+    blocks = signal.select(key, "frame", F.col(x).cast("double").alias(x), *[F.col(c).cast("double").alias(c) for c in keep]).withColumn("_block", F.floor(F.col("frame") / block))
+    blocks = blocks.repartition(key, "_block")
+
+    def grid(part: pd.DataFrame):
+        code = _codes(part, [key, "_block"])
+        at = (part["frame"] - part["_block"] * block).to_numpy()
+        values = np.zeros((block, code[-1] + 1))
+        values[at, code] = part[x].to_numpy()
+        return code, at, values, np.bincount(code, minlength=code[-1] + 1)
+
+    def lines(batches):
+        ends = np.array([low, high] if sign > 0 else [-high, -low])
+        for part in _whole_runs(batches, [key, "_block"]):
+            code, _, values, sizes = grid(part)
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            lanes, out = values.shape[1], [None] * values.shape[1]
+            cuts = np.zeros((lanes, 1))  # by the number of rises
+            for k in range(int(sizes.max())):
+                target = sign * values[k][:, None]
+                wide = np.full((lanes, k + 2), -np.inf)
+                wide[:, 1:] = target * (1 - rises) + rises * cuts
+                wide[:, :-1] = np.maximum(wide[:, :-1], target * (1 - falls) + falls * cuts)
+                cuts = wide
+                done = np.flatnonzero(sizes == k + 1)
+                if len(done):
+                    slope = rises ** np.arange(k + 2) * falls ** np.arange(k + 1, -1, -1)
+                    best = np.sort((slope * ends[:, None] + cuts[done][:, None, :]).argmax(2), 1)
+                    for lane, (a, b) in zip(done, best):  # no line beyond the best ones at both ends is ever the best
+                        out[lane] = (int(a), cuts[lane, a : b + 1])
+            yield pd.DataFrame({key: part[key].to_numpy()[first], "_block": part["_block"].to_numpy()[first], "_size": sizes, "_first": [o[0] for o in out], "_cuts": [o[1] for o in out]})
+
+    def starts(batches):
+        last, y = None, start
+        for part in batches:
+            if not len(part):
+                continue
+            begin, out = np.append(True, np.diff(_codes(part, [key])) > 0), []
+            begin[0] = last is None or not _same(part[key].iloc[0], last[0])
+            for new, size, a, cuts in zip(begin, part["_size"], part["_first"], part["_cuts"]):
+                y = start if new else y
+                out.append(y)
+                n = np.arange(a, a + len(cuts))
+                y = sign * float(np.max(rises**n * falls ** (size - n) * (sign * y) + cuts))
+            last = (part[key].iloc[-1],)
+            yield pd.DataFrame({key: part[key], "_block": part["_block"], "_start": out})
+
+    def finish(batches):
+        for part in _whole_runs(batches, [key, "_block"]):
+            code, at, values, _ = grid(part)
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            y = followed(values, part["_start"].to_numpy()[first], up, down)
+            yield pd.DataFrame({key: part[key], "frame": part["frame"], x: y[at, code], **{c: part[c] for c in keep}})
+
+    ended = blocks.sortWithinPartitions(key, "_block", "frame").mapInPandas(lines, f"`{key}` {kind}, _block long, _size long, _first long, _cuts array<double>")
+    began = ended.repartition(key).sortWithinPartitions(key, "_block").mapInPandas(starts, f"`{key}` {kind}, _block long, _start double")
+    both = blocks.join(began.withColumnsRenamed({key: "_key", "_block": "_of"}), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of")))
+    out = both.select(key, "_block", "frame", x, *keep, "_start").sortWithinPartitions(key, "_block", "frame")
+    return out.mapInPandas(finish, f"`{key}` {kind}, frame long, `{x}` double" + "".join(f", `{c}` double" for c in keep))
+
+
+#: Frames of a block whose windows look back; at least as many as they look back.
+BACK = 4096
+
+
+def _looking_back(signal: DataFrame, key: str, frames: int, columns) -> DataFrame:
+    """signal with `columns`, functions of a window over the rows of each track so far, which look back `frames` frames at most: each block of
+    a track is a window of its own, which has those frames of the block before as well."""
+    size = max(BACK, frames)
+    mine = F.floor(F.col("frame") / size)
+    twice = signal.withColumn("_block", F.explode(F.when(F.col("frame") % size >= size - frames, F.array(mine, mine + 1)).otherwise(F.array(mine))))
+    order = Window.partitionBy(key, "_block").orderBy("frame")
+    return twice.withColumns({name: make(order) for name, make in columns.items()}).filter(mine == F.col("_block")).drop("_block")
+
+
+def _decibels(x):
+    return F.when(x <= 1e-6, F.lit(-120.0)).otherwise(20 * F.log10(F.greatest(x, F.lit(1e-12))))
+
+
+#: Decibels that any sample has at most.
+LOUDEST = 6200.0
+
+
+def compressed(signal: DataFrame, key: str, rate: float, threshold: float, slope: float, knee: float, attack: float, release: float, makeup: float, frames: int, limit: bool) -> DataFrame:
+    """(key, frame, l, r): the compressor over tracks with frames 0 to n-1, many blocks of a track at a time. Look-ahead is a window over blocks, the
+    level's follower a scan, all else an expression."""
+    peak = F.greatest(F.abs("l"), F.abs("r"))
+    before = lambda c: lambda w: F.coalesce(F.lag(c, frames).over(w), F.lit(0.0))
+    loudest = lambda w: F.max(peak).over(w.rowsBetween(-(frames - 1), 0) if limit else w.rowsBetween(0, 0))
+    found = _looking_back(signal.select(key, "frame", "l", "r"), key, frames, {"_level": loudest, "_l": before("l"), "_r": before("r")})
+    found = found.select(key, "frame", _decibels(F.col("_level")).alias("_level"), F.col("_l").alias("l"), F.col("_r").alias("r"))
+    env = follower_scan(found, key, coefficient(attack, rate), coefficient(release, rate), -120.0 if limit else 0.0, -120.0, LOUDEST, "_level", ["l", "r"])
+    over = F.col("_level") - threshold
+    lost = F.when(over > 0, over * slope).otherwise(F.lit(0.0))
+    if knee > 0:
+        t = (over + knee / 2) / knee
+        lost = F.when(F.abs(over) < knee / 2, t * t * (slope * knee / 2)).when(over >= knee / 2, over * slope).otherwise(F.lit(0.0))
+    gain = F.pow(F.lit(10.0), (makeup - lost) / 20)
+    return env.select(key, "frame", (F.col("l") * gain).alias("l"), (F.col("r") * gain).alias("r"))
+
+
+def gated(signal: DataFrame, key: str, rate: float, threshold: float, attack: float, release: float, hold: int, floor: float) -> DataFrame:
+    """(key, frame, l, r): the gate over tracks with frames 0 to n-1, many blocks of a track at a time: the level's follower is a scan, the hold
+    a window over blocks, and the gain's follower a scan again."""
+    up, down = coefficient(attack, rate), coefficient(release, rate)
+    level = signal.select(key, "frame", _decibels(F.greatest(F.abs("l"), F.abs("r"))).alias("_level"), "l", "r")
+    env = follower_scan(level, key, up, down, -120.0, -120.0, LOUDEST, "_level", ["l", "r"])
+    open_ = lambda w: F.max(F.when(F.col("_level") >= threshold, 1)).over(w.rowsBetween(-hold, 0))
+    found = _looking_back(env, key, max(1, hold), {"_open": open_})
+    found = found.select(key, "frame", F.when(F.col("_open") == 1, F.lit(0.0)).otherwise(F.lit(floor)).alias("_gain"), "l", "r")
+    gain = follower_scan(cut(found), key, up, down, floor, min(floor, 0.0), 0.0, "_gain", ["l", "r"])
+    factor = F.when(F.col("_gain") <= CLOSED, F.lit(0.0)).otherwise(F.pow(F.lit(10.0), F.col("_gain") / 20))
+    return gain.select(key, "frame", (F.col("l") * factor).alias("l"), (F.col("r") * factor).alias("r"))
+
+
+def dynamics(signal: DataFrame, key: str, kernel: Kernel) -> DataFrame:
+    """A compressor or gate by its scan in place of the fold."""
+    name, values = kernel.dynamics
+    return (compressed if name == "compressor" else gated)(signal, key, **values)
+
+
 def delayed(signal: DataFrame, key: str, frames: int, x: str = "x") -> DataFrame:
     """A delay of whole frames, silent before; a window, no Python."""
     return signal.withColumn(x, F.coalesce(F.lag(x, frames).over(Window.partitionBy(key).orderBy("frame")), F.lit(0.0)))

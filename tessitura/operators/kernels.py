@@ -21,11 +21,45 @@ System = tuple[np.ndarray, np.ndarray, np.ndarray, float]
 
 
 class Kernel(NamedTuple):
-    """`system` is given where the kernel is linear and does not change over time: then a scan can take the fold's place."""
+    """`system` is given where the kernel is linear and does not change over time: then a scan can take the fold's place. `block` steps over
+    (frames, tracks, channels) of at most `span` frames with numpy alone, on the same state: a delay line's frames don't depend on
+    each other within its shortest delay. `dynamics` names a compressor or gate with its values, for their scan."""
 
     init: Callable[[int, int], dict]
     step: Callable[[dict, np.ndarray], np.ndarray]
     system: System | None = None
+    block: Callable[[dict, np.ndarray], np.ndarray] | None = None
+    span: int = 1 << 14
+    dynamics: tuple[str, dict] | None = None
+
+
+#: Frames that a linear system steps over with one product.
+STRETCH = 64
+
+
+def stretched(system: System):
+    """(x, state) -> (y, state) of a linear system over (frames, tracks, channels) and states (tracks, n, channels)."""
+    m, b, c = (np.asarray(v, float) for v in system[:3])
+    powers = [np.eye(len(m))]
+    for _ in range(STRETCH):
+        powers.append(powers[-1] @ m)
+    response = np.array([c @ p @ b for p in powers[: STRETCH - 1]])
+    toeplitz = np.zeros((STRETCH, STRETCH))  # [to, from]
+    for k in range(STRETCH):
+        toeplitz[k, k], toeplitz[k + 1 :, k] = system[3], response[: STRETCH - k - 1]
+    into = np.stack([p @ b for p in powers[STRETCH - 1 :: -1]])
+    answers = np.stack([c @ p for p in powers[:STRETCH]])
+
+    def over(x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.empty_like(x)
+        for a in range(0, len(x), STRETCH):
+            own = x[a : a + STRETCH]
+            n = len(own)
+            out[a : a + n] = np.tensordot(toeplitz[:n, :n], own, 1) + np.einsum("fn,tnc->ftc", answers[:n], state)
+            state = np.einsum("mn,tnc->tmc", powers[n], state) + np.einsum("fn,ftc->tnc", into[STRETCH - n :], own)
+        return out, state
+
+    return over
 
 
 def biquad_system(coefficients: tuple[float, ...]) -> System:
@@ -85,7 +119,16 @@ def _sections(coefficients: list[tuple[float, ...]]) -> Kernel:
             x = m0 * x + m1 * v1 + m2 * v2
         return x
 
-    return Kernel(init, step, reduce(in_series, map(biquad_system, coefficients)))
+    system = reduce(in_series, map(biquad_system, coefficients))
+    over = stretched(system)
+
+    def block(state, x):
+        held = state["s"]
+        y, after = over(x, held.reshape(len(held), -1, held.shape[3]))
+        state["s"] = after.reshape(held.shape)
+        return y
+
+    return Kernel(init, step, system, block)
 
 
 def biquad(kind: str, cutoff: float, rate: float, q: float = 0.707, gain: float = 0.0) -> Kernel:
@@ -116,7 +159,7 @@ FILTERS = {"lowpass": "lowpass", "bandpass": "bandpass", "bandstop": "notch", "h
 
 def gained(rate: float, gain: float = 1.0, dc: str = "off") -> Kernel:
     """A linear gain behind a DC block of a mode, or none."""
-    scale = Kernel(lambda tracks, channels: {}, lambda state, x: x * gain, (np.zeros((1, 1)), np.zeros(1), np.zeros(1), gain))
+    scale = Kernel(lambda tracks, channels: {}, lambda state, x: x * gain, (np.zeros((1, 1)), np.zeros(1), np.zeros(1), gain), lambda state, x: x * gain)
     return scale if dc == "off" else chain(dc_block(DC_MODES[dc], rate), scale)
 
 
@@ -136,15 +179,40 @@ def dc_block(hz: float, rate: float) -> Kernel:
         state["x"], state["y"] = x, y
         return y
 
-    return Kernel(init, step, dc_system(hz, rate))
+    over = stretched(dc_system(hz, rate))
+
+    def block(state, x):
+        y, _ = over(x, (r * state["y"] - state["x"])[:, None])
+        state["x"], state["y"] = x[-1].copy(), y[-1].copy()
+        return y
+
+    return Kernel(init, step, dc_system(hz, rate), block)
 
 
-def _coefficient(seconds: float, rate: float) -> float:
+def coefficient(seconds: float, rate: float) -> float:
     return math.exp(-1 / (seconds * rate)) if seconds > 0 else 0.0
 
 
+def followed(x: np.ndarray, y: np.ndarray, up: float, down: float) -> np.ndarray:
+    """(frames, lanes) that follow x from y on. Each frame needs the one before: many lanes are stepped side by side, few one by one as
+    plain numbers."""
+    out = np.empty_like(x)
+    if x.shape[1] > 16:
+        for k, target in enumerate(x):
+            y = target + np.where(target > y, up, down) * (y - target)
+            out[k] = y
+        return out
+    for lane in range(x.shape[1]):
+        now, own = float(y[lane]), []
+        for target in x[:, lane].tolist():
+            now = target + (up if target > now else down) * (now - target)
+            own.append(now)
+        out[:, lane] = own
+    return out
+
+
 def follower(attack: float, release: float, rate: float, start: float = 0.0) -> Kernel:
-    up, down = _coefficient(attack, rate), _coefficient(release, rate)
+    up, down = coefficient(attack, rate), coefficient(release, rate)
 
     def init(tracks, channels):
         return {"y": np.full((tracks, channels), start)}
@@ -154,7 +222,12 @@ def follower(attack: float, release: float, rate: float, start: float = 0.0) ->
         state["y"] = x + np.where(x > y, up, down) * (y - x)
         return state["y"]
 
-    return Kernel(init, step)
+    def block(state, x):
+        y = followed(x.reshape(len(x), -1), state["y"].ravel(), up, down).reshape(x.shape)
+        state["y"] = y[-1].copy()
+        return y
+
+    return Kernel(init, step, None, block)
 
 
 def spring(duration: float, rate: float) -> Kernel:
@@ -191,6 +264,29 @@ def _write(state, x, name="line"):
     state[name][np.arange(len(x)), state["at"] % state[name].shape[1]] = x
 
 
+def _read_many(state, delay):
+    """(frames, tracks, channels) that _read gives frame by frame, as long as none of them is written meanwhile."""
+    line, length = state["line"], state["line"].shape[1]
+    n = len(delay)
+    low = np.floor(delay).astype(np.int64)
+    part = delay - low
+    rows, cols = np.arange(line.shape[0])[None, :, None], np.arange(line.shape[2])[None, None, :]
+    at = state["at"][None, :, None] + np.arange(n)[:, None, None] - low
+    return (1 - part) * line[rows, at % length, cols] + part * line[rows, (at - 1) % length, cols]
+
+
+def _write_many(state, x):
+    """Writes (frames, tracks, channels) and goes on."""
+    line, at = state["line"], state["at"][None, :] + np.arange(len(x))[:, None]
+    line[np.arange(line.shape[0])[None, :], at % line.shape[1]] = x
+    state["at"] = state["at"] + len(x)
+
+
+def _all(delay, x):
+    """A delay for each frame, track and channel of x."""
+    return np.broadcast_to(np.asarray(delay, float), x.shape)
+
+
 def feedback_delay(delay: float, feedback: float, longest: int | None = None) -> Kernel:
     """An interpolated delay line; reads, then writes input + feedback x output. A delay is 1 frame at least."""
     length = (longest or math.ceil(delay)) + 2
@@ -201,7 +297,12 @@ def feedback_delay(delay: float, feedback: float, longest: int | None = None) ->
         state["at"] = state["at"] + 1
         return y
 
-    return Kernel(_line(length), step)
+    def block(state, x):
+        y = _read_many(state, _all(max(1.0, delay), x))
+        _write_many(state, x + feedback * y)
+        return y
+
+    return Kernel(_line(length), step, None, block, int(max(1.0, delay)))
 
 
 def allpass(delay: int, g: float = 0.5) -> Kernel:
@@ -212,7 +313,13 @@ def allpass(delay: int, g: float = 0.5) -> Kernel:
         state["at"] = state["at"] + 1
         return held + g * into
 
-    return Kernel(_line(delay + 2), step)
+    def block(state, x):
+        held = _read_many(state, _all(delay, x))
+        into = x - g * held
+        _write_many(state, into)
+        return held + g * into
+
+    return Kernel(_line(delay + 2), step, None, block, max(1, delay))
 
 
 def _db(x):
@@ -223,7 +330,7 @@ def compressor(rate: float, threshold=-12.0, ratio=8.0, knee=3.0, attack=0.02, r
     """Stereo compressor; with a ratio of 20 or more a limiter, whose peak is that of the lookahead. Times are seconds."""
     limit, n = ratio >= 20, max(1, math.ceil(look * rate))
     slope = 1.0 if limit else 1 - 1 / ratio
-    up, down = _coefficient(attack, rate), _coefficient(release, rate)
+    up, down = coefficient(attack, rate), coefficient(release, rate)
 
     def init(tracks, channels):
         return _line(n + 1)(tracks, channels) | {"env": np.full(tracks, -120.0 if limit else 0.0), "peaks": np.zeros((tracks, n))}
@@ -235,21 +342,57 @@ def compressor(rate: float, threshold=-12.0, ratio=8.0, knee=3.0, attack=0.02, r
         level = _db(state["peaks"].max(1) if limit else peak)
         env = level + np.where(level > state["env"], up, down) * (state["env"] - level)
         state["env"] = env
-        over = env - threshold
-        reduced = np.where(over > 0, over * slope, 0.0)
-        if knee > 0:
-            t = (over + knee / 2) / knee
-            reduced = np.where(np.abs(over) < knee / 2, t * t * slope * knee / 2, np.where(over >= knee / 2, over * slope, 0.0))
+        reduced = reduction(env, threshold, slope, knee)
         _write(state, x)
         out = _read(state, n) if n else x
         state["at"] = state["at"] + 1
         return out * (10 ** ((makeup - reduced) / 20))[:, None]
 
-    return Kernel(init, step)
+    def block(state, x):
+        level = np.abs(x).max(2)
+        if limit:  # what the last n frames had at most; the ring holds them by their place
+            order = (state["at"][:, None] + np.arange(n)) % n
+            before = np.take_along_axis(state["peaks"], order, 1).T
+            every = np.concatenate([before, level])
+            state["peaks"] = np.take_along_axis(every[-n:].T, np.argsort((state["at"][:, None] + len(x) + np.arange(n)) % n, 1), 1)
+            level = _highest(every, n)[-len(x) :]
+        env = followed(_db(level), state["env"], up, down)
+        state["env"] = env[-1].copy()
+        # the line gives what was written n frames ago, which may be within these frames
+        whole = np.concatenate([_read_many(state, _all(float(n), x[: min(n, len(x))])), x])[: len(x)]
+        _write_many(state, x)
+        return whole * (10 ** ((makeup - reduction(env, threshold, slope, knee)) / 20))[:, :, None]
+
+    values = {"rate": rate, "threshold": threshold, "slope": slope, "knee": knee, "attack": attack, "release": release, "makeup": makeup, "frames": n, "limit": limit}
+    return Kernel(init, step, None, block, n + 1, ("compressor", values))
+
+
+def _highest(x: np.ndarray, n: int) -> np.ndarray:
+    """The greatest of each row and the n - 1 before it, by running maxima from the ends of pieces of n rows."""
+    if n == 1:
+        return x
+    padded = np.concatenate([np.full((n - 1 + (-(len(x) + n - 1)) % n, *x.shape[1:]), -np.inf), x])
+    pieces = padded.reshape(-1, n, *x.shape[1:])
+    ahead = np.maximum.accumulate(pieces, 1).reshape(padded.shape)
+    behind = np.maximum.accumulate(pieces[:, ::-1], 1)[:, ::-1].reshape(padded.shape)
+    return np.maximum(ahead[n - 1 :], behind[: len(padded) - n + 1])[-len(x) :]
+
+
+def reduction(env: np.ndarray, threshold: float, slope: float, knee: float) -> np.ndarray:
+    """Decibels that a level loses over the threshold, with a soft knee."""
+    over = env - threshold
+    if knee <= 0:
+        return np.where(over > 0, over * slope, 0.0)
+    t = (over + knee / 2) / knee
+    return np.where(np.abs(over) < knee / 2, t * t * slope * knee / 2, np.where(over >= knee / 2, over * slope, 0.0))
+
+
+#: Decibels at which a gate is silent; a little over -60, which a gain nears without an end, so that rounding doesn't decide.
+CLOSED = -60 + 1e-9
 
 
 def gate(rate: float, threshold=-30.0, attack=0.005, hold=0.1, release=0.2, floor=-60.0) -> Kernel:
-    up, down = _coefficient(attack, rate), _coefficient(release, rate)
+    up, down = coefficient(attack, rate), coefficient(release, rate)
 
     def init(tracks, channels):
         return {"env": np.full(tracks, -120.0), "hold": np.zeros(tracks, np.int64), "gain": np.full(tracks, floor)}
@@ -263,9 +406,20 @@ def gate(rate: float, threshold=-30.0, attack=0.005, hold=0.1, release=0.2, floo
         target = np.where(is_open | held, 0.0, floor)
         c = np.where(target > state["gain"], up, down)
         state["gain"] = c * state["gain"] + (1 - c) * target
-        return x * np.where(state["gain"] <= -60, 0.0, 10 ** (state["gain"] / 20))[:, None]
+        return x * np.where(state["gain"] <= CLOSED, 0.0, 10 ** (state["gain"] / 20))[:, None]
 
-    return Kernel(init, step)
+    def block(state, x):
+        env = followed(_db(np.abs(x).max(2)), state["env"], up, down)
+        is_open, place, wait = env >= threshold, np.arange(len(x))[:, None], int(hold * rate)
+        # frames since it was open, by the last open one; before these frames it was so long ago as the counter says
+        last = np.maximum.accumulate(np.where(is_open, place, state["hold"] - wait - 1), 0)
+        since = place - last
+        gain = followed(np.where(since <= wait, 0.0, floor), state["gain"], up, down)
+        state["env"], state["gain"], state["hold"] = env[-1].copy(), gain[-1].copy(), np.maximum(wait - since[-1], 0)
+        return x * np.where(gain <= CLOSED, 0.0, 10 ** (gain / 20))[:, :, None]
+
+    values = {"rate": rate, "threshold": threshold, "attack": attack, "release": release, "hold": int(hold * rate), "floor": floor}
+    return Kernel(init, step, None, block, dynamics=("gate", values))
 
 
 def _sine(phase):
@@ -275,17 +429,55 @@ def _sine(phase):
     return 0.225 * (y * np.abs(y) - y) + y
 
 
-def delay(rate: float, ms=375.0, feedback=0.5, drive=0.0, cutoff=20000.0, filter_kind="lowpass", mix=0.5, width=1.0, ping_pong=False, lfo_hz=0.0, to_time=0.0, to_feedback=0.0, to_cutoff=0.0) -> Kernel:
+def _held(cycle, seed: int):
+    """functions.scalar.noise of a cycle's number."""
+    a = (np.asarray(cycle).astype(np.int64) % 65536 * 25173 + (13849 + 7919 * seed)) % 65536
+    return (a * 25173 + 13849) % 65536 / 32768.0 - 1
+
+
+LFO_SHAPES = ("sine", "triangle", "ramp_up", "ramp_down", "square", "random", "smooth_random")
+
+
+def lfo(turns, shape: str, seed: int = 0):
+    """A low-frequency oscillator after so many turns, in -1..1."""
+    phase = turns % 1.0
+    match shape:
+        case "sine":
+            return _sine(phase)
+        case "triangle":
+            return np.where(phase < 0.25, 4 * phase, np.where(phase < 0.75, 2 - 4 * phase, 4 * phase - 4))
+        case "ramp_up":
+            return 2 * phase - 1
+        case "ramp_down":
+            return 1 - 2 * phase
+        case "square":
+            return np.where(phase < 0.5, 1.0, -1.0)
+        case "random":
+            return _held(np.floor(turns), seed)
+        case "smooth_random":
+            a, b = _held(np.floor(turns), seed), _held(np.floor(turns) + 1, seed)
+            return a + (b - a) * (1 - np.cos(math.pi * phase)) / 2
+    raise ValueError(f"unknown shape {shape}")
+
+
+def _turned(state, step: float, frames: int):
+    """Turns of each of so many frames and track, added up as single steps are."""
+    every = np.add.accumulate(np.concatenate([state["phase"][None], np.full((frames, len(state["phase"])), step)]), 0)
+    state["phase"] = every[-1].copy()
+    return every[:-1]
+
+
+def delay(rate: float, ms=375.0, feedback=0.5, drive=0.0, cutoff=20000.0, filter_kind="lowpass", mix=0.5, width=1.0, ping_pong=False, lfo_hz=0.0, to_time=0.0, to_feedback=0.0, to_cutoff=0.0, lfo_shape="sine", seed=0) -> Kernel:
     """Stereo or ping-pong delay; what comes out of the lines goes through a filter, saturation, a DC block and a clamp, and is both
     the wet signal and what is fed back."""
     length = int(4 * rate) + 4
-    block = dc_block(5.0, rate)
+    straight = dc_block(5.0, rate)
 
     def init(tracks, channels):
-        return _line(length)(tracks, channels) | {"phase": np.zeros(tracks), "back": np.zeros((tracks, channels)), "s": np.zeros((2, tracks, channels))} | block.init(tracks, channels)
+        return _line(length)(tracks, channels) | {"phase": np.zeros(tracks), "back": np.zeros((tracks, channels)), "s": np.zeros((2, tracks, channels))} | straight.init(tracks, channels)
 
     def step(state, x):
-        wave = _sine(state["phase"])[:, None]
+        wave = lfo(_turned(state, lfo_hz / rate, 1)[0], lfo_shape, seed)[:, None]
         frames = np.minimum(np.maximum(1.0, ms + wave * to_time * 50) * rate / 1000, length - 2)
         fb = np.clip(feedback + wave * to_feedback * (1 - abs(feedback)), 0, 0.999)
         cut = np.clip(cutoff * 2 ** (2 * wave * to_cutoff), 20, rate / 2 - 1)
@@ -309,13 +501,37 @@ def delay(rate: float, ms=375.0, feedback=0.5, drive=0.0, cutoff=20000.0, filter
             gain = 1 + 4 * drive
             v = v * gain
             v = v * (27 + v * v) / (27 + 9 * v * v) / math.sqrt(gain)
-        state["back"] = np.clip(block.step(state, v), -4, 4)
-        state["phase"] = (state["phase"] + lfo_hz / rate) % 1.0
+        state["back"] = np.clip(straight.step(state, v), -4, 4)
         out = min(2 * (1 - mix), 1) * x + min(2 * mix, 1) * state["back"]
         m, s = (out[:, :1] + out[:, 1:]) / 2, (out[:, :1] - out[:, 1:]) / 2 * width
         return np.concatenate([m + s, m - s], 1)
 
-    return Kernel(init, step)
+    low = {"lowpass": (0.0, 0.0, 1.0), "bandpass": (0.0, 1.0, 0.0), "highpass": None}[filter_kind]
+    held_g, held_k = math.tan(math.pi * min(max(cutoff, 20), rate / 2 - 1) / rate), max(2 * (1 - 0.97 * 0.302), 0.03)
+    held_a = 1 / (1 + held_g * (held_g + held_k))
+    over = stretched(biquad_system((held_a, held_g * held_a, held_g * held_g * held_a, *(low or (1.0, -held_k, -1.0)))))
+
+    def block(state, x):
+        wave = lfo(_turned(state, lfo_hz / rate, len(x)), lfo_shape, seed)[:, :, None]
+        frames = np.minimum(np.maximum(1.0, ms + wave * to_time * 50) * rate / 1000, length - 2)
+        fb = np.clip(feedback + wave * to_feedback * (1 - abs(feedback)), 0, 0.999)
+        v, after = over(_read_many(state, np.maximum(1.0, np.broadcast_to(frames, x.shape))), state["s"].transpose(1, 0, 2))
+        state["s"] = after.transpose(1, 0, 2)
+        if drive >= 0.001:
+            gain = 1 + 4 * drive
+            v = v * gain
+            v = v * (27 + v * v) / (27 + 9 * v * v) / math.sqrt(gain)
+        back = np.clip(straight.block(state, v), -4, 4)
+        fed = np.concatenate([state["back"][None], back[:-1]]) * fb
+        into = np.stack([(x[:, :, 0] + x[:, :, 1]) / 2 + fed[:, :, 1], fed[:, :, 0]], 2) if ping_pong else x + fed
+        _write_many(state, into)
+        state["back"] = back[-1].copy()
+        out = min(2 * (1 - mix), 1) * x + min(2 * mix, 1) * back
+        m, s = (out[:, :, :1] + out[:, :, 1:]) / 2, (out[:, :, :1] - out[:, :, 1:]) / 2 * width
+        return np.concatenate([m + s, m - s], 2)
+
+    shortest = int(max(1.0, max(1.0, ms - abs(to_time) * 50) * rate / 1000))
+    return Kernel(init, step, None, None if to_cutoff else block, min(shortest, length - 4))
 
 
 def chorus(rate: float, lfo_hz=1.0, depth=0.25, feedback=0.5, ms=12.0, wet=0.5, offset=math.pi / 2, cutoff=20000.0, resonance=0.0, filter_kind="lowpass") -> Kernel:
@@ -334,7 +550,14 @@ def chorus(rate: float, lfo_hz=1.0, depth=0.25, feedback=0.5, ms=12.0, wet=0.5,
         state["phase"] = (state["phase"] + lfo_hz / rate) % 1.0
         return (1 - wet) * x + wet * y
 
-    return Kernel(init, step)
+    def block(state, x):
+        phase = (state["phase"][None] + lfo_hz / rate * np.arange(len(x))[:, None, None]) % 1.0
+        y = _read_many(state, 2 + ms * rate / 1000 + (1 + _sine(phase)) * span * depth)
+        _write_many(state, first.block(state, x) + np.clip(feedback, -0.999, 0.999) * y)
+        state["phase"] = (state["phase"] + lfo_hz / rate * len(x)) % 1.0
+        return (1 - wet) * x + wet * y
+
+    return Kernel(init, step, None, block, int(2 + ms * rate / 1000))
 
 
 #: The reverb's feedback lines: length in units of its size, the step of the vibrato's phase, and the allpass that feeds it; the
@@ -402,7 +625,38 @@ def reverb(rate: float, room=0.6, wet=0.35, seed=0) -> Kernel:
         v = np.clip(filters["fb"].step(state["fb"], out.mean(1)), -1, 1)
         return filters["fc"].step(state["fc"], np.arcsin(v)) + x * (1 - wet)
 
-    return Kernel(init, step)
+    def block(state, x):
+        n = len(x)
+        v = _read_many(state["pre"], _all(ahead, x))
+        _write_many(state["pre"], x)
+        v = np.sin(filters["fa"].block(state["fa"], v) * wet)
+        taps = []
+        for name in ALLPASSES:
+            v = passes[name].block(state[name], v)
+            taps.append(v)
+        phase = state["phase"][None] + turns * np.arange(1, n + 1)[:, None, None, None]
+        state["phase"] = phase[-1]
+        early = (1 + np.sin(phase)) * SWING
+        whole = np.floor(early)
+        out = np.empty((n, *state["back"].shape))
+        for k, name in enumerate(LINES):
+            # behind the write of the same frame, hence a frame nearer
+            first, second = (_read_many(state[name], lengths[k] - whole[:, :, k] - more) for more in (0, 1))
+            part = early[:, :, k] - whole[:, :, k]
+            out[:, :, k] = (1 - blend) * (first * (1 - part) + second * part) + blend * first
+        back = np.empty_like(out)
+        for group in (slice(0, 4), slice(4, 8)):
+            own = out[:, :, group]
+            back[:, :, group] = (2 * own - own.sum(2, keepdims=True)) * regen
+        fed = np.concatenate([state["back"][None], back[:-1]])
+        for k, name in enumerate(LINES):
+            _write_many(state[name], taps[sources[k]] + fed[:, :, k])
+        state["back"] = back[-1].copy()
+        v = np.clip(filters["fb"].block(state["fb"], out.mean(2)), -1, 1)
+        return filters["fc"].block(state["fc"], np.arcsin(v)) + x * (1 - wet)
+
+    shortest = min(ahead, *(p.span for p in passes.values()), min(lengths) - int(2 * SWING) - 2)
+    return Kernel(init, step, None, block if shortest > 8 else None, max(1, shortest))
 
 
 def chain(*kernels: Kernel) -> Kernel:
@@ -416,8 +670,13 @@ def chain(*kernels: Kernel) -> Kernel:
             x = kernel.step(state[str(k)], x)
         return x
 
-    systems = [k.system for k in kernels]
-    return Kernel(init, step, reduce(in_series, systems) if systems and all(systems) else None)
+    def block(state, x):
+        for k, kernel in enumerate(kernels):
+            x = kernel.block(state[str(k)], x)
+        return x
+
+    systems, blocks = [k.system for k in kernels], kernels and all(k.block for k in kernels)
+    return Kernel(init, step, reduce(in_series, systems) if systems and all(systems) else None, block if blocks else None, min([k.span for k in kernels], default=1))
 
 
 RESET = "reset"
@@ -428,34 +687,52 @@ def automated(make: Callable[..., Kernel], start: dict[str, float], changes: lis
     towards its target by inertia x 44100 / rate of the way a frame, or at once. The kernels share one state, whose shape must
     not depend on a parameter that moves; the parameter RESET silences it. Frames count from the kernel's first."""
     first, share = make(**start), min(1.0, inertia * 44100.0 / rate) if inertia else 1.0
-    log = sorted(changes, key=lambda c: c[0])
+    log = sorted((c for c in changes if c[0] >= 0), key=lambda c: c[0])
 
     def init(tracks, channels):
-        return {"inner": first.init(tracks, channels), "frame": 0, "value": dict(start), "target": dict(start), "kernel": None}
-
-    def step(state, x):
-        now = state["frame"]
-        for frame, name, target in log:
-            if frame == now and name == RESET:
-                state["inner"] = first.init(len(x), x.shape[1])
-            elif frame == now:
+        return {"inner": first.init(tracks, channels), "frame": 0, "next": 0, "value": dict(start), "target": dict(start), "kernel": make(**start)}
+
+    def due(state, x):
+        """Takes up the changes of this frame; true if a value moves."""
+        while state["next"] < len(log) and log[state["next"]][0] <= state["frame"]:
+            _, name, target = log[state["next"]]
+            state["next"] += 1
+            if name == RESET:
+                state["inner"] = first.init(x.shape[-2], x.shape[-1])
+            else:
                 state["target"][name] = target
-        moved = False
-        for name, target in state["target"].items():
-            value = state["value"][name]
-            if value != target:
-                value += (target - value) * share
-                state["value"][name] = target if abs(target - value) < 1e-6 * max(1.0, abs(target)) else value
-                moved = True
-        if moved or state["kernel"] is None:
+        moved = [n for n, target in state["target"].items() if state["value"][n] != target]
+        for name in moved:
+            value, target = state["value"][name], state["target"][name]
+            value += (target - value) * share
+            state["value"][name] = target if abs(target - value) < 1e-6 * max(1.0, abs(target)) else value
+        if moved:
             state["kernel"] = make(**state["value"])
-        state["frame"] = now + 1
+        return any(state["value"][n] != target for n, target in state["target"].items())
+
+    def step(state, x):
+        due(state, x)
+        state["frame"] += 1
         return state["kernel"].step(state["inner"], x)
 
-    return Kernel(init, step)
+    def block(state, x):
+        out, at = np.empty_like(x), 0
+        while at < len(x):
+            moving = due(state, x)
+            until = log[state["next"]][0] - state["frame"] if state["next"] < len(log) else len(x) - at
+            n = 1 if moving else min(len(x) - at, until)
+            out[at : at + n], _ = run(state["kernel"], x[at : at + n], state["inner"])
+            state["frame"] += n
+            at += n
+        return out
+
+    return Kernel(init, step, None, block)
 
 
 def run(kernel: Kernel, x: np.ndarray, state: dict | None = None) -> tuple[np.ndarray, dict]:
     """(frames, tracks, channels) through a kernel; the state carries on."""
     state = kernel.init(x.shape[1], x.shape[2]) if state is None else state
+    if kernel.block and kernel.span >= 4:  # shorter ones cost more than single steps
+        parts = [kernel.block(state, x[a : a + kernel.span]) for a in range(0, len(x), kernel.span)]
+        return np.concatenate(parts) if parts else x, state
     return np.stack([kernel.step(state, f) for f in x]) if len(x) else x, state

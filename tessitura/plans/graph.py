@@ -1,7 +1,9 @@
 """Signal graphs as data: tracks, buses, effects and events, compiled to one lazy DataFrame plan.
 
 The compiler drops what does nothing (unity gain, centred pan, a dry mix), merges buses without effects into their parents,
-keeps memoryless effects as expressions, and folds a run of recursive effects of a bus in one grouped step.
+keeps memoryless effects as expressions, and joins runs of recursive effects of a bus: linear ones in a scan, compressors and gates in scans of
+their own, all others in one fold. A bus sounds on for the tails of its effects. Where its last frame is known from its tracks, silence is filled in
+by a join with a range, so that a plan grows with the graph and no faster.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import scalar as S
 from tessitura.operators import automation as A
+from tessitura.operators import effects as FX
 from tessitura.operators import folds as FO
 from tessitura.operators import kernels as K
 from tessitura.operators import mixing as M
@@ -77,6 +80,17 @@ class Effect:
     changes: list[tuple[int, str, float]] = field(default_factory=list)
     inertia: float = 0.0
     bypassed: bool = False
+    #: Frames that it rings on after its input at given parameters; None: until it is silent.
+    ring: Callable[..., int | None] = lambda **values: 0
+
+    def tail(self) -> int | None:
+        """The longest of its tails at its parameters and at those that are scheduled."""
+        values, found = dict(self.values), [self.ring(**self.values)]
+        for _, name, target in sorted(self.changes, key=lambda c: c[0]):
+            if name in values:
+                values[name] = target
+                found.append(self.ring(**values))
+        return None if None in found else max(found)
 
     def current(self, rate: float) -> Kernel | None:
         """The kernel at its parameters, or one that follows their changes."""
@@ -172,27 +186,28 @@ class Graph:
         if self.tracks.pop(track, None) is None:
             raise UnknownNode(f"no track {track}")
 
-    def add_effect(self, bus: int, name: str, apply=None, kernel: Kernel | None = None, at: int | None = None) -> int:
+    def add_effect(self, bus: int, name: str, apply=None, kernel: Kernel | None = None, at: int | None = None, tail: int | None = 0) -> int:
+        """A memoryless effect, or a kernel that rings on for `tail` frames after its input; with None until it is silent."""
         self._bus(bus)
         if (apply is None) == (kernel is None):
             raise GraphError("an effect is either an expression or a kernel")
         k = self._id()
         own = self.effects[bus]
-        own.insert(len(own) if at is None else max(0, min(len(own), at)), Effect(k, name, apply, kernel))
+        own.insert(len(own) if at is None else max(0, min(len(own), at)), Effect(k, name, apply, kernel, ring=lambda **values: tail))
         return k
 
-    def add_parametric(self, bus: int, name: str, make: Callable[..., Kernel], values: dict[str, float], inertia: float = 0.0, at: int | None = None) -> int:
-        """An effect whose parameters can be set while it plays: make(**values) gives its kernel; a value moves to a new target with
-        `inertia`."""
+    def add_parametric(self, bus: int, name: str, make: Callable[..., Kernel], values: dict[str, float], inertia: float = 0.0, at: int | None = None, tail=lambda **values: 0) -> int:
+        """An effect whose parameters can be set while it plays: make(**values) gives its kernel, tail(**values) the frames that it rings
+        on (None: until it is silent); a value moves to a new target with `inertia`."""
         k = self.add_effect(bus, name, kernel=make(**values), at=at)
         own, n = self._effect(k)
-        own[n].make, own[n].values, own[n].inertia = make, dict(values), inertia
+        own[n].make, own[n].values, own[n].inertia, own[n].ring = make, dict(values), inertia, tail
         return k
 
     def add_builtin(self, bus: int, effect: str, inertia: float = 0.0, at: int | None = None, **values) -> int:
         """One of the built-in effects that are kernels, with values of its parameters by id; those given can be set later."""
         rate = self.rate
-        return self.add_parametric(bus, effect, lambda **v: effect_kernel(effect, rate, **v), values, inertia, at)
+        return self.add_parametric(bus, effect, lambda **v: effect_kernel(effect, rate, **v), values, inertia, at, lambda **v: effect_tail(effect, rate, **v))
 
     def reset_effect(self, effect: int, frame: int) -> None:
         """Silences what an effect remembers at a frame."""
@@ -363,26 +378,53 @@ class Graph:
 
         return {k: home(k) for k in self.buses}
 
-    def _through(self, s: DataFrame, chain_: list[Effect]) -> DataFrame:
-        run: list[Kernel] = []
-
-        def folded(s):
-            if not run:
-                return s
-            one, own = _gapless(s).withColumn("_bus", F.lit(0).cast("long")), chain(*run)
-            run.clear()
-            # a bus is one track: a linear chain goes block by block on all machines, any other along its frames in one task
-            out = FO.affine_scan(one, "_bus", own.system, ["l", "r"]) if own.system else FO.fold(one, "_bus", own, ["l", "r"])
-            return out.select("frame", "l", "r")
+    def _through(self, s: DataFrame, chain_: list[Effect], last: int | None, deep: bool) -> tuple[DataFrame, int | None, bool]:
+        """A bus through its effects, its last frame, where it is known, and whether kernels are below (`deep`)."""
+        run: list[Effect] = []
+
+        def folded(s: DataFrame, last: int | None) -> tuple[DataFrame, int | None]:
+            """The kernels that wait. A bus is one track: linear kernels and dynamics go block by block on all machines, any other along
+            the frames in one task. A scan reads its input twice, so kernels below it are cut off."""
+            nonlocal deep
+            while run:
+                kernels = [e.current(self.rate) for e in run]
+                n = 1 if kernels[0].dynamics else next((k for k, kernel in enumerate(kernels) if kernel.dynamics), len(run))
+                tails, own = [e.tail() for e in run[:n]], kernels[0] if n == 1 else chain(*kernels[:n])
+                del run[:n]
+                if last is None or deep and None not in tails and (own.system or own.dynamics):
+                    s = FO.cut(s)
+                deep = True
+                if last is None:
+                    last = s.agg(F.max("frame")).first()[0]
+                    last = -1 if last is None else last
+                endless, more = None in tails, sum(t or 0 for t in tails)
+                one = _gapless(s, last + (0 if endless else more)).withColumn("_bus", F.lit(0).cast("long"))
+                if endless:
+                    s, last = FO.fold_until_silent(one, "_bus", own, ["l", "r"], self.rate), None
+                elif own.system:
+                    s, last = FO.affine_scan(one, "_bus", own.system, ["l", "r"]), last + more
+                elif own.dynamics:
+                    s, last = FO.dynamics(one, "_bus", own), last + more
+                else:
+                    s, last = FO.fold(one, "_bus", own, ["l", "r"]), last + more
+                s = s.select("frame", "l", "r")
+            return s, last
 
         for e in chain_:
             if e.bypassed:
                 continue
             if e.kernel:
-                run.append(e.current(self.rate))
+                run.append(e)
             else:
-                s = e.apply(folded(s)).select("frame", "l", "r")
-        return folded(s)
+                s, last = folded(s, last)
+                s = e.apply(s).select("frame", "l", "r")
+        return *folded(s, last), deep
+
+    def _ends(self, tracks: list[DataFrame]) -> int:
+        """The last frame of several tracks; -1 without any. A job of its own, which reads no more than the tracks' frames."""
+        each = [t.agg(F.max("frame").alias("last")) for t in tracks]
+        found = reduce(DataFrame.unionByName, each).agg(F.max("last")).first()[0] if each else None
+        return -1 if found is None else found
 
     def set_master(self, frame: int, volume: float) -> None:
         """Schedules the volume of all that is heard, smoothed from where it stands."""
@@ -400,15 +442,21 @@ class Graph:
             if home[k] not in inside:
                 home[k] = of
 
-        def bus(k: int) -> DataFrame | None:
-            parts = [self._track(t) for t in self.tracks.values() if t.bus in inside and home[t.bus] == k]
-            parts += [b for c in inside if c != of and home[c] == c and home[self.buses[c]] == k and (b := bus(c)) is not None]
+        def bus(k: int, heard: bool) -> tuple[DataFrame | None, int | None, bool]:
+            """The frames of a bus, the last of them where a kernel on or above it (`heard`) needs it and it is known, and whether it has
+            kernels below."""
+            heard = heard or any(e.kernel and not e.bypassed for e in self.effects[k])
+            tracks = [self._track(t) for t in self.tracks.values() if t.bus in inside and home[t.bus] == k]
+            below = [bus(c, heard) for c in inside if c != of and home[c] == c and home[self.buses[c]] == k]
+            below = [b for b in below if b[0] is not None]
+            parts = tracks + [b[0] for b in below]
             if not parts:
-                return None
-            own = M.mixdown(reduce(DataFrame.unionByName, parts), ["frame"], ["l", "r"])
-            return self._through(own, self.effects[k])
+                return None, None, False
+            ends = [end for _, end, _ in below]
+            last = max([self._ends(tracks), *ends]) if heard and None not in ends else None
+            return self._through(M.mixdown(reduce(DataFrame.unionByName, parts), ["frame"], ["l", "r"]), self.effects[k], last, any(b[2] for b in below))
 
-        out = bus(of)
+        out, *_ = bus(of, False)
         if out is None:
             return SparkSession.active().createDataFrame([], "frame long, l double, r double")
         if of == ROOT and self.masters:
@@ -440,16 +488,13 @@ class Graph:
         return M.meter(reduce(DataFrame.unionByName, every), ["bus"], size, ["l", "r"])
 
 
-#: Frames that one row makes when silence is filled in.
-GRID = 1 << 16
+#: Frames of a task that fills in silence.
+GRID = 1 << 20
 
 
-def _gapless(s: DataFrame) -> DataFrame:
-    """Frames 0 to the last of a bus, silent where nothing plays: what a kernel hears, and what its ringing needs."""
-    blocks = s.agg(F.max("frame").alias("_last")).filter("_last IS NOT NULL")
-    blocks = blocks.select("_last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / GRID))).alias("_block")).repartition("_block")
-    first = F.col("_block") * GRID
-    grid = blocks.select(F.explode(F.sequence(first, F.least(F.col("_last"), first + GRID - 1))).alias("frame"))
+def _gapless(s: DataFrame, last: int) -> DataFrame:
+    """Frames 0 to `last` of a bus, silent where nothing plays: what a kernel hears, and what its ringing needs."""
+    grid = s.sparkSession.range(0, last + 1, 1, max(1, math.ceil((last + 1) / GRID))).withColumnRenamed("id", "frame")
     return grid.join(s, "frame", "left").select("frame", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("l", "r")])
 
 
@@ -577,9 +622,8 @@ def _shape(name: str) -> str:
     return name.lower().replace(" ", "_")
 
 
-def effect_kernel(effect: str, rate: float, **values) -> Kernel:
-    """The kernel of a built-in effect at values of its parameters, by id (blanks left out); what is not given is at its default, a
-    choice is a name or its number. Values outside their range are errors."""
+def _values(effect: str, values: dict) -> dict:
+    """All parameters of an effect by id (blanks left out); what is not given is at its default, a choice is a name or its number."""
     v = {p[1].strip(): p[5] for p in PARAMETERS if p[0] == effect}
     if not v:
         raise UnknownNode(f"no effect {effect!r}")
@@ -593,6 +637,31 @@ def effect_kernel(effect: str, rate: float, **values) -> Kernel:
         if not low <= value <= high:
             raise OptionError(f"{effect} {name} must be in {low}..{high}")
         v[name] = value
+    return v
+
+
+def effect_tail(effect: str, rate: float, **values) -> int | None:
+    """Frames that a built-in effect rings on after its input at values of its parameters; None: until it is silent."""
+    v = _values(effect, values)
+    match effect:
+        case "gain":
+            return FX.tail_frames(effect, rate, hz=K.DC_MODES.get(_shape(CHOICES["gain", "dcfm"][int(v["dcfm"])])))
+        case "compressor":
+            return FX.tail_frames(effect, rate, look=v["look"], release=v["rels"])
+        case "gate":
+            return FX.tail_frames(effect, rate, hold=v["hold"], release=v["rels"])
+        case "delay":
+            return FX.tail_frames(effect, rate, ms=v["dlay"], feedback=v["fdbk"], drive=v["driv"])
+        case "chorus":
+            return FX.tail_frames(effect, rate, ms=v["dlay"], feedback=v["fdbk"])
+        case "reverb":
+            return FX.tail_frames(effect, rate, room=v["room"])
+    return FX.tail_frames(effect, rate)
+
+
+def effect_kernel(effect: str, rate: float, **values) -> Kernel:
+    """The kernel of a built-in effect at values of its parameters. Values outside their range are errors."""
+    v = _values(effect, values)
     chosen = lambda code: _shape(CHOICES[effect, code][int(v[code])])
     match effect:
         case "gain":
@@ -607,9 +676,7 @@ def effect_kernel(effect: str, rate: float, **values) -> Kernel:
         case "gate":
             return K.gate(rate, v["thrs"], v["attk"], v["hold"], v["rels"], v["rnge"])
         case "delay":
-            if chosen("lfos") != "sine":
-                raise OptionError("the delay's LFO is a sine here")
-            return K.delay(rate, v["dlay"], v["fdbk"], v["driv"], v["cuto"], chosen("ftyp"), v["wet_"], v["wdth"], chosen("mode") == "ping_pong", v["lfor"], v["lfdt"], v["ldfb"], v["lfdf"])
+            return K.delay(rate, v["dlay"], v["fdbk"], v["driv"], v["cuto"], chosen("ftyp"), v["wet_"], v["wdth"], chosen("mode") == "ping_pong", v["lfor"], v["lfdt"], v["ldfb"], v["lfdf"], chosen("lfos"))
         case "chorus":
             return K.chorus(rate, v["rate"], v["dpth"], v["fdbk"], v["dlay"], v["wet_"], v["phas"], v["fltf"], v["fltq"], chosen("fltt"))
         case "reverb":

@@ -48,12 +48,18 @@ def test_graph_with_kernels_equals_the_kernel(spark):
     x = np.repeat(np.arange(50)[:, None, None] * 0.01, 2, 2)
     y, _ = K.run(K.chain(K.biquad("lowpass", 100, 1000), K.dc_block(5, 1000)), x)
     assert np.allclose(out[["l", "r"]], y[:, 0])
-    # a linear run of kernels is a scan in blocks, any other one fold
+    # a linear run of kernels is a scan in blocks, a gate scans of its own behind a checkpoint, any other run one fold
     plan = g.compile()._jdf.queryExecution().analyzed().toString()
     assert plan.count("MapInPandas finish") == 1 and "MapInPandas apply" not in plan
     g.add_effect(G.ROOT, "gate", kernel=K.gate(1000))
     plan = g.compile()._jdf.queryExecution().analyzed().toString()
-    assert plan.count("MapInPandas apply") == 1 and "MapInPandas finish" not in plan
+    assert plan.count("MapInPandas finish") == 1 and "MapInPandas apply" not in plan
+    g.add_effect(G.ROOT, "delay", kernel=K.delay(1000, 10.0))
+    plan = g.compile()._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInPandas finish") == 1 and plan.count("MapInPandas apply") == 1
+    out = g.compile().orderBy("frame").toPandas()
+    y, _ = K.run(K.chain(K.biquad("lowpass", 100, 1000), K.dc_block(5, 1000), K.gate(1000), K.delay(1000, 10.0)), x)
+    assert np.allclose(out[["l", "r"]], y[:, 0])
 
 
 def test_graph_errors_and_stops(spark):
