@@ -125,19 +125,21 @@ def fold(signal: DataFrame, key: str, kernel: Kernel, channels: list[str], parti
 
 #: A sample under this is silent, and a track that has been silent for so many seconds has ended.
 QUIET, HUSH = 1e-6, 2.0
+#: Seconds after which a tail is cut off that has not ended: a driven feedback loop may sound for ever.
+LONGEST = 600.0
 
 
-def fold_until_silent(signal: DataFrame, key: str, kernel: Kernel, channels: list[str], rate: float, quiet: float = QUIET, hush: float = HUSH) -> DataFrame:
+def fold_until_silent(signal: DataFrame, key: str, kernel: Kernel, channels: list[str], rate: float, quiet: float = QUIET, hush: float = HUSH, longest: float = LONGEST) -> DataFrame:
     """What fold gives, and after a track's last frame the frames in which its kernel goes on ringing, until none of them has passed
-    `quiet` for `hush` seconds; those silent seconds are left out. There is no bound but that, so that a kernel which never ends
-    needs a stop."""
+    `quiet` for `hush` seconds; those silent seconds are left out. A tail that sounds on after `longest` seconds ends there."""
     cut = signal.select(key, "frame", *[F.col(c).cast("double").alias(c) for c in channels])
     patience = max(1, int(hush * rate))
 
     def rung(track, frame, state):
-        held, silent = [], 0
-        while silent < patience:
-            y, state = run(kernel, np.zeros((min(patience, ROWS), 1, len(channels))), state)
+        held, silent, left = [], 0, int(longest * rate)
+        while silent < patience and left > 0:
+            y, state = run(kernel, np.zeros((min(patience, ROWS, left), 1, len(channels))), state)
+            left -= len(y)
             loud = np.flatnonzero(np.abs(y).max((1, 2)) > quiet)
             held.append(y[:, 0])
             silent = silent + len(y) if not len(loud) else len(y) - 1 - int(loud[-1])

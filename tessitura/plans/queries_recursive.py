@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessitura.operators import automation as A
 from tessitura.operators import folds as FO
 from tessitura.operators import kernels as K
+from tessitura.plans import graph as G
 from tessitura.plans.helpers import EMBED, EVENTS, r, sr
 from tessitura.sources import tables as T
 
@@ -110,21 +111,27 @@ ORACLES |= {"scan_dc": ORACLES["dc_block"], "scan_biquad": ORACLES["biquad_lowpa
 # --- stereo dynamics --------------------------------------------------------------------------------------------------
 
 
+def recursion(source, state, steps, l, rr, table="sig"):
+    """SQL of a stereo recursion over one of the tables of `source`: state, steps and outputs as for mono."""
+    inner = f"SELECT s.*, {', '.join(f'o.{k} AS o_{k}' for k in state)} FROM rec o JOIN {table} s ON s.track_id = o.track_id AND s.frame = o.frame + 1"
+    for k, e in steps:
+        inner = f"SELECT *, {e} AS {k} FROM ({inner})"
+    return (
+        f"WITH RECURSIVE {source},"
+        f" rec AS (SELECT track_id, CAST(-1 AS BIGINT) AS frame, {', '.join(f'CAST({v!r} AS {"DOUBLE[]" if isinstance(v, list) else "DOUBLE"}) AS {k}' for k, v in state.items())}, CAST(0 AS DOUBLE) AS yl, CAST(0 AS DOUBLE) AS yr FROM {table} WHERE frame = 0"
+        f" UNION ALL SELECT track_id, frame, {', '.join(f'n_{k}' for k in state)}, {l}, {rr} FROM ({inner})) SELECT track_id, frame, {sr('yl', 'l')}, {sr('yr', 'r')} FROM rec WHERE frame >= 0"
+    )
+
+
+_STEREO = f"{EMBED}, sig AS (SELECT track_id, frame, l, r, greatest(abs(l), abs(r)) AS pk, max(greatest(abs(l), abs(r))) OVER w AS pk3, coalesce(lag(l, 3) OVER (PARTITION BY track_id ORDER BY frame), 0) AS l3, coalesce(lag(r, 3) OVER (PARTITION BY track_id ORDER BY frame), 0) AS r3 FROM emb WINDOW w AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"
+
+
 def stereo(name, kernel, state, steps, l, rr):
     def query(spark, sf):
         return FO.fold(T.embedding_signal(spark, sf), "track_id", kernel, ["l", "r"]).select("track_id", "frame", r("l"), r("r"))
 
     QUERIES[name] = query
-    if state is None:
-        return
-    inner = f"SELECT s.*, {', '.join(f'o.{k} AS o_{k}' for k in state)} FROM rec o JOIN sig s ON s.track_id = o.track_id AND s.frame = o.frame + 1"
-    for k, e in steps:
-        inner = f"SELECT *, {e} AS {k} FROM ({inner})"
-    ORACLES[name] = (
-        f"WITH RECURSIVE {EMBED}, sig AS (SELECT track_id, frame, l, r, greatest(abs(l), abs(r)) AS pk, max(greatest(abs(l), abs(r))) OVER w AS pk3, coalesce(lag(l, 3) OVER (PARTITION BY track_id ORDER BY frame), 0) AS l3, coalesce(lag(r, 3) OVER (PARTITION BY track_id ORDER BY frame), 0) AS r3 FROM emb WINDOW w AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),"
-        f" rec AS (SELECT track_id, CAST(-1 AS BIGINT) AS frame, {', '.join(f'CAST({v!r} AS {"DOUBLE[]" if isinstance(v, list) else "DOUBLE"}) AS {k}' for k, v in state.items())}, CAST(0 AS DOUBLE) AS yl, CAST(0 AS DOUBLE) AS yr FROM sig WHERE frame = 0"
-        f" UNION ALL SELECT track_id, frame, {', '.join(f'n_{k}' for k in state)}, {l}, {rr} FROM ({inner})) SELECT track_id, frame, {sr('yl', 'l')}, {sr('yr', 'r')} FROM rec WHERE frame >= 0"
-    )
+    ORACLES[name] = recursion(_STEREO, state, steps, l, rr)
 
 
 def _db(p):
@@ -145,6 +152,20 @@ stereo("fx_gate", K.gate(RATE, -14.0, 0.02, 0.03, 0.1, -60.0), {"env": -120.0, "
         ("n_gain", f"CASE WHEN target > o_gain THEN {_a!r} ELSE {_b!r} END * o_gain + (1 - CASE WHEN target > o_gain THEN {_a!r} ELSE {_b!r} END) * target")],
        f"l * {_g}", f"r * {_g}")
 
+# --- the same by scans over blocks ------------------------------------------------------------------------------------
+
+
+def by_scan(kernel):
+    return lambda spark, sf: FO.dynamics(T.embedding_signal(spark, sf), "track_id", kernel).select("track_id", "frame", r("l"), r("r"))
+
+
+QUERIES |= {
+    "scan_compressor": by_scan(K.compressor(RATE, -12.0, 8.0, 3.0, 0.02, 0.1, 6.0, 0.03)), "scan_limiter": by_scan(K.compressor(RATE, -10.0, 20.0, 0.0, 0.02, 0.1, 0.0, 0.03)),
+    "scan_gate": by_scan(K.gate(RATE, -14.0, 0.02, 0.03, 0.1, -60.0)),
+    "scan_follower": lambda spark, sf: FO.follower_scan(T.event_signal(spark, sf), "track_id", _up, _down, 0.0, -1e6, 1e6, block=16).select("track_id", "frame", r("x")),
+}
+ORACLES |= {"scan_compressor": ORACLES["fx_compressor"], "scan_limiter": ORACLES["fx_limiter"], "scan_gate": ORACLES["fx_gate"], "scan_follower": ORACLES["envelope_follower"]}
+
 # --- delays: the lines are lists, the newest frame first --------------------------------------------------------------
 
 
@@ -196,6 +217,35 @@ stereo("fx_delay", K.delay(_DELAY_RATE, 6.0, 0.5, 0.3, 300.0), delay_state(8),
 stereo("fx_delay_ping_pong", K.delay(_DELAY_RATE, 6.0, 0.5, 0.0, 300.0, ping_pong=True, lfo_hz=5.0, to_time=0.1), {"phase": 0.0} | delay_state(14),
        [("frames", f"greatest(1.0, 6 + 5 * {parabola('o_phase')})"), ("n_phase", "fmod(o_phase + 0.005, 1.0)"),
         *delay_steps(14, "frames", 0.0, {"a": "(l + r) / 2 + 0.5 * o_bback", "b": "0.5 * o_aback"})], "l + n_aback", "r + n_bback")
+# the LFO's other shapes, over turns that are added up frame by frame
+_turns, _phase = ("n_turns", "o_turns + 0.05"), "(o_turns - floor(o_turns))"
+_noise = lambda c: f"((((({c}) % 65536 * 25173 + 13849) % 65536) * 25173 + 13849) % 65536 / 32768.0 - 1)"
+for _shape, _wave in {
+    "triangle": f"CASE WHEN {_phase} < 0.25 THEN 4 * {_phase} WHEN {_phase} < 0.75 THEN 2 - 4 * {_phase} ELSE 4 * {_phase} - 4 END",
+    "ramp_down": f"1 - 2 * {_phase}",
+    "random": _noise("CAST(floor(o_turns) AS BIGINT)"),
+    "smooth_random": f"{_noise('CAST(floor(o_turns) AS BIGINT)')} + ({_noise('CAST(floor(o_turns) AS BIGINT) + 1')} - {_noise('CAST(floor(o_turns) AS BIGINT)')}) * (1 - cos(pi() * {_phase})) / 2",
+}.items():
+    stereo(f"fx_delay_{_shape}", K.delay(_DELAY_RATE, 6.0, 0.5, 0.3, 300.0, lfo_hz=50.0, to_time=0.05, lfo_shape=_shape), {"turns": 0.0} | delay_state(12),
+           [("frames", f"greatest(1.0, 6 + 2.5 * ({_wave}))"), _turns, *delay_steps(12, "frames", 0.3, {"a": "l + 0.5 * o_aback", "b": "r + 0.5 * o_bback"})], "l + n_aback", "r + n_bback")
+
+
+def tail_delay(spark, sf):
+    """All tracks as one, through a delay: its echoes sound on after the last frame."""
+    g = G.Graph(rate=int(_DELAY_RATE))
+    g.add_track(T.event_signal(spark, sf).groupBy("frame").agg((F.sum("x") / 100).alias("x")))
+    g.add_builtin(G.ROOT, "delay", **_ECHO)
+    return g.compile().select(F.lit(0).alias("track_id"), "frame", r("l"), r("r"))
+
+
+_ECHO = {"dlay": 6.0, "fdbk": 0.5, "driv": 0.0, "cuto": 300.0, "wet_": 0.5, "wdth": 1.0}
+QUERIES["tail_delay"] = tail_delay
+ORACLES["tail_delay"] = recursion(
+    f"{EVENTS}, mix AS (SELECT frame, sum(x) / 100 AS x FROM sig GROUP BY frame), whole AS (SELECT 0 AS track_id, g.frame, coalesce(mix.x, 0) AS l, coalesce(mix.x, 0) AS r"
+    f" FROM range(0, (SELECT max(frame) FROM mix) + 1 + {G.effect_tail('delay', _DELAY_RATE, **_ECHO)}) g(frame) LEFT JOIN mix ON mix.frame = g.frame)",
+    delay_state(8), delay_steps(8, "6.0", 0.0, {"a": "l + 0.5 * o_aback", "b": "r + 0.5 * o_bback"}), "l + n_aback", "r + n_bback", "whole",
+)
+
 _g, _k, _span = math.tan(math.pi * 499.0 / 1000.0), 2.0, 256000.0 / 44100
 _d = 1 / (1 + _g * (_g + _k))
 _chorus = []

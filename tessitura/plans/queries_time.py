@@ -318,8 +318,16 @@ add("sampler_pan", sampler_pan, f"""WITH {_NOTES}, {FLAT}, p AS (SELECT n.*, n.n
 s AS (SELECT p.*, t.i AS t, floor(t.i * speed) AS low, t.i * speed - floor(t.i * speed) AS part FROM p, range(0, 64) t(i) WHERE t.i <= floor(62 / speed)),
 l AS (SELECT s.track_id, s.on_frame + s.t AS frame, (a.v * (1 - part) + c.v * part) * 0.5 AS x, pan FROM s JOIN flat a ON a.track_id = s.b AND a.i = s.low JOIN flat c ON c.track_id = s.b AND c.i = s.low + 1)
 SELECT track_id, frame, {sr('sum(x * sqrt(1 - pan))', 'l')}, {sr('sum(x * sqrt(1 + pan))', 'r')} FROM l GROUP BY track_id, frame""")
-add("tones", lambda spark, sf: Y.tone(spark.range(1, 9).select(F.col("id").alias("track_id"), (F.col("id") * 3.7).alias("hz")), 64, 100.0, "saw").select("track_id", "frame", r("x")),
-    f"SELECT t.t AS track_id, k.i AS frame, {sr('2 * fmod(k.i * (t.t * 3.7) / 100.0, 1.0) - 1', 'x')} FROM range(1, 9) t(t), range(0, 64) k(i)")
+
+
+def _pitches(spark, sf):
+    """A tone for each supplier, of a frequency by its balance."""
+    return T.read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("track_id"), (1.5 + F.pmod(F.floor("s_acctbal"), F.lit(40)).cast("double") * 0.7).alias("hz"))
+
+
+_PITCHES = "SELECT CAST(s_suppkey AS BIGINT) AS track_id, CAST(k.i AS BIGINT) AS frame, 1.5 + ((floor(s_acctbal)::BIGINT % 40 + 40) % 40) * 0.7 AS hz FROM supplier, range(0, 64) k(i)"
+add("tones", lambda spark, sf: Y.tone(_pitches(spark, sf), 64, 100.0, "saw").select("track_id", "frame", r("x")),
+    f"SELECT track_id, frame, {sr('2 * fmod(frame * hz / 100.0, 1.0) - 1', 'x')} FROM ({_PITCHES})")
 
 def polyphonic(spark, sf):
     notes = _notes(spark, sf).filter("off_frame > on_frame").select("*", (3.0 + F.col("note_id") % 12).alias("hz"), F.lit(0.5).alias("volume"), ((F.col("note_id") % 5 - 2) / 2.0).alias("pan"))
@@ -340,13 +348,13 @@ def tracks_due(spark, sf):
 
 
 add("tracks_due", tracks_due, f"WITH {_NOTES} SELECT note_id AS track_id, on_frame AS start_frame, off_frame AS stop_frame FROM notes WHERE on_frame < 30 AND (off_frame IS NULL OR off_frame > 20)")
-_TR = "SELECT t.t AS track_id, k.i AS frame, t.t * 3.7 AS hz, fmod(k.i * (t.t * 3.7) / 100.0, 1.0) AS p FROM range(1, 9) t(t), range(0, 64) k(i)"
+_TR = f"SELECT *, fmod(frame * hz / 100.0, 1.0) AS p FROM ({_PITCHES})"
 for _shape, _sum in {
     "saw": "-2 / pi() * list_sum(list_transform(range(1, n + 1), lambda k: sin(2 * pi() * k * p) / k))",
     "triangle": "8 / (pi() * pi()) * list_sum(list_transform(range(1, n + 1), lambda k: CASE k % 4 WHEN 1 THEN sin(2 * pi() * k * p) / (k * k) WHEN 3 THEN -sin(2 * pi() * k * p) / (k * k) ELSE 0 END))",
     "pulse": "-2 / pi() * list_sum(list_transform(range(1, n + 1), lambda k: (sin(2 * pi() * k * p) - sin(2 * pi() * k * (p + 0.3))) / k))",
 }.items():
-    add(f"tones_bandlimited_{_shape}", lambda spark, sf, _s=_shape: Y.tone(spark.range(1, 9).select(F.col("id").alias("track_id"), (F.col("id") * 3.7).alias("hz")), 64, 100.0, _s, 0.3, True).select("track_id", "frame", r("x")),
+    add(f"tones_bandlimited_{_shape}", lambda spark, sf, _s=_shape: Y.tone(_pitches(spark, sf), 64, 100.0, _s, 0.3, True).select("track_id", "frame", r("x")),
         f"SELECT track_id, frame, {sr(_sum, 'x')} FROM (SELECT *, greatest(CAST(floor(50.0 / hz) AS BIGINT), 1) AS n FROM ({_TR}))")
 
 # --- modulation -------------------------------------------------------------------------------------------------------
