@@ -11,6 +11,7 @@ from tessitura.functions import scalar as S
 from tessitura.operators import automation as A
 from tessitura.operators import folds as FO
 from tessitura.operators import mixing as M
+from tessitura.operators import modulation as MO
 from tessitura.operators import resampling as R
 from tessitura.operators import synthesis as Y
 from tessitura.plans.helpers import EMBED, EVENTS, FLAT, LOG, r, rounded, sr
@@ -380,6 +381,54 @@ by_frame("frequency_glide", lambda f, x: {"y": A.frequency_glide(f, 220.0, 330.0
 _MOTIONS = [(10, "speed", 0.5), (30, "seek", 5.0), (30, "speed", 2.0)]
 
 
+_ROUTES = [
+    MO.Route("lfo1", "density", 0.6, True), MO.Route("envelope", "density", 0.4, False), MO.Route("lfo2", "size", 0.5, True), MO.Route("lfo2", "pan", 0.3, False), MO.Route("keytrack", "position", 0.4, False),
+    MO.Route("lfo1", "volume", 0.9, False), MO.Route("lfo1", "volume", -0.5, False), MO.Route("velocity", "volume", 0.25, True), MO.Route("envelope", "speed", -0.3, True), MO.Route("keytrack", "pan", 0.0009, False),
+]
+_SWINGS, _STEP = ((7.0, "triangle"), (11.0, "random")), 8
+
+
+def _steps(spark, sf):
+    notes = _played(spark, sf).filter("off_frame IS NOT NULL").withColumns({"note": F.col("note_id") % 128, "velocity": (F.col("note_id") % 100) / 99.0, "pan": F.lit(0.1)})
+    return MO.voice_steps(notes, 100.0, _ROUTES, _SWINGS, _ENV, _STEP)
+
+
+def voice_modulation(spark, sf):
+    """Two LFOs, an envelope, velocity and key of each note, through a matrix, in steps of 8 frames."""
+    return _steps(spark, sf).select("track_id", "note_id", "step", "frames", *[r(f"mod_{c}") for c in MO.TARGETS])
+
+
+def grains_modulated(spark, sf):
+    """Grains of a density that changes, and what each has of the step that it starts in."""
+    g = MO.modulated_grains(MO.modulated_triggers(_steps(spark, sf), "track_id", 40.0, 100.0, _STEP), _buffers(spark, sf), 100.0, 90.0, 0.3)
+    return g.select("track_id", "note_id", "grain", "start", "length", r("volume"), r("turn"), r("place"), r("pan"))
+
+
+def granular_modulated(spark, sf):
+    g = MO.modulated_grains(MO.modulated_triggers(_steps(spark, sf), "track_id", 40.0, 100.0, _STEP), _buffers(spark, sf), 100.0, 90.0, 0.3)
+    return Y.played_grains(g, "tukey", "track_id").select("track_id", "frame", r("l"), r("r"))
+
+
+_MODULATED = f"""WITH {_NOTES}, {FLAT}, st AS (SELECT *, off_frame - on_frame AS off, unnest(range(0, CAST(ceil((off_frame - on_frame) / 8.0) AS BIGINT))) AS step FROM notes WHERE off_frame > on_frame),
+src AS (SELECT *, step * 8 AS t, least(8, off - step * 8) AS frames, step * 8 * 7.0 / 100.0 - floor(step * 8 * 7.0 / 100.0) AS p1, {_lcg('CAST(floor(step * 8 * 11.0 / 100.0) AS BIGINT) + note_id * 131', 2)} AS lfo2,
+  note_id % 128 / 127.0 AS keytrack, note_id % 100 / 99.0 AS velocity, {_E.format(n='(step * 8)')} AS env FROM st),
+lf AS (SELECT *, CASE WHEN p1 < 0.25 THEN 4 * p1 WHEN p1 < 0.75 THEN 2 - 4 * p1 ELSE 4 * p1 - 4 END AS lfo1 FROM src),
+m AS (SELECT *, (lfo1 + 1) / 2 * -0.5 + (velocity - 0.5) * 2 * 0.25 AS mod_volume, (lfo2 + 1) / 2 * 0.3 AS mod_pan, (env - 0.5) * 2 * -0.3 AS mod_speed, lfo2 * 0.5 AS mod_size, lfo1 * 0.6 + env * 0.4 AS mod_density, keytrack * 0.4 AS mod_position FROM lf)"""
+_TRIGGERED = f"""{_MODULATED}, pace AS (SELECT *, least(greatest(40 * (1 + mod_density), 1), 100) / 100.0 AS pace FROM m),
+run AS (SELECT *, round(coalesce(sum(pace * frames) OVER (PARTITION BY track_id, note_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) AS since FROM pace),
+k AS (SELECT *, unnest(range(CASE WHEN step = 0 THEN 0 ELSE CAST(floor(since) AS BIGINT) + 1 END, CAST(floor(round(since + pace * frames, 9)) AS BIGINT) + 1)) AS grain FROM run),
+g AS (SELECT *, note_id % {_AT} AS b, on_frame + t + greatest(CAST(ceil(round((grain - since) / pace, 9)) AS BIGINT) - 1, 0) AS start, greatest(CAST(trunc(least(greatest(90 * (1 + mod_size), 1), 1000) * 100.0 / 1000) AS BIGINT), 2) AS len,
+  0.5 * greatest(1 + mod_volume, 0) AS vol, {_SPEED.replace('n.note_id', 'note_id')} * greatest(1 + mod_speed, 0) AS turn, least(greatest(0.3 + mod_position, 0), 1) AS place, least(greatest(0.1 + mod_pan, -1), 1) AS pan FROM k)"""
+add("voice_modulation", voice_modulation, f"{_MODULATED} SELECT track_id, note_id, step, frames, {', '.join(sr(f'mod_{c}', f'mod_{c}') for c in MO.TARGETS)} FROM m")
+add("grains_modulated", grains_modulated, f"{_TRIGGERED} SELECT track_id, note_id, grain, start, len AS length, {sr('vol', 'volume')}, {sr('turn', 'turn')}, {sr('place', 'place')}, {sr('pan', 'pan')} FROM g WHERE start < off_frame")
+add("granular_modulated", granular_modulated, f"""{_TRIGGERED},
+t2 AS (SELECT *, start + i AS frame, least(i * 1.0 / len * {2047 / 2048!r}, 1 - i * 1.0 / len * {2047 / 2048!r}) AS edge, (place - floor(place)) + i * turn / 64 AS p FROM (SELECT *, unnest(range(0, len)) AS i FROM g WHERE start < off_frame)),
+w AS (SELECT *, vol * CASE WHEN edge < 0.25 THEN 0.5 * (1 - cos(4 * pi() * edge)) ELSE 1 END AS w, (p - floor(p)) * 63 AS z FROM t2),
+q AS (SELECT w.*, z - floor(z) AS f, a.v AS y0, b1.v AS y1, c.v AS y2, d.v AS y3 FROM w JOIN flat a ON a.track_id = w.b AND a.i = (CAST(floor(z) AS INT) + 63) % 64 JOIN flat b1 ON b1.track_id = w.b AND b1.i = CAST(floor(z) AS INT) JOIN flat c ON c.track_id = w.b AND c.i = (CAST(floor(z) AS INT) + 1) % 64 JOIN flat d ON d.track_id = w.b AND d.i = (CAST(floor(z) AS INT) + 2) % 64 WHERE w > 0.001),
+x AS (SELECT *, w * ((-0.5 * y0 + 1.5 * y1 - 1.5 * y2 + 0.5 * y3) * f * f * f + (y0 - 2.5 * y1 + 2.0 * y2 - 0.5 * y3) * f * f + (0.5 * y2 - 0.5 * y0) * f + y1) AS x FROM q)
+SELECT track_id, frame, {sr('sum(x * (1 - pan) / 2)', 'l')}, {sr('sum(x * (1 + pan) / 2)', 'r')} FROM x GROUP BY track_id, frame""")
+
+
 def seek_and_speed(spark, sf):
     """Tracks that slow down at frame 10, and jump to 5 and double their speed at frame 30."""
     segments = R.speed_segments(1.0, _MOTIONS, 100)
