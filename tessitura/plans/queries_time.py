@@ -12,6 +12,7 @@ from tessitura.operators import automation as A
 from tessitura.operators import folds as FO
 from tessitura.operators import mixing as M
 from tessitura.operators import modulation as MO
+from tessitura.operators import playheads as PL
 from tessitura.operators import resampling as R
 from tessitura.operators import synthesis as Y
 from tessitura.plans.helpers import EMBED, EVENTS, FLAT, LOG, r, rounded, sr
@@ -429,6 +430,32 @@ x AS (SELECT *, w * ((-0.5 * y0 + 1.5 * y1 - 1.5 * y2 + 0.5 * y3) * f * f * f +
 SELECT track_id, frame, {sr('sum(x * (1 - pan) / 2)', 'l')}, {sr('sum(x * (1 + pan) / 2)', 'r')} FROM x GROUP BY track_id, frame""")
 
 
+def playhead_loops(spark, sf):
+    """Playheads of notes that move both ways at several paces, in a loop that moves after 9 frames and ends after 30 for a third of them."""
+    n = _notes(spark, sf).filter("off_frame IS NOT NULL").select("track_id", "note_id", (F.col("off_frame") - F.col("on_frame") + 50).alias("frames"))
+    loop = lambda frame, low, high, of: n.filter(of).select("track_id", "note_id", F.lit(frame).alias("frame"), F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high"))
+    loops = loop(2, 0.25, 0.5, "note_id % 4 <> 0").unionByName(loop(9, 0.375, 0.75, "note_id % 2 = 1")).unionByName(loop(30, None, None, "note_id % 3 = 0"))
+    pace = (F.col("note_id") % 9 - 4) * 0.75 / 64
+    held = PL.with_loops(n, loops, ["track_id", "note_id"], (F.col("note_id") % 8) / 8, pace)
+    out = held.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)))
+    out = PL.with_playhead(PL.with_playhead(out, F.col("frame")), F.col("frame"), "shifted", 0.3125)
+    return out.select("track_id", "note_id", "frame", r("place"), r("shifted"))
+
+
+_fold = lambda x: f"(low + ({x} - low) - floor(({x} - low) / (high - low)) * (high - low))"
+# a frame at a time: the loop that holds before this frame decides about the move into it
+add("playhead_loops", playhead_loops, f"""WITH RECURSIVE {_NOTES}, n AS (SELECT track_id, note_id, off_frame - on_frame + 50 AS frames, (note_id % 9 - 4) * 0.75 / 64 AS pace FROM notes WHERE off_frame IS NOT NULL),
+rec AS (SELECT track_id, note_id, 0::BIGINT AS frame, note_id % 8 / 8.0::DOUBLE AS spot, false AS inside FROM n
+UNION ALL SELECT track_id, note_id, frame, CASE WHEN pace = 0 THEN spot WHEN low IS NOT NULL AND inside THEN {_fold('(spot + pace)')} ELSE next END, inside OR (pace <> 0 AND coalesce(next >= low AND next < high, false))
+FROM (SELECT r.track_id, r.note_id, r.frame + 1 AS frame, spot, inside, pace, (spot + pace) - floor(spot + pace) AS next,
+  CASE WHEN r.frame >= 30 AND r.note_id % 3 = 0 THEN NULL WHEN r.frame >= 9 AND r.note_id % 2 = 1 THEN 0.375 WHEN r.frame >= 2 AND r.note_id % 4 <> 0 THEN 0.25 END AS low,
+  CASE WHEN r.frame >= 30 AND r.note_id % 3 = 0 THEN NULL WHEN r.frame >= 9 AND r.note_id % 2 = 1 THEN 0.75 WHEN r.frame >= 2 AND r.note_id % 4 <> 0 THEN 0.5 END AS high
+  FROM rec r JOIN n ON n.track_id = r.track_id AND n.note_id = r.note_id AND r.frame + 1 < n.frames)),
+p AS (SELECT *, CASE WHEN frame >= 30 AND note_id % 3 = 0 THEN NULL WHEN frame >= 9 AND note_id % 2 = 1 THEN 0.375 WHEN frame >= 2 AND note_id % 4 <> 0 THEN 0.25 END AS low,
+  CASE WHEN frame >= 30 AND note_id % 3 = 0 THEN NULL WHEN frame >= 9 AND note_id % 2 = 1 THEN 0.75 WHEN frame >= 2 AND note_id % 4 <> 0 THEN 0.5 END AS high FROM rec)
+SELECT track_id, note_id, frame, {sr(f"CASE WHEN inside AND low IS NOT NULL THEN {_fold('spot')} ELSE spot END", 'place')}, {sr(f"CASE WHEN inside AND low IS NOT NULL THEN {_fold('(spot + 0.3125)')} ELSE (spot + 0.3125) - floor(spot + 0.3125) END", 'shifted')} FROM p""")
+
+
 def seek_and_speed(spark, sf):
     """Tracks that slow down at frame 10, and jump to 5 and double their speed at frame 30."""
     segments = R.speed_segments(1.0, _MOTIONS, 100)
