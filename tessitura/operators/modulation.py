@@ -101,3 +101,48 @@ def modulated_grains(grains: DataFrame, buffers: DataFrame, rate: float, size: f
             "pan": held(F.col("pan") + F.col("mod_pan"), -1.0, 1.0),
         }
     )
+
+
+_NOTE = "struct<frame:bigint,place:double,speed:double,volume:double,pan:double>"
+
+
+def handled(notes: DataFrame, changes: DataFrame, buffers: DataFrame, key: str) -> DataFrame:
+    """(key, note_id, frame, l, r): notes that play their buffers to the end, as for synthesis.sampled, with changes of speed, volume and pan while they sound.
+
+    notes(key, note_id, buffer_id, on_frame, speed, volume, pan); changes(key, note_id, frame, seq, what, value) take effect at their frame, those before the
+    note at its first; what is speed, volume or pan, and of several at one frame the last `seq` counts. A note's changes are folded over in their
+    order, which gives the place in the buffer at each of them; between two of them it moves along a line, so that a frame finds its
+    own from the last change before it. One row of changes a note, no join a frame.
+    """
+    order = F.struct(F.col("frame").cast("long").alias("frame"), F.col("seq").cast("long").alias("seq"), "what", F.col("value").cast("double").alias("value"))
+    log = changes.groupBy(key, "note_id").agg(F.sort_array(F.collect_list(order)).alias("_log"))
+    own = notes.select(key, "note_id", "buffer_id", F.col("on_frame").cast("long").alias("on_frame"), *[F.col(c).cast("double").alias(c) for c in ("speed", "volume", "pan")])
+    own = own.join(log, [key, "note_id"], "left").join(buffers, "buffer_id").filter("size(samples) > 1")
+    state = lambda *v: F.struct(*[x.alias(n) for x, n in zip(v, ("frame", "place", "speed", "volume", "pan"))])
+    first = state(F.lit(0).cast("long"), F.lit(0.0), F.col("speed"), F.col("volume"), F.col("pan"))
+
+    def change(done: Column, new: Column) -> Column:
+        now, t = done["now"], F.greatest(new["frame"] - F.col("on_frame"), F.lit(0).cast("long"))
+        to = lambda what: F.when(new["what"] == what, new["value"]).otherwise(now[what])
+        after = state(t, now["place"] + now["speed"] * (t - now["frame"]), to("speed"), to("volume"), to("pan"))
+        return F.transform(F.array(after), lambda n: F.struct(n.alias("now"), F.concat(done["all"], F.array(n)).alias("all")))[0]
+
+    kinds = f"struct<now:{_NOTE},all:array<{_NOTE}>>"
+    begin = F.struct(first.alias("now"), F.array(first).alias("all")).cast(kinds)
+    empty = F.array().cast("array<struct<frame:bigint,seq:bigint,what:string,value:double>>")
+    own = own.withColumn("_all", F.aggregate(F.coalesce("_log", empty), begin, lambda done, new: change(done, new).cast(kinds), lambda done: done["all"]))
+    end = F.size("samples") - 2
+
+    def reached(s: Column, i: Column) -> Column:
+        last, following = s["frame"] + F.floor((end - s["place"]) / s["speed"]).cast("long"), F.get("_all", i + 1)["frame"]
+        return F.when(following.isNull() | (last < following), last)
+
+    own = own.withColumn("_last", F.array_min(F.transform("_all", reached))).filter("_last >= 0")
+    rows = own.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    rows = rows.withColumn("_now", F.element_at(F.filter("_all", lambda s: s["frame"] <= F.col("t")), -1))
+    rows = rows.withColumn("_at", F.col("_now.place") + F.col("_now.speed") * (F.col("t") - F.col("_now.frame")))
+    low = F.floor("_at").cast("int")
+    part = F.col("_at") - low
+    rows = rows.withColumn("_x", (F.get("samples", low) * (1 - part) + F.coalesce(F.get("samples", low + 1), F.lit(0.0)) * part) * F.col("_now.volume"))
+    side = lambda law: F.col("_x") * law(F.col("_now.pan"))
+    return rows.select(key, "note_id", (F.col("on_frame") + F.col("t")).alias("frame"), side(S.pan_left).alias("l"), side(S.pan_right).alias("r"))

@@ -430,6 +430,32 @@ x AS (SELECT *, w * ((-0.5 * y0 + 1.5 * y1 - 1.5 * y2 + 0.5 * y3) * f * f * f +
 SELECT track_id, frame, {sr('sum(x * (1 - pan) / 2)', 'l')}, {sr('sum(x * (1 + pan) / 2)', 'r')} FROM x GROUP BY track_id, frame""")
 
 
+def note_handles(spark, sf):
+    """Notes whose volume, pan and speed are set while they sound: an event of another kind in the track goes to the last note before it."""
+    log = _log(spark, sf)
+    order = Window.partitionBy("track_id").orderBy("frame", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    aimed = log.withColumn("note_id", F.last(F.when(F.col("type") == "click", F.col("seq")), True).over(order)).filter("type <> 'click' AND note_id IS NOT NULL")
+    x = F.col("x")
+    kind = F.when(F.col("type") == "view", "volume").when(F.col("type") == "error", "pan").otherwise("speed")
+    value = F.when(F.col("type") == "view", F.abs(x)).when(F.col("type") == "error", F.least(x, F.lit(1.0))).otherwise(0.25 + F.abs(x))
+    changes = aimed.select("track_id", "note_id", "frame", "seq", kind.alias("what"), value.alias("value"))
+    notes = _played(spark, sf).withColumn("pan", F.lit(0.0))
+    out = MO.handled(notes, changes, _buffers(spark, sf), "track_id")
+    return out.groupBy("track_id", "frame").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).select("track_id", "frame", r("l"), r("r"))
+
+
+# a frame at a time: what was set at this frame or before it holds; the place moves by the speed that held at the frame before
+add("note_handles", note_handles, f"""WITH RECURSIVE {_NOTES}, {FLAT}, aimed AS (SELECT *, last_value(CASE WHEN type = 'click' THEN seq END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY frame, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS note_id FROM log),
+ch AS (SELECT note_id, track_id, frame, max(CASE WHEN type = 'view' THEN abs(x) END) AS vol, max(CASE WHEN type = 'error' THEN least(x, 1) END) AS pan, max(CASE WHEN type NOT IN ('view', 'error') THEN 0.25 + abs(x) END) AS speed
+  FROM aimed WHERE type <> 'click' AND note_id IS NOT NULL GROUP BY note_id, track_id, frame),
+s AS (SELECT n.track_id, n.note_id, n.on_frame, n.note_id % {_AT} AS b, {_SPEED} AS speed FROM notes n),
+rec AS (SELECT s.track_id, s.note_id, b, s.on_frame AS frame, 0.0::DOUBLE AS place, s.speed::DOUBLE AS speed, 0.5::DOUBLE AS vol, 0.0::DOUBLE AS pan FROM s
+UNION ALL SELECT r.track_id, r.note_id, b, r.frame + 1, r.place + r.speed, coalesce(ch.speed, r.speed), coalesce(ch.vol, r.vol), coalesce(ch.pan, r.pan)
+  FROM rec r LEFT JOIN ch ON ch.note_id = r.note_id AND ch.track_id = r.track_id AND ch.frame = r.frame + 1 WHERE r.place + r.speed <= 62),
+l AS (SELECT rec.*, (a.v * (1 - (place - floor(place))) + coalesce(c.v, 0) * (place - floor(place))) * vol AS x FROM rec JOIN flat a ON a.track_id = b AND a.i = floor(place) LEFT JOIN flat c ON c.track_id = b AND c.i = floor(place) + 1)
+SELECT track_id, frame, {sr('sum(x * sqrt(1 - pan))', 'l')}, {sr('sum(x * sqrt(1 + pan))', 'r')} FROM l GROUP BY track_id, frame""")
+
+
 def playhead_loops(spark, sf):
     """Playheads of notes that move both ways at several paces, in a loop that moves after 9 frames and ends after 30 for a third of them."""
     n = _notes(spark, sf).filter("off_frame IS NOT NULL").select("track_id", "note_id", (F.col("off_frame") - F.col("on_frame") + 50).alias("frames"))

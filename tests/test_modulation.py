@@ -58,3 +58,28 @@ def test_routes_and_polarities(spark):
         MO.Route("lfo3", "pan", 0.5, True)
     with pytest.raises(ValueError):
         MO.Route("lfo1", "pan", 1.5, True)
+
+
+def test_handled_notes_against_a_plain_loop(spark):
+    """Changes before the note, several at one frame, at its last frame and behind it; a note without any."""
+    samples = [math.sin(k / 3) for k in range(50)]
+    buffers = spark.createDataFrame([(0, samples)], "buffer_id long, samples array<double>")
+    notes_ = [(1, 10, 1.0, 0.5, 0.0), (2, 0, 0.5, 1.0, 0.25), (3, 5, 3.0, 1.0, -0.5)]
+    log = {1: [(3, 1, "volume", 0.25), (12, 5, "speed", 2.0), (12, 2, "speed", 9.0), (20, 3, "pan", 0.5), (500, 4, "volume", 9.0)], 2: [(40, 1, "speed", 0.25), (60, 2, "volume", 0.0), (62, 3, "volume", 1.0)]}
+    n = spark.createDataFrame([(0, k, 0, on, s, v, p) for k, on, s, v, p in notes_], "key long, note_id long, buffer_id long, on_frame long, speed double, volume double, pan double")
+    c = spark.createDataFrame([(0, k, *x) for k, own in log.items() for x in own], "key long, note_id long, frame long, seq long, what string, value double")
+    found = {(r["note_id"], r["frame"]): (r["l"], r["r"]) for r in MO.handled(n, c, buffers, "key").collect()}
+    want = {}
+    for note, on, speed, volume, pan in notes_:
+        now, place, frame = {"speed": speed, "volume": volume, "pan": pan}, 0.0, on
+        todo = sorted(log.get(note, []))
+        while place <= 48:
+            while todo and todo[0][0] <= frame:
+                _, _, what, value = todo.pop(0)
+                now[what] = value
+            low = int(place)
+            x = (samples[low] * (1 - place + low) + samples[low + 1] * (place - low)) * now["volume"]
+            want[note, frame] = (x * math.sqrt(1 - now["pan"]), x * math.sqrt(1 + now["pan"]))
+            place, frame = place + now["speed"], frame + 1
+    assert found.keys() == want.keys()
+    assert all(found[k] == pytest.approx(want[k], abs=1e-12) for k in want)
