@@ -169,6 +169,18 @@ def fold_until_silent(signal: DataFrame, key: str, kernel: Kernel, channels: lis
     return dealt.sortWithinPartitions(key, "frame").mapInPandas(apply, _schema(cut, [key, "frame", *channels]))
 
 
+def _dealt(signal: DataFrame, key: str, block: int) -> DataFrame:
+    """signal with `_track` and `_block`, dealt out by them. A track is a struct, which equals itself even where its key is null; the number of
+    partitions is a stated one, as steps cost more than their bytes tell."""
+    parts = int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return signal.withColumns({"_track": F.struct(key), "_block": F.floor(F.col("frame") / block)}).repartition(parts, "_track", "_block")
+
+
+def _joined(blocks: DataFrame, began: DataFrame, key: str, state: str) -> DataFrame:
+    """Blocks with the state that each begins with; they stay where they are."""
+    return blocks.join(began.select(F.struct(key).alias("_track"), "_block", state), ["_track", "_block"])
+
+
 def affine_scan(signal: DataFrame, key: str, system: System, channels=("x",), block: int = 256) -> DataFrame:
     """(key, frame, channels): a linear recurrence s' = M s + B x, y = C s + D x over tracks of any length, a block at a time.
 
@@ -190,8 +202,7 @@ def affine_scan(signal: DataFrame, key: str, system: System, channels=("x",), bl
     into = np.stack([p @ b for p in powers[block - 1 :: -1]])  # [frame, state] at the end of a block
     answers, jump = np.stack([c @ p for p in powers[:block]]), powers[block]
     kind = signal.schema[key].dataType.simpleString()
-    blocks = signal.select(key, "frame", *[F.col(x).cast("double").alias(x) for x in channels]).withColumn("_block", F.floor(F.col("frame") / block))
-    blocks = blocks.repartition(key, "_block")
+    blocks = _dealt(signal.select(key, "frame", *[F.col(x).cast("double").alias(x) for x in channels]), key, block)
 
     def filled(part: pd.DataFrame):
         code = _codes(part, [key, "_block"])
@@ -233,9 +244,9 @@ def affine_scan(signal: DataFrame, key: str, system: System, channels=("x",), bl
             yield pd.DataFrame({key: part[key], "frame": part["frame"], **{name: y[code, k, at] for k, name in enumerate(channels)}})
 
     states = f"`{key}` {kind}, _block long, _state array<double>"
-    ended = blocks.sortWithinPartitions(key, "_block", "frame").mapInPandas(ends, states)
+    ended = blocks.drop("_track").sortWithinPartitions(key, "_block", "frame").mapInPandas(ends, states)
     began = ended.repartition(key).sortWithinPartitions(key, "_block").mapInPandas(starts, states)
-    both = blocks.join(began.withColumnsRenamed({key: "_key", "_block": "_of"}), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of")))
+    both = _joined(blocks, began, key, "_state")
     out = both.select(key, "_block", "frame", *channels, "_state").sortWithinPartitions(key, "_block", "frame")
     return out.mapInPandas(finish, f"`{key}` {kind}, frame long, " + ", ".join(f"`{x}` double" for x in channels))
 
@@ -251,8 +262,7 @@ def follower_scan(signal: DataFrame, key: str, up: float, down: float, start: fl
     keep = list(keep)
     rises, falls, sign = (up, down, 1.0) if up <= down else (down, up, -1.0)
     kind = signal.schema[key].dataType.simpleString()
-    blocks = signal.select(key, "frame", F.col(x).cast("double").alias(x), *[F.col(c).cast("double").alias(c) for c in keep]).withColumn("_block", F.floor(F.col("frame") / block))
-    blocks = blocks.repartition(key, "_block")
+    blocks = _dealt(signal.select(key, "frame", F.col(x).cast("double").alias(x), *[F.col(c).cast("double").alias(c) for c in keep]), key, block)
 
     def grid(part: pd.DataFrame):
         code = _codes(part, [key, "_block"])
@@ -304,9 +314,9 @@ def follower_scan(signal: DataFrame, key: str, up: float, down: float, start: fl
             y = followed(values, part["_start"].to_numpy()[first], up, down)
             yield pd.DataFrame({key: part[key], "frame": part["frame"], x: y[at, code], **{c: part[c] for c in keep}})
 
-    ended = blocks.sortWithinPartitions(key, "_block", "frame").mapInPandas(lines, f"`{key}` {kind}, _block long, _size long, _first long, _cuts array<double>")
+    ended = blocks.drop("_track").sortWithinPartitions(key, "_block", "frame").mapInPandas(lines, f"`{key}` {kind}, _block long, _size long, _first long, _cuts array<double>")
     began = ended.repartition(key).sortWithinPartitions(key, "_block").mapInPandas(starts, f"`{key}` {kind}, _block long, _start double")
-    both = blocks.join(began.withColumnsRenamed({key: "_key", "_block": "_of"}), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of")))
+    both = _joined(blocks, began, key, "_start")
     out = both.select(key, "_block", "frame", x, *keep, "_start").sortWithinPartitions(key, "_block", "frame")
     return out.mapInPandas(finish, f"`{key}` {kind}, frame long, `{x}` double" + "".join(f", `{c}` double" for c in keep))
 

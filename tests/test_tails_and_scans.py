@@ -74,8 +74,9 @@ def test_a_long_bus_keeps_several_tasks_busy(spark):
     t = np.arange(n)
     x = np.sin(t / 7) * np.where(t % 9000 < 4000, 0.9, 0.05)
     want, _ = K.run(kernel, np.stack([x, x / 2], 1)[:, None, :])
-    found = out.withColumn("task", F.spark_partition_id()).toPandas().sort_values("frame")
-    assert found["task"].nunique() > 1 and np.allclose(found[["l", "r"]], want[:, 0], rtol=0, atol=1e-8)
+    found = out.toPandas().sort_values("frame")
+    assert np.allclose(found[["l", "r"]], want[:, 0], rtol=0, atol=1e-8)
+    assert out.groupBy(F.spark_partition_id()).count().count() == 4
 
 
 def ramp(spark, n, scale=0.01):
