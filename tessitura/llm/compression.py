@@ -44,8 +44,8 @@ def coder(dictionary: bytes, level: int, block: int) -> Coder:
     return Coder(dictionary, level, block)
 
 
-def dictionary_of(parts: list[bytes], size: int) -> bytes:
-    """The parts in turn, up to `size` bytes."""
+def dictionary_of(parts: list[bytes], size: int | None = None) -> bytes:
+    """The parts in turn: all of them, or up to `size` bytes."""
     return b"\n".join(parts)[:size]
 
 
@@ -102,8 +102,8 @@ def parts_of(chosen: DataFrame, part: int, fold) -> dict[str, list[bytes]]:
 #: ASCII that is no letter says nothing of the language.
 _BLANK = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
-#: Training documents of a language, bytes of its dictionary, level, block and the languages worked on at a time.
-LANG_DOCS, LANG_BYTES, LANG_LEVEL, LANG_BLOCK, LANGS = 300, 65_536, 6, 4096, 64
+#: Training documents of a language, all of which its dictionary holds (PART bytes each), level, block and the languages worked on at a time.
+LANG_DOCS, LANG_LEVEL, LANG_BLOCK, LANGS = 300, 6, 4096, 64
 #: Nats that a byte of difference counts in the score.
 SHARPNESS = 0.2
 #: A lead under this share of the best size is too narrow to decide on.
@@ -114,9 +114,10 @@ def _folded(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace").translate(_BLANK)
 
 
-def learn_languages(docs: DataFrame, per_lang: int = LANG_DOCS, size: int = LANG_BYTES) -> dict[str, bytes]:
+def learn_languages(docs: DataFrame, per_lang: int = LANG_DOCS) -> dict[str, bytes]:
     """lang -> dictionary, from docs(doc_id, text, lang), for every lang, the most frequent first. At most `per_lang` documents
-    of a language are read, for LANGS languages at a time; parts of PART bytes of them come to the driver."""
+    of a language are read, for LANGS languages at a time; parts of PART bytes of them come to the driver, and the dictionary holds
+    them all."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     langs, learned = list(counts), {}
@@ -124,7 +125,7 @@ def learn_languages(docs: DataFrame, per_lang: int = LANG_DOCS, size: int = LANG
         some = {c: counts[c] for c in langs[k : k + LANGS]}
         own = known.filter(F.col("lang").isin(*some))
         parts = parts_of(sample(own, own, "lang", some, per_lang), PART, _folded)
-        learned |= {c: dictionary_of(parts.get(c, []), size) for c in some}
+        learned |= {c: dictionary_of(parts.get(c, [])) for c in some}
     return learned
 
 
