@@ -41,7 +41,8 @@ def mix_tree(signal: DataFrame, parents: DataFrame, depth: int, channels: list[s
     """(mixer_id, frame, channels): every bus of a tree, with its children's sums in it.
 
     signal(mixer_id, frame, channels...) holds the own sources of buses; parents(mixer_id, parent_id) is the tree, of `depth`
-    levels below the root. effects maps mixer_id to a function of a bus's DataFrame, applied to what it passes on. Buses
+    levels below the root. effects maps mixer_id to a function of a bus's DataFrame, applied to what it passes on; a level is read once for each of
+    its buses with one, and once for the others. Buses
     without effects are sums of sums: the signal is shuffled once, by frame and ancestor, and not once a level.
     """
     if not effects:
@@ -58,14 +59,15 @@ def mix_tree(signal: DataFrame, parents: DataFrame, depth: int, channels: list[s
     for ids in levels:  # deepest first
         own = signal.filter(F.col("mixer_id").isin(ids)).select("mixer_id", "frame", *channels)
         if carried is not None:
-            own = own.unionByName(carried.filter(F.col("mixer_id").isin(ids)))
+            own = own.unionByName(carried)
         level = mixdown(own, ["mixer_id", "frame"], channels)
-        for k in ids:
-            if k in effects:
-                level = level.filter(F.col("mixer_id") != k).unionByName(effects[k](level.filter(F.col("mixer_id") == k)).select(level.columns))
+        touched = [k for k in ids if k in effects]
+        if touched:
+            plain = level.filter(~F.col("mixer_id").isin(touched))
+            level = reduce(DataFrame.unionByName, [effects[k](level.filter(F.col("mixer_id") == k)).select(level.columns) for k in touched], plain)
         out = level if out is None else out.unionByName(level)
-        moved = level.join(parents.filter("parent_id IS NOT NULL"), "mixer_id").select(F.col("parent_id").alias("mixer_id"), "frame", *channels)
-        carried = moved if carried is None else carried.unionByName(moved)
+        # the children of a level's buses are the whole level below it
+        carried = level.join(parents.filter("parent_id IS NOT NULL"), "mixer_id").select(F.col("parent_id").alias("mixer_id"), "frame", *channels)
     return out
 
 

@@ -162,3 +162,17 @@ def test_plans_grow_with_the_graph_and_no_faster(spark, effect):
     nodes = {d: len(p.splitlines()) for d, p in sizes.items()}
     assert nodes[8] - nodes[4] <= 2 * (nodes[4] - nodes[2]) + 4
     assert sizes[8].count("MapInPandas") <= (8 if effect == "delay" else 3)
+
+
+def test_a_tree_with_many_effects_reads_a_level_once_for_each(spark):
+    """Six effect buses under each of two others, which have effects as well: sums and plan."""
+    from tessitura.operators import mixing as M
+
+    parents = spark.createDataFrame([(0, None), (1, 0), (2, 0), *[(10 + k, 1 + k % 2) for k in range(12)]], "mixer_id long, parent_id long")
+    signal = spark.range(12).select((F.col("id") + 10).alias("mixer_id"), F.lit(0).cast("long").alias("frame"), (F.col("id") + 1.0).alias("x"))
+    half = lambda s: s.withColumn("x", F.col("x") / 2)
+    out = M.mix_tree(signal, parents, 2, ["x"], {k: half for k in (1, 2, *range(10, 22))})
+    found = {r["mixer_id"]: r["x"] for r in out.collect()}
+    assert found == {**{10 + k: (k + 1) / 2 for k in range(12)}, 1: 36 / 4, 2: 42 / 4, 0: 78 / 4}
+    lowest, middle = 12 + 1, (2 + 1) * (1 + 12 + 1)  # reads of the signal: for each effect and for the rest, own sources and the level below
+    assert out._jdf.queryExecution().analyzed().toString().count("Range") == lowest + middle + (1 + middle)
