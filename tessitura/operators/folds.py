@@ -78,12 +78,13 @@ def _side_by_side(values: np.ndarray, code: np.ndarray, kernel: Kernel) -> np.nd
     return out
 
 
-def fold(signal: DataFrame, key: str, kernel: Kernel, channels: list[str], partitions: int | None = None) -> DataFrame:
+def fold(signal: DataFrame, key: str, kernel: Kernel, channels: list[str], partitions: int | None = None, dealt: bool = False) -> DataFrame:
     """(key, frame, channels): each track through a kernel, in the order of its frames.
 
     One shuffle by key and one sort, which a chain of kernels shares. A task reads its sorted tracks in stretches of ROWS rows:
     tracks that end within one are stepped side by side, so that numpy works on whole frames of tracks; a longer one goes
-    on with the state it had, so that memory does not grow with a track. State starts at silence.
+    on with the state it had, so that memory does not grow with a track. State starts at silence. With `dealt`, no track of the
+    signal is in two partitions, and nothing is shuffled.
     """
     cut = signal.select(key, "frame", *[F.col(c).cast("double").alias(c) for c in channels])
 
@@ -119,8 +120,8 @@ def fold(signal: DataFrame, key: str, kernel: Kernel, channels: list[str], parti
             held, rows = ([own.iloc[edge:]], len(own) - edge) if edge < len(own) else ([], 0)
 
     # a stated number: steps cost more than their bytes tell, so partitions are not to be put together
-    dealt = cut.repartition(partitions or int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    return dealt.sortWithinPartitions(key, "frame").mapInPandas(apply, _schema(cut, [key, "frame", *channels]))
+    own = cut if dealt else cut.repartition(partitions or int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return own.sortWithinPartitions(key, "frame").mapInPandas(apply, _schema(cut, [key, "frame", *channels]))
 
 
 #: A sample under this is silent, and a track that has been silent for so many seconds has ended.

@@ -22,6 +22,7 @@ from tessitura.operators import effects as FX
 from tessitura.operators import folds as FO
 from tessitura.operators import kernels as K
 from tessitura.operators import mixing as M
+from tessitura.operators import modulation, patches
 from tessitura.operators import resampling as R
 from tessitura.operators import synthesis as Y
 from tessitura.operators.kernels import Kernel, chain
@@ -176,6 +177,16 @@ class Graph:
         played = Y.polyphonic(notes.withColumn("_key", F.lit(0)), "_key", shape, self.rate, envelope, int(seconds * self.rate), **more)
         return self.add_track(M.mixdown(played, ["frame"], ["l", "r"]), bus, options=options, name=f"voices {shape}")
 
+    def add_patch(self, notes: DataFrame, patch: patches.Patch, seconds: float, voices: int | None = None, bus: int = ROOT, options: TrackOptions | None = None) -> int:
+        """Voices of a user's patch as a track: notes as for patches.patched; a note that is never ended sounds for `seconds`."""
+        played = patches.patched(notes.withColumn("_key", F.lit(0)), patch, self.rate, "_key", int(seconds * self.rate), voices)
+        return self.add_track(M.mixdown(played, ["frame"], ["l", "r"]), bus, options=options, name="patch")
+
+    def add_handled(self, notes: DataFrame, changes: DataFrame, buffers: DataFrame, bus: int = ROOT, options: TrackOptions | None = None) -> int:
+        """Notes that play their buffers and are changed while they sound, as a track: as for modulation.handled, without a key."""
+        played = modulation.handled(notes.withColumn("_key", F.lit(0)), changes.withColumn("_key", F.lit(0)), buffers, "_key")
+        return self.add_track(M.mixdown(played, ["frame"], ["l", "r"]), bus, options=options, name="notes")
+
     def add_granular(self, notes: DataFrame, buffers: DataFrame, density: float = 10.0, window: str = "triangle", bus: int = ROOT, options: TrackOptions | None = None, **grain) -> int:
         """A granular sampler as a track: notes as for add_sampler, grain parameters as for varied_grains."""
         triggers = Y.cloud_triggers(notes.withColumn("_key", F.lit(0)), density, self.rate)
