@@ -23,10 +23,12 @@ _CUE = r"(?i:passw(?:or)?d|pwd|secret|token|key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
 _BEGINS = ("AKIA", "ghp_", "sk-")
 #: An added span has a digit or an @, or is a secret behind a cue or with one of the beginnings: only windows around those are
 #: decoded. A cue takes the run behind it along.
-_TRIGGER = re.compile(rf"[0-9@]|{_CUE}\S*|(?:{'|'.join(_BEGINS)})\S*")
+_TRIGGER = re.compile(rf"[0-9@]+|{_CUE}\S*|(?:{'|'.join(_BEGINS)})\S*")
 _CUED = re.compile(_CUE + r"$")
-#: Bytes of text that are worked on at a time, and windows and regions that are decoded at a time.
-TEXTS, WINDOWS, REGION_CELLS = 1 << 20, 512, 1 << 17
+#: Bytes of text that are worked on at a time; windows, and characters of stretches, that are decoded at a time.
+TEXTS, WINDOWS, GROUP, CELLS = 1 << 20, 512, 1 << 19, 1 << 17
+#: Characters of a stretch, and what of its neighbours it reads: whole windows.
+STRETCH, MARGIN = 64 * T.STRIDE, 4 * T.WINDOW
 #: The least characters, and digits, of an added span.
 LEAST = {"email": (6, 0), "ip": (7, 4), "card": (13, 13), "phone": (8, 7), "secret": (10, 0)}
 
@@ -87,35 +89,49 @@ def _regions(text: str) -> list[tuple[int, int]]:
     return [(i, j) for i, j in out]
 
 
-def tag_texts(texts: list[str], params: dict) -> list[list[tuple[str, int, int]]]:
-    """Spans that the tagger finds in each text.
-
-    Windows of WINDOW characters overlap by half; a character's scores are the mean over its windows, weighted to their
-    middles, and one Viterbi pass over each region settles the tags across windows.
-    """
-    regions = [(n, i, j) for n, text in enumerate(texts) for i, j in _regions(text)]
-    places = [(k, a) for k, (_, i, j) in enumerate(regions) for a in range(i, max(i + 1, j - T.STRIDE), T.STRIDE)]
-    scores = [np.zeros((j - i, T.TAGS), np.float32) for _, i, j in regions]
-    weights = [np.zeros((j - i, 1), np.float32) for _, i, j in regions]
-    codes = [T.classes(texts[n][i:j]) for n, i, j in regions]
+def _stretches(regions: list[tuple[int, int, int]]):
+    """(region, low, high, from, to): regions in stretches of at most STRETCH characters, each with MARGIN more on either side of a cut."""
+    for k, (_, i, j) in enumerate(regions):
+        for a in range(i, j, STRETCH):
+            b = min(j, a + STRETCH)
+            yield k, max(i, a - MARGIN), min(j, b + MARGIN), a, b
+
+
+def _groups(stretches):
+    """Stretches, GROUP characters at a time."""
+    held, size = [], 0
+    for s in stretches:
+        if held and size + s[2] - s[1] > GROUP:
+            yield held
+            held, size = [], 0
+        held.append(s)
+        size += s[2] - s[1]
+    if held:
+        yield held
+
+
+def _paths(codes: list[np.ndarray], params: dict) -> list[np.ndarray]:
+    """The tags of each stretch from its characters' classes."""
+    places = [(k, a) for k, own in enumerate(codes) for a in range(0, max(1, len(own) - T.STRIDE), T.STRIDE)]
+    scores = [np.zeros((len(own), T.TAGS), np.float32) for own in codes]
+    weights = [np.zeros((len(own), 1), np.float32) for own in codes]
     hill = (np.minimum(np.arange(T.WINDOW), np.arange(T.WINDOW)[::-1]) + 1.0).astype(np.float32)[:, None]
     for w in range(0, len(places), WINDOWS):
         part = places[w : w + WINDOWS]
         x = np.zeros((len(part), T.WINDOW), np.int64)
         for row, (k, a) in zip(x, part):
-            own = codes[k][a - regions[k][1] : a - regions[k][1] + T.WINDOW]
+            own = codes[k][a : a + T.WINDOW]
             row[: len(own)] = own
         for e, (k, a) in zip(T.emissions(params, x), part):
-            a -= regions[k][1]
             n = min(T.WINDOW, len(codes[k]) - a)
             scores[k][a : a + n] += e[:n] * hill[:n]
             weights[k][a : a + n] += hill[:n]
-    found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    order = sorted(range(len(regions)), key=lambda k: len(codes[k]))
+    out: list[np.ndarray] = [None] * len(codes)
+    order = sorted(range(len(codes)), key=lambda k: len(codes[k]))
     done = 0
     while done < len(order):
         some = 1
-        while done + some < len(order) and (some + 1) * len(codes[order[done + some]]) <= REGION_CELLS // 8:
+        while done + some < len(order) and (some + 1) * len(codes[order[done + some]]) <= CELLS:
             some += 1
         part = order[done : done + some]
         lengths = np.array([len(codes[k]) for k in part])
@@ -123,9 +139,27 @@ def tag_texts(texts: list[str], params: dict) -> list[list[tuple[str, int, int]]
         for row, k in zip(e, part):
             row[: len(codes[k])] = scores[k] / weights[k]
         for k, path in zip(part, T.viterbi(e, lengths, params["trans"])):
-            n, base, _ = regions[k]
-            found[n] += [(kind, base + i, base + j) for kind, i, j in _spans(path)]
+            out[k] = path
         done += some
+    return out
+
+
+def tag_texts(texts: list[str], params: dict) -> list[list[tuple[str, int, int]]]:
+    """Spans that the tagger finds in each text.
+
+    Windows of WINDOW characters overlap by half; a character's scores are the mean over its windows, weighted to their
+    middles, and one Viterbi pass over each region settles the tags across windows. A region of any length is decoded in
+    stretches, side by side: with margins of four windows, scores up to a cut are those of the whole region, and the best paths have met by there.
+    """
+    regions = [(n, i, j) for n, text in enumerate(texts) for i, j in _regions(text)]
+    tags: list[list[np.ndarray]] = [[] for _ in regions]
+    for group in _groups(_stretches(regions)):
+        paths = _paths([T.classes(texts[regions[k][0]][low:high]) for k, low, high, _, _ in group], params)
+        for (k, low, _, a, b), path in zip(group, paths):
+            tags[k].append(path[a - low : b - low])
+    found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    for (n, base, _), parts in zip(regions, tags):
+        found[n] += [(kind, base + i, base + j) for kind, i, j in _spans(np.concatenate(parts))]
     return [sorted(f, key=lambda s: s[1]) for f in found]
 
 

@@ -563,6 +563,25 @@ def test_spans_are_those_of_a_plain_decoder():
     assert both >= 0.95 * theirs and both >= 0.95 * ours and theirs > 10
 
 
+def test_stretches_of_a_long_region_are_decoded_as_a_whole(monkeypatch):
+    import random
+
+    r, params = random.Random(11), tagger.trained()
+    # a digit in every cell: one region
+    text = " ".join(tagger.labelled_text(r, 20)[0] + " 12" for _ in range(900)) + "1 2" * 7000
+    assert [(i, j) for i, j in privacy._regions(text)] == [(0, len(text))] and len(text) > 15 * privacy.STRETCH
+    cut = privacy.tag_texts([text, "", text[:5000]], params)
+    monkeypatch.setattr(privacy, "STRETCH", 1 << 20)
+    whole = privacy.tag_texts([text, "", text[:5000]], params)
+    assert cut == whole and len(whole[0]) > 100 and whole[1] == []
+
+
+def test_a_region_of_megabytes():
+    text = "12 3-45 " * 250_000
+    found = privacy.tag_texts([text], tagger.trained())[0]
+    assert all(0 <= i < j <= len(text) for _, i, j in found) and [s[1] for s in found] == sorted(s[1] for s in found)
+
+
 def test_what_is_added_fits_its_kind():
     fits = lambda kind, text, before="": privacy._fits(before + text, kind, len(before), len(before + text))
     assert fits("card", "378282246310005") and not fits("card", "378282246310006") and not fits("card", "4" * 20)
