@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessitura.plans import catalog
+from tessitura.sources import flac, wav
 from tests.test_catalog import same
 
 VALUES = (0.0, 125.0, 350.0, 499.99, 500.0, 500.01, 560.21, 583.4, 640.0, 700.0, 851.0, 999.5, 1501.0, 40.0, 3.3)
@@ -40,3 +42,14 @@ def test_oscillators(spark, loud):
 
 def test_normalised_values(spark, loud):
     check(spark, loud, "normalised_values")
+
+
+def test_flac_decode(spark, loud):
+    check(spark, loud, "flac_decode")
+
+
+@pytest.mark.parametrize("most, bits", [(32767, 16), (32768, 24), (1 << 23, 32)])
+def test_flac_has_room_where_it_is_needed(most, bits):
+    x = np.array([[most, 0], [-32768, 5], [7, -most]])
+    got, about = wav.samples(flac.encoded_loud(x, 8000))
+    assert about["bits"] == bits and (got * 32768 == x).all()
