@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tessitura.plans import catalog
-from tessitura.sources import flac, wav
+from tessitura.sources import adpcm, flac, wav
 from tests.test_catalog import same
 
 VALUES = (0.0, 125.0, 350.0, 499.99, 500.0, 500.01, 560.21, 583.4, 640.0, 700.0, 851.0, 999.5, 1501.0, 40.0, 3.3)
@@ -53,3 +53,19 @@ def test_flac_has_room_where_it_is_needed(most, bits):
     x = np.array([[most, 0], [-32768, 5], [7, -most]])
     got, about = wav.samples(flac.encoded_loud(x, 8000))
     assert about["bits"] == bits and (got * 32768 == x).all()
+
+
+def test_adpcm_decode(spark, loud):
+    check(spark, loud, "adpcm_decode")
+
+
+def test_adpcm_reads_loud_heads_from_any_place_on():
+    x = np.zeros((100, 2), np.int64)
+    x[33], x[66, 1] = (40000, -50000), 33000
+    data = adpcm.ima_encoded(x, 8000, 40)
+    got, about = wav.samples(data)
+    assert (got[33] * 32768 == x[33]).all() and got[66, 1] * 32768 == 33000
+    for first in range(100):
+        assert (wav.stretch(lambda at, n: data[at : at + n], about, first, 20) == got[first : first + 20]).all()
+    quiet = np.clip(x, -32768, 32767)
+    assert b"loud" not in adpcm.ima_encoded(quiet, 8000, 40)
