@@ -22,8 +22,8 @@ BLOCK_BYTES, BUCKET_BYTES, PAIR_BYTES, TOKENS = 8 << 20, 24 << 20, 12 << 20, 1 <
 #: Words that are symbols of the model: so many times the cube root of the text's bytes, up to a bound on what is broadcast
 #: (64 MB of parameters). All others share GROUPS symbols by hash.
 PER_ROOT, MOST, GROUPS = 3, 1 << 17, 64
-#: Rounds of training; in each, the model learns from one run in STRIDE of L.RUN tokens, another one each round.
-ROUNDS, STRIDE = 1, 4
+#: Rounds of training, each over all training tokens.
+ROUNDS = 1
 #: What a pair's count is discounted by; numbers in a row of the sums of parameters.
 DISCOUNT, CHUNK = 0.75, 1 << 15
 SMOOTH = 0.1
@@ -174,10 +174,10 @@ def _trained(blocks: DataFrame, vocabulary: Vocabulary) -> L.Params:
         return pa.table({"chunk": part["chunk"][:1], "part": part["part"][:1], "sums": pa.array([squeeze(total)], pa.binary())})
 
     schema = "chunk int, part int, sums binary"
-    for turn in range(ROUNDS):
+    for _ in range(ROUNDS):
         now = p
 
-        def run(batches, now=now, turn=turn):
+        def run(batches, now=now):
             own = {k: v.copy() for k, v in now.items()}
             steps, seen = L.Adagrad(own), L.Weights(freq)
             for batch in batches:
@@ -188,7 +188,7 @@ def _trained(blocks: DataFrame, vocabulary: Vocabulary) -> L.Params:
                     text, places = L.stream(chain.symbol, chain.first, vocabulary.end)
                     wanted = np.zeros(len(text), bool)
                     wanted[places] = learn
-                    L.learn(own, freq, text, wanted, steps, seen, turn, STRIDE)
+                    L.learn(own, freq, text, wanted, steps, seen)
             if not seen.total:
                 return
             flat = L.weighed(own, freq, seen)
@@ -326,7 +326,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     equal doc_id are scored each for itself; an empty table gives none; extra columns are not read.
 
     Counts of words and of pairs move as sorted keys of blocks through buckets and back, and grow with the corpus; the model's
-    vocabulary grows with the cube root of it, and learns in every task, from one run of 64 tokens in four of the training documents (see STRIDE); counts are of all tokens.
+    vocabulary grows with the cube root of it, and learns in every task, from every token of the training documents.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = packed(docs, BLOCK_BYTES)

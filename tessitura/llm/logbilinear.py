@@ -12,7 +12,7 @@ import math
 import numpy as np
 
 #: Symbols of context, length of the vectors, noise samples a word, tokens of a step, neighbours among them, and the rate of Adagrad.
-ORDER, WIDTH, NOISE, BATCH, RUN, RATE = 4, 32, 16, 4096, 64, 0.3
+ORDER, WIDTH, NOISE, BATCH, RUN, RATE = 4, 16, 16, 4096, 128, 0.3
 
 Params = dict[str, np.ndarray]
 
@@ -68,17 +68,22 @@ def _by_class(words: np.ndarray, side: int):
     return order, [(int(own[order[i]]), int(i), int(j)) for i, j in zip(edges, np.append(edges[1:], len(order)))]
 
 
-def _contrast(scores: np.ndarray, target: np.ndarray, drawn: np.ndarray) -> np.ndarray:
-    """Ascent direction of the noise-contrastive likelihood in the scores (tokens, choices), to which -log(drawn) is added
-    already; drawn: the noise expected of each choice."""
-    scores *= 0.5
-    np.tanh(scores, out=scores)
-    scores += 1  # twice the probability of data
+def _contrast(h: np.ndarray, q: np.ndarray, bias: np.ndarray, drawn: np.ndarray, target: np.ndarray, share: np.float32) -> np.ndarray:
+    """Ascent direction, times `share`, of the noise-contrastive likelihood in the scores (tokens, choices) of h, whose last column is 1;
+    drawn: the noise expected of each choice."""
+    half = np.float32(0.5)
+    both = np.empty((len(q), WIDTH + 1), np.float32)
+    np.multiply(q, half, out=both[:, :WIDTH])
+    both[:, WIDTH] = (bias - np.log(np.maximum(drawn, 1e-30))) * half
+    g = h @ both.T
+    np.tanh(g, out=g)  # the probability of data, twice and less one
     rows = np.arange(len(target))
-    own = 1 - 0.5 * scores[rows, target]
-    scores *= -0.5 * drawn
-    scores[rows, target] += own
-    return scores
+    own = (1 - g[rows, target]) * (half * share)
+    noise = (-half * share) * drawn
+    g *= noise
+    g += noise
+    g[rows, target] += own
+    return g
 
 
 class Adagrad:
@@ -98,43 +103,41 @@ class Weights:
         self.of_symbol, self.of_class, self.total = np.zeros(freq.classes * freq.side, np.int64), np.zeros(freq.classes, np.int64), 0
 
 
-def learn(p: Params, freq: Frequencies, text: np.ndarray, wanted: np.ndarray, steps: Adagrad, seen: Weights, turn: int = 0, stride: int = 1) -> None:
-    """One pass over a stream; p changes in place. The stream is cut into runs of RUN places, and every stride-th of them from
-    `turn` on is learned from, where `wanted` holds."""
+def learn(p: Params, freq: Frequencies, text: np.ndarray, wanted: np.ndarray, steps: Adagrad, seen: Weights) -> None:
+    """One pass over all of a stream, RUN places in a row and BATCH in a step; what is learned from is where `wanted` holds. p changes in place."""
     side = freq.side
     drawn_class, drawn_word = NOISE * freq.noise_class, NOISE * freq.noise_word
-    less_class, less_word = (-np.log(np.maximum(x, 1e-30)) for x in (drawn_class, drawn_word))
     whole = -(-max(0, len(text) - ORDER) // RUN)
     behind = ORDER + whole * RUN - len(text)
     text, wanted = np.append(text, np.zeros(behind, text.dtype)), np.append(wanted, np.zeros(behind, bool))
-    starts = ORDER + RUN * np.arange(turn, whole, stride)
+    starts = ORDER + RUN * np.arange(whole)
     for a in range(0, len(starts), BATCH // RUN):
         places = starts[a : a + BATCH // RUN, None] + np.arange(-ORDER, RUN)
         symbols = text[places]
-        mask = wanted[places[:, ORDER:]].ravel()
-        target = symbols[:, ORDER:].ravel()[mask]
-        if not len(target):
+        at = np.flatnonzero(wanted[places[:, ORDER:]].ravel())
+        if not len(at):
             continue
+        order, cuts = _by_class(symbols[:, ORDER:].ravel()[at], side)
+        at = at[order]
+        target = symbols[:, ORDER:].ravel()[at]
+        own_class, own_word = target // side, target % side
         share = np.float32(32 / len(target))
         rows = np.take(p["r"], symbols, axis=0)
-        h = _hidden(p["c"], rows, RUN).reshape(-1, WIDTH)[mask]
-        g = _contrast(h @ p["q_class"].T + (p["b_class"] + less_class), target // side, drawn_class)
-        g *= share
-        back = g @ p["q_class"]
-        steps.climb("q_class", slice(None), g.T @ h)
-        steps.climb("b_class", slice(None), g.sum(0))
-        order, cuts = _by_class(target, side)
-        sorted_h, sorted_back = h[order], back[order]
-        sorted_at = target[order] % side
+        h = np.ones((len(target), WIDTH + 1), np.float32)
+        h[:, :WIDTH] = _hidden(p["c"], rows, RUN).reshape(-1, WIDTH)[at]
+        g = _contrast(h, p["q_class"], p["b_class"], drawn_class, own_class, share)
+        back, up = g @ p["q_class"], g.T @ h
+        steps.climb("q_class", slice(None), up[:, :WIDTH])
+        steps.climb("b_class", slice(None), up[:, WIDTH])
         for k, i, j in cuts:
-            lines, mine = slice(k * side, (k + 1) * side), sorted_h[i:j]
-            g = _contrast(mine @ p["q_word"][lines].T + (p["b_word"][lines] + less_word[k]), sorted_at[i:j], drawn_word[k])
-            g *= share
-            sorted_back[i:j] += g @ p["q_word"][lines]
-            steps.climb("q_word", lines, g.T @ mine)
-            steps.climb("b_word", lines, g.sum(0))
-        full = np.zeros((len(mask), WIDTH), np.float32)
-        full[np.flatnonzero(mask)[order]] = sorted_back
+            lines, mine = slice(k * side, (k + 1) * side), h[i:j]
+            g = _contrast(mine, p["q_word"][lines], p["b_word"][lines], drawn_word[k], own_word[i:j], share)
+            back[i:j] += g @ p["q_word"][lines]
+            up = g.T @ mine
+            steps.climb("q_word", lines, up[:, :WIDTH])
+            steps.climb("b_word", lines, up[:, WIDTH])
+        full = np.zeros((len(places) * RUN, WIDTH), np.float32)
+        full[at] = back
         full = full.reshape(len(places), RUN, WIDTH)
         up, own = np.zeros_like(rows), np.empty_like(p["c"])
         for k in range(ORDER):
@@ -147,7 +150,7 @@ def learn(p: Params, freq: Frequencies, text: np.ndarray, wanted: np.ndarray, st
         begins = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
         steps.climb("r", flat[order][begins], np.add.reduceat(up.reshape(-1, WIDTH)[order], begins, axis=0))
         seen.of_symbol += np.bincount(flat, minlength=len(seen.of_symbol))
-        seen.of_class += np.bincount(target // side, minlength=freq.classes)
+        seen.of_class += np.bincount(own_class, minlength=freq.classes)
         seen.total += len(target)
 
 

@@ -727,6 +727,17 @@ def test_mean_of_models_leaves_what_no_task_has_seen():
     assert np.allclose(got["q_word"][:3], p["q_word"][:3] + 2, atol=1e-5) and np.allclose(got["q_word"][3:], p["q_word"][3:]) and np.allclose(got["c"], p["c"] + 2, atol=1e-5)
 
 
+def test_lm_learns_from_every_token(spark, monkeypatch):
+    """Each word stands in a stretch of its own, so that each is learned from where no stretch is passed over."""
+    kept, trained = {}, lm._trained
+    monkeypatch.setattr(lm, "_trained", lambda blocks, vocabulary: kept.setdefault("model", (trained(blocks, vocabulary), vocabulary))[0])
+    doc = next(k for k in range(99) if lm.trains(k))
+    lm.lm_scores(spark.createDataFrame([(doc, " ".join(f"w{k}" for k in range(50) for _ in range(20)))], "doc_id long, text string"))
+    p, vocabulary = kept["model"]
+    moved = (p["r"] != lm.L.start(vocabulary.frequencies)["r"]).all(1)
+    assert len(vocabulary.keys) == 50 and moved[vocabulary.symbols].all()
+
+
 def test_lm_pairs_of_rare_words(spark):
     """Two texts of the same words, none of them a symbol of its own: the one whose pairs were seen scores higher."""
     common = " ".join(f"common{k}" for k in range(1200))
