@@ -106,14 +106,36 @@ def modulated_grains(grains: DataFrame, buffers: DataFrame, rate: float, size: f
 _NOTE = "struct<frame:bigint,place:double,speed:double,volume:double,pan:double>"
 
 
+#: Frames of a track that are summed in one task: more than most notes last.
+STRETCH = 1 << 14
+
+
 def handled(notes: DataFrame, changes: DataFrame, buffers: DataFrame, key: str) -> DataFrame:
     """(key, note_id, frame, l, r): notes that play their buffers to the end, as for synthesis.sampled, with changes of speed, volume and pan while they sound.
 
     notes(key, note_id, buffer_id, on_frame, speed, volume, pan); changes(key, note_id, frame, seq, what, value) take effect at their frame, those before the
     note at its first; what is speed, volume or pan, and of several at one frame the last `seq` counts. A note's changes are folded over in their
-    order, which gives the place in the buffer at each of them; between two of them it moves along a line, so that a frame finds its
-    own from the last change before it. One row of changes a note, no join a frame.
+    order, which gives the place in the buffer at each of them; between two of them it moves along a line, which makes its own
+    frames. One row of changes a note, no join a frame.
     """
+    return _handled(_handles(notes, changes, buffers, key), key).select(key, "note_id", "frame", "l", "r")
+
+
+def handled_mix(notes: DataFrame, changes: DataFrame, buffers: DataFrame, key: str, stretch: int = STRETCH) -> DataFrame:
+    """(key, frame, l, r): what handled gives, summed. Notes with their buffers are dealt out by track and stretch of frames, one that sounds in several
+    stretches to each of them, so that frames are summed where they arise; a long track is many tasks."""
+    own = _handles(notes, changes, buffers, key)
+    reach = lambda t: F.floor((F.col("on_frame") + t) / stretch).cast("long")
+    own = own.withColumn("_stretch", F.explode(F.sequence(reach(0), reach(F.col("_last")))))
+    # a stated number: a note's frames cost more than its bytes tell
+    own = own.repartition(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "_stretch")
+    first = F.col("_stretch") * stretch - F.col("on_frame")
+    out = _handled(own, key, first, first + stretch - 1)
+    return out.groupBy(key, "_stretch", "frame").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).drop("_stretch")
+
+
+def _handles(notes: DataFrame, changes: DataFrame, buffers: DataFrame, key: str) -> DataFrame:
+    """Notes that sound, with their samples, their states in order (_all) and their last frame (_last), counted from on_frame."""
     order = F.struct(F.col("frame").cast("long").alias("frame"), F.col("seq").cast("long").alias("seq"), "what", F.col("value").cast("double").alias("value"))
     log = changes.groupBy(key, "note_id").agg(F.sort_array(F.collect_list(order)).alias("_log"))
     own = notes.select(key, "note_id", "buffer_id", F.col("on_frame").cast("long").alias("on_frame"), *[F.col(c).cast("double").alias(c) for c in ("speed", "volume", "pan")])
@@ -137,12 +159,24 @@ def handled(notes: DataFrame, changes: DataFrame, buffers: DataFrame, key: str)
         last, following = s["frame"] + F.floor((end - s["place"]) / s["speed"]).cast("long"), F.get("_all", i + 1)["frame"]
         return F.when(following.isNull() | (last < following), last)
 
-    own = own.withColumn("_last", F.array_min(F.transform("_all", reached))).filter("_last >= 0")
-    rows = own.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-    rows = rows.withColumn("_now", F.element_at(F.filter("_all", lambda s: s["frame"] <= F.col("t")), -1))
-    rows = rows.withColumn("_at", F.col("_now.place") + F.col("_now.speed") * (F.col("t") - F.col("_now.frame")))
+    return own.withColumn("_last", F.array_min(F.transform("_all", reached))).filter("_last >= 0").select(key, "note_id", "on_frame", "samples", "_all", "_last")
+
+
+def _handled(own: DataFrame, key: str, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """Frames of notes of _handles, or those from `first` to `last` of each, which count from on_frame: a row for each state that holds for a while, then
+    its frames, so that what is done a frame is arithmetic."""
+    bound = F.col("_last") if last is None else F.least("_last", last)
+
+    def held(s: Column, i: Column) -> Column:
+        since = s["frame"] if first is None else F.greatest(s["frame"], first)
+        return F.struct(since.alias("_since"), F.least(bound, F.get("_all", i + 1)["frame"] - 1).alias("_until"), *[s[c].alias(f"_{c}") for c in ("frame", "place", "speed", "volume", "pan")])
+
+    spans = own.select("*", F.inline(F.filter(F.transform("_all", held), lambda s: s["_since"] <= s["_until"]))).drop("_all")
+    rows = spans.withColumn("t", F.explode(F.sequence("_since", "_until")))
+    rows = rows.withColumn("_at", F.col("_place") + F.col("_speed") * (F.col("t") - F.col("_frame")))
     low = F.floor("_at").cast("int")
     part = F.col("_at") - low
-    rows = rows.withColumn("_x", (F.get("samples", low) * (1 - part) + F.coalesce(F.get("samples", low + 1), F.lit(0.0)) * part) * F.col("_now.volume"))
-    side = lambda law: F.col("_x") * law(F.col("_now.pan"))
-    return rows.select(key, "note_id", (F.col("on_frame") + F.col("t")).alias("frame"), side(S.pan_left).alias("l"), side(S.pan_right).alias("r"))
+    rows = rows.withColumn("_x", (F.get("samples", low) * (1 - part) + F.coalesce(F.get("samples", low + 1), F.lit(0.0)) * part) * F.col("_volume"))
+    side = lambda law: F.col("_x") * law(F.col("_pan"))
+    kept = [c for c in ("_stretch",) if c in own.columns]
+    return rows.select(key, "note_id", *kept, (F.col("on_frame") + F.col("t")).alias("frame"), side(S.pan_left).alias("l"), side(S.pan_right).alias("r"))

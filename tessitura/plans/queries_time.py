@@ -440,8 +440,7 @@ def note_handles(spark, sf):
     value = F.when(F.col("type") == "view", F.abs(x)).when(F.col("type") == "error", F.least(x, F.lit(1.0))).otherwise(0.25 + F.abs(x))
     changes = aimed.select("track_id", "note_id", "frame", "seq", kind.alias("what"), value.alias("value"))
     notes = _played(spark, sf).withColumn("pan", F.lit(0.0))
-    out = MO.handled(notes, changes, _buffers(spark, sf), "track_id")
-    return out.groupBy("track_id", "frame").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).select("track_id", "frame", r("l"), r("r"))
+    return MO.handled_mix(notes, changes, _buffers(spark, sf), "track_id").select("track_id", "frame", r("l"), r("r"))
 
 
 # a frame at a time: what was set at this frame or before it holds; the place moves by the speed that held at the frame before

@@ -83,3 +83,23 @@ def test_handled_notes_against_a_plain_loop(spark):
             place, frame = place + now["speed"], frame + 1
     assert found.keys() == want.keys()
     assert all(found[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_handled_notes_are_summed_where_their_frames_arise(spark):
+    """Stretches that notes cross, and a change in each: the sums are those of the notes' own frames, which no shuffle moves."""
+    buffers = spark.createDataFrame([(b, [math.sin(k / 3 + b) for k in range(50)]) for b in range(3)], "buffer_id long, samples array<double>")
+    notes = spark.createDataFrame([(k % 2 or None, k, k % 3, 7 * k, 0.25 + k % 4, 0.5, 0.0) for k in range(20)], "key long, note_id long, buffer_id long, on_frame long, speed double, volume double, pan double")
+    changes = spark.createDataFrame([(k % 2 or None, k, 7 * k + 3 * n, n, what, 0.5) for k in range(12) for n, what in enumerate(("pan", "speed", "volume", "speed"))], "key long, note_id long, frame long, seq long, what string, value double")
+    want = {}
+    for row in MO.handled(notes, changes, buffers, "key").collect():
+        l, r = want.get((row["key"], row["frame"]), (0.0, 0.0))
+        want[row["key"], row["frame"]] = l + row["l"], r + row["r"]
+    for stretch in (1, 16, MO.STRETCH):
+        mixed = MO.handled_mix(notes, changes, buffers, "key", stretch)
+        rows = mixed.collect()
+        found = {(row["key"], row["frame"]): (row["l"], row["r"]) for row in rows}
+        assert len(rows) == len(found) and found.keys() == want.keys()
+        assert all(found[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    plan = mixed._jdf.queryExecution().sparkPlan().toString()
+    prepared = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(sequence(" in plan and "Exchange" not in prepared[: prepared.index("Generate explode(sequence(")]
