@@ -55,8 +55,8 @@ def stretched(system: System):
         for a in range(0, len(x), STRETCH):
             own = x[a : a + STRETCH]
             n = len(own)
-            out[a : a + n] = np.tensordot(toeplitz[:n, :n], own, 1) + np.einsum("fn,tnc->ftc", answers[:n], state)
-            state = np.einsum("mn,tnc->tmc", powers[n], state) + np.einsum("fn,ftc->tnc", into[STRETCH - n :], own)
+            out[a : a + n] = np.tensordot(toeplitz[:n, :n], own, 1) + np.tensordot(answers[:n], state, (1, 1))
+            state = np.einsum("mn,tnc->tmc", powers[n], state) + np.tensordot(into[STRETCH - n :], own, (0, 0)).transpose(1, 0, 2)
         return out, state
 
     return over
@@ -246,7 +246,8 @@ def spring(duration: float, rate: float) -> Kernel:
 
 
 def _line(length: int) -> Callable[[int, int], dict]:
-    return lambda tracks, channels: {"line": np.zeros((tracks, length, channels)), "at": np.zeros(tracks, np.int64)}
+    # a track's frames of one channel are side by side
+    return lambda tracks, channels: {"line": np.zeros((channels, tracks, length)).transpose(1, 2, 0), "at": np.zeros(tracks, np.int64)}
 
 
 def _read(state, delay, name="line"):
@@ -282,6 +283,19 @@ def _write_many(state, x):
     state["at"] = state["at"] + len(x)
 
 
+def _piece(line: np.ndarray, at: int, n: int) -> np.ndarray:
+    """n frames from place `at` of the lines (tracks, length) of one channel: a view, or a copy where they go around the end."""
+    at, length = at % line.shape[1], line.shape[1]
+    return line[:, at : at + n] if at + n <= length else np.concatenate([line[:, at:], line[:, : at + n - length]], 1)
+
+
+def _put(line: np.ndarray, at: int, x: np.ndarray) -> None:
+    at, length = at % line.shape[1], line.shape[1]
+    ahead = min(x.shape[1], length - at)
+    line[:, at : at + ahead] = x[:, :ahead]
+    line[:, : x.shape[1] - ahead] = x[:, ahead:]
+
+
 def _all(delay, x):
     """A delay for each frame, track and channel of x."""
     return np.broadcast_to(np.asarray(delay, float), x.shape)
@@ -567,7 +581,9 @@ LINES = {
     "E": (61, 0.002503, "I"), "F": (59, 0.002423, "J"), "G": (53, 0.002146, "K"), "H": (47, 0.002088, "L"),
 }
 ALLPASSES = {"I": 43, "J": 41, "K": 37, "L": 31}
-PREDELAY = 29
+PREDELAY, PASSED = 29, 0.5
+#: Tracks whose lines go through the reverb at a time, so that they stay in a core's cache.
+NEAR = 16
 #: Frames that a vibrato shortens a line by at most, halved; and its speed.
 SWING, SPEED = 7.0, 0.1
 
@@ -589,7 +605,7 @@ def reverb(rate: float, room=0.6, wet=0.35, seed=0) -> Kernel:
     lengths = [int(size * units) for units, _, _ in LINES.values()]
     turns = np.array([turn for _, turn, _ in LINES.values()])[:, None] * SPEED
     sources = [list(ALLPASSES).index(source) for _, _, source in LINES.values()]
-    passes = {n: allpass(max(1, int(size * v))) for n, v in ALLPASSES.items()}
+    passes = {n: allpass(max(1, int(size * v)), PASSED) for n, v in ALLPASSES.items()}
     ahead = max(1, int(size * PREDELAY))
     phases = np.random.default_rng(seed).random((len(LINES), 2)) * TAU
 
@@ -625,8 +641,61 @@ def reverb(rate: float, room=0.6, wet=0.35, seed=0) -> Kernel:
         v = np.clip(filters["fb"].step(state["fb"], out.mean(1)), -1, 1)
         return filters["fc"].step(state["fc"], np.arcsin(v)) + x * (1 - wet)
 
+    def together(state, x):
+        """What block does, for tracks that are at one place of their lines and their vibrato: all then read the same stretches of their lines."""
+        n, tracks, channels = x.shape
+        at = int(state["pre"]["at"][0])
+        pre = state["pre"]["line"]
+        v = np.stack([_piece(pre[:, :, c], at - ahead, n).T for c in range(channels)], 2)
+        for c in range(channels):
+            _put(pre[:, :, c], at, x[:, :, c].T)
+        fed = np.ascontiguousarray(np.sin(filters["fa"].block(state["fa"], v) * wet).transpose(2, 1, 0))
+        phase = state["phase"][0] + turns * np.arange(1, n + 1)[:, None, None]
+        early = (1 + np.sin(phase)) * SWING
+        whole = np.floor(early).astype(np.int64)
+        second = (1 - blend) * (early - whole)
+        first = 1 - second
+        mixed = np.empty((channels, tracks, n))
+        for c in range(channels):
+            stays = [np.append(np.flatnonzero(np.append(True, np.diff(whole[:, k, c]) != 0)), n) for k in range(len(LINES))]
+            for a in range(0, tracks, NEAR):
+                b = min(tracks, a + NEAR)
+                lines = {name: state[name]["line"][a:b, :, c] for name in (*ALLPASSES, *LINES)}
+                u, taps = fed[c, a:b], []
+                for name, kernel in passes.items():
+                    held = _piece(lines[name], at - kernel.span, n)
+                    into = u - PASSED * held
+                    u = held + PASSED * into
+                    _put(lines[name], at, into)
+                    taps.append(u)
+                out = np.empty((len(LINES), b - a, n))
+                for k, name in enumerate(LINES):
+                    for i, j in zip(stays[k], stays[k][1:]):
+                        own = _piece(lines[name], int(at + i - lengths[k] + whole[i, k, c]), int(j - i) + 1)
+                        out[k, :, i:j] = own[:, :-1] * first[i:j, k, c] + own[:, 1:] * second[i:j, k, c]
+                mixed[c, a:b] = out.mean(0)
+                for group in (slice(0, 4), slice(4, 8)):
+                    own = out[group]
+                    total = own.sum(0)
+                    own *= 2
+                    own -= total
+                    own *= regen
+                for k, name in enumerate(LINES):
+                    into = taps[sources[k]].copy()
+                    into[:, 0] += state["back"][a:b, k, c]
+                    into[:, 1:] += out[k, :, :-1]
+                    _put(lines[name], at, into)
+                    state["back"][a:b, k, c] = out[k, :, -1]
+        state["phase"] = np.tile(phase[-1], (tracks, 1, 1))
+        for name in ("pre", *ALLPASSES, *LINES):
+            state[name]["at"] = state[name]["at"] + n
+        v = np.clip(filters["fb"].block(state["fb"], mixed.transpose(2, 1, 0)), -1, 1)
+        return filters["fc"].block(state["fc"], np.arcsin(v)) + x * (1 - wet)
+
     def block(state, x):
         n = len(x)
+        if n and all((state[name]["at"] == state["pre"]["at"][0]).all() for name in ("pre", *ALLPASSES, *LINES)) and (state["phase"] == state["phase"][0]).all():
+            return together(state, x)
         v = _read_many(state["pre"], _all(ahead, x))
         _write_many(state["pre"], x)
         v = np.sin(filters["fa"].block(state["fa"], v) * wet)

@@ -258,8 +258,8 @@ stereo("fx_chorus", K.chorus(1000.0), {"aphase": 0.0, "bphase": 0.25} | {k: v fo
 
 def fx_reverb(spark, sf):
     """Each vector 65 times over, so that what comes back from the lines is heard; a test has the same as a plain loop."""
-    long = A.looped(T.embedding_signal(spark, sf), ["track_id"], 0, 32, 64)
-    return FO.fold(long, "track_id", K.reverb(8000.0, 0.0), ["l", "r"]).select("track_id", "frame", r("l"), r("r"))
+    long = A.looped(T.embedding_signal(spark, sf, dealt=True), ["track_id"], 0, 32, 64)
+    return FO.fold(long, "track_id", K.reverb(8000.0, 0.0), ["l", "r"], dealt=True).select("track_id", "frame", r("l"), r("r"))
 
 
 QUERIES["fx_reverb"] = fx_reverb

@@ -29,9 +29,11 @@ def embedding_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), F.col("label").alias("bus"), F.col("embedding").cast("array<double>").alias("samples"))
 
 
-def embedding_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(track_id, bus, frame, l, r): a stereo track of 32 frames for each vector."""
+def embedding_signal(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """(track_id, bus, frame, l, r): a stereo track of 32 frames for each vector. With `dealt`, vectors are dealt out by track, and no track is in two partitions."""
     blocks = embedding_blocks(spark, sf_dir)
+    if dealt:
+        blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "track_id")
     frames = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(i.cast("long").alias("frame"), F.get("samples", 2 * i).alias("l"), F.get("samples", 2 * i + 1).alias("r")))
     return blocks.select("track_id", "bus", F.inline(frames))
 

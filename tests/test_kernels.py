@@ -253,3 +253,26 @@ def test_a_full_pool_plays_no_more_grains(spark):
     grains = spark.createDataFrame(rows, "track_id int, note_id int, grain int, start long, length long")
     kept = sorted((r["note_id"], r["grain"]) for r in Y.pooled(grains, "track_id", 3).collect())
     assert kept == [(1, k) for k in range(30) if k % 10 < 3] + [(2, k) for k in range(4)]
+
+
+def test_reverb_of_tracks_in_step_reads_whole_stretches(monkeypatch):
+    """Tracks at one place of their lines look up no frame one by one, and sound as step by step, over many blocks and around the lines' ends."""
+    kernel = K.reverb(8000.0, 0.0)
+    x = np.random.default_rng(3).normal(0, 0.3, (4 * kernel.span + 50, 3, 2))
+    state = kernel.init(3, 2)
+    want = np.stack([kernel.step(state, f) for f in x])
+    monkeypatch.setattr(K, "_read_many", None)
+    monkeypatch.setattr(K, "NEAR", 2)
+    monkeypatch.setattr(K, "_write_many", None)
+    found, _ = K.run(kernel, x)
+    assert np.abs(found - want).max() < 1e-12
+
+
+def test_reverb_of_tracks_out_of_step():
+    kernel = K.reverb(8000.0, 0.0)
+    x = np.random.default_rng(4).normal(0, 0.3, (2 * kernel.span, 2, 2))
+    states = [kernel.init(2, 2) for _ in range(2)]
+    for state in states:
+        state["phase"][1] += 0.5
+    found, _ = K.run(kernel, x, states[0])
+    assert np.abs(found - np.stack([kernel.step(states[1], f) for f in x])).max() < 1e-12
