@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
 
 
-#: Tracks of similar length that go through a kernel side by side, and the rows that a task holds at a time.
-SIDE, ROWS = 256, 1 << 19
+#: Tracks of similar length that go through a kernel side by side, their frames with what fills them up to the longest, the rows that a task
+#: holds at a time, and those that it hands on at once.
+SIDE, CELLS, ROWS, HANDED = 256, 1 << 19, 1 << 18, 1 << 16
 
 
 def _schema(df: DataFrame, columns: list[str]) -> str:
@@ -53,6 +56,16 @@ def _whole_runs(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator
         yield pd.concat(held, ignore_index=True)
 
 
+def _numbered(keys: pa.Array) -> np.ndarray:
+    """_codes of a column in Arrow, whose values become no Python objects."""
+    new = np.zeros(len(keys), bool)
+    if len(keys) > 1:
+        null = keys.is_null(nan_is_null=True).to_numpy(zero_copy_only=False)
+        differ = pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), False).to_numpy(zero_copy_only=False)
+        new[1:] = differ & ~(null[1:] & null[:-1]) | (null[1:] != null[:-1])
+    return np.cumsum(new)
+
+
 def _ended(batches):
     yield from batches
     yield None
@@ -63,12 +76,16 @@ def _same(a, b) -> bool:
 
 
 def _side_by_side(values: np.ndarray, code: np.ndarray, kernel: Kernel) -> np.ndarray:
-    """Whole tracks through a kernel, SIDE at a time, the shortest first."""
+    """Whole tracks through a kernel, SIDE at a time, or so many that CELLS hold them, the shortest first."""
     sizes = np.bincount(code - code[0])
     starts = np.cumsum(sizes) - sizes
     out, order = np.empty_like(values), np.argsort(sizes, kind="stable")
-    for a in range(0, len(sizes), SIDE):
+    a = 0
+    while a < len(order):
         some = order[a : a + SIDE]
+        fits = sizes[some] * np.arange(1, len(some) + 1) <= CELLS
+        some = some[: max(1, int(fits.sum()))]
+        a += len(some)
         x = np.zeros((sizes[some].max(), len(some), values.shape[1]))
         for n, k in enumerate(some):
             x[: sizes[k], n] = values[starts[k] : starts[k] + sizes[k]]
@@ -88,40 +105,48 @@ def fold(signal: DataFrame, key: str, kernel: Kernel, channels: list[str], parti
     """
     cut = signal.select(key, "frame", *[F.col(c).cast("double").alias(c) for c in channels])
 
+    names = [key, "frame", *channels]
+
     def apply(batches):
         held, rows, state, track = [], 0, None, None  # state: of the track that goes on
         for part in _ended(batches):
             if part is not None:
                 held.append(part)
-                rows += len(part)
+                rows += part.num_rows
             if not rows or part is not None and rows < ROWS:
                 continue
-            own = pd.concat(held, ignore_index=True)
-            code, values = _codes(own, [key]), own[channels].to_numpy(float)
-            if state is not None and not _same(track, own[key].iloc[0]):
+            own = pa.Table.from_batches(held).combine_chunks()
+            keys, frames, *read = (own.column(k).chunk(0) for k in range(len(names)))
+            code = _numbered(keys)
+            values = np.empty((rows, len(channels)))
+            for k, column in enumerate(read):
+                values[:, k] = column.to_numpy(zero_copy_only=False)
+            del read, column
+            if state is not None and not _same(track, keys[0].as_py()):
                 state = None
             edge = 0
             if state is not None:
                 edge = int(np.searchsorted(code, 1))
                 y, state = run(kernel, values[:edge, None, :], state)
                 values[:edge] = y[:, 0]
-                state = state if edge == len(own) else None
-            last = len(own) if part is None else int(np.searchsorted(code, code[-1]))
+                state = state if edge == rows else None
+            last = rows if part is None else int(np.searchsorted(code, code[-1]))
             if last > edge:
                 values[edge:last] = _side_by_side(values[edge:last], code[edge:last], kernel)
                 edge = last
-            if len(own) - edge >= ROWS:
+            if rows - edge >= ROWS:
                 y, state = run(kernel, values[edge:, None, :])
-                values[edge:], edge = y[:, 0], len(own)
-            track = own[key].iloc[-1]
-            ready = own.iloc[:edge].copy()
-            ready[channels] = values[:edge]
-            yield ready
-            held, rows = ([own.iloc[edge:]], len(own) - edge) if edge < len(own) else ([], 0)
+                values[edge:], edge = y[:, 0], rows
+            track = keys[-1].as_py()
+            held, rows = (own.slice(edge).to_batches(), rows - edge) if edge < rows else ([], 0)
+            del own
+            for a in range(0, edge, HANDED):
+                b = min(edge, a + HANDED)
+                yield pa.RecordBatch.from_arrays([keys[a:b], frames[a:b], *[pa.array(values[a:b, k], from_pandas=True) for k in range(len(channels))]], names)
 
     # a stated number: steps cost more than their bytes tell, so partitions are not to be put together
     own = cut if dealt else cut.repartition(partitions or int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    return own.sortWithinPartitions(key, "frame").mapInPandas(apply, _schema(cut, [key, "frame", *channels]))
+    return own.sortWithinPartitions(key, "frame").mapInArrow(apply, _schema(cut, names))
 
 
 #: A sample under this is silent, and a track that has been silent for so many seconds has ended.

@@ -276,3 +276,32 @@ def test_reverb_of_tracks_out_of_step():
         state["phase"][1] += 0.5
     found, _ = K.run(kernel, x, states[0])
     assert np.abs(found - np.stack([kernel.step(states[1], f) for f in x])).max() < 1e-12
+
+
+def test_one_long_track_does_not_widen_all_others(monkeypatch):
+    """Tracks side by side are filled up to the longest of them: together they stay within CELLS."""
+    seen = []
+    monkeypatch.setattr(FO, "run", lambda kernel, x: (seen.append(x.shape[:2]), (x * 2, None))[1])
+    sizes = np.append(np.full(300, 10), [40_000, 7])
+    values = np.random.default_rng(1).normal(0, 1, (sizes.sum(), 2))
+    assert (FO._side_by_side(values, np.repeat(np.arange(len(sizes)), sizes), None) == values * 2).all()
+    assert sum(tracks for _, tracks in seen) == len(sizes) and all(tracks == 1 or frames * tracks <= FO.CELLS for frames, tracks in seen)
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "long"])
+def test_fold_keeps_tracks_apart_whatever_their_key(spark, monkeypatch, kind):
+    """Null, nan and text as keys; stretches that end within tracks; nulls among the samples stay nulls."""
+    monkeypatch.setattr(FO, "ROWS", 7)
+    keys = {"string": [None, "a", "b", ""], "double": [None, float("nan"), 1.5, -0.5], "long": [None, 1, 2, 3]}[kind]
+    rows = [(k, f, float(f + n)) for n, k in enumerate(keys) for f in range(3 + 5 * n)]
+    df = spark.createDataFrame(rows, f"key {kind}, frame long, x double")
+    kernel = K.Kernel(lambda tracks, channels: {"s": np.zeros((tracks, channels))}, lambda state, x: state.__setitem__("s", state["s"] + x) or state["s"])
+    got = FO.fold(df, "key", kernel, ["x"], 2).collect()
+    found = {(repr(r["key"]), r["frame"]): r["x"] for r in got}
+    want, sums = {}, {}
+    for k, f, x in rows:
+        sums[repr(k)] = sums.get(repr(k), 0.0) + x
+        want[repr(k), f] = sums[repr(k)]
+    assert found == want and len(got) == len(rows)
+    silent = FO.fold(spark.createDataFrame([(1, 0, None), (1, 1, 2.0)], "key long, frame long, x double"), "key", K.Kernel(lambda t, c: {}, lambda state, x: x), ["x"], 1)
+    assert [r["x"] for r in silent.orderBy("frame").collect()] == [None, 2.0]
