@@ -28,20 +28,22 @@ def unsqueeze(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zs.ZstdDecompressor().decompress(data), kind)
 
 
-def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """A written table of blocks: block, doc_ids, offsets (of bytes), data (zstd). Null text is empty; a document over
-    `block_bytes` is a block of its own."""
+def _text(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    return [pa.array([offsets], pa.list_(pa.int64())), pa.array([squeeze(data)], pa.binary())]
+
+
+def packed(docs: DataFrame, block_bytes: int, kept=_text, schema: str = "offsets array<long>, data binary") -> DataFrame:
+    """A written table of blocks: block, doc_ids, offsets (of bytes), data (zstd); or in place of the last two the columns of
+    `schema` that `kept` makes of a block's bytes and offsets. Null text is empty; a document over `block_bytes` is a block of
+    its own."""
+    names = ["doc_ids", *[column.split()[0] for column in schema.split(", ")]]
 
     def run(batches):
         ids, parts, lengths, held = [], [], [], 0
 
         def row():
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-            data = squeeze(np.concatenate(parts))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([pa.concat_arrays(ids)], pa.list_(pa.int64())), pa.array([offsets], pa.list_(pa.int64())), pa.array([data], pa.binary())],
-                ["doc_ids", "offsets", "data"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array([pa.concat_arrays(ids)], pa.list_(pa.int64())), *kept(np.concatenate(parts), offsets)], names)
 
         for batch in batches:
             for first, data, offsets in string_slices(batch.column(1)):
@@ -55,7 +57,7 @@ def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
         if ids:
             yield row()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_ids array<long>, offsets array<long>, data binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_ids array<long>, {schema}")
     return written(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessitura.llm import logbilinear as L
 from tessitura.llm import words as W
-from tessitura.llm.blocks import bucket_count, bucket_edges, packed, slices, squeeze, text_bytes, unpacked, unsqueeze
+from tessitura.llm.blocks import bucket_count, bucket_edges, packed, slices, squeeze, text_bytes, unsqueeze
 from tessitura.llm.common import remainder, table, written
 
 #: Bytes of text in a block, for each bucket of words, and for each bucket of pairs; tokens that are scored at a time.
@@ -47,6 +47,31 @@ def _block_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
+def _planes(array: np.ndarray) -> bytes:
+    """Squeezed by place of the byte: sorted keys and small numbers have places that hardly change."""
+    return squeeze(np.ascontiguousarray(array).view(np.uint8).reshape(-1, array.itemsize).T)
+
+
+def _unplanes(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(unsqueeze(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+CODED = ["doc_ids", "first", "keys", "codes"]
+
+
+def _coded(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """What later steps read of a block, whose words are hashed and looked up once: each document's first word with the total
+    behind, the hashes of the block's distinct words in order, and each word's place among those."""
+    hashes, first = _block_words(data, offsets)
+    keys, codes = np.unique(hashes, return_inverse=True)
+    return [pa.array([first], pa.list_(pa.int64())), *[pa.array([_planes(x)], pa.binary()) for x in (keys, codes.astype(np.uint32))]]
+
+
+def _opened(doc_ids, first, keys, codes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, first, keys, codes) of a coded block's row of Arrow scalars."""
+    return doc_ids.as_py(), np.array(first.values, np.int64), _unplanes(keys.as_py(), np.uint64), _unplanes(codes.as_py(), np.uint32)
+
+
 def _groups(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(16)).astype(np.int64) % GROUPS
 
@@ -57,11 +82,9 @@ def _heads(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for block, *row in zip(*batch.columns):
-                ids, data, offsets = unpacked(*row)
-                hashes, first = _block_words(data, offsets)
-                keys, at = np.unique(hashes, return_inverse=True)
+                ids, first, keys, codes = _opened(*row)
                 learn = np.repeat(np.array([trains(d) for d in ids], bool), np.diff(first))
-                counts = np.bincount(at[learn], minlength=len(keys)).astype(np.uint32)
+                counts = np.bincount(codes[learn], minlength=len(keys)).astype(np.uint32)
                 edges = bucket_edges(keys, buckets)
                 cuts = [(b, i, j) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
                 yield pa.RecordBatch.from_arrays(
@@ -74,7 +97,7 @@ def _heads(blocks: DataFrame, buckets: int) -> DataFrame:
                     ["block", "bucket", "keys", "counts"],
                 )
 
-    return blocks.select("block", "doc_ids", "offsets", "data").mapInArrow(run, "block long, bucket int, keys binary, counts binary")
+    return blocks.select("block", *CODED).mapInArrow(run, "block long, bucket int, keys binary, counts binary")
 
 
 REPLIES = "block long, bucket int, reply binary, tokens long, words long, kinds array<long>, mass array<long>, top array<struct<key: long, count: long>>"
@@ -140,7 +163,7 @@ class Vocabulary:
 class Chain:
     """The tokens of a block: words and an end for each document."""
 
-    def __init__(self, hashes: np.ndarray, first: np.ndarray, vocabulary: Vocabulary):
+    def __init__(self, first: np.ndarray, keys: np.ndarray, codes: np.ndarray, vocabulary: Vocabulary):
         count = np.diff(first) + 1
         self.first = np.concatenate([[0], np.cumsum(count)])
         self.stop = self.first[1:] - 1
@@ -148,7 +171,8 @@ class Chain:
         self.is_word[self.stop] = False
         self.end = vocabulary.end
         self.symbol, self.own = np.full(len(self.is_word), self.end, np.int32), np.ones(len(self.is_word), bool)
-        self.symbol[self.is_word], self.own[self.is_word] = vocabulary.numbers(hashes)
+        symbol, own = vocabulary.numbers(keys)
+        self.symbol[self.is_word], self.own[self.is_word] = symbol[codes], own[codes]
         self.doc = np.repeat(np.arange(len(count)), count)
 
     def before(self, values: np.ndarray, start) -> np.ndarray:
@@ -182,8 +206,8 @@ def _trained(blocks: DataFrame, vocabulary: Vocabulary) -> L.Params:
             steps, seen = L.Adagrad(own), L.Weights(freq)
             for batch in batches:
                 for row in zip(*batch.columns):
-                    ids, data, offsets = unpacked(*row)
-                    chain = Chain(*_block_words(data, offsets), vocabulary)
+                    ids, *words = _opened(*row)
+                    chain = Chain(*words, vocabulary)
                     learn = np.array([trains(d) for d in ids], bool)[chain.doc]
                     text, places = L.stream(chain.symbol, chain.first, vocabulary.end)
                     wanted = np.zeros(len(text), bool)
@@ -197,7 +221,7 @@ def _trained(blocks: DataFrame, vocabulary: Vocabulary) -> L.Params:
                 columns = [pa.array([k], pa.int32()), pa.array([pid % spread], pa.int32()), pa.array([squeeze(flat[a : a + CHUNK])], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "part", "sums"])
 
-        sent = blocks.select("doc_ids", "offsets", "data").mapInArrow(run, schema)
+        sent = blocks.select(*CODED).mapInArrow(run, schema)
         summed = sent.groupBy("chunk", "part").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
         rows = sorted((r["chunk"], r["sums"]) for r in summed.select("chunk", "sums").collect())
         if rows:
@@ -226,15 +250,6 @@ def _pairs(hashes: np.ndarray, chain: Chain, buckets: int) -> tuple[np.ndarray,
     return bucket << np.uint64(40) | route & np.uint64((1 << 40) - 1), pair.astype(np.uint32)
 
 
-def _planes(array: np.ndarray) -> bytes:
-    """Squeezed by place of the byte: sorted keys and small numbers have places that hardly change."""
-    return squeeze(np.ascontiguousarray(array).view(np.uint8).reshape(len(array), -1).T)
-
-
-def _unplanes(data: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(unsqueeze(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def _changes(*columns: np.ndarray) -> np.ndarray:
     """Where a new run of equal rows begins."""
     new = np.ones(len(columns[0]), bool)
@@ -262,10 +277,9 @@ def _pair_heads(blocks: DataFrame, buckets: int, vocabulary: Vocabulary) -> Data
     def run(batches):
         for batch in batches:
             for block, *row in zip(*batch.columns):
-                ids, data, offsets = unpacked(*row)
-                hashes, first = _block_words(data, offsets)
-                chain = Chain(hashes, first, vocabulary)
-                route, pair = _pairs(hashes, chain, buckets)
+                ids, first, keys, codes = _opened(*row)
+                chain = Chain(first, keys, codes, vocabulary)
+                route, pair = _pairs(keys[codes], chain, buckets)
                 learn = np.array([trains(d) for d in ids], bool)[chain.doc]
                 one, at = _distinct_pairs(route, pair)
                 counts = np.bincount(at[learn], minlength=len(one)).astype(np.uint32)
@@ -280,7 +294,7 @@ def _pair_heads(blocks: DataFrame, buckets: int, vocabulary: Vocabulary) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["block", "bucket", "routes", "lengths", "pairs", "counts"])
 
     schema = "block long, bucket int, routes binary, lengths binary, pairs binary, counts binary"
-    return blocks.select("block", "doc_ids", "offsets", "data").mapInArrow(run, schema)
+    return blocks.select("block", *CODED).mapInArrow(run, schema)
 
 
 PAIRS = "block long, bucket int, reply binary, followers binary, common array<struct<symbol: int, n: long>>"
@@ -329,7 +343,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     vocabulary grows with the cube root of it, and learns in every task, from every token of the training documents.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = packed(docs, BLOCK_BYTES)
+    blocks = packed(docs, BLOCK_BYTES, _coded, "first array<long>, keys binary, codes binary")
     size = text_bytes(docs)
     buckets, most = bucket_count(size, BUCKET_BYTES), vocabulary_size(size)
     # a bucket has a share of the most frequent words that its hash decides: far less than this
@@ -363,18 +377,17 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for *row, answers in zip(*batch.columns):
-                ids, data, offsets = unpacked(*row)
-                hashes, first = _block_words(data, offsets)
+                ids, first, keys, codes = _opened(*row)
                 found = [(a["reply"].as_py(), a["followers"].as_py()) for a in answers.values] if answers.is_valid else []
                 none = [np.zeros(0, np.uint64)]
-                seen = np.concatenate(none + [unsqueeze(r, np.uint64) for r, f in found if f is None])[np.unique(hashes, return_inverse=True)[1]]
-                chain = Chain(hashes, first, vocabulary)
-                route, pair = _pairs(hashes, chain, many)
+                seen = np.concatenate(none + [unsqueeze(r, np.uint64) for r, f in found if f is None])[codes]
+                chain = Chain(first, keys, codes, vocabulary)
+                route, pair = _pairs(keys[codes], chain, many)
                 one, at = _distinct_pairs(route, pair)
                 together = np.concatenate(none + [_unplanes(r, np.uint64) for r, f in found if f is not None])[at]
                 kinds = np.concatenate([np.zeros(0, np.uint32)] + [_unplanes(f, np.uint32) for _, f in found if f is not None])
                 kinds = kinds[np.cumsum(_changes(route[one])) - 1][at] if len(one) else kinds
-                del data, found, hashes, route, pair, one, at
+                del found, keys, codes, route, pair, one, at
                 own = chain.before(chain.own, True)
                 count = np.full(len(chain.doc), float(learned))
                 count[chain.is_word] = seen
@@ -401,7 +414,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_tokens", "n_known", "base_score", "score", "model_score"],
                 )
 
-    scored = blocks.hint("merge").join(own, "block", "left").select("doc_ids", "offsets", "data", "replies").mapInArrow(run, SCORES)
+    scored = blocks.hint("merge").join(own, "block", "left").select(*CODED, "replies").mapInArrow(run, SCORES)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 

@@ -53,37 +53,42 @@ def stream(symbols: np.ndarray, first: np.ndarray, stop: int) -> tuple[np.ndarra
 
 
 def _hidden(c: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """h of the n last of the vectors' second but last axis, from those before each."""
-    out = rows[..., ORDER - 1 : ORDER - 1 + n, :] * c[0]
+    """h of the n last of the vectors in each line of `rows` (lines, ORDER + n, or one behind, times WIDTH), from those before each."""
+    c = np.tile(c, n)
+    out = rows[:, (ORDER - 1) * WIDTH : (ORDER - 1 + n) * WIDTH] * c[0]
+    part = np.empty_like(out)
     for k in range(1, ORDER):
-        out += rows[..., ORDER - 1 - k : ORDER - 1 - k + n, :] * c[k]
+        out += np.multiply(rows[:, (ORDER - 1 - k) * WIDTH : (ORDER - 1 - k + n) * WIDTH], c[k], out=part)
     return out
 
 
 def _by_class(words: np.ndarray, side: int):
     """Order of the tokens by class, and (class, from, to) in it."""
-    own = words // side
+    own = (words // side).astype(np.uint16)  # narrow, so that the sort is by digits
     order = np.argsort(own, kind="stable")
-    edges = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1])) if len(order) else np.zeros(0, np.int64)
-    return order, [(int(own[order[i]]), int(i), int(j)) for i, j in zip(edges, np.append(edges[1:], len(order)))]
-
-
-def _contrast(h: np.ndarray, q: np.ndarray, bias: np.ndarray, drawn: np.ndarray, target: np.ndarray, share: np.float32) -> np.ndarray:
-    """Ascent direction, times `share`, of the noise-contrastive likelihood in the scores (tokens, choices) of h, whose last column is 1;
-    drawn: the noise expected of each choice."""
-    half = np.float32(0.5)
-    both = np.empty((len(q), WIDTH + 1), np.float32)
-    np.multiply(q, half, out=both[:, :WIDTH])
-    both[:, WIDTH] = (bias - np.log(np.maximum(drawn, 1e-30))) * half
-    g = h @ both.T
-    np.tanh(g, out=g)  # the probability of data, twice and less one
-    rows = np.arange(len(target))
-    own = (1 - g[rows, target]) * (half * share)
-    noise = (-half * share) * drawn
-    g *= noise
-    g += noise
-    g[rows, target] += own
-    return g
+    own = own[order]
+    edges = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(order) else np.zeros(0, np.int64)
+    return order, list(zip(own[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(order)]))
+
+
+def _contrast(g: np.ndarray, target: np.ndarray, drawn: np.ndarray) -> None:
+    """Turns the negated scores (tokens, choices) over the noise into the ascent direction of the noise-contrastive likelihood over
+    minus the noise that is expected of each choice, in place; drawn: that of each token's own choice."""
+    with np.errstate(over="ignore"):
+        np.exp(g, out=g)
+    g += 1
+    np.reciprocal(g, out=g)  # the probability of data
+    flat, at = g.reshape(-1), np.arange(0, g.size, g.shape[1]) + target
+    own = flat[at]
+    flat[at] = own - (1 - own) / drawn
+
+
+def _climb(value: np.ndarray, seen: np.ndarray, g: np.ndarray) -> None:
+    step = g * g
+    seen += step
+    np.divide(g, np.sqrt(seen, out=step), out=step)
+    step *= np.float32(RATE)
+    value += step
 
 
 class Adagrad:
@@ -91,9 +96,33 @@ class Adagrad:
         self.p, self.seen = p, {k: np.full(v.shape, 1e-2 if v.ndim == 2 else 1.0, np.float32) for k, v in p.items()}
 
     def climb(self, name: str, where, g: np.ndarray) -> None:
-        seen = self.seen[name][where] + g * g
-        self.seen[name][where] = seen
-        self.p[name][where] += RATE * g / np.sqrt(seen)
+        value, seen = self.p[name][where], self.seen[name][where]
+        _climb(value, seen, g)
+        self.p[name][where], self.seen[name][where] = value, seen
+
+
+class Layer:
+    """Vectors with the bias behind each, and what Adagrad has seen of them; drawn: the noise expected of each."""
+
+    def __init__(self, name: str, steps: Adagrad, drawn: np.ndarray):
+        self.name, self.steps, self.drawn = name, steps, drawn
+        self.value, self.seen = (np.column_stack([x[f"q_{name}"], x[f"b_{name}"]]) for x in (steps.p, steps.seen))
+        self.noise, self.log_noise = np.repeat(drawn[:, None], WIDTH + 1, axis=1), np.log(np.maximum(drawn, 1e-30))
+
+    def against(self) -> np.ndarray:
+        """Vectors that give the negated scores over the noise."""
+        out = -self.value
+        out[:, WIDTH] += self.log_noise
+        return out
+
+    def climb(self, g: np.ndarray, share: np.float32) -> None:
+        g *= self.noise
+        g *= share
+        _climb(self.value, self.seen, g)
+
+    def close(self) -> None:
+        for x, own in ((self.steps.p, self.value), (self.steps.seen, self.seen)):
+            x[f"q_{self.name}"][:], x[f"b_{self.name}"][:] = own[:, :WIDTH], own[:, WIDTH]
 
 
 class Weights:
@@ -105,76 +134,89 @@ class Weights:
 
 def learn(p: Params, freq: Frequencies, text: np.ndarray, wanted: np.ndarray, steps: Adagrad, seen: Weights) -> None:
     """One pass over all of a stream, RUN places in a row and BATCH in a step; what is learned from is where `wanted` holds. p changes in place."""
-    side = freq.side
-    drawn_class, drawn_word = NOISE * freq.noise_class, NOISE * freq.noise_word
+    side, classes = freq.side, freq.classes
+    of_class, of_word = Layer("class", steps, NOISE * freq.noise_class), Layer("word", steps, NOISE * freq.noise_word.ravel())
     whole = -(-max(0, len(text) - ORDER) // RUN)
     behind = ORDER + whole * RUN - len(text)
     text, wanted = np.append(text, np.zeros(behind, text.dtype)), np.append(wanted, np.zeros(behind, bool))
     starts = ORDER + RUN * np.arange(whole)
+    scores = np.empty(BATCH * max(side, classes), np.float32)
+    place = np.empty(len(p["r"]), np.int64)
     for a in range(0, len(starts), BATCH // RUN):
         places = starts[a : a + BATCH // RUN, None] + np.arange(-ORDER, RUN)
         symbols = text[places]
         at = np.flatnonzero(wanted[places[:, ORDER:]].ravel())
         if not len(at):
             continue
-        order, cuts = _by_class(symbols[:, ORDER:].ravel()[at], side)
-        at = at[order]
-        target = symbols[:, ORDER:].ravel()[at]
-        own_class, own_word = target // side, target % side
-        share = np.float32(32 / len(target))
-        rows = np.take(p["r"], symbols, axis=0)
-        h = np.ones((len(target), WIDTH + 1), np.float32)
-        h[:, :WIDTH] = _hidden(p["c"], rows, RUN).reshape(-1, WIDTH)[at]
-        g = _contrast(h, p["q_class"], p["b_class"], drawn_class, own_class, share)
-        back, up = g @ p["q_class"], g.T @ h
-        steps.climb("q_class", slice(None), up[:, :WIDTH])
-        steps.climb("b_class", slice(None), up[:, WIDTH])
+        targets = symbols[:, ORDER:].ravel()[at]
+        order, cuts = _by_class(targets, side)
+        at, target = at[order], targets[order]
+        own_class, n = target // side, len(target)
+        share = np.float32(-32 / n)
+        rows = np.take(p["r"], symbols, axis=0).reshape(len(places), -1)
+        h = np.ones((n, WIDTH + 1), np.float32)
+        h[:, :WIDTH] = np.take(_hidden(p["c"], rows, RUN).reshape(-1, WIDTH), at, axis=0)
+        # the noise is a factor of the vectors, of which there are few, and not of the tokens' scores
+        g = np.matmul(h, of_class.against().T, out=scores[: n * classes].reshape(n, classes))
+        _contrast(g, own_class, of_class.drawn[own_class])
+        back = g @ (of_class.value * of_class.noise)[:, :WIDTH]
+        of_class.climb(g.T @ h, share)
+        # each class has words of its own: their products are apart, all else is done for all classes at once
+        g, against = scores[: n * side].reshape(n, side), of_word.against()
+        for k, i, j in cuts:
+            np.matmul(h[i:j], against[k * side : (k + 1) * side].T, out=g[i:j])
+        _contrast(g, target % side, of_word.drawn[target])
+        q, more, up = (of_word.value * of_word.noise)[:, :WIDTH], np.empty_like(back), np.zeros_like(against)
         for k, i, j in cuts:
-            lines, mine = slice(k * side, (k + 1) * side), h[i:j]
-            g = _contrast(mine, p["q_word"][lines], p["b_word"][lines], drawn_word[k], own_word[i:j], share)
-            back[i:j] += g @ p["q_word"][lines]
-            up = g.T @ mine
-            steps.climb("q_word", lines, up[:, :WIDTH])
-            steps.climb("b_word", lines, up[:, WIDTH])
+            np.matmul(g[i:j], q[k * side : (k + 1) * side], out=more[i:j])
+            np.matmul(g[i:j].T, h[i:j], out=up[k * side : (k + 1) * side])
+        of_word.climb(up, share)
+        back += more
+        back *= share
         full = np.zeros((len(places) * RUN, WIDTH), np.float32)
         full[at] = back
-        full = full.reshape(len(places), RUN, WIDTH)
-        up, own = np.zeros_like(rows), np.empty_like(p["c"])
+        full, c = full.reshape(len(places), -1), np.tile(p["c"], RUN)
+        up, own, part_of = np.zeros_like(rows), np.empty_like(p["c"]), np.empty_like(full)
         for k in range(ORDER):
-            part = slice(ORDER - 1 - k, ORDER - 1 - k + RUN)
-            up[:, part] += full * p["c"][k]
-            own[k] = np.einsum("rtd,rtd->d", rows[:, part], full)
+            part = slice((ORDER - 1 - k) * WIDTH, (ORDER - 1 - k + RUN) * WIDTH)
+            up[:, part] += np.multiply(full, c[k], out=part_of)
+            own[k] = np.multiply(rows[:, part], full, out=part_of).sum(0).reshape(-1, WIDTH).sum(0)
         steps.climb("c", slice(None), own)
-        flat = symbols.ravel()
-        order = np.argsort(flat, kind="stable")
-        begins = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
-        steps.climb("r", flat[order][begins], np.add.reduceat(up.reshape(-1, WIDTH)[order], begins, axis=0))
-        seen.of_symbol += np.bincount(flat, minlength=len(seen.of_symbol))
-        seen.of_class += np.bincount(own_class, minlength=freq.classes)
-        seen.total += len(target)
+        times = np.bincount(symbols.ravel(), minlength=len(place))
+        inner = np.flatnonzero(times)
+        place[inner] = np.arange(0, len(inner) * WIDTH, WIDTH)
+        sums = np.bincount((place[symbols][..., None] + np.arange(WIDTH)).ravel(), up.ravel(), len(inner) * WIDTH)
+        steps.climb("r", inner, sums.astype(np.float32).reshape(-1, WIDTH))
+        seen.of_symbol += times
+        seen.of_class += np.bincount(own_class, minlength=classes)
+        seen.total += n
+    of_class.close()
+    of_word.close()
 
 
 def _log_softmax(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
-    own = scores[np.arange(len(target)), target]
+    own = scores.reshape(-1)[np.arange(0, scores.size, scores.shape[1]) + target]
     np.exp(scores, out=scores)
-    return own - np.log(scores.sum(1))
+    return own - np.log(scores @ np.ones(scores.shape[1], np.float32))
 
 
 def log_probabilities(p: Params, freq: Frequencies, text: np.ndarray, start: int, end: int) -> np.ndarray:
     """Natural logarithms of the normalised probabilities at the places start..end-1 of a stream."""
-    side, out = freq.side, np.empty(max(0, end - start))
-    for a in range(start, end, BATCH):
-        b = min(end, a + BATCH)
-        target = text[a:b]
-        h = _hidden(p["c"], np.take(p["r"], text[a - ORDER : b], axis=0), b - a)
-        own = _log_softmax(h @ p["q_class"].T + p["b_class"], target // side)
-        order, cuts = _by_class(target, side)
-        sorted_h, at, more = h[order], target[order] % side, np.empty(b - a, np.float32)
+    side, out, batch = freq.side, np.empty(max(0, end - start)), 4 * BATCH
+    of_class, of_word = (np.column_stack([p[f"q_{x}"], p[f"b_{x}"]]) for x in ("class", "word"))
+    buffer = np.empty(min(batch, len(out)) * max(side, freq.classes), np.float32)
+    for a in range(start, end, batch):
+        b = min(end, a + batch)
+        n, (order, cuts) = b - a, _by_class(text[a:b], side)
+        target = text[a:b][order]
+        h = np.ones((n, WIDTH + 1), np.float32)
+        h[:, :WIDTH] = np.take(_hidden(p["c"], np.take(p["r"], text[a - ORDER : b], axis=0).reshape(1, -1), n).reshape(-1, WIDTH), order, axis=0)
+        scores = buffer[: n * freq.classes].reshape(n, -1)
+        own = _log_softmax(np.matmul(h, of_class.T, out=scores), target // side)
+        scores = buffer[: n * side].reshape(n, -1)
         for k, i, j in cuts:
-            lines = slice(k * side, (k + 1) * side)
-            more[i:j] = _log_softmax(sorted_h[i:j] @ p["q_word"][lines].T + p["b_word"][lines], at[i:j])
-        own[order] += more
-        out[a - start : b - start] = own
+            np.matmul(h[i:j], of_word[k * side : (k + 1) * side].T, out=scores[i:j])
+        out[a - start : b - start][order] = own + _log_softmax(scores, target % side)
     return out
 
 
